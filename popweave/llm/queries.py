@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from popweave.llm import mixing, token_files, warc
+from popweave.llm import mixing, token_files, warc, winnowing
 
-MODULES = [mixing, token_files, warc]
+MODULES = [mixing, token_files, warc, winnowing]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -226,8 +226,9 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
     before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)  # a row per file
+    n = max(1, files.count())
     files = files.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def default_tokenizer() -> str:

@@ -121,7 +121,7 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return files.select("path").repartition("path").mapInArrow(read, RECORDS)
+    return files.select("path").repartition(max(1, files.count()), "path").mapInArrow(read, RECORDS)
 
 
 def with_responses(records: DataFrame) -> DataFrame:
