@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -96,10 +99,13 @@ class WordwiseEncoder:
             self.clear()
         used = np.ones(len(codes), bool)
         used[ends[:-1]] = False
+        where = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         needed = np.zeros(len(words), bool)
         needed[codes[used]] = True
-        self._learn([w for w, need in zip(words, needed, strict=True) if need and w not in self.at])
-        where = np.fromiter((self.at.get(w, 0) for w in words), np.int64, len(words))[codes]
+        new = np.flatnonzero(needed & (where < 0))
+        where[new] = len(self.at) + np.arange(len(new))
+        self._learn([words[k] for k in new])
+        where = np.maximum(where, 0)[codes]
         begin, size = self.begin[where], np.where(used, self.size[where], 0)
         total = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
@@ -109,6 +115,14 @@ class WordwiseEncoder:
         return [next(rest) if x else next(plain) for x in odd]
 
 
+def encoder_of(path: str) -> WordwiseEncoder:
+    """This process's encoder: loaded once, its memory of pieces serves all tasks of the process."""
+    kept = vars(sys.modules.setdefault("_popweave_encoders", ModuleType("_popweave_encoders")))
+    if path not in kept:
+        kept[path] = WordwiseEncoder(path)
+    return kept[path]
+
+
 def tables(doc_ids: list[int | None], frames: list[tuple[int, int, int]]) -> bytes:
     """The two closing frames: document ids, and the seek table of (compressed size, raw size, checksum)."""
     known = np.array([x is not None for x in doc_ids], np.uint8)
@@ -175,7 +189,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, lev
         import xxhash
         import zstandard
 
-        encoder, pack = WordwiseEncoder(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=False)
+        encoder, pack = encoder_of(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=False)
         shard, part, out, frames, ids = TaskContext.get().partitionId(), 0, [], [], []
 
         def close() -> pa.RecordBatch:
