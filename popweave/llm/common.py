@@ -103,11 +103,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _tables[int(base)][:n]
 
 
-def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts (null: none) as one string array, and where each text's words begin (n + 1 offsets)."""
+def compact(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The texts as one unsliced large_string array without nulls (some kernels misread sliced input)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return pc.fill_null(texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))), "")
+
+
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (null: none) as one string array, and where each text's words begin (n + 1 offsets)."""
+    texts = compact(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(lists) else lists.values

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import hash_strings, mix64, stored, text_of, words_of
+from popweave.llm.common import compact, hash_strings, mix64, stored, text_of, words_of
 
 #: Masks over 12 places, each with 8 that count; words at the places marked 0 are ignored.
 MASKS = ("111010110101", "110111001011", "101101011101", "111100101011")
@@ -41,7 +41,7 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of lower-cased words without punctuation at their ends; words of punctuation alone are left out."""
     import pyarrow.compute as pc
 
-    words, offsets = words_of(pc.utf8_lower(texts.cast(pa.large_string())), lower=False)
+    words, offsets = words_of(pc.utf8_lower(compact(texts)), lower=False)
     coded = words.dictionary_encode()
     bare = pc.replace_substring_regex(coded.dictionary, _STRIP, "")
     codes = coded.indices.to_numpy(zero_copy_only=False)
