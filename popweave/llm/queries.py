@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from popweave.llm import decontamination, jaccard_join, mixing, token_files, url_filters, warc, winnowing
+from popweave.llm import decontamination, jaccard_join, mixing, token_files, toxicity, url_filters, warc, winnowing
 
-MODULES = [mixing, jaccard_join, decontamination, token_files, warc, url_filters, winnowing]
+MODULES = [mixing, jaccard_join, toxicity, decontamination, token_files, warc, url_filters, winnowing]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
