@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.llm.common import open_fs, put_file, shared_dir, stored, text_of
+from popweave.llm.common import compact, open_fs, put_file, shared_dir, stored, text_of
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
@@ -87,7 +87,7 @@ class WordwiseEncoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = compact(texts)
         odd = pc.or_(pc.match_substring_regex(texts, "^ | [\\s\\x0b\\x{85}\\p{Z}]| $"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
