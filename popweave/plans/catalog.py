@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from popweave.plans import registry_queries
+from popweave.plans import junction_queries, read_queries, registry_queries
 
-MODULES = [registry_queries]
+MODULES = [registry_queries, read_queries, junction_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
