@@ -204,6 +204,33 @@ def _comparer(n: int, threshold: float, tolerance: float):
     return compare
 
 
+MOST_BITS = 1 << 28
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and a few others: what a bitmap of hashed ids lets through.
+
+    Keeps texts that a later exact join would drop out of its shuffle. The bitmap has at most MOST_BITS bits (32 MB).
+    """
+    ids = stored(ids, "ids")
+    bits = 1 << 15
+    while bits < MOST_BITS and bits < 32 * ids.count():
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    parts = ids.select(place().alias("p")).groupBy(F.floor(F.col("p") / (1 << 15)).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("bits"))
+    shared = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # at most MOST_BITS / 2**15 rows of 4 KB
+        shared[r.k << 12 : (r.k + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(shared)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("place").to_numpy()
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7)).astype(np.uint8) & 1 == 1)).select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", place().alias("place")).mapInArrow(some, "doc_id long, text string")
+
+
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text).
 
@@ -216,8 +243,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     banded = classes.select("cid", F.posexplode("bands").alias("band", "gkey"))
     buckets = banded.groupBy("band", "gkey").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.min("cid").alias("first"), F.max("cid").alias("last"))
     kept = buckets.where("size > 1").groupBy("size", "x", "y", "first", "last").agg(F.min(F.struct("band", "gkey")).alias("k")).select("k.band", "k.gkey", "size")
-    members = stored(banded.join(kept, ["band", "gkey"]), "members")
-    texts = d.join(members.select(F.col("cid").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("cid")).agg(F.min("text").alias("text"))
+    members = stored(banded.join(kept.hint("merge"), ["band", "gkey"]), "members")  # the same plan at every size
+    wanted = members.select(F.col("cid").alias("doc_id")).distinct()
+    texts = likely(d, wanted).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("cid")).agg(F.min("text").alias("text"))
     texts = stored(classes.select("cid", "copies", "sig").join(texts, "cid"), "texts")
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid", "band"), "blocks").cast("int"))
@@ -237,7 +265,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: that with the least doc_id."""
     found = near_duplicates(docs, **options)
     gone = stored(found.where("doc_id <> class_id").select(F.col("doc_id").cast("long").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
