@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from popweave.plans import junction_queries, read_queries, registry_queries
+from popweave.plans import io_queries, junction_queries, read_queries, registry_queries, stat_queries, variant_queries
 
-MODULES = [registry_queries, read_queries, junction_queries]
+MODULES = [io_queries, registry_queries, read_queries, junction_queries, variant_queries, stat_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
