@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 PAF_SCHEMA = "Q_Name string, Q_Size long, Q_Start long, Q_Stop long, Q_Strand string, R_Name string, R_Size long, R_Start long, R_Stop long, ResiduesMatch long, AlignmentLength long, MappingQuality int, AlignmentType string, c string, d string, e string, f string, g string"
 BED_SCHEMA = "contig string, start long, stop long"
@@ -77,9 +78,15 @@ def fetch(reads: DataFrame, contig: str, start: int | None = None, stop: int | N
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines of all files in order, numbered by partition counts."""
-    rdd = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0].value))
-    return spark.createDataFrame(rdd, "line long, value string")
+    """(line, value): lines numbered by file name and place, however the files are split.
+
+    Within a split row ids are consecutive; a table of one row per split holds where its lines begin.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_f", "_b").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_f", "_b", "_low", before.alias("_before"))
+    return rows.join(F.broadcast(splits), ["_f", "_b"]).select((F.col("_id") - F.col("_low") + F.col("_before")).alias("line"), "value")
 
 
 def scan_fastq(spark: SparkSession, path: str) -> DataFrame:
