@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.llm.common import compact, stored, text_of, words_of
+from popweave.llm.common import compact, free_name, stored, text_of, words_of
 
 SPAN, DECAY = 6, 0.7
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -88,27 +88,33 @@ class Alphabet:
         self.number = np.zeros(0x110000, np.int32)
         self.number[chars[np.argsort(-times, kind="stable")[:63]]] = np.arange(1, min(63, len(chars)) + 1)
 
-    def decisions(self, p: Pieces, tables: np.ndarray) -> np.ndarray:
-        """Per piece the sum of table entries over its subsequences, decayed and scaled; one column per table."""
+    def subsequences(self, p: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
+        """Per gap pattern: (places of first characters, numbers of the subsequences, weight)."""
         x = self.number[p.codes]
         last = np.repeat(np.append(p.begin[1:], len(x)), np.diff(np.append(p.begin, len(x)))) - np.arange(len(x))
-        out = np.zeros((len(x), tables.shape[1]), np.float32)
         for (a, b), s in zip(_GAPS, _SCALE, strict=True):
-            i = np.flatnonzero(last > b)
-            u = (x[i] << 12) | (x[i + a] << 6) | x[i + b]
-            out[i] += s * tables[u]
-        return np.add.reduceat(out, p.begin, axis=0) * p.norm[:, None] if len(p.begin) else out[:0]
-
-    def table(self, string: str) -> np.ndarray:
-        """The kernel's features of one string as a table over subsequences."""
-        p = pieces([string[:WINDOW]])
-        x, out = self.number[p.codes], np.zeros(1 << 18, np.float32)
-        for (a, b), s in zip(_GAPS, _SCALE, strict=True):
-            if len(x) > b:
-                y = x[:-b], x[a : len(x) - b + a], x[b:]
-                known = (y[0] > 0) & (y[1] > 0) & (y[2] > 0)
-                np.add.at(out, ((y[0] << 12) | (y[1] << 6) | y[2])[known], s)
-        return out * np.float32(p.norm[0])
+            i = np.flatnonzero((last > b) & (x > 0))
+            i = i[(x[i + a] > 0) & (x[i + b] > 0)]
+            yield i, (x[i] << 12) | (x[i + a] << 6) | x[i + b], s
+
+    def decisions(self, p: Pieces, table: np.ndarray) -> np.ndarray:
+        """Per piece the sum of table entries over its subsequences, decayed and scaled."""
+        out = np.zeros(len(p.codes), np.float32)
+        for i, u, s in self.subsequences(p):
+            out[i] += s * table[u]
+        return np.add.reduceat(out, p.begin) * p.norm if len(p.begin) else out
+
+    def features(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The kernel's features as (string, subsequence, value) triples; only the first window of long strings."""
+        p = pieces([x[:WINDOW] for x in strings])
+        piece = np.repeat(np.arange(p.n), np.diff(np.append(p.begin, len(p.codes))))
+        keys, values = [], []
+        for i, u, s in self.subsequences(p):
+            keys.append(piece[i].astype(np.int64) << 18 | u)
+            values.append(np.full(len(i), s))
+        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        values = np.bincount(where, np.concatenate(values), len(keys))
+        return keys >> 18, keys & 0x3FFFF, values * p.norm[keys >> 18]
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -135,23 +141,19 @@ class Model:
     shift: float = 0.0
 
     def words(self, strings: list[str]) -> np.ndarray:
-        p = pieces(strings)
-        out = np.full(p.n, -np.inf, np.float32)
-        for k in range(0, len(p.begin), 1 << 16):  # slices that keep the work arrays small
-            end = min(k + (1 << 16), len(p.begin))
-            top = p.begin[end] if end < len(p.begin) else len(p.codes)
-            part = Pieces(p.codes[p.begin[k] : top], p.begin[k:end] - p.begin[k], p.of[k:end], p.n)
-            np.maximum.at(out, part.of, self.alphabet.decisions(part, self.table[:, None])[:, 0] + np.float32(self.bias))
+        out = np.full(len(strings), -np.inf, np.float32)
+        for k in range(0, len(strings), 1 << 16):  # slices that keep the work arrays small
+            p = pieces(strings[k : k + (1 << 16)])
+            np.maximum.at(out, k + p.of, self.alphabet.decisions(p, self.table) + self.bias)
         return out
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         """The worst piece's decision value per text; -1 - the margin of clean pieces - without pieces."""
-        words, doc = units(texts)
+        strings, codes, doc = units(texts)
         out = np.full(len(texts), -1.0)
-        if len(words):
-            coded = words.dictionary_encode()
+        if len(codes):
             best = np.full(len(texts), -np.inf, np.float32)
-            np.maximum.at(best, doc, self.words(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)])
+            np.maximum.at(best, doc, self.words(strings.to_pylist())[codes])
             out = np.where(np.isfinite(best), best, out)
         return out
 
@@ -159,23 +161,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -60, 60)))
 
 
-def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lower-cased words of the texts, and runs of three or more single characters joined; with each one's text."""
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct strings, number of each unit's string, each unit's text): lower-cased words and joined runs.
+
+    Words are taken without their punctuation; three or more single characters in a row also make one unit.
+    """
     words, offsets = words_of(pc.utf8_lower(compact(texts)), lower=False)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    single = (pc.utf8_length(words).to_numpy(zero_copy_only=False) == 1) if len(words) else np.zeros(0, bool)
-    at = np.flatnonzero(single)
+    coded = words.dictionary_encode()
+    bare = pc.replace_substring_regex(coded.dictionary, _MARKS, "").dictionary_encode()
+    codes = bare.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
+    strings = bare.dictionary
+    at = np.flatnonzero((pc.utf8_length(strings).to_numpy(zero_copy_only=False) == 1)[codes]) if len(words) else np.zeros(0, np.int64)
     if len(at) < 3:
-        return words, doc
+        return strings, codes, doc
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(at)))
-    runs = [(at[f], n) for f, n in zip(first, size, strict=True) if n >= 3]
-    if not runs:
-        return words, doc
-    joined = ["".join(words.slice(a, n).to_pylist()) for a, n in runs]
-    return pa.concat_arrays([words, pa.array(joined, words.type)]), np.concatenate([doc, doc[[a for a, _ in runs]]])
+    runs = [(at[f], n) for f, n in zip(first, np.diff(np.append(first, len(at))), strict=True) if n >= 3]
+    joined = ["".join(strings.take(pa.array(codes[a : a + n])).to_pylist()) for a, n in runs]
+    strings = pa.concat_arrays([strings, pa.array(joined, strings.type)])
+    return strings, np.concatenate([codes, len(strings) - len(runs) + np.arange(len(runs))]), np.concatenate([doc, doc[np.array([a for a, _ in runs], np.int64)]])
+
+
+_MARKS = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +192,11 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 500):
             batch = whole.slice(k, 500)
-            words, doc = units(batch.column("text"))
-            coded = words.dictionary_encode()
-            pair = np.unique(doc.astype(np.int64) << 32 | coded.indices.to_numpy(zero_copy_only=False))
+            strings, codes, doc = units(batch.column("text"))
+            again = strings.dictionary_encode()  # joined runs may repeat words
+            pair = np.unique(doc.astype(np.int64) << 32 | again.indices.to_numpy(zero_copy_only=False)[codes]) if len(codes) else np.zeros(0, np.int64)
             doc = pa.array(pair >> 32)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(doc), batch.column("toxic").take(doc), coded.dictionary.take(pa.array(pair & 0xFFFFFFFF)).cast(pa.string())], names=["key", "toxic", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(doc), batch.column("toxic").take(doc), again.dictionary.take(pa.array(pair & 0xFFFFFFFF)).cast(pa.string())], names=["key", "toxic", "unit"])
 
 
 def witnesses(postings: dict[str, set], clean: dict[str, int], rate: float, least: int = LEAST_GAIN) -> list[str]:
@@ -212,20 +221,30 @@ def _machine(positive: list[str], negative: list[str], support: dict[str, int])
     half = LANDMARKS // 2
     marks = list(dict.fromkeys([*positive[:half], *negative[: LANDMARKS - min(half, len(positive))]]))
     alphabet = Alphabet([*positive, *marks])
-    basis = np.stack([alphabet.table(x) for x in marks], 1)
-    used = np.flatnonzero(basis.any(1))
-    kernel = basis[used].astype(np.float64).T @ basis[used]
+    mark, feature, value = alphabet.features(marks)
+    used, column = np.unique(feature, return_inverse=True)
+    basis = np.zeros((len(marks), len(used)), np.float32)
+    basis[mark, column] = value
+    kernel = (basis @ basis.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # the inverse square root of the landmarks' kernel
     strings = [*positive, *negative]
-    p = pieces([x[:WINDOW] for x in strings])
-    near = alphabet.decisions(p, np.ascontiguousarray(basis)).astype(np.float64)
+    near = np.zeros((len(strings), len(marks)), np.float32)
+    for k in range(0, len(strings), 256):  # few rows at a time: a dense row has all the landmarks' subsequences
+        row, feature, value = alphabet.features(strings[k : k + 256])
+        at = np.minimum(np.searchsorted(used, feature), len(used) - 1)
+        known = used[at] == feature
+        dense = np.zeros((min(256, len(strings) - k), len(used)), np.float32)
+        dense[row[known], at[known]] = value[known]
+        near[k : k + 256] = dense @ basis.T
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     weight = np.array([min(5.0, support.get(x, 1)) for x in positive] + [1.0] * len(negative))
     weight[: len(positive)] *= max(1.0, 0.5 * len(negative) / max(1.0, weight[: len(positive)].sum()))
     w, bias = svm(near @ root, y, weight)
-    return Model(alphabet, (basis @ (root @ w)).astype(np.float32), bias)
+    table = np.zeros(1 << 18, np.float32)
+    table[used] = (root @ w) @ basis
+    return Model(alphabet, table, bias)
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -297,21 +316,28 @@ def _judge(model: Model):
     return judge
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with score (0 to 1) and predicted (0 or 1)."""
+def scored(docs: DataFrame, model: Model | None, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with score (0 to 1) and predicted (0 or 1); columns of docs with these names give way to them."""
+    docs = docs.drop(score, predicted)
     if model is None:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 64**3 weights, whatever the input
-    names = docs.columns
+    at, names = docs.columns.index("text"), [*docs.columns, score, predicted]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 4000):
                 batch = whole.slice(k, 4000)
-                s = shared.value.score(shared.value.margins(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+                s = shared.value.score(shared.value.margins(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
+
+    return docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
+
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs that the model does not call toxic, with all their columns."""
+    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
+    return scored(docs, model, score, predicted).where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def held_out() -> Column:
