@@ -46,9 +46,9 @@ def scan_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path)
     names = lines.where("value like '#CHROM%'").select(F.posexplode(F.expr("slice(split(value, '\t'), 10, greatest(size(split(value, '\t')) - 9, 0))")).alias("i", "sample")).distinct()
     f = F.split("value", "\t")
-    info = F.str_to_map(f[7], F.lit(";"), F.lit("="))
+    info = F.str_to_map(F.get(f, 7), F.lit(";"), F.lit("="))
     rows = lines.where("not value like '#%' and value <> ''")
-    rows = rows.select(f[0].alias("contig"), (f[1].cast("long") - 1).alias("pos"), f[2].alias("id"), f[3].alias("ref"), F.split(f[4], ",").alias("alt"), f[5].try_cast("double").alias("qual"), f[6].alias("filter"), info.alias("info"), F.split(F.get(f, 8), ":").alias("format"), F.expr("slice(split(value, '\t'), 10, greatest(size(split(value, '\t')) - 9, 0))").alias("calls"))
+    rows = rows.select(F.get(f, 0).alias("contig"), (F.get(f, 1).cast("long") - 1).alias("pos"), F.get(f, 2).alias("id"), F.get(f, 3).alias("ref"), F.split(F.get(f, 4), ",").alias("alt"), F.get(f, 5).try_cast("double").alias("qual"), F.get(f, 6).alias("filter"), info.alias("info"), F.split(F.get(f, 8), ":").alias("format"), F.expr("slice(split(value, '\t'), 10, greatest(size(split(value, '\t')) - 9, 0))").alias("calls"))
     end = F.try_element_at("info", F.lit("END")).try_cast("long")
     sites = rows.drop("format", "calls").withColumns({"svtype": F.try_element_at("info", F.lit("SVTYPE")), "stop": F.coalesce(end, F.col("pos") + F.length("ref"))})
     calls = rows.select("contig", "pos", "ref", "alt", "format", F.posexplode("calls").alias("i", "call"))
@@ -60,11 +60,11 @@ def scan_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM text: positions 0-based, flag bits as booleans, tags as a map."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where("not value like '@%' and value <> ''")
-    flag = f[1].cast("int")
+    flag = F.get(f, 1).cast("int")
     bits = {"is_paired": 1, "is_proper_pair": 2, "is_unmapped": 4, "mate_is_unmapped": 8, "is_reverse": 16, "mate_is_reverse": 32, "is_secondary": 256, "is_duplicate": 1024}
     tags = F.transform(F.expr("slice(split(value, '\t'), 12, greatest(size(split(value, '\t')) - 11, 0))"), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.regexp_replace(t, "^..:.:", "").alias("v")))
-    mate = F.when(f[6] == "=", f[2]).otherwise(f[6])
-    return rows.select(f[0].alias("qname"), *[(flag.bitwiseAND(b) != 0).alias(n) for n, b in bits.items()], f[2].alias("contig"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), mate.alias("next_contig"), (f[7].cast("long") - 1).alias("next_pos"), f[8].cast("long").alias("isize"), f[9].alias("seq"), f[10].alias("qual"), F.map_from_entries(tags).alias("tags"))
+    mate = F.when(F.get(f, 6) == "=", F.get(f, 2)).otherwise(F.get(f, 6))
+    return rows.select(F.get(f, 0).alias("qname"), *[(flag.bitwiseAND(b) != 0).alias(n) for n, b in bits.items()], F.get(f, 2).alias("contig"), (F.get(f, 3).cast("long") - 1).alias("pos"), F.get(f, 4).cast("int").alias("mapq"), F.get(f, 5).alias("cigar"), mate.alias("next_contig"), (F.get(f, 7).cast("long") - 1).alias("next_pos"), F.get(f, 8).cast("long").alias("isize"), F.get(f, 9).alias("seq"), F.get(f, 10).alias("qual"), F.map_from_entries(tags).alias("tags"))
 
 
 def fetch(reads: DataFrame, contig: str, start: int | None = None, stop: int | None = None) -> DataFrame:
