@@ -74,6 +74,14 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (the SplitMix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -165,8 +165,8 @@ def _finder(shared):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that overlap an item of the benchmark."""
-    found = stored(overlaps(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found.withColumnRenamed("doc_id", "_leak"), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    found = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

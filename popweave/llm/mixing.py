@@ -12,7 +12,8 @@ the words taken within about one short document of the target. Only one row per
 meets in one place.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own, last in
-order; equal rows get equal copies; an empty table gives an empty result; other columns are kept as they are.
+order; equal rows get equal copies; an empty table gives an empty result; other columns are kept as they are (in
+``mix`` those named like its results give way to them).
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ def _key(source: str = "source") -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size (number of words), _key (source, null apart) and _u (hashed uniform number in [0, 1))."""
+    """_row (all of docs), source, size (number of words), _key (source, null apart), _u (hashed uniform number in [0, 1))."""
     u = F.xxhash64("doc_id", text_of(docs)).bitwiseAND((1 << 52) - 1) / float(1 << 52)
-    return docs.withColumns({"size": F.regexp_count(text_of(docs), F.lit(WORD)).cast("long"), "_key": _key(), "_u": u})
+    size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "source", size.alias("size"), _key().alias("_key"), u.alias("_u"))
 
 
 def source_sizes(rows: DataFrame) -> DataFrame:
@@ -126,8 +128,8 @@ def shifts(rows: DataFrame, state: DataFrame, cap: float = 2.0) -> DataFrame:
     return stored(state, "shifts")
 
 
-def mix(docs: DataFrame, targets=cycled_targets, cap: float = 2.0) -> DataFrame:
-    """docs with size, source_size, target, rate and copies. ``targets`` maps the table of sources to one with target."""
+def _mixed_rows(docs: DataFrame, targets, cap: float) -> DataFrame:
+    """_row, size, source_size, target, rate, copies."""
     rows = sized(docs)
     compact = stored(rows.select("_key", "source", "size", "_u"), "sizes")
     state = solve(compact, stored(targets(source_sizes(compact)), "targets"), cap)
@@ -136,13 +138,22 @@ def mix(docs: DataFrame, targets=cycled_targets, cap: float = 2.0) -> DataFrame:
     last = F.when(_tier() == 0, F.col("_b0")).when(_tier() == 1, F.col("_b1")).otherwise(F.col("_b2"))
     copies = sum((_cell(k, cap) <= last).cast("int") for k in range(1, int(cap) + 1))
     out = out.withColumn("rate", _rate(cap)).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-    return out.select(*docs.columns, "size", "source_size", "target", "rate", "copies")
+    return out.select("_row", *RESULTS)
+
+
+RESULTS = ["size", "source_size", "target", "rate", "copies"]
+
+
+def mix(docs: DataFrame, targets=cycled_targets, cap: float = 2.0) -> DataFrame:
+    """docs with size, source_size, target, rate and copies. ``targets`` maps the table of sources to one with target."""
+    kept = [c for c in docs.columns if c.lower() not in RESULTS]
+    return _mixed_rows(docs, targets, cap).select(*[F.col("_row")[c].alias(c) for c in kept], *RESULTS)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, targets=cycled_targets, cap: float = 2.0) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **options).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    out = _mixed_rows(docs, targets, cap).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

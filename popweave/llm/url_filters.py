@@ -80,8 +80,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """pages with host, path, rule, spam_share (of the host) and verdict."""
-    p = with_rule(pages.withColumns({"host": host_of("url"), "path": path_of("url")}), rules)
+    """page_id, url, html, host, path, rule, spam_share (of the host) and verdict."""
+    p = with_rule(pages.select("page_id", "url", "html").withColumns({"host": host_of("url"), "path": path_of("url")}), rules)
     count = lambda what: F.count_if(F.col("_action") == what)
     seeds = stored(p.where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"), F.count("*").alias("pages")), "seeds")
     ranks = propagate(seeds, host_edges(p))
