@@ -108,7 +108,17 @@ def _(t):
     return J.allele_context(events(t), genome(t)).select("event", "ref_seq", "alt_seq")
 
 
-@C.query("genotype_by_support")
+_MERS = "list_distinct(list_transform(range(1, length({0}) - 13), lambda i: substr({0}, CAST(i AS INT), 15)))"
+
+
+@C.query("genotype_by_support", f"""WITH {GENOME}, {EVENTS}, x AS (SELECT *, substr(g, start - 49, 50) AS l, substr(g, start + 1, stop - start + 1) AS m, substr(g, stop + 2, 50) AS r FROM ev JOIN ge ON ge.contig_ord = ev.contig_ord),
+y AS (SELECT *, reverse(translate(m, 'ACGTN', 'TGCAN')) AS v, kind = 'inv' AND stop - start > 150 AS long FROM x),
+al AS (SELECT event, contig_ord, start, stop, CASE WHEN long THEN l || left(m, 100) || right(m, 100) || r ELSE l || m || r END AS ref_seq, CASE WHEN kind = 'del' THEN l || r WHEN kind = 'dup' THEN l || m || m || r WHEN long THEN l || left(v, 100) || right(v, 100) || r ELSE l || v || r END AS alt_seq FROM y),
+ak AS (SELECT *, {_MERS.format('ref_seq')} AS rk, {_MERS.format('alt_seq')} AS bk FROM al),
+e AS (SELECT *, pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_end, {_MERS.format('seq')} AS k FROM fx_reads WHERE NOT is_secondary AND mapq > 10),
+d AS (SELECT event, sample_idx, len(list_intersect(k, rk)) - len(list_intersect(k, bk)) AS d FROM e JOIN ak ON e.contig_ord = ak.contig_ord AND ((pos - 5 < start AND ref_end > start) OR (pos - 5 < stop AND ref_end > stop))),
+n AS (SELECT event, sample_idx, count(*) FILTER (d > 10) AS ref_reads, count(*) FILTER (d < -10) AS alt_reads, count(*) FILTER (abs(d) <= 10) AS ambiguous FROM d GROUP BY 1, 2)
+SELECT *, CASE WHEN ref_reads = 0 AND alt_reads = 0 THEN './.' WHEN ref_reads > 4 * alt_reads THEN '0/0' WHEN ref_reads < alt_reads / 4.0 THEN '1/1' ELSE '0/1' END AS gt FROM n""")
 def _(t):
     e = events(t)
     return J.genotype_by_support(J.reads_at_breakpoint(t.fx_reads, e), J.allele_context(e, genome(t)))
