@@ -27,8 +27,7 @@ def numbered(sites: DataFrame) -> DataFrame:
 def block_rows(sites: DataFrame, size: int = 100) -> DataFrame:
     """Numbered sites with block (from 0), without the incomplete last one. Blocks run across contigs."""
     n = numbered(sites)
-    full = sites.groupBy().agg((F.floor(F.count("*") / size)).alias("_full"))  # one row
-    return n.withColumn("block", F.floor((F.col("rn") - 1) / size)).crossJoin(F.broadcast(full)).where("block < _full").drop("_full")
+    return n.withColumn("block", F.floor((F.col("rn") - 1) / size)).where(F.col("block") < sites.count() // size)
 
 
 def weir_cockerham(g: DataFrame, pops: DataFrame) -> DataFrame:
@@ -111,10 +110,9 @@ def moving_average_reflected(df: DataFrame, value: str, width: int = 100) -> Dat
     Rows are dealt to blocks of 100 * width numbers; each block also gets the rows within width of it, mirrored at the ends.
     """
     half, size = width // 2, 100 * width
-    top = df.agg(F.max("rn").alias("_top"))  # one row
-    d = df.select("rn", value).crossJoin(F.broadcast(top))
-    mirrored = F.array(F.col("rn"), F.when(F.col("rn") <= half, 1 - F.col("rn")), F.when(F.col("rn") > F.col("_top") - half, 2 * F.col("_top") + 1 - F.col("rn")))
-    d = d.select(value, F.explode(F.array_compact(mirrored)).alias("_at"))
+    top = df.agg(F.max("rn")).first()[0] or 0
+    mirrored = F.array(F.col("rn"), F.when(F.col("rn") <= half, 1 - F.col("rn")), F.when(F.col("rn") > top - half, 2 * top + 1 - F.col("rn")))
+    d = df.select(value, F.explode(F.array_compact(mirrored)).alias("_at"))
     d = d.withColumn("_block", F.explode(F.array_distinct(F.array(*[F.floor((F.col("_at") + k) / size) for k in (-half, 0, half)]))))
     w = W.partitionBy("_block").orderBy("_at").rowsBetween(-half, half - 1)
     d = d.withColumn("smooth", F.avg(value).over(w)).where(F.floor(F.col("_at") / size) == F.col("_block"))

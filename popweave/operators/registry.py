@@ -103,9 +103,9 @@ def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def sample_coverage(counts: DataFrame, samples: DataFrame, contigs: DataFrame) -> DataFrame:
     """all_reads * (read_length / 2) / genome length per sample."""
-    genome = contigs.agg(F.sum("contig_len").alias("genome_len"))  # one row
-    df = counts.join(samples.select("sample_idx", "read_length"), "sample_idx").crossJoin(F.broadcast(genome))
-    return df.select("sample_idx", "all_reads", F.try_divide(F.col("all_reads") * F.col("read_length") / 2, "genome_len").alias("coverage"))
+    genome = contigs.agg(F.sum("contig_len")).first()[0] or 0  # one number
+    df = counts.join(samples.select("sample_idx", "read_length"), "sample_idx")
+    return df.select("sample_idx", "all_reads", F.try_divide(F.col("all_reads") * F.col("read_length") / 2, F.lit(genome)).alias("coverage"))
 
 
 def usage_summary(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

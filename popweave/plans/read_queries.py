@@ -165,8 +165,7 @@ def _(t):
 
 @C.query("mate_lookup", f"""WITH {ENDS}, s AS (SELECT contig_ord AS site_id, contig_ord, 4000 AS p FROM fx_contigs),
 a AS (SELECT site_id, qname, next_contig_ord AS c, next_pos AS np, false AS want FROM e JOIN s ON e.contig_ord = s.contig_ord AND pos < p AND ref_end > p - 250 WHERE NOT is_reverse
- UNION ALL SELECT site_id, qname, next_contig_ord, next_pos, true FROM e JOIN s ON e.contig_ord = s.contig_ord AND pos < p + 250 AND ref_end > p WHERE is_reverse),
-m AS (SELECT *, CASE WHEN mapq % 2 = 0 THEN qname ELSE qname || 'x' END AS mate FROM fx_reads)
+ UNION ALL SELECT site_id, qname, next_contig_ord, next_pos, true FROM e JOIN s ON e.contig_ord = s.contig_ord AND pos < p + 250 AND ref_end > p WHERE is_reverse)
 SELECT site_id, a.qname, CASE WHEN m.is_reverse <> want THEN seq ELSE reverse(translate(seq, 'ACGTN', 'TGCAN')) END AS mate_seq FROM a JOIN fx_reads m ON m.qname = a.qname AND m.contig_ord = c AND abs(m.pos - np) <= 1""")
 def _(t):
     return R.mate_lookup(t.fx_reads, t.fx_contigs.select(F.col("contig_ord").alias("site_id"), "contig_ord", F.lit(4000).alias("pos")))
