@@ -94,6 +94,7 @@ def later_copies(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         cut = cut.join(side.withColumnRenamed("level", "_level").withColumnRenamed(at, "_at"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("level") == F.col("_level")) & (F.col(at) == F.col("_at"))).drop("_doc_id", "_h", "_level", "_at")
     cut = stored(cut.select(*DOC, "a", "size", "r1", "r2"), "named")
     first = cut.groupBy("size", "r1", "r2").agg(F.min(F.struct(*DOC, "a")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = stored(first, "first")  # so that adaptive execution can split a very frequent window in the join below
     return cut.join(first, ["size", "r1", "r2"]).where(~F.struct(*DOC, "a").eqNullSafe(F.col("first"))).select(*DOC, "a", "size")
 
 
