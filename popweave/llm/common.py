@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but ASCII white space (the characters 9 to 13 and 32).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_cleanup: list[tuple[SparkSession, str]] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
@@ -45,13 +43,6 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system, so that any shared store works."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def open_fs(uri: str):
     """(pyarrow file system, path in it) of a URI; usable inside tasks."""
     from pyarrow import fs
@@ -111,6 +102,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _tables[int(base)][:n]
 
 
+def begin_task(keep_encoders: bool = False) -> None:
+    """Give back what earlier tasks of this worker process hold: Arrow's unused pages, and encoders unless they are kept."""
+    held = sys.modules.get("_popweave_encoders")
+    if held is not None and not keep_encoders:
+        for name in [n for n in vars(held) if not n.startswith("__")]:
+            delattr(held, name)
+    pa.default_memory_pool().release_unused()
+
+
 def compact(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The texts as one unsliced large_string array without nulls (some kernels misread sliced input)."""
     if isinstance(texts, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import compact, hash_strings, mix64, stored, text_of, words_of
+from popweave.llm.common import begin_task, compact, hash_strings, mix64, stored, text_of, words_of
 
 #: Masks over 12 places, each with 8 that count; words at the places marked 0 are ignored.
 MASKS = ("111010110101", "110111001011", "101101011101", "111100101011")
@@ -140,9 +140,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WOR
 
 def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         index = shared.value
         size = np.diff(index.offsets)
-        for batch in batches:
+        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
             words, offsets = plain_words(batch.column("text"))
             best: dict[tuple[int, int], tuple] = {}
             for d, i in zip(*index.hits(words, offsets), strict=True):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import hash_strings, mix64, shingles, stored, text_of, words_of
+from popweave.llm.common import begin_task, hash_strings, mix64, shingles, stored, text_of, words_of
 from popweave.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -93,9 +93,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _signer(n: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
                 s, cut = shingle_sets(batch.column("text"), n)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (s, mix64(s ^ np.uint64(0x5851F42D4C957F2D)))]
                 a, b = ((x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in sums)
@@ -174,6 +175,7 @@ def _comparer(n: int, threshold: float, tolerance: float):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups follow each other in a sorted partition; each has at most two blocks of rows."""
+        begin_task()
         rest, out = None, ([], [], [])
 
         def made() -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import hash_strings, mix64, stored, text_of, words_of
+from popweave.llm.common import begin_task, hash_strings, mix64, stored, text_of, words_of
 
 ORDER = 2
 BLOCK_TOKENS = 1_000_000
@@ -59,6 +59,7 @@ _BLOCK = "block long, n_train long, n_kept long, d_train long, d_kept long, doc_
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token blocks. part: crc32 of doc_id modulo 10 (0: held out, 1: set aside for the weights)."""
+    begin_task()
     task, k = TaskContext.get().partitionId(), 0
     ids, parts, sizes, tokens, n = [], [], [], [], 0
 

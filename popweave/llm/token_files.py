@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.llm.common import compact, open_fs, put_file, shared_dir, stored, text_of
+from popweave.llm.common import begin_task, compact, open_fs, put_file, shared_dir, stored, text_of
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
@@ -189,6 +189,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, lev
         import xxhash
         import zstandard
 
+        begin_task(keep_encoders=True)
         encoder, pack = encoder_of(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=False)
         shard, part, out, frames, ids = TaskContext.get().partitionId(), 0, [], [], []
 

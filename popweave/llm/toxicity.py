@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.llm.common import compact, free_name, stored, text_of, words_of
+from popweave.llm.common import begin_task, compact, free_name, stored, text_of, words_of
 
 SPAN, DECAY = 6, 0.7
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -142,8 +142,8 @@ class Model:
 
     def words(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), -np.inf, np.float32)
-        for k in range(0, len(strings), 1 << 16):  # slices that keep the work arrays small
-            p = pieces(strings[k : k + (1 << 16)])
+        for k in range(0, len(strings), 1 << 14):  # slices that keep the work arrays small
+            p = pieces(strings[k : k + (1 << 14)])
             np.maximum.at(out, k + p.of, self.alphabet.decisions(p, self.table) + self.bias)
         return out
 
@@ -189,6 +189,7 @@ _MARKS = r"[^\p{L}\p{M}\p{N}]+"
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, unit): the distinct units of each text."""
+    begin_task()
     for whole in batches:
         for k in range(0, whole.num_rows, 500):
             batch = whole.slice(k, 500)
@@ -325,9 +326,10 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score", predicted
     at, names = docs.columns.index("text"), [*docs.columns, score, predicted]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for whole in batches:
-            for k in range(0, whole.num_rows, 4000):
-                batch = whole.slice(k, 4000)
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
                 s = shared.value.score(shared.value.margins(batch.column(at)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
 

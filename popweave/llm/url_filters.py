@@ -56,20 +56,21 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
     flows = edges.join(out.withColumnRenamed("host", "src"), "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("out_n")).alias("ahead"), F.lit(0.0).alias("back"))
     flows = flows.unionByName(edges.join(into.withColumnRenamed("host", "dst"), "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("ahead"), (F.col("n") / F.col("in_n")).alias("back")))
     flows = stored(flows, "flows")
-    totals = seeds.agg(*[F.sum(c).alias(f"_{c}") for c in ("allowed", "blocked", "pages")])
+    total = seeds.agg(*[F.sum(c).alias(c) for c in ("allowed", "blocked", "pages")]).first()  # three numbers
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
-    share = lambda c: F.coalesce(F.try_divide(c, F.col(f"_{c}")), F.lit(0.0))
-    base = hosts.join(seeds, "host", "left").join(out, "host", "left").join(into, "host", "left").crossJoin(F.broadcast(totals))  # totals: one row
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.lit(total[c] or 0)), F.lit(0.0))
+    base = hosts.join(seeds, "host", "left").join(out, "host", "left").join(into, "host", "left")
     base = base.select("host", share("allowed").alias("s_trust"), share("blocked").alias("s_distrust"), share("pages").alias("s_rank"), F.col("out_n").isNull().alias("sink"), F.col("in_n").isNull().alias("source"))
     base = stored(base, "hosts")
     ranks = stored(base.select("*", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust"), F.col("s_rank").alias("rank")), "ranks")
     if edges.isEmpty():  # no mass moves: the seeds' shares are the fixed point
         return ranks
     for _ in range(iterations):
-        lost = ranks.agg(F.sum(F.when(F.col("sink"), F.col("trust")).otherwise(0.0)).alias("l_trust"), F.sum(F.when(F.col("source"), F.col("distrust")).otherwise(0.0)).alias("l_distrust"), F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("l_rank"))
+        ends = {"trust": "sink", "distrust": "source", "rank": "sink"}
+        lost = ranks.agg(*[F.sum(F.when(F.col(end), F.col(c)).otherwise(0.0)).alias(c) for c, end in ends.items()]).first()  # three numbers
         got = flows.join(ranks, "host").groupBy("to").agg(F.sum(F.col("ahead") * F.col("trust")).alias("g_trust"), F.sum(F.col("back") * F.col("distrust")).alias("g_distrust"), F.sum(F.col("ahead") * F.col("rank")).alias("g_rank"))
-        new = base.join(got.withColumnRenamed("to", "host"), "host", "left").join(ranks.select("host", *[F.col(c).alias(f"o_{c}") for c in ("trust", "distrust", "rank")]), "host").crossJoin(F.broadcast(lost))  # lost: one row
-        made = {c: (1 - damping) * F.col(f"s_{c}") + damping * (F.coalesce(f"g_{c}", F.lit(0.0)) + F.col(f"l_{c}") * F.col(f"s_{c}")) for c in ("trust", "distrust", "rank")}
+        new = base.join(got.withColumnRenamed("to", "host"), "host", "left").join(ranks.select("host", *[F.col(c).alias(f"o_{c}") for c in ends]), "host")
+        made = {c: (1 - damping) * F.col(f"s_{c}") + damping * (F.coalesce(f"g_{c}", F.lit(0.0)) + (lost[c] or 0.0) * F.col(f"s_{c}")) for c in ends}
         moved = sum(F.abs(made[c] - F.col(f"o_{c}")) for c in made)
         new = stored(new.select(*base.columns, *[x.alias(c) for c, x in made.items()], moved.alias("moved")), "ranks")
         moved = new.agg(F.sum("moved")).first()[0] or 0.0
