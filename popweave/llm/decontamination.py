@@ -1,16 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A spaced seed is a fixed mask over ``SPAN`` neighbouring words; words at its ignored places may differ. Every place
+A spaced seed is a fixed mask over a few neighbouring words; words at its ignored places may differ. Every place
 of a document and of a benchmark item is hashed under each mask; equal hashes are hits. A hit fixes a diagonal
 (place in the document less place in the item), and along it the two texts are compared word by word: the overlap
-is the segment around the hit with the best score of +1 a match and -``PENALTY`` a difference. Items whose best
-overlap has at least ``MIN_WORDS`` matching words, or ``WHOLE`` of a shorter item, count.
+is the segment with the most matches of those with at least ``IDENTITY`` - 1 matches a difference and that with the
+best score of +1 a match and -``PENALTY`` a difference. Items whose best overlap has at least ``MIN_WORDS`` matching
+words, or ``WHOLE`` of a shorter item, count.
+
+The masks leave no gap: of every way to change 2 of 12 words, 3 of 15 or 4 of 20 (``MASKS``), 1 of 5 to 9 or 2 of 10 or
+11 (``SHORT_MASKS``), at least one mask fits between the changed words. The tests try them all.
 
 The benchmark is handed to the tasks in slices of at most ``SLICE_WORDS`` words, each compared with all
 documents: a slice has a proven bound, however large the benchmark. Documents are never shuffled.
 
 Defined cases: null and empty texts match nothing; items of under ``SHORTEST`` words match nothing, items shorter
-than ``SPAN`` are sought by all their words; equal items each match; an item in several places of a document
+than ``SPAN`` are sought by lighter masks; equal items each match; an item in several places of a document
 gives its best overlap (first of equals); empty tables give no rows; further columns are ignored.
 """
 
@@ -25,13 +29,17 @@ from pyspark.sql import functions as F
 
 from popweave.llm.common import begin_task, compact, hash_strings, mix64, stored, text_of, words_of
 
-#: Masks over 12 places, each with 8 that count; words at the places marked 0 are ignored.
-MASKS = ("111010110101", "110111001011", "101101011101", "111100101011")
+#: Masks with 5 places that count; words at the places marked 0 are ignored.
+MASKS = ("11111", "110111", "1010010101")
+#: Masks with 4 places for items shorter than ``SPAN``, each with the longest items that need it.
+SHORT_MASKS = {"1111": 11, "11011": 11, "10111": 5, "11101": 5}
 SPAN = 12
 SHORTEST = 5
 MIN_WORDS = 12
 WHOLE = 0.8
 PENALTY = 2
+IDENTITY = 5
+COMPARED = 1 << 20
 SLICE_WORDS = 2_000_000
 _ODD = np.uint64(0xD1342543DE82EF95)
 _STRIP = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -74,15 +82,15 @@ class Index:
         self.words, self.offsets = plain_words(pa.array(texts, pa.string()))
         size = np.diff(self.offsets)
         self.item = np.repeat(np.arange(len(ids)), size)
-        short = sorted({int(x) for x in size if SHORTEST <= x < SPAN})
-        self.masks = [*MASKS, *("1" * x for x in short)]
-        parts, exact = [], np.isin(size, short)
+        short = size[(size >= SHORTEST) & (size < SPAN)]
+        needed = [m for m, most in SHORT_MASKS.items() if len(short) and short.min() <= most]
+        self.masks = [*MASKS, *needed]
+        parts = []
         for k, mask in enumerate(self.masks):
             h, at = seeds(self.words, self.offsets, mask, k + 1)
-            if k >= len(MASKS):  # only items of just this length
-                fit = exact[self.item[at]] & (size[self.item[at]] == len(mask))
-                h, at = h[fit], at[fit]
-            parts.append((h, at))
+            n = size[self.item[at]]
+            fit = (n >= SHORTEST) & (n <= SHORT_MASKS[mask]) if k >= len(MASKS) else n >= SPAN
+            parts.append((h[fit], at[fit]))
         h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         self.hash, self.at = h[order], at[order]
@@ -110,14 +118,42 @@ class Index:
             d, i = d[new], i[new]
         return d, i
 
+    def promising(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hits on whose diagonals enough words match for the item to count."""
+        d, i = self.hits(words, offsets)
+        doc, item = np.searchsorted(offsets, d, "right") - 1, self.item[i]
+        back = np.minimum(d - offsets[doc], i - self.offsets[item])
+        length = back + np.minimum(offsets[doc + 1] - d, self.offsets[item + 1] - i)
+        enough = np.minimum(MIN_WORDS, WHOLE * np.diff(self.offsets)[item])
+        ends, keep, k = np.cumsum(length), np.zeros(len(d), bool), 0
+        while k < len(d):  # about COMPARED words at a time
+            last = max(k + 1, int(np.searchsorted(ends, ends[k] - length[k] + COMPARED, "right")))
+            n = length[k:last]
+            begin = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(begin, n)
+            same = words[np.repeat((d - back)[k:last], n) + step] == self.words[np.repeat((i - back)[k:last], n) + step]
+            keep[k:last] = np.add.reduceat(same.astype(np.int64), begin) >= enough[k:last]
+            k = last
+        return d[keep], i[keep]
+
 
 def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, matches) of the segment of best score: +1 a match, -PENALTY a difference."""
+    """(begin, end, matches) of the segment with the most matches; of those the shortest, then the first."""
     score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
     gain = score - np.minimum.accumulate(score)
     end = int(np.argmax(gain))
     begin = int(np.argmin(score[: end + 1]))
-    return begin, end, int(equal[begin:end].sum())
+    best = int(equal[begin:end].sum()), begin - end, -begin
+    at = np.flatnonzero(equal)
+    if len(at) > best[0]:  # for each match as the last one the earliest begin of the wanted identity
+        score = np.concatenate([[0], np.cumsum(np.where(equal, 1, 1 - IDENTITY))])
+        first = np.searchsorted(-np.minimum.accumulate(score), -score[at + 1], "left")
+        skipped = np.searchsorted(at, first)  # matches before it: the segment begins at the next one
+        n = np.arange(1, len(at) + 1) - skipped
+        begins = at[np.minimum(skipped, len(at) - 1)]
+        k = np.lexsort((begins, at - begins, -n))[0]
+        best = max(best, (int(n[k]), int(begins[k] - at[k] - 1), -int(begins[k])))
+    return -best[2], -best[2] - best[1], best[0]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
@@ -146,7 +182,7 @@ def _finder(shared):
         for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
             words, offsets = plain_words(batch.column("text"))
             best: dict[tuple[int, int], tuple] = {}
-            for d, i in zip(*index.hits(words, offsets), strict=True):
+            for d, i in zip(*index.promising(words, offsets), strict=True):
                 doc, item = int(np.searchsorted(offsets, d, "right")) - 1, int(index.item[i])
                 back = min(d - offsets[doc], i - index.offsets[item])
                 length = back + min(offsets[doc + 1] - d, index.offsets[item + 1] - i)

@@ -1,6 +1,7 @@
 """Text operators on small fixtures: brute force, round trips, and the defined odd cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -198,6 +199,34 @@ def test_leaks_tolerate_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in sliced} == set(got)
 
 
+def test_leaks_every_substitution(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    items = {n: [word() for _ in range(n)] for n in range(5, 21)}
+    texts, want = [], {}
+    for n, item in items.items():
+        most = n // 5
+        for changes in range(most + 2 if n < 12 or n == 15 else most + 1):
+            for places in itertools.combinations(range(n), changes):
+                text = [word() if k in places else x for k, x in enumerate(item)]
+                want[len(texts), n] = n - changes if changes <= most else None  # one more is under 80 %
+                texts.append(" ".join([word(), *text, word()]))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matches for r in decontamination.overlaps(made(spark, texts), bench).collect()}
+    wrong = {k: (n, got.get(k)) for k, n in want.items() if got.get(k) != n}
+    assert not wrong, (len(wrong), list(wrong.items())[:3])
+
+
+def test_best_segment_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 40)) < 0.75
+        begin, end, n = decontamination.best_segment(equal)
+        most = max((int(equal[a:b].sum()) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)), default=0)
+        assert n >= most and n == equal[begin:end].sum()
+        assert n == most or n - decontamination.PENALTY * (end - begin - n) > 0
+
+
 def test_leaks_against_brute_force(spark, corpus):
     rng = random.Random(11)
     long_ = [t for t in corpus if t and len(t.split()) > 25]
