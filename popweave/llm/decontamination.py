@@ -158,18 +158,23 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_matches): the best overlap of each pair that counts; starts and sizes in words."""
+    return _overlaps(docs, benchmark, slice_words).drop("h")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """``overlaps``, with h: the hash of the text, which tells rows of equal doc_id apart."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of(benchmark).alias("text"))
     size = F.size(F.split("text", r"\s+")).cast("long")
     total = items.agg(F.sum(size)).first()[0] or 0
     n = 1 + 2 * total // slice_words
-    schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matches long"
+    schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matches long, h long"
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     out = None
     for k in range(n):
         rows = items.where(part == k).collect()  # about half of slice_words
         index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows]))
-        here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(_finder(index), schema)
+        here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), F.xxhash64(text_of(docs)).alias("h")).mapInArrow(_finder(index), schema)
         out = here if out is None else out.unionByName(here)
     return out
 
@@ -191,19 +196,21 @@ def _finder(shared):
                 if n >= min(MIN_WORDS, WHOLE * size[item]):
                     row = (n, begin - end, -int(d - back + begin - offsets[doc]), -int(i - back + begin - index.offsets[item]))
                     best[doc, item] = max(best.get((doc, item), row), row)
-            ids = batch.column("doc_id")
+            ids, hashes = batch.column("doc_id"), batch.column("h")
             keys = sorted(best)
             cols = [pa.array([ids[d].as_py() for d, _ in keys], pa.int64()), pa.array([index.ids[i] for _, i in keys], pa.int64())]
             cols += [pa.array([f(best[k]) for k in keys], pa.int64()) for f in (lambda x: -x[2], lambda x: -x[3], lambda x: -x[1], lambda x: x[0])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matches"])
+            cols.append(pa.array([hashes[d].as_py() for d, _ in keys], pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matches", "h"])
 
     return find
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap an item of the benchmark."""
-    found = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    """docs without the rows whose text overlaps an item of the benchmark; other rows of the same (or null) doc_id stay."""
+    found = stored(_overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak"), F.col("h").alias("_text")).distinct(), "leaks")
+    same = docs["doc_id"].eqNullSafe(found["_leak"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_text"])
+    return docs.join(found, same, "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import begin_task, hash_strings, mix64, shingles, stored, text_of, words_of
+from popweave.llm.common import begin_task, free_name, hash_strings, mix64, shingles, stored, text_of, words_of
 from popweave.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -264,10 +264,15 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: that with the least doc_id."""
-    found = near_duplicates(docs, **options)
-    gone = stored(found.where("doc_id <> class_id").select(F.col("doc_id").cast("long").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs with one row of each class, whatever the ids: that with the least doc_id (null last), then the least hash of its text."""
+    key = free_name(docs, "_row")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), **options)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64(text_of(rows)), F.col(key).alias("row"))
+    ranked = found.join(rows.select(F.col(key).alias("doc_id"), order.alias("order")), "doc_id")
+    kept = ranked.groupBy("class_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias("doc_id"))
+    gone = stored(found.join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone")), "copies")
+    return rows.join(gone, rows[key] == gone["_gone"], "left_anti").drop(key)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

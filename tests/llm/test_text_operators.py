@@ -199,6 +199,24 @@ def test_leaks_tolerate_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in sliced} == set(got)
 
 
+def test_decisions_are_about_rows_not_ids(spark):
+    rng = random.Random(8)
+    text = lambda n=40: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, one, two, three, four = text(20), text(), text(), text(), text()
+    leak = f"{text(9)} {passage}"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, leak), (None, one), (None, None), (5, leak), (5, two), (6, three)], "doc_id long, text string")
+    kept = [tuple(r) for r in decontamination.decontaminated(docs, bench).collect()]
+    assert Counter(kept) == Counter([(None, one), (None, None), (5, two), (6, three)])
+    rows = [(None, one), (None, one), (None, one + " more"), (3, two), (3, two), (None, two), (7, three), (2, three), (2, four), (7, four + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in jaccard_join.deduplicated(docs).collect())
+    ones = [r for r in kept.elements() if r[1] and r[1].startswith(one)]
+    assert len(ones) == 1
+    kept.subtract(ones)
+    assert +kept == Counter([(3, two), (2, three), (2, four), (None, None), (None, "")])
+
+
 def test_leaks_every_substitution(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
