@@ -7,6 +7,7 @@ import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +51,36 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write one file so that a retried or speculative task can only replace it by the same bytes."""
-    store, path = open_fs(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
-        out.write(data)
-    store.move(part, path)
+class FileWriter:
+    """A file written as its parts come, in place only once it is whole; a retried task can only replace it by the same bytes."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = open_fs(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.out, self.size = self.store.open_output_stream(self.part), 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.part, self.path)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", most_bytes: int = 2 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``most_bytes`` of ``column`` (one row at least) and ``most_rows`` at most."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, k = np.cumsum(size), 0
+        while k < len(ends):
+            last = max(k + 1, int(np.searchsorted(ends, ends[k] - size[k] + most_bytes, "right")))
+            last = min(last, k + most_rows)
+            yield batch.slice(k, last - k)
+            k = last
 
 
 def text_of(df: DataFrame, column: str = "text"):

@@ -6,12 +6,15 @@ the seekable format, which holds each frame's compressed size, raw size and chec
 the raw bytes). A reader fetches the two tables from the end and then only the frames it wants.
 
 Defined cases: a null or empty text is one end id; documents are ordered by id, nulls first, equal ids by the
-hash of their text; repeated rows are written each; an empty table writes no file; further columns are ignored.
+hash of their text; repeated rows are written each; an empty table writes no file; further columns are ignored. Texts are
+encoded in slices of ``SLICE_BYTES`` and frames go to the open file as they are made, so a task holds a slice and
+the tables of one file; a very long text is a slice of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import zlib
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.llm.common import begin_task, compact, open_fs, put_file, shared_dir, stored, text_of
+from popweave.llm.common import FileWriter, begin_task, compact, open_fs, shared_dir, slices, stored, text_of
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 FILE_BYTES = 64 << 20
-MEMO_WORDS = 700_000
+SLICE_BYTES = 2 << 20
+MEMO_WORDS = 250_000
+LEARNT_AT_ONCE = 512
 
 
 class WordwiseEncoder:
@@ -40,7 +45,7 @@ class WordwiseEncoder:
 
     The tokenizer's own splitting never crosses a space that stands before a character other than white space,
     so the ids of a text are those of its pieces in a row. Texts where a space stands before white space or at the
-    end are encoded directly. The memory of pieces is emptied when it holds ``MEMO_WORDS``.
+    end, and those that hold the literal of a special token, are encoded directly. The memory of pieces is emptied when it holds ``MEMO_WORDS``.
     """
 
     def __init__(self, path: str):
@@ -48,7 +53,8 @@ class WordwiseEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["^ ", " [\\s\\x0b\\x{85}\\p{Z}]", " $", *special])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for word, i in vocabulary.items() if word.startswith("Ġ")]] = True
@@ -72,15 +78,14 @@ class WordwiseEncoder:
         self.used += len(ids)
 
     def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint32)
+        for k in range(0, len(words), LEARNT_AT_ONCE):
+            some = words[k : k + LEARNT_AT_ONCE]
+            ids = self.direct([" " + " ".join(some)])[0]
             first = np.flatnonzero(self.leads[ids])
             if len(first) == len(some) and first[0] == 0:
                 self._keep(some, ids, np.diff(np.append(first, len(ids))))
             else:
-                for word in some:
-                    ids = np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, np.uint32)
+                for word, ids in zip(some, self.direct([f" {x}" for x in some]), strict=True):
                     self._keep([word], ids, np.array([len(ids)]))
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
@@ -88,7 +93,7 @@ class WordwiseEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = compact(texts)
-        odd = pc.or_(pc.match_substring_regex(texts, "^ | [\\s\\x0b\\x{85}\\p{Z}]| $"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
         parts = lists.values
@@ -191,25 +196,28 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, lev
 
         begin_task(keep_encoders=True)
         encoder, pack = encoder_of(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=False)
-        shard, part, out, frames, ids = TaskContext.get().partitionId(), 0, [], [], []
+        shard, part, out, frames, ids = TaskContext.get().partitionId(), 0, None, [], []
+
+        def path() -> str:
+            return f"{uri}/shard-{shard:06d}-{part:04d}.tok.zst"
 
         def close() -> pa.RecordBatch:
-            path = f"{uri}/shard-{shard:06d}-{part:04d}.tok.zst"
-            put_file(path, b"".join(out) + tables(ids, frames))
+            out.write(tables(ids, frames))
+            out.close()
             n = sum(x[1] for x in frames) // 4
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                some = batch.slice(k, 4000)
-                for doc_id, tokens in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")), strict=True):
-                    raw = np.append(tokens, np.uint32(end_id)).astype("<u4").tobytes()
-                    out.append(pack.compress(raw))
-                    frames.append((len(out[-1]), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-                    ids.append(doc_id)
-                if sum(x[0] for x in frames) >= FILE_BYTES:
-                    yield close()
-                    part, out, frames, ids = part + 1, [], [], []
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "part": pa.array([part], pa.int64()), "path": [path()], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
+
+        for some in slices(batches, "text", SLICE_BYTES):
+            out = out or FileWriter(path())
+            for doc_id, tokens in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")), strict=True):
+                raw = np.append(tokens, np.uint32(end_id)).astype("<u4").tobytes()
+                frame = pack.compress(raw)
+                out.write(frame)
+                frames.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+                ids.append(doc_id)
+            if out.size >= FILE_BYTES:
+                yield close()
+                part, out, frames, ids = part + 1, None, [], []
         if frames:
             yield close()
 
@@ -242,8 +250,8 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
     before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)  # a row per file
     n = max(1, files.count())
-    files = files.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
-    return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    files = files.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"), (F.row_number().over(W.orderBy("shard", "part")) - 1).alias("file"))
+    return files.repartitionById(n, F.col("file")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def default_tokenizer() -> str:
