@@ -6,12 +6,12 @@ group of equal payloads; payloads then travel once, evenly by page id, to the ta
 Defined cases: a null html is an empty payload; a null url writes no target header; payloads under
 ``min_bytes`` are always responses; rows that share both page id and payload with the response are responses
 themselves; a null page id never becomes the response while another page has the payload; an empty table
-writes no file. Further columns are ignored.
+writes no file; equal payloads of one page id are equal records. Records are written and read one at a time, so a very
+long payload costs its own size. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from popweave.llm.common import open_fs, put_file, shared_dir, stored
+from popweave.llm.common import FileWriter, open_fs, shared_dir, slices, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FILE_BYTES = 64 << 20
+FILE_BYTES, CHUNK = 64 << 20, 1 << 15
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_id string, payload binary"
 
 
@@ -62,20 +63,23 @@ def write_warc(resolved: DataFrame, uri: str, date: str = "2000-01-01T00:00:00Z"
         return pack.compress(head + block + b"\r\n\r\n") + pack.flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, k, task = io.BytesIO(), 0, 0, TaskContext.get().partitionId()
+        out, n, k, task = None, 0, 0, TaskContext.get().partitionId()
+
+        def path() -> str:
+            return f"{uri}/part-{task:06d}-{k:04d}.warc.gz"
 
         def close() -> pa.RecordBatch:
-            path = f"{uri}/part-{task:06d}-{k:04d}.warc.gz"
-            put_file(path, out.getvalue())
-            return pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64())})
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [path()], "n_records": pa.array([n], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to", "payload_bytes")), strict=True):
+                out = out or FileWriter(path())
                 out.write(record(*row))
                 n += 1
-                if out.tell() >= FILE_BYTES:
+                if out.size >= FILE_BYTES:
                     yield close()
-                    out, n, k = io.BytesIO(), 0, k + 1
+                    out, n, k = None, 0, k + 1
         if n:
             yield close()
 
@@ -84,15 +88,24 @@ def write_warc(resolved: DataFrame, uri: str, date: str = "2000-01-01T00:00:00Z"
     return stored(rows.mapInArrow(write, "path string, n_records long"), "warc_files")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of a gzip-per-record archive."""
+def parse(file, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of an open gzip-per-record archive, read a chunk at a time.
+
+    What is left of a chunk when a record ends is at most a chunk, so the work is linear in the archive's size.
+    """
+    unpack, parts, data = zlib.decompressobj(31), [], file.read(chunk)
     while data:
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        parts.append(unpack.decompress(data))
+        if not unpack.eof:
+            data = file.read(chunk)
+            continue
+        data = unpack.unused_data or file.read(chunk)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
+        unpack, parts = zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("the archive ends within a record")
 
 
 def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
@@ -100,28 +113,32 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary())])
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, name = open_fs(path)
-                with store.open_input_stream(name, compression=None) as f:
-                    data = f.read()
                 rows, size = [], 0
-                for x, block in parse(data):
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    length = int(http.decode().rpartition("Content-Length: ")[2])
-                    revisit = x["WARC-Type"] == "revisit"
-                    url = x.get("WARC-Target-URI")
-                    url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                    page = int(x["Page-ID"]) if "Page-ID" in x else None
-                    rows.append((page, url, length, x["WARC-Payload-Digest"].partition(":")[2], x["WARC-Type"], x["WARC-Record-ID"], x.get("WARC-Refers-To"), body if payloads and not revisit else None))
-                    size += len(block)
-                    if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows, size = [], 0
+                with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as f:
+                    for x, block in parse(f):
+                        http, _, body = block.partition(b"\r\n\r\n")
+                        length = int(http.decode().rpartition("Content-Length: ")[2])
+                        revisit = x["WARC-Type"] == "revisit"
+                        url = x.get("WARC-Target-URI")
+                        url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                        page = int(x["Page-ID"]) if "Page-ID" in x else None
+                        rows.append((page, url, length, x["WARC-Payload-Digest"].partition(":")[2], x["WARC-Type"], x["WARC-Record-ID"], x.get("WARC-Refers-To"), body if payloads and not revisit else None))
+                        size += len(block) if payloads else 500
+                        if size > 4 << 20:
+                            yield made(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield made(rows)
 
-    return files.select("path").repartition(max(1, files.count()), "path").mapInArrow(read, RECORDS)
+    n = max(1, files.count())
+    numbered = files.select("path", (F.row_number().over(W.orderBy("path")) - 1).alias("file"))  # a row per file
+    return numbered.repartitionById(n, F.col("file")).select("path").mapInArrow(read, RECORDS)
 
 
 def with_responses(records: DataFrame) -> DataFrame:
