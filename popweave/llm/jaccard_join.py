@@ -4,16 +4,18 @@ Documents become sets of word shingles. Equal sets are one class, so exact copie
 get MinHash signatures; bands of a signature are the candidate buckets, and buckets with the same members are
 kept once. In a bucket, pairs are compared a few MinHash values at a time and dropped as soon as the posterior
 probability that their similarity reaches the threshold (uniform prior) is below ``tolerance``; the rest
-are verified on their whole shingle sets. Large buckets are cut into blocks and each pair of blocks is one
-small task, which gives back per class its links and its local component, never the pairs. A pair that shares
-several buckets counts in that of its first shared band only.
+are verified on their whole shingle sets. Large buckets are cut into blocks of bounded numbers of classes and shingles.
+A first pass over the pairs of blocks sends signatures only and gives back the classes that have a pair left after
+pruning; the second sends the texts of those and gives back per class its links and its local component, never the
+pairs. A pair that shares several buckets counts in that of its first shared band only.
 
 With 32 bands of 4 a pair at similarity 0.8 is missed with probability 5e-8, and pruning adds about the tolerance.
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer than ``n``
 words is one shingle of them all; null and empty texts have no shingles, link to nothing and are their own class; rows
-without doc_id have class null and no links; rows that share a doc_id are parts of one document's class; an
-empty table gives no rows; further columns are ignored.
+without doc_id have class null and no links; rows that share a doc_id are rows like any others, each with the class and
+the links of its own text; class_id is the least doc_id of a component, so ties need no rule; a very long text is a slice, and
+if need be a block, of its own; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import begin_task, free_name, hash_strings, mix64, shingles, stored, text_of, words_of
+from popweave.llm.common import begin_task, free_name, hash_strings, mix64, shingles, slices, stored, text_of, words_of
 from popweave.llm.components import components
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-7
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES, PAIRS = 512, 400_000, 1 << 17
 _SEEDS = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = ((_SEEDS[i::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for i in range(2))
 
@@ -94,17 +96,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _signer(n: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                s, cut = shingle_sets(batch.column("text"), n)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (s, mix64(s ^ np.uint64(0x5851F42D4C957F2D)))]
-                a, b = ((x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in sums)
-                sig = minhashes(s, cut)
-                keys = band_keys(sig).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                raw = pa.array([x.tobytes() for x in sig], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(cut)), pa.array(a), pa.array(b), raw, bands], names=["doc_id", "n", "a", "b", "sig", "bands"])
+        for batch in slices(batches):
+            s, cut = shingle_sets(batch.column("text"), n)
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (s, mix64(s ^ np.uint64(0x5851F42D4C957F2D)))]
+            a, b = ((x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in sums)
+            sig = minhashes(s, cut)
+            keys = band_keys(sig).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            raw = pa.array([x.tobytes() for x in sig], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(cut)), pa.array(a), pa.array(b), raw, bands], names=["doc_id", "h", "n", "a", "b", "sig", "bands"])
 
     return sign
 
@@ -125,7 +125,7 @@ def intersections(s: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray)
     order = np.argsort(col, kind="stable")
     doc, col = doc[order], col[order]
     both = np.zeros((len(used), len(used)), np.float32)
-    width = 8192
+    width = 4096
     for begin in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(col, [begin, begin + width])
         m = np.zeros((len(used), width), np.float32)
@@ -134,29 +134,71 @@ def intersections(s: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray)
     return both[row[i], row[j]].round().astype(np.int64)
 
 
-def _comparer(n: int, threshold: float, tolerance: float):
-    need = needed_matches(threshold, tolerance)
-
-    def links(rows: pa.Table) -> tuple[list, list, list]:
-        """(class, copies linked, local root) of the classes of one pair of blocks that have links."""
-        cid = rows.column("cid").to_numpy()
-        copies = rows.column("copies").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1)
-        band, lo, hi = (rows.column(c)[0].as_py() for c in ("band", "lo", "hi"))
-        side = rows.column("side").to_numpy()
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The pairs of blocks, which follow each other in a sorted partition; each has at most two blocks of rows."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        g = [rest.column(c).to_numpy() for c in ("gkey", "band", "lo", "hi")]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in g], axis=0)) + 1
+        for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True) if len(cuts) else ():
+            yield rest.slice(a, b - a)
+        if len(cuts):
+            rest = rest.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def unpruned(rows: pa.Table, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one pair of blocks that pruning leaves, as numbers of rows; a pair seen in an earlier band is left out."""
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(rows.num_rows, -1)
+    band, lo, hi = (rows.column(c)[0].as_py() for c in ("band", "lo", "hi"))
+    side = rows.column("side").to_numpy()
+    keys = band_keys(sig)[:, :band]
+    left, right = (np.flatnonzero(side == x) for x in (lo, hi))
+    found, wide = [], max(1, PAIRS // max(1, len(right)))
+    for k in range(0, len(left), wide):  # at most PAIRS pairs, or one row's, at a time
+        i, j = (x.ravel() for x in np.meshgrid(left[k : k + wide], right, indexing="ij"))
         if lo == hi:
-            i, j = np.triu_indices(len(cid), 1)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == lo), np.flatnonzero(side == hi), indexing="ij"))
-        keys = band_keys(sig)[:, :band]
-        for b in range(band):  # counted in an earlier band
+            i, j = i[i < j], j[i < j]
+        for b in range(band):
             apart = keys[i, b] != keys[j, b]
             i, j = i[apart], j[apart]
         same = np.zeros(len(i), np.int64)
-        for k, least in enumerate(need):
-            same += (sig[i, k * STEP : (k + 1) * STEP] == sig[j, k * STEP : (k + 1) * STEP]).sum(1)
+        for k_, least in enumerate(need):
+            at = slice(k_ * STEP, (k_ + 1) * STEP)
+            same += (sig[i, at] == sig[j, at]).sum(1)
             alive = same >= least
             i, j, same = i[alive], j[alive], same[alive]
+        found.append((i, j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+_PLACE = ["cid", "band", "gkey", "side", "lo", "hi"]
+
+
+def _pruner(threshold: float, tolerance: float):
+    need = needed_matches(threshold, tolerance)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of classes that have an unpruned pair."""
+        begin_task()
+        for rows in _grouped(batches):
+            used = np.unique(np.concatenate(unpruned(rows, need)))
+            if len(used):
+                yield from rows.select(_PLACE).take(pa.array(used)).combine_chunks().to_batches()
+
+    return prune
+
+
+def _comparer(n: int, threshold: float, tolerance: float):
+    need = needed_matches(threshold, tolerance)
+
+    def links(rows: pa.Table) -> tuple[list, list, list]:
+        """(class, copies linked, local root) of the classes of one pair of blocks that have links."""
+        cid, copies = rows.column("cid").to_numpy(), rows.column("copies").to_numpy()
+        i, j = unpruned(rows, need)
         if not len(i):
             return [], [], []
         s, cut = shingle_sets(rows.column("text").combine_chunks(), n)
@@ -174,28 +216,13 @@ def _comparer(n: int, threshold: float, tolerance: float):
         return cid[linked].tolist(), count[linked].astype(np.int64).tolist(), root[linked].tolist()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups follow each other in a sorted partition; each has at most two blocks of rows."""
         begin_task()
-        rest, out = None, ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["cid", "links", "root"])
 
-        def groups():
-            nonlocal rest
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                rest = table if rest is None else pa.concat_tables([rest, table])
-                g = rest.column("gkey").to_numpy(), rest.column("lo").to_numpy(), rest.column("hi").to_numpy(), rest.column("band").to_numpy()
-                cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in g], axis=0)) + 1
-                for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True) if len(cuts) else ():
-                    yield rest.slice(a, b - a)
-                if len(cuts):
-                    rest = rest.slice(cuts[-1])
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        for group in groups():
+        for group in _grouped(batches):
             for x, y in zip(out, links(group), strict=True):
                 x.extend(y)
             if len(out[0]) > 20_000:
@@ -210,7 +237,7 @@ MOST_BITS = 1 << 28
 
 
 def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, and a few others: what a bitmap of hashed ids lets through.
+    """The rows of ``docs`` whose (doc_id, h) is in ``ids``, and a few others: what a bitmap of hashed ids lets through.
 
     Keeps texts that a later exact join would drop out of its shuffle. The bitmap has at most MOST_BITS bits (32 MB).
     """
@@ -218,7 +245,7 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = 1 << 15
     while bits < MOST_BITS and bits < 32 * ids.count():
         bits *= 2
-    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    place = lambda: F.pmod(F.xxhash64("doc_id", "h"), F.lit(bits))
     parts = ids.select(place().alias("p")).groupBy(F.floor(F.col("p") / (1 << 15)).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("bits"))
     shared = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # at most MOST_BITS / 2**15 rows of 4 KB
@@ -228,38 +255,51 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("place").to_numpy()
-            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7)).astype(np.uint8) & 1 == 1)).select(["doc_id", "text"])
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7)).astype(np.uint8) & 1 == 1)).select(["doc_id", "h", "text"])
+
+    return docs.select("doc_id", "h", "text", place().alias("place")).mapInArrow(some, "doc_id long, h long, text string")
+
 
-    return docs.select("doc_id", "text", place().alias("place")).mapInArrow(some, "doc_id long, text string")
+def candidates(classes: DataFrame) -> DataFrame:
+    """(cid, band, gkey, side, lo, hi): the classes of each pair of blocks of each bucket; buckets of equal members are kept once."""
+    banded = classes.select("cid", "n", F.posexplode("bands").alias("band", "gkey"))
+    buckets = banded.groupBy("band", "gkey").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.min("cid").alias("first"), F.max("cid").alias("last"))
+    kept = buckets.where("size > 1").groupBy("size", "weight", "x", "y", "first", "last").agg(F.min(F.struct("band", "gkey")).alias("k")).select("k.band", "k.gkey", "size", "weight")
+    return stored(banded.drop("n").join(kept.hint("merge"), ["band", "gkey"]), "members")  # the same plan at every size
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text).
 
-    class_id is the least doc_id of the component of links; n_links counts the other documents that reach the threshold.
+    class_id is the least doc_id of the component of links; n_links counts the other rows that reach the threshold.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    signed = stored(d.where("doc_id is not null").mapInArrow(_signer(n), "doc_id long, n long, a long, b long, sig binary, bands array<long>"), "signed")
-    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    banded = classes.select("cid", F.posexplode("bands").alias("band", "gkey"))
-    buckets = banded.groupBy("band", "gkey").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.min("cid").alias("first"), F.max("cid").alias("last"))
-    kept = buckets.where("size > 1").groupBy("size", "x", "y", "first", "last").agg(F.min(F.struct("band", "gkey")).alias("k")).select("k.band", "k.gkey", "size")
-    members = stored(banded.join(kept.hint("merge"), ["band", "gkey"]), "members")  # the same plan at every size
-    wanted = members.select(F.col("cid").alias("doc_id")).distinct()
-    texts = likely(d, wanted).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("cid")).agg(F.min("text").alias("text"))
-    texts = stored(classes.select("cid", "copies", "sig").join(texts, "cid"), "texts")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), F.xxhash64(text_of(docs)).alias("h"))
+    signed = stored(d.where("doc_id is not null").mapInArrow(_signer(n), "doc_id long, h long, n long, a long, b long, sig binary, bands array<long>"), "signed")
+    # equal sets are one class, numbered once and for all by the stored table, with one row to fetch a text by
+    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    members = candidates(classes)
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid", "band"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cid", "band", "gkey", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    rows = rows.join(texts, "cid").repartition("gkey", "band", "lo", "hi").sortWithinPartitions("gkey", "band", "lo", "hi", "cid")
-    found = stored(rows.mapInArrow(_comparer(n, threshold, tolerance), "cid long, links long, root long"), "links")
+    place = ["gkey", "band", "lo", "hi"]
+    met = rows.join(classes.select("cid", "sig"), "cid").repartition(*place).sortWithinPartitions(*place, "cid")
+    alive = stored(met.mapInArrow(_pruner(threshold, tolerance), "cid long, band int, gkey long, side int, lo int, hi int"), "alive")
+    wanted = classes.select("cid", "copies", "sig", "row").join(alive.select("cid").distinct(), "cid")
+    wanted = wanted.select("cid", "copies", "sig", "row.doc_id", "row.h")
+    texts = likely(d, wanted.select("doc_id", "h")).join(wanted, ["doc_id", "h"]).dropDuplicates(["cid"])
+    texts = stored(texts.select("cid", "copies", "sig", "text"), "texts")
+    met = alive.join(texts, "cid").repartition(*place).sortWithinPartitions(*place, "cid")
+    found = stored(met.mapInArrow(_comparer(n, threshold, tolerance), "cid long, links long, root long"), "links")
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
+    roots = roots.select(F.col("id").alias("cid"), "root").unionByName(roots.select(F.col("root").alias("cid"), "root").distinct())
+    named = stored(roots.join(classes.select("cid", F.col("row.doc_id").alias("least")), "cid"), "named")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("cid", "class_id")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    about = classes.select("a", "b", "n", "cid", "copies").join(links, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+    about = classes.select("a", "b", "n", "cid", "copies", F.col("row.doc_id").alias("own")).join(links, "cid", "left").join(named, "cid", "left")
     out = signed.select("doc_id", "a", "b", "n").join(about, ["a", "b", "n"], "left")
-    out = out.select("doc_id", F.coalesce("root", "cid", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+    out = out.select("doc_id", F.coalesce("class_id", "own", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
     return out.unionByName(d.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
