@@ -8,13 +8,17 @@ where b is the bucket (power of two) of the context's count c(h). The weights ar
 on held-out counts: a tenth of the training texts is set aside, its words are predicted from the counts of the others.
 
 Texts become blocks of about ``BLOCK_TOKENS`` tokens, written once. A block asks for the counts of its
-distinct n-grams: its sorted hashes, with the block's own counts, are dealt out by hash range; each range adds up
-the counts of all blocks and answers every block. An n-gram sends one entry per block however frequent it is, so
-nothing is skewed, and what is gathered grows with the corpus. Blocks and answers then meet by block.
+distinct n-grams: its sorted hashes, with the block's own counts, are dealt out to ``FAN`` ranges of hashes. Where
+more than ``FAN`` senders meet in a range, about ``FAN`` of them at a time are merged to one sender that deals out to ``FAN``
+narrower ranges, and so on, until few enough meet in each; those add up the counts and answer, and answers go back the
+same way. So each level has ``FAN`` messages per block, in proportion to the corpus. An n-gram sends one entry per
+block however frequent it is, so nothing is skewed, and what is gathered grows with the corpus. Blocks and answers
+then meet by block. Words have 64-bit hashes, longer n-grams ``GRAM_BITS``, at every size.
 
 Defined cases: a null or empty text is one end token; a null doc_id counts as '' when dealing out training texts;
 repeated rows count repeatedly; without training texts all counts are 0; a text's first words have start marks as
-context; an empty table gives no rows; further columns are ignored.
+context; a very long text makes a block of its own; scores are sums, so no ties need a rule; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import begin_task, hash_strings, mix64, stored, text_of, words_of
+from popweave.llm.common import begin_task, hash_strings, mix64, slices, stored, text_of, words_of
 
 ORDER = 2
 BLOCK_TOKENS = 1_000_000
-KEYS_PER_RANGE = 2_000_000
+FAN = 256
+GRAM_BITS = 56
 ROUNDS = 12
 BUCKETS = 64
 END, START = (mix64(np.array([x], np.uint64))[0] for x in (101, 202))
@@ -72,19 +77,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row |= {"doc_id": pa.array([ids], pa.list_(pa.int64())), "part": pa.array([parts], pa.list_(pa.int32())), "n": pa.array([sizes], pa.list_(pa.int32()))}
         return pa.RecordBatch.from_pydict(row | {"words": pa.array([pack(words)], pa.binary()), "codes": pa.array([pack(codes.astype(np.uint32))], pa.binary())})
 
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            words, offsets = words_of(batch.column("text"))
-            some = batch.column("doc_id").to_pylist()
-            tokens.append(np.insert(hash_strings(words), offsets[1:], END))
-            ids += some
-            parts += [zlib.crc32(b"" if x is None else str(x).encode()) % 10 for x in some]
-            sizes += (np.diff(offsets) + 1).tolist()
-            n += len(tokens[-1])
-            if n >= BLOCK_TOKENS:
-                yield made()
-                ids, parts, sizes, tokens, n, k = [], [], [], [], 0, k + 1
+    for batch in slices(batches):
+        words, offsets = words_of(batch.column("text"))
+        some = batch.column("doc_id").to_pylist()
+        tokens.append(np.insert(hash_strings(words), offsets[1:], END))
+        ids += some
+        parts += [zlib.crc32(b"" if x is None else str(x).encode()) % 10 for x in some]
+        sizes += (np.diff(offsets) + 1).tolist()
+        n += len(tokens[-1])
+        if n >= BLOCK_TOKENS:
+            yield made()
+            ids, parts, sizes, tokens, n, k = [], [], [], [], 0, k + 1
     if ids:
         yield made()
 
@@ -92,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Block:
     """A block's tokens and, per order, their n-gram keys: sorted distinct ones, and each token's place among them."""
 
-    def __init__(self, row: dict, order: int, bits: int):
+    def __init__(self, row: dict, order: int):
         self.ids, self.part, self.size = row["doc_id"], np.array(row["part"]), np.array(row["n"], np.int64)
         tokens = unpack(row["words"], np.uint64)[unpack(row["codes"], np.uint32)]
         self.first = np.cumsum(self.size) - self.size
@@ -104,7 +107,7 @@ class Block:
                 back = np.concatenate([np.full(k - 1, START), tokens[: 1 - k]]) if len(tokens) >= k else np.full(len(tokens), START)
                 inside = np.arange(len(tokens)) - self.first[self.doc] >= k - 1
                 gram = mix64(gram * _ODD + np.where(inside, back, START))
-            keys, where = np.unique((gram + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits) if bits < 64 else gram + np.uint64(k), return_inverse=True)
+            keys, where = np.unique(gram if k == 1 else gram >> np.uint64(64 - GRAM_BITS) << np.uint64(64 - GRAM_BITS), return_inverse=True)
             self.keys.append(keys)
             self.where.append(where)
 
@@ -119,73 +122,130 @@ class Block:
         return out
 
 
-def _cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
-    """Where each range's keys begin, of ``ranges`` equal ones, and the end."""
-    edges = [(p << bits) // ranges for p in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+_MESSAGE = "node long, src long, sizes array<long>, keys binary, counts binary"
+_ANSWER = "node long, src long, sizes array<long>, counts binary, known long"
 
 
-def _ask(order: int, bits: int, ranges: int):
+def _packed(node: int, src: int, keys: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+    """A message: sorted keys of each order, and of each order the (training, kept) counts."""
+    out = {"node": node, "src": src, "sizes": [len(x) for x in keys]}
+    # of GRAM_BITS only: the zero bits below do not travel
+    gaps = [np.diff(x if k == 0 else x >> np.uint64(64 - GRAM_BITS), prepend=np.uint64(0)) for k, x in enumerate(keys)]
+    return out | {"keys": pack(np.concatenate(gaps)), "counts": pack(np.concatenate([x for pair in counts for x in pair]).astype(np.uint64))}
+
+
+def _opened(row: dict, with_keys: bool = True) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The keys and counts of a message, or the counts of an answer."""
+    n, full = row["sizes"], sum(row["sizes"]) > 0
+    gaps = unpack(row["keys"], np.uint64) if full and with_keys else np.zeros(0, np.uint64)
+    counts, cut = unpack(row["counts"], np.uint64) if full else np.zeros(0, np.uint64), np.cumsum([0, *n])
+    keys = [np.cumsum(gaps[a:b], dtype=np.uint64) << np.uint64(0 if k == 0 else 64 - GRAM_BITS) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+    return keys, [(counts[2 * a : a + b], counts[a + b : 2 * b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _dealt(node: int, level: int, fan: int, src: int, keys: list[np.ndarray], counts: list[tuple]) -> Iterator[dict]:
+    """Messages to the ``fan`` parts of a range: the node's number is the path to it from the whole range.
+
+    The first level cuts the 64 bits, the next ones the bits below those that their node has fixed.
+    """
+    shift = 64 - (level + 1) * (fan - 1).bit_length()
+    edges = [np.searchsorted(x >> np.uint64(shift) & np.uint64((1 << (fan - 1).bit_length()) - 1), np.arange(fan + 1)) for x in keys]
+    for p in range(fan):
+        at = [slice(int(e[p]), int(e[p + 1])) for e in edges]
+        yield _packed(node * fan + p, src, [x[s] for x, s in zip(keys, at, strict=True)], [tuple(y[s] for y in pair) for pair, s in zip(counts, at, strict=True)])
+
+
+def _table(rows: list[dict], ddl: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.table({c: pa.array([r[c] for r in rows], kinds[t]) for c, t in fields})
+
+
+def _merged(rows: list[dict], order: int) -> tuple[list[np.ndarray], list[tuple], list[list[np.ndarray]]]:
+    """Distinct keys of all messages per order, their summed counts, and the place of each message's keys among them."""
+    opened = [_opened(r) for r in rows]
+    keys, counts, places = [], [], []
+    for k in range(order):
+        size = np.cumsum([len(x[0][k]) for x in opened])[:-1]
+        all_, where = np.unique(np.concatenate([x[0][k] for x in opened]), return_inverse=True)
+        keys.append(all_)
+        counts.append(tuple(np.bincount(where, np.concatenate([x[1][k][j] for x in opened]).astype(np.float64), len(all_)).astype(np.uint64) for j in range(2)))
+        places.append(np.split(where, size))
+    return keys, counts, places
+
+
+def _ask(order: int, fan: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, order, bits)
+                b = Block(row, order)
                 train, kept = (b.part != 0).astype(float), (b.part > 1).astype(float)
-                cuts = [_cuts(x, bits, ranges) for x in b.keys]
                 own = [(b.counts(k, train), b.counts(k, kept)) for k in range(order)]
-                out: dict[str, list] = {"block": [], "range": [], "sizes": [], "keys": [], "counts": []}
-                for p in range(ranges):
-                    at = [slice(c[p], c[p + 1]) for c in cuts]
-                    keys = [np.diff(x[s], prepend=np.uint64(0)) for x, s in zip(b.keys, at, strict=True)]
-                    out["block"].append(row["block"])
-                    out["range"].append(p)
-                    out["sizes"].append([len(x) for x in keys])
-                    out["keys"].append(pack(np.concatenate(keys)))
-                    out["counts"].append(pack(np.concatenate([x[s] for pair, s in zip(own, at, strict=True) for x in pair])))
-                kinds = {"block": pa.int64(), "range": pa.int64(), "sizes": pa.list_(pa.int64()), "keys": pa.binary(), "counts": pa.binary()}
-                yield pa.RecordBatch.from_pydict({c: pa.array(out[c], t) for c, t in kinds.items()})
+                yield from _table(list(_dealt(0, 0, fan, row["block"], b.keys, own)), _MESSAGE).combine_chunks().to_batches()
 
     return ask
 
 
 def _answer(order: int):
     def answer(table: pa.Table) -> pa.Table:
-        """For one range: the counts of all blocks, added up, for each block's keys."""
+        """For one range: the counts of all senders, added up, for each sender's keys."""
         rows = table.to_pylist()
-        sizes = np.array([r["sizes"] for r in rows], np.int64).reshape(len(rows), order)
-        keys = [unpack(r["keys"], np.uint64) if sum(r["sizes"]) else np.zeros(0, np.uint64) for r in rows]
-        counts = [unpack(r["counts"], np.uint32) if sum(r["sizes"]) else np.zeros(0, np.uint32) for r in rows]
-        replies: list[list[np.ndarray]] = [[] for _ in rows]
-        known = [0, 0]
-        for k in range(order):
-            low = sizes[:, :k].sum(1)
-            all_ = np.concatenate([np.cumsum(x[a : a + n], dtype=np.uint64) for x, a, n in zip(keys, low, sizes[:, k], strict=True)])
-            _, where = np.unique(all_, return_inverse=True)
-            cut = np.cumsum(sizes[:, k])[:-1]
-            for j in range(2):
-                own = np.concatenate([x[2 * a + j * n : 2 * a + (j + 1) * n] for x, a, n in zip(counts, low, sizes[:, k], strict=True)])
-                total = np.bincount(where, own)
-                if k == 0:
-                    known[j] = int((total > 0).sum())
-                for reply, part in zip(replies, np.split(total[where].astype(np.uint64), cut), strict=True):
-                    reply.append(part)
-        data = [pack(np.concatenate(x)) for x in replies]
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "sizes": table.column("sizes"), "counts": pa.array(data, pa.binary()), "known": pa.array([known[0]] * len(rows), pa.int64())})
+        _, counts, places = _merged(rows, order)
+        known = int((counts[0][0] > 0).sum())
+        out = []
+        for i, r in enumerate(rows):
+            reply = [c[places[k][i]] for k, pair in enumerate(counts) for c in pair]
+            out.append({"node": r["node"], "src": r["src"], "sizes": r["sizes"], "counts": pack(np.concatenate(reply)), "known": known})
+        return _table(out, _ANSWER)
 
     return answer
 
 
-def _learned(b: Block, replies: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order the (training, kept) counts of the block's keys."""
-    rows = sorted(replies.to_pylist(), key=lambda r: r["range"])
-    got: list[tuple[list, list]] = [([], []) for _ in range(order)]
-    for r in rows:
-        x, at = unpack(r["counts"], np.uint64) if sum(r["sizes"]) else np.zeros(0, np.uint64), 0
-        for k, n in enumerate(r["sizes"]):
-            for j in range(2):
-                got[k][j].append(x[at : at + n])
-                at += n
-    return [tuple(np.concatenate(x).astype(np.float64) for x in pair) for pair in got]
+def _merge(order: int, level: int, fan: int):
+    def merge(table: pa.Table) -> pa.Table:
+        """For up to ``fan`` senders in a range: one sender to the parts of the range."""
+        rows = table.select(["node", "src", "sizes", "keys", "counts"]).to_pylist()
+        keys, counts, _ = _merged(rows, order)
+        return _table(list(_dealt(rows[0]["node"], level, fan, table.column("up")[0].as_py(), keys, counts)), _MESSAGE)
+
+    return merge
+
+
+def _hand_down(order: int):
+    def hand_down(key, asked: pa.Table, answers: pa.Table) -> pa.Table:
+        """The answer to a merged sender, dealt out to the senders that were merged; ``known`` goes with the first."""
+        rows = asked.select(["node", "src", "sizes", "keys", "counts"]).to_pylist()
+        _, _, places = _merged(rows, order)
+        replies = sorted(answers.to_pylist(), key=lambda r: r["node"])
+        got = [_opened(r, with_keys=False)[1] for r in replies]
+        totals = [tuple(np.concatenate([g[k][j] for g in got]) for j in range(2)) for k in range(order)]
+        known = sum(r["known"] for r in replies)
+        out = []
+        for i, r in enumerate(rows):
+            reply = [c[places[k][i]] for k, pair in enumerate(totals) for c in pair]
+            out.append({"node": r["node"], "src": r["src"], "sizes": r["sizes"], "counts": pack(np.concatenate(reply)), "known": known})
+        return _table(out, _ANSWER)
+
+    return hand_down
+
+
+def answered(messages: DataFrame, senders: int, order: int, fan: int, level: int = 0) -> DataFrame:
+    """The answers to messages (node, src, sizes, keys, counts) of ``senders`` senders per node."""
+    if senders <= fan or (level + 2) * (fan - 1).bit_length() > GRAM_BITS:
+        return messages.groupBy("node").applyInArrow(_answer(order), _ANSWER)
+    ups = -(-senders // fan)
+    messages = stored(messages.withColumn("up", F.pmod(F.xxhash64("src"), F.lit(ups))), "messages")
+    merged = messages.groupBy("node", "up").applyInArrow(_merge(order, level + 1, fan), _MESSAGE)
+    above = stored(answered(merged, ups, order, fan, level + 1), "answers")
+    above = above.withColumns({"whole": F.expr(f"node div {fan}"), "up": F.col("src")})
+    return messages.groupBy("node", "up").cogroup(above.groupBy("whole", "up")).applyInArrow(_hand_down(order), _ANSWER)
+
+
+def _learned(replies: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order the (training, kept) counts of a block's keys."""
+    got = [_opened(r, with_keys=False)[1] for r in sorted(replies.to_pylist(), key=lambda r: r["node"])]
+    return [tuple(np.concatenate([g[k][j] for g in got]).astype(np.float64) for j in range(2)) for k in range(order)]
 
 
 def _estimates(b: Block, counts: list[np.ndarray], n_docs: float, n_tokens: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -241,32 +301,30 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     blocks = stored(d.mapInArrow(_blocks, _BLOCK), "blocks")
-    total = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_kept", "d_train", "d_kept")], F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n_all")).first()
-    bits = int(min(64, max(40, np.ceil(2 * np.log2(max(2, total.n_all))) - 4)))
-    ranges = max(1, -(-total.n_all * order // KEYS_PER_RANGE))
-    kinds = "block long, range long, sizes array<long>, "
-    asked = blocks.repartition(max(1, min(ranges, 10_000)), "block").mapInArrow(_ask(order, bits, ranges), kinds + "keys binary, counts binary")
-    answers = stored(asked.groupBy("range").applyInArrow(_answer(order), kinds + "counts binary, known long"), "answers")
-    known = answers.groupBy("range").agg(F.first("known").alias("known")).agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first().v
+    total = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_kept", "d_train", "d_kept")], F.count("*").alias("blocks")).first()
+    tasks = max(1, min(total.blocks, 10_000))
+    asked = blocks.repartition(tasks, "block").mapInArrow(_ask(order, FAN), _MESSAGE)
+    answers = stored(answered(asked, total.blocks, order, FAN), "answers")
+    known = answers.groupBy("node").agg(F.first("known").alias("known")).agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first().v
     floor = 1 / (known + 1)
 
     def held_tokens(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        b = Block(rows.to_pylist()[0], order, bits)
-        probs, buckets = _estimates(b, [c[1] for c in _learned(b, replies, order)], total.d_kept, total.n_kept)
+        b = Block(rows.to_pylist()[0], order)
+        probs, buckets = _estimates(b, [c[1] for c in _learned(replies, order)], total.d_kept, total.n_kept)
         at = np.flatnonzero((b.part == 1)[b.doc])
         probs, buckets = [pack(x[at].astype(np.float32)) for x in probs], [pack(x[at]) for x in buckets]
         return pa.table({"probs": pa.array([probs] * bool(len(at)), pa.list_(pa.binary())), "buckets": pa.array([buckets] * bool(len(at)), pa.list_(pa.binary()))})
 
     def score(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        b = Block(rows.to_pylist()[0], order, bits)
-        counts = [c[0] for c in _learned(b, replies, order)]
+        b = Block(rows.to_pylist()[0], order)
+        counts = [c[0] for c in _learned(replies, order)]
         mixed = _mixture(*_estimates(b, counts, total.d_train, total.n_train), weights, floor)[-1]
         own = counts[0][b.where[0]]
         base = np.log10((own + 0.1) / (total.n_train + 0.1 * (known + 1)))
         sums = [np.add.reduceat(x, b.first) for x in (own > 0, base, np.log10(mixed))]
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.part == 0), "n_tokens": pa.array(b.size), "n_known": pa.array(sums[0].astype(np.int64)), "train_tokens": pa.array(np.full(len(b.size), total.n_train, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
-    meet = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    meet = blocks.groupBy("block").cogroup(answers.groupBy("src"))
     held = stored(meet.applyInArrow(held_tokens, "probs array<binary>, buckets array<binary>"), "held")
     weights = weights_by_em(held, order, floor)
     return meet.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
