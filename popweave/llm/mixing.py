@@ -11,9 +11,13 @@ a per-source shift of that number, read off a histogram of the points at which a
 the words taken within about one short document of the target. Only one row per source or histogram cell ever
 meets in one place.
 
+Sums over documents are exact (scaled to whole numbers), so neither the rates nor the copies depend on the order in which
+rows arrive. One row per source passes through single tasks (order, targets); that is the bound of those windows.
+
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own, last in
-order; equal rows get equal copies; an empty table gives an empty result; other columns are kept as they are (in
-``mix`` those named like its results give way to them).
+order; equal rows get equal copies, so a source of one repeated row gains or loses it as a whole; the length of a text
+only counts by its words; an empty table gives an empty result; targets that no tilt reaches are an error; other columns
+are kept as they are (in ``mix`` those named like its results give way to them).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from popweave.llm.common import WORD, stored, text_of
 
 SMALL_TABLE = 10_000
 CELLS = 2048
-STEPS = 60
+STEPS, OPEN = 300, 1e12
 TOLERANCE = 1e-4
 
 
@@ -72,28 +76,35 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("_full"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("_lambda") * F.col("size") / F.col("_mean"))))))
 
 
+def _exact_sum(x: Column) -> Column:
+    """The sum to 2**-16 of a word, the same in any order of the rows."""
+    return F.sum(F.round(x * 65536.0).cast("decimal(28,0)")).cast("double") / 65536.0
+
+
 def solve(rows: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     """targets (per source: _key, source_size, n, target) with _lambda, the dual variable, by distributed Newton steps."""
     small = targets.count() <= SMALL_TABLE
     mean = F.greatest(F.col("source_size") / F.col("n"), F.lit(1e-9))
-    state = stored(targets.withColumns({"_mean": mean, "_lambda": F.lit(0.0), "_lo": F.lit(-700.0), "_hi": F.lit(700.0), "_full": F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), "_done": F.lit(False)}))
+    state = stored(targets.withColumns({"_mean": mean, "_lambda": F.lit(0.0), "_lo": F.lit(-OPEN), "_hi": F.lit(OPEN), "_full": F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), "_done": F.lit(False)}))
     for _ in range(STEPS):
         r = _rate(cap)
         free = r < cap
         z = F.col("size") / F.col("_mean")
-        sums = _with(rows, state.where("not _full and not _done").select("_key", "_mean", "_lambda", "_full"), small).groupBy("_key").agg(F.sum(r * F.col("size")).alias("_got"), F.sum(F.when(free, r * F.col("size") * z).otherwise(0.0)).alias("_slope"))
+        sums = _with(rows, state.where("not _full and not _done").select("_key", "_mean", "_lambda", "_full"), small).groupBy("_key").agg(_exact_sum(r * F.col("size")).alias("_got"), _exact_sum(F.when(free, r * F.col("size") * z).otherwise(0.0)).alias("_slope"))
         over = F.col("_got") - F.col("target")
         state = state.join(sums, "_key", "left")
         state = state.withColumns({"_hi": F.when(over > 0, F.least("_hi", "_lambda")).otherwise(F.col("_hi")), "_lo": F.when(over < 0, F.greatest("_lo", "_lambda")).otherwise(F.col("_lo")), "_done": F.col("_done") | F.col("_full") | F.coalesce(F.abs(over) <= TOLERANCE * F.col("target"), F.lit(True))})
         step = F.col("_lambda") - F.try_divide(F.col("_got") - F.col("target"), F.col("_slope"))
+        reach = 2 * (1 + F.abs("_lambda"))
+        step = F.when(F.col("_slope") > 0, F.greatest(F.col("_lambda") - reach, F.least(F.col("_lambda") + reach, step)))
         # outside the bracket, or flat: halve it, in steps that grow while one side is still open
-        wide = F.when(F.col("_hi") >= 700, F.greatest(2 * F.col("_lo"), F.lit(1.0))).when(F.col("_lo") <= -700, F.least(2 * F.col("_hi"), F.lit(-1.0))).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        wide = F.when(F.col("_hi") >= OPEN, F.greatest(2 * F.col("_lo"), F.lit(1.0))).when(F.col("_lo") <= -OPEN, F.least(2 * F.col("_hi"), F.lit(-1.0))).otherwise((F.col("_lo") + F.col("_hi")) / 2)
         step = F.when((step > F.col("_lo")) & (step < F.col("_hi")), step).otherwise(wide)
         state = state.withColumn("_lambda", F.when(F.col("_done"), F.col("_lambda")).otherwise(step)).drop("_got", "_slope")
         state = stored(state)
         if state.where("not _done").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError("the dual of the mix did not settle: a target is out of reach")
 
 
 def _tier() -> Column:
