@@ -15,7 +15,8 @@ documents: a slice has a proven bound, however large the benchmark. Documents ar
 
 Defined cases: null and empty texts match nothing; items of under ``SHORTEST`` words match nothing, items shorter
 than ``SPAN`` are sought by lighter masks; equal items each match; an item in several places of a document
-gives its best overlap (first of equals); empty tables give no rows; further columns are ignored.
+gives its best overlap (first of equals); repeated words match on every diagonal, each followed once; empty tables give no
+rows; very long texts are whole slices of their own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import begin_task, compact, hash_strings, mix64, stored, text_of, words_of
+from popweave.llm.common import begin_task, compact, hash_strings, mix64, slices, stored, text_of, words_of
 
 #: Masks with 5 places that count; words at the places marked 0 are ignored.
 MASKS = ("11111", "110111", "1010010101")
@@ -39,7 +40,7 @@ MIN_WORDS = 12
 WHOLE = 0.8
 PENALTY = 2
 IDENTITY = 5
-COMPARED = 1 << 20
+COMPARED, FOLLOWED = 1 << 20, 1 << 20
 SLICE_WORDS = 2_000_000
 _ODD = np.uint64(0xD1342543DE82EF95)
 _STRIP = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -98,25 +99,32 @@ class Index:
         self.bits[(self.hash >> np.uint64(40)).astype(np.int64)] = True
 
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the documents, in the items) that share a seed, each diagonal of a document and item once per run."""
-        found = []
+        """Places (in the documents, in the items) that share a seed, each diagonal of a document and item once."""
+        found = (np.zeros(0, np.int64),) * 2
         for k, mask in enumerate(self.masks):
             h, at = seeds(words, offsets, mask, k + 1)
             maybe = self.bits[(h >> np.uint64(40)).astype(np.int64)]
             h, at = h[maybe], at[maybe]
-            left, right = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            n = right - left
-            where = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(at, n), self.at[where]))
-        d, i = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(d):  # of hits in a row on one diagonal of one document and item only the first is followed
-            doc = np.searchsorted(offsets, d, "right") - 1
-            order = np.lexsort((d, d - i, self.item[i], doc))
-            d, i, doc = d[order], i[order], doc[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (np.diff(d - i) != 0) | (np.diff(self.item[i]) != 0) | (np.diff(doc) != 0)
-            d, i = d[new], i[new]
-        return d, i
+            left = np.searchsorted(self.hash, h, "left")
+            n = np.searchsorted(self.hash, h, "right") - left
+            ends, i = np.cumsum(n), 0
+            while i < len(h):  # about FOLLOWED hits at a time: repeated words give very many on few diagonals
+                last = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + FOLLOWED, "right")))
+                some = n[i:last]
+                where = np.repeat(left[i:last] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                new = self._diagonals(np.repeat(at[i:last], some), self.at[where], offsets)
+                found = self._diagonals(*(np.concatenate(x) for x in zip(found, new, strict=True)), offsets)
+                i = last
+        return found
+
+    def _diagonals(self, d: np.ndarray, i: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One hit, the first, of each diagonal of a document and an item: it stands for all."""
+        doc = np.searchsorted(offsets, d, "right") - 1
+        order = np.lexsort((d, d - i, self.item[i], doc))
+        d, i, doc = d[order], i[order], doc[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (np.diff(d - i) != 0) | (np.diff(self.item[i]) != 0) | (np.diff(doc) != 0)
+        return d[new], i[new]
 
     def promising(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hits on whose diagonals enough words match for the item to count."""
@@ -184,7 +192,7 @@ def _finder(shared):
         begin_task()
         index = shared.value
         size = np.diff(index.offsets)
-        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
+        for batch in slices(batches):
             words, offsets = plain_words(batch.column("text"))
             best: dict[tuple[int, int], tuple] = {}
             for d, i in zip(*index.promising(words, offsets), strict=True):
