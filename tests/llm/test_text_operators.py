@@ -318,8 +318,7 @@ def test_token_files_round_trip(spark, corpus, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.default_tokenizer())
-    t.encode_special_tokens = True
-    texts = [*corpus, "a  b", " lead", "trail ", "a \n b", "x <|endoftext|> y", "\n\n z", "don't 12 34a", "日本 語 です", "a\u00a0 b"]
+    texts = [*corpus, "<|endoftext|>", "x <|endoftext|>", "ab<|endoftext|>cd ef", "long " * 700_000, "a  b", " lead", "trail ", "a \n b", "x <|endoftext|> y", "\n\n z", "don't 12 34a", "日本 語 です", "a\u00a0 b"]
     files = token_files.write_tokens(made(spark, texts).repartition(3), f"file://{tmp_path}/t", token_files.default_tokenizer())
     rows = sorted(token_files.read_tokens(files, with_ids=True).collect())
     start = 0
@@ -347,12 +346,13 @@ def test_token_file_damage_is_seen(spark, tmp_path):
         token_files.TokenFile(f"file://{path}").ids(0)
 
 
-@pytest.mark.parametrize(("block", "keys"), [(1_000_000, 2_000_000), (300, 200)])
-def test_lm_scores(spark, corpus, monkeypatch, block, keys):
+@pytest.mark.parametrize(("block", "fan"), [(1_000_000, 256), (300, 64), (250, 2)])  # the last one over several levels
+def test_lm_scores(spark, corpus, monkeypatch, block, fan):
     import math
 
     monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", block)
-    monkeypatch.setattr(lm_scoring, "KEYS_PER_RANGE", keys)
+    monkeypatch.setattr(lm_scoring, "FAN", fan)
+    monkeypatch.setattr("popweave.llm.common.slices.__defaults__", ("text", 2000, 20))
     rows = {r.doc_id: r for r in lm_scoring.scored(made(spark, corpus)).collect()}
     tokens = {i: [*words(t), "\0"] for i, t in enumerate(corpus)}
     part = {i: zlib.crc32(str(i).encode()) % 10 for i in tokens}
