@@ -3,13 +3,14 @@
 A text is lower-cased and cut into words; every run of ``k`` words gets a rolling (cyclic-polynomial) hash of
 its words' hashes; of each window of ``w`` neighbouring runs the smallest hash is chosen, of equal ones the
 rightmost. A chosen run is kept as one number, 37 bits of hash above 26 bits of reversed position, so the minimum
-of numbers is the rightmost minimum of hashes, and positions (up to 67 million words) can be read back. Two
-texts that share any run of k + w - 1 words share a fingerprint.
+of numbers is the rightmost minimum of hashes, and positions can be read back; a text of over 67 million words, more than
+26 bits can number, is an error. Two texts that share any run of k + w - 1 words share a fingerprint.
 
 Defined cases: a null text is empty, an empty text has no fingerprints, a text of fewer than k words has
 that of all its words, a text of fewer than k + w - 1 words is one window. The likeness of two texts without
-fingerprints is 1, of one with and one without 0. Null doc_ids come first in order, equal doc_ids are ordered by text; the
-one row of a table of one is its own next document. Further columns are ignored.
+fingerprints is 1, of one with and one without 0. Null doc_ids come first in order, equal doc_ids are ordered by the hash of
+their text, and repeated rows follow each other; the one row of a table of one is its own next document; an empty table
+gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.llm.common import text_of
+from popweave.llm.common import stored, text_of
 
 HASH_BITS, POSITION_BITS = 37, 26
 K, WINDOW = 4, 4
-DOCS_PER_BUCKET, MOST_BUCKETS = 2000, 10_000
+DOCS_PER_BUCKET = 2000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -47,7 +48,8 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str], k: int = K, w: int
         words = F.col(f"_w{n}")
         grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(_rolled(words, i, k)), 64 - HASH_BITS), POSITION_BITS).bitwiseOR(F.lit(place) - i))
         short = F.array(F.shiftleft(F.xxhash64(words).bitwiseAND(F.lit(low)), POSITION_BITS).bitwiseOR(F.lit(place)))
-        return F.when((F.size(words) == 1) & (F.get(words, F.lit(0)) == empty), F.array().cast("array<bigint>")).when(F.size(words) < k, short).otherwise(grams)
+        short = F.when(F.size(words) > place + 1, F.raise_error(F.lit("a text has more words than positions can number"))).otherwise(short)
+        return F.when((F.size(words) == 1) & (F.get(words, F.lit(0)) == empty), F.array().cast("array<bigint>")).when((F.size(words) < k) | (F.size(words) > place + 1), short).otherwise(grams)
 
     df = df.withColumns({f"_g{n}": packed(n) for n, _ in at}).drop(*[f"_w{n}" for n, _ in at])
     df = df.withColumns({f"_m{n}": F.col(f"_g{n}") for n, _ in at})
@@ -83,45 +85,48 @@ def likeness(a: str, b: str) -> Column:
     return F.when(all_ == 0, 1.0).otherwise(F.try_divide(both, all_))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next document by doc_id, of the first one after the last.
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _h, _bucket, _end (0): rows with the number of their run of ``DOCS_PER_BUCKET`` rows in order.
 
-    Rows are dealt to buckets by quantiles of doc_id; each bucket also gets the head of the bucket after it.
+    Narrow rows are sorted by ranges of (doc_id, hash of the text), which spreads hot ids (nulls) too, and numbered within
+    their range; the texts join them. To each run comes a row with _end 1: the first of the next run, of the first after the last.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    n = min(MOST_BUCKETS, -(-max(1, d.count()) // DOCS_PER_BUCKET))
-    parts = [i / n for i in range(1, n)]
-    bounds = sorted({x for x in (d.agg(F.percentile_approx("doc_id", parts, 10 * n)).first()[0] or []) if x is not None}) if parts else []
-
-    def bucket(x: Column) -> Column:
-        """The number of bounds not above x, looked up in two steps; -1 for null."""
-        if not bounds:
-            return F.lit(0)
-        groups = [bounds[i : i + 100] for i in range(0, len(bounds), 100)]
-        g = F.size(F.filter(F.array(*[F.lit(y[0]) for y in groups]), lambda b: b <= x))
-        inner = F.get(F.array(*[F.array(*map(F.lit, y)) for y in groups]), g - 1)
-        return F.when(x.isNull(), -1).when(g == 0, 0).otherwise((g - 1) * 100 + F.size(F.filter(inner, lambda b: b <= x)))
-
-    d = d.withColumn("_bucket", bucket(F.col("doc_id")))
-    heads = d.groupBy("_bucket").agg(F.min("doc_id").alias("_id"))  # at most MOST_BUCKETS + 1 rows
-    order = W.orderBy("_bucket")
-    heads = heads.select("_id", F.col("_bucket").alias("_head"), F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(W.partitionBy())).alias("_before"))
-    heads = d.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_bucket") == F.col("_head")))
-    heads = heads.groupBy("_before").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("_before").alias("_bucket"), F.lit(1).alias("_end"))
-    rows = d.withColumn("_end", F.lit(0)).unionByName(heads)
-    by = W.partitionBy("_bucket").orderBy("_end", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.withColumn("next_text", F.lead("text").over(by)).where("_end = 0").drop("_end", "_bucket")
+    text = text_of(docs)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
+    keys = d.select("doc_id", "_h").distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    keys = keys.select("doc_id", "_h", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_i"))
+    keys = stored(keys.withColumns({"_run": F.floor(F.col("_i") / DOCS_PER_BUCKET), "_first": F.col("_i") % DOCS_PER_BUCKET == 0}), "ranges")
+    run = lambda part, k: F.shiftleft(part, 33) + k
+    last = keys.groupBy("_part").agg(run(F.col("_part"), F.max("_run")).alias("_last"))  # one row per range: as many as shuffle partitions
+    last = last.select("_part", F.coalesce(F.lag("_last").over(W.orderBy("_part")), F.max("_last").over(W.partitionBy())).alias("_last"))
+    before = F.when(F.col("_first"), F.when(F.col("_run") == 0, F.col("_last")).otherwise(run(F.col("_part"), F.col("_run") - 1)))
+    keys = keys.join(F.broadcast(last), "_part").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), run(F.col("_part"), F.col("_run")).alias("_bucket"), before.alias("_before"))
+    rows = d.join(keys, d["doc_id"].eqNullSafe(keys["_d"]) & (d["_h"] == keys["_k"]))
+    here = F.struct(F.col("_bucket"), F.lit(0).alias("_end"))
+    both = F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("_before").alias("_bucket"), F.lit(1).alias("_end"))))
+    return rows.select("doc_id", "text", "_h", F.explode(both).alias("_at")).select("doc_id", "text", "_h", "_at._bucket", "_at._end")
+
+
+def with_next(placed_rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The rows of ``placed`` (further columns allowed), each with the next row's values of ``columns`` under new names."""
+    by = W.partitionBy("_bucket").orderBy("_end", F.col("doc_id").asc_nulls_first(), "_h")
+    return placed_rows.withColumns({name: F.lead(c).over(by) for c, name in columns.items()}).where("_end = 0").drop("_end", "_bucket", "_h")
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every text of ``documents`` and of its edited text, and their likenesses."""
-    d = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # in order first, so that a row's fingerprints are made once and the row before it takes them from the window
+    d = placed(spark.read.parquet(f"{sf_dir}/documents.parquet")).repartition("_bucket")
+    d = with_fingerprints(d, {"text": "_f"})
+    d = d.select("doc_id", "text", "_h", "_bucket", "_end", digest("_f").alias("fingerprint"), F.size("_f").alias("n_fingerprints"), hashes("_f").alias("_f"))
+    d = with_next(d, {"text": "_next", "_f": "_n"})
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    d = d.withColumn("n_chars", n).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
-    d = with_fingerprints(d, {"text": "_f", "edited": "_e", "next_text": "_n"})
-    d = d.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digest("_f").alias("fingerprint"), digest("_e").alias("edited_fingerprint"), F.size("_f").alias("n_fingerprints"), hashes("_f").alias("_f"), hashes("_e").alias("_e"), hashes("_n").alias("_n"))
-    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("_f", "_e").alias("near_edited"), likeness("_f", "_n").alias("near_next"), "n_fingerprints")
+    d = d.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("_next", F.lit(1), cut))).drop("text", "_next")
+    d = with_fingerprints(d, {"edited": "_e"})
+    d = d.select("*", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digest("_e").alias("edited_fingerprint"), hashes("_e").alias("_eh"))
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("_f", "_eh").alias("near_edited"), likeness("_f", "_n").alias("near_next"), "n_fingerprints")
 
 
 QUERIES = {"op10_fingerprints": op10_fingerprints}
