@@ -66,7 +66,7 @@ def operators(spark):
         "lm": lambda d: lm_scoring.scored(d),
         "tokens": lambda d: token_files.encoded(d),
         "lines": lambda d: line_dedup.deduplicated(d),
-        "next": lambda d: winnowing.with_fingerprints(winnowing.with_next(d), {"text": "f"}),
+        "next": lambda d: winnowing.with_fingerprints(winnowing.with_next(winnowing.placed(d), {"text": "next_text"}), {"text": "f"}),
     }
 
 
@@ -290,7 +290,7 @@ def test_suffix_ranks_are_ordered(spark):
 
 def test_winnowing_against_brute_force(spark, corpus):
     k, w = winnowing.K, winnowing.WINDOW
-    docs = winnowing.with_next(made(spark, corpus))
+    docs = winnowing.with_next(winnowing.placed(made(spark, corpus)), {"text": "next_text"})
     rows = {r.doc_id: r for r in winnowing.with_fingerprints(docs, {"text": "f"}).withColumn("p", winnowing.positions("f")).withColumn("d", winnowing.digest("f")).collect()}
     grams = winnowing.with_fingerprints(docs, {"text": "f"}, k=k, w=1).withColumn("p", winnowing.positions("f")).collect()
     for r in grams:
@@ -310,7 +310,7 @@ def test_winnowing_against_brute_force(spark, corpus):
 
 def test_next_documents_over_many_buckets(spark, corpus, monkeypatch):
     monkeypatch.setattr(winnowing, "DOCS_PER_BUCKET", 7)
-    rows = {r.doc_id: r.next_text for r in winnowing.with_next(made(spark, corpus)).collect()}
+    rows = {r.doc_id: r.next_text for r in winnowing.with_next(winnowing.placed(made(spark, corpus)), {"text": "next_text"}).collect()}
     assert all(rows[i] == (corpus[(i + 1) % len(corpus)] or "") for i in range(len(corpus)))
 
 
@@ -420,11 +420,22 @@ def test_toxicity_learns_gapped_insults(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
 
 
-def test_edited_digest(spark, corpus, tmp_path):
+def test_edited_texts(spark, corpus, tmp_path):
     made(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in winnowing.op10_fingerprints(spark, str(tmp_path)).collect()}
+    edited = []
     for i, t in enumerate(corpus):
         t, nxt = t or "", corpus[(i + 1) % len(corpus)] or ""
         cut = len(t) // 4
-        assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
-        assert rows[i].n_chars == len(t) and 0 <= rows[i].near_edited <= 1
+        edited.append(t[: len(t) - cut] + nxt[:cut])
+        assert rows[i].edited_sha256 == hashlib.sha256(edited[-1].encode()).hexdigest()
+        assert rows[i].n_chars == len(t)
+    # likeness by hand, from the fingerprints of texts and edited texts as documents of their own
+    alone = winnowing.with_fingerprints(made(spark, [*corpus, *edited]), {"text": "f"}).withColumn("d", winnowing.digest("f")).collect()
+    f = {r.doc_id: {x >> winnowing.POSITION_BITS for x in r.f} for r in alone}
+    digests = {r.doc_id: r.d for r in alone}
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    n = len(corpus)
+    for i in range(n):
+        assert rows[i].fingerprint == digests[i] and rows[i].edited_fingerprint == digests[n + i]
+        assert abs(rows[i].near_edited - near(f[i], f[n + i])) < 1e-12 and abs(rows[i].near_next - near(f[i], f[(i + 1) % n])) < 1e-12
