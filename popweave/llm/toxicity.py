@@ -6,17 +6,23 @@ stay near the plain ones; it is scaled by a function of the lengths. A sentence
 as overlapping windows, and runs of single letters joined into a word; a sentence, and a text, is as toxic as its
 worst such piece. Labels belong to whole texts, so learning is by multiple instances: the sentences of clean
 texts are clean; of toxic texts, the pieces that explain most of the yet unexplained texts are the witnesses. The
-machine is trained on witnesses against clean pieces, then again with the clean pieces that it liked best. In the space of the landmarks
-(Nystrom) its decision is one weight per subsequence, a small table that scores any text in one pass.
+machine is trained on witnesses against clean pieces, all of the sample: those that violate the margin join the working
+set until none does by more than ``SLACK``. In the space of the landmarks (Nystrom) its decision is one weight per
+subsequence, a small table that scores any text in one pass. The table is addressed by a hash of the three characters'
+code points, so every script has its weights; a character that no landmark holds has none, as the kernel says.
 
-Learning uses at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled texts (those of least hash), everything else all rows.
+Learning uses at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled texts (those of least hash), everything else all rows. What the
+driver holds is bounded by that sample: the pieces of toxic texts that are candidates, and the working set.
 
 Defined cases: null and empty texts score as the cleanest piece does; repeated rows score alike; a text with
-contradicting labels counts as toxic; without labels of both kinds every score is 0; further columns are ignored.
+contradicting labels counts as toxic; candidates that tie are taken in the order of their characters; without labels
+of both kinds every score is 0; very long texts are slices of their own and long words overlapping windows, in
+learning as in scoring; further columns are ignored. Insults of several whole words are not learnt as one.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.llm.common import begin_task, compact, free_name, stored, text_of, words_of
+from popweave.llm.common import begin_task, compact, free_name, slices, stored, text_of, words_of
 
 SPAN, DECAY = 6, 0.7
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-CANDIDATES, CLEAN_PIECES, HARD_PIECES = 4000, 3000, 1500
+FIRST_CLEAN, SLACK = 3000, 0.1
 LANDMARKS = 320
+TABLE_BITS = 20
 WINDOW, STRIDE = 24, 12
 LEAST_GAIN = 2
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -80,22 +87,31 @@ def pieces(strings: list[str]) -> Pieces:
     return Pieces(codes, begin, of, len(strings))
 
 
+def windows_of(string: str) -> list[str]:
+    """The pieces that ``pieces`` makes of a string."""
+    last = max(0, len(string) - WINDOW)
+    return [string[k : k + WINDOW] for k in [*range(0, last, STRIDE), last]]
+
+
+_MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
+
+
 class Alphabet:
-    """At most 63 characters; others share the number 0, which no weight is given to."""
+    """The characters of the landmarks; subsequences of three of them are numbered by a hash of their code points."""
 
     def __init__(self, strings: list[str]):
-        chars, times = np.unique(pieces(strings).codes, return_counts=True)
-        self.number = np.zeros(0x110000, np.int32)
-        self.number[chars[np.argsort(-times, kind="stable")[:63]]] = np.arange(1, min(63, len(chars)) + 1)
+        self.known = np.zeros(0x110000, bool)
+        self.known[pieces(strings).codes] = True
 
     def subsequences(self, p: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
         """Per gap pattern: (places of first characters, numbers of the subsequences, weight)."""
-        x = self.number[p.codes]
-        last = np.repeat(np.append(p.begin[1:], len(x)), np.diff(np.append(p.begin, len(x)))) - np.arange(len(x))
+        known = self.known[p.codes]
+        x, y, z = (p.codes * m for m in _MIX)
+        last = np.repeat(np.append(p.begin[1:], len(known)), np.diff(np.append(p.begin, len(known)))) - np.arange(len(known))
         for (a, b), s in zip(_GAPS, _SCALE, strict=True):
-            i = np.flatnonzero((last > b) & (x > 0))
-            i = i[(x[i + a] > 0) & (x[i + b] > 0)]
-            yield i, (x[i] << 12) | (x[i + a] << 6) | x[i + b], s
+            i = np.flatnonzero((last > b) & known)
+            i = i[known[i + a] & known[i + b]]
+            yield i, (x[i] + y[i + a] + z[i + b]) >> np.uint32(32 - TABLE_BITS), s
 
     def decisions(self, p: Pieces, table: np.ndarray) -> np.ndarray:
         """Per piece the sum of table entries over its subsequences, decayed and scaled."""
@@ -105,27 +121,32 @@ class Alphabet:
         return np.add.reduceat(out, p.begin) * p.norm if len(p.begin) else out
 
     def features(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The kernel's features as (string, subsequence, value) triples; only the first window of long strings."""
-        p = pieces([x[:WINDOW] for x in strings])
+        """The kernel's features as (string, subsequence, value) triples, of strings of at most WINDOW characters."""
+        p = pieces(strings)
         piece = np.repeat(np.arange(p.n), np.diff(np.append(p.begin, len(p.codes))))
         keys, values = [], []
         for i, u, s in self.subsequences(p):
-            keys.append(piece[i].astype(np.int64) << 18 | u)
+            keys.append(piece[i].astype(np.int64) << TABLE_BITS | u.astype(np.int64))
             values.append(np.full(len(i), s))
         keys, where = np.unique(np.concatenate(keys), return_inverse=True)
         values = np.bincount(where, np.concatenate(values), len(keys))
-        return keys >> 18, keys & 0x3FFFF, values * p.norm[keys >> 18]
+        return keys >> TABLE_BITS, keys & ((1 << TABLE_BITS) - 1), values * p.norm[keys >> TABLE_BITS]
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps: (weights, intercept)."""
-    z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w, ridge = np.zeros(z.shape[1]), np.append(np.ones(x.shape[1]), 1e-3)
+    n = x.shape[1]
+    w, ridge = np.zeros(n + 1), np.append(np.ones(n), 1e-3)
     for _ in range(steps):
-        gap = 1 - y * (z @ w)
-        on = gap > 0
-        grad = ridge * w - 2 * c * z[on].T @ (weight[on] * y[on] * gap[on])
-        step = np.linalg.solve(np.diag(ridge) + 2 * c * (z[on] * weight[on, None]).T @ z[on], grad)
+        gap = 1 - y * (x @ w[:-1] + w[-1])
+        grad, curve = ridge * w, np.diag(ridge)
+        on = np.flatnonzero(gap > 0)
+        for k in range(0, len(on), 2048):  # in slices, so that the copies stay small
+            at = on[k : k + 2048]
+            z = np.hstack([x[at], np.ones((len(at), 1))]).astype(np.float64)
+            grad -= 2 * c * z.T @ (weight[at] * y[at] * gap[at])
+            curve += 2 * c * (z * weight[at, None]).T @ z
+        step = np.linalg.solve(curve, grad)
         w = w - step
         if np.abs(step).max() < 1e-7:
             break
@@ -137,6 +158,8 @@ class Model:
     alphabet: Alphabet
     table: np.ndarray
     bias: float
+    marks: list[str]
+    alpha: np.ndarray  # the decision is the sum of alpha times the kernel with each landmark, plus the bias
     slope: float = 1.0
     shift: float = 0.0
 
@@ -190,31 +213,37 @@ _MARKS = r"[^\p{L}\p{M}\p{N}]+"
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, unit): the distinct units of each text."""
     begin_task()
-    for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            batch = whole.slice(k, 500)
-            strings, codes, doc = units(batch.column("text"))
-            again = strings.dictionary_encode()  # joined runs may repeat words
-            pair = np.unique(doc.astype(np.int64) << 32 | again.indices.to_numpy(zero_copy_only=False)[codes]) if len(codes) else np.zeros(0, np.int64)
-            doc = pa.array(pair >> 32)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(doc), batch.column("toxic").take(doc), again.dictionary.take(pa.array(pair & 0xFFFFFFFF)).cast(pa.string())], names=["key", "toxic", "unit"])
-
-
-def witnesses(postings: dict[str, set], clean: dict[str, int], rate: float, least: int = LEAST_GAIN) -> list[str]:
-    """Greedy cover: units by the yet unexplained toxic texts they explain, less what they would take from clean ones."""
-    left, out = set().union(*postings.values()) if postings else set(), []
-    gain = {u: len(d) for u, d in postings.items()}
-    while gain:
-        u = max(gain, key=lambda x: (gain[x] - 3 * rate * clean[x], x))
-        fresh = len(postings[u] & left)
-        if fresh < gain[u]:
-            gain[u] = fresh
+    for batch in slices(batches):
+        strings, codes, doc = units(batch.column("text"))
+        size = pc.utf8_length(strings).to_numpy(zero_copy_only=False)
+        cut = [windows_of(x) for x in strings.filter(pa.array(size > WINDOW)).to_pylist()]
+        first, n = np.arange(len(size)), np.ones(len(size), np.int64)
+        n[size > WINDOW] = [len(x) for x in cut]
+        first[size > WINDOW] = len(size) + np.cumsum([0, *map(len, cut)])[: len(cut)]
+        strings = pa.concat_arrays([strings, pa.array([y for x in cut for y in x], strings.type)])
+        times = n[codes]
+        codes, doc = np.repeat(first[codes] - (np.cumsum(times) - times), times) + np.arange(times.sum()), np.repeat(doc, times)
+        again = strings.dictionary_encode()  # joined runs and windows may repeat words
+        pair = np.unique(doc.astype(np.int64) << 32 | again.indices.to_numpy(zero_copy_only=False)[codes]) if len(codes) else np.zeros(0, np.int64)
+        doc = pa.array(pair >> 32)
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(doc), batch.column("toxic").take(doc), again.dictionary.take(pa.array(pair & 0xFFFFFFFF)).cast(pa.string())], names=["key", "toxic", "unit"])
+
+
+def witnesses(texts: list[np.ndarray], cost: np.ndarray, least: int = LEAST_GAIN) -> list[int]:
+    """Greedy cover: the candidates by the yet unexplained toxic texts they explain, less their cost in clean ones."""
+    left = np.ones(1 + max((int(x.max()) for x in texts), default=0), bool)
+    heap, out = [(cost[k] - len(x), k) for k, x in enumerate(texts)], []
+    heapq.heapify(heap)
+    while heap:
+        before, k = heapq.heappop(heap)
+        now = cost[k] - int(left[texts[k]].sum())
+        if now > before:  # gains only fall: look at it again when its turn comes
+            heapq.heappush(heap, (now, k))
             continue
-        if fresh - 3 * rate * clean[u] < least:
+        if -now < least:
             break
-        out.append(u)
-        left -= postings[u]
-        del gain[u]
+        out.append(k)
+        left[texts[k]] = False
     return out
 
 
@@ -242,10 +271,10 @@ def _machine(positive: list[str], negative: list[str], support: dict[str, int])
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     weight = np.array([min(5.0, support.get(x, 1)) for x in positive] + [1.0] * len(negative))
     weight[: len(positive)] *= max(1.0, 0.5 * len(negative) / max(1.0, weight[: len(positive)].sum()))
-    w, bias = svm(near @ root, y, weight)
-    table = np.zeros(1 << 18, np.float32)
-    table[used] = (root @ w) @ basis
-    return Model(alphabet, table, bias)
+    w, bias = svm(near @ root.astype(np.float32), y, weight)
+    table, alpha = np.zeros(1 << TABLE_BITS, np.float32), root @ w
+    table[used] = alpha @ basis
+    return Model(alphabet, table, bias, marks, alpha)
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -278,41 +307,48 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     split = stored(sample.mapInArrow(_split, "key long, toxic int, unit string"), "units")
     counts = stored(split.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")), "unit_counts")
     rate = got[1] / got[0]
-    odds = F.sqrt("t") * F.log((F.col("t") + 0.5) / (rate * F.col("c") + 0.5))
-    chosen = counts.where((F.col("t") >= 2) & (F.col("t") > 3 * rate * F.col("c"))).orderBy(odds.desc(), "unit").limit(CANDIDATES)
-    clean = {r.unit: r.c for r in chosen.collect()}
-    postings: dict[str, set] = {u: set() for u in clean}
-    for r in split.where("toxic = 1").join(F.broadcast(chosen.select("unit")), "unit").select("unit", "key").collect():  # both bounded by the sample
-        postings[r.unit].add(r.key)
-    positive = witnesses(postings, clean, rate)
-    if not positive:
+    chosen = counts.where((F.col("t") >= 2) & (F.col("t") > 3 * rate * F.col("c")))
+    found = split.where("toxic = 1").join(chosen, "unit").groupBy("unit", "c").agg(F.collect_list("key").alias("keys"))
+    found = found.orderBy("unit").toArrow()  # bounded by the sample
+    if not found.num_rows:
         return None
-    support = {u: len(postings[u]) for u in positive}
-    pool = counts.where("c > 0").where(~F.col("unit").isin(positive))
-    negative = [r.unit for r in pool.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_PIECES).collect()]
-    model = _machine(positive, negative, support)
-    liked = pool.select("unit").mapInArrow(_rate(model), "unit string, margin double").where("margin > -0.9").orderBy(F.desc("margin"), "unit").limit(HARD_PIECES)
-    hard = [r.unit for r in liked.collect()]
-    model = _machine(positive, [*hard, *[x for x in negative if x not in set(hard)]], support)
-    rows = sample.mapInArrow(_judge(model), "toxic int, margin double").collect()  # two numbers per text of the sample
+    keys = found.column("keys").combine_chunks()
+    _, number = np.unique(keys.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    texts = np.split(number, keys.offsets.to_numpy()[1:-1] - keys.offsets[0].as_py())
+    names = found.column("unit").to_pylist()
+    picked = witnesses(texts, 3 * rate * found.column("c").to_numpy())
+    if not picked:
+        return None
+    positive, support = [names[k] for k in picked], {names[k]: len(texts[k]) for k in picked}
+    pool = counts.where("c > 0").where(~F.col("unit").isin(positive)).select("unit")
+    negative = [r.unit for r in pool.orderBy(F.xxhash64("unit"), "unit").limit(FIRST_CLEAN).collect()]  # where the working set begins
+    while True:
+        model = _machine(positive, negative, support)
+        over = pool.mapInArrow(_rate(docs.sparkSession.sparkContext.broadcast(model)), "unit string, margin double").where(F.col("margin") > SLACK - 1)
+        used = set(negative)
+        more = [r.unit for r in over.orderBy(F.desc("margin"), "unit").select("unit").collect() if r.unit not in used]
+        if not more:
+            break
+        negative = [*more, *negative]
+    rows = sample.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), "toxic int, margin double").collect()  # two numbers per text of the sample
     margin, y = np.array([r.margin for r in rows]), np.array([r.toxic for r in rows], float)
     model.slope, model.shift = _platt(margin, y, np.where(y == 1, total[1] / got[1], total[0] / got[0]))
     return model
 
 
-def _rate(model: Model):
+def _rate(shared):
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins = model.words(batch.column("unit").to_pylist()).astype(float)
+            margins = shared.value.words(batch.column("unit").to_pylist()).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(margins)], names=["unit", "margin"])
 
     return rate
 
 
-def _judge(model: Model):
+def _judge(shared):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(model.margins(batch.column("text")))], names=["toxic", "margin"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(shared.value.margins(batch.column("text")))], names=["toxic", "margin"])
 
     return judge
 
@@ -322,16 +358,14 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score", predicted
     docs = docs.drop(score, predicted)
     if model is None:
         return docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 64**3 weights, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 2**TABLE_BITS weights, whatever the input
     at, names = docs.columns.index("text"), [*docs.columns, score, predicted]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                s = shared.value.score(shared.value.margins(batch.column(at)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
+        for batch in slices(batches, at, 1 << 20):
+            s = shared.value.score(shared.value.margins(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
 
     return docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
