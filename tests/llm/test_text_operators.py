@@ -420,6 +420,73 @@ def test_toxicity_learns_gapped_insults(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
 
 
+def _kernel(a, b):
+    """By the definition: common subsequences of three characters within the span, decayed in both strings, scaled."""
+
+    def grams(x):
+        x = "\2" + x + "\3"
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(x)), 3):
+            if k - i < toxicity.SPAN:
+                out[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i + 1)
+        n = len(x)
+        gaps = [(j, k) for k in range(2, toxicity.SPAN) for j in range(1, k)]
+        norm = sum(max(n - k, 0) * toxicity.DECAY ** (2 * k + 2) for _, k in gaps) ** 0.5
+        return {g: v / max(norm, 1e-9**0.5) for g, v in out.items()}
+
+    x, y = grams(a), grams(b)
+    return sum(v * y.get(g, 0) for g, v in x.items())
+
+
+def test_kernel_and_landmarks_against_the_definition():
+    rng = random.Random(6)
+    word = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randint(1, 9)))
+    latin, han = "abcdefghij", [chr(0x4E00 + k) for k in range(300)]
+    strings = [word(latin) for _ in range(25)] + [word(han) for _ in range(25)]
+    row, feature, value = toxicity.Alphabet(strings).features(strings)
+    basis = np.zeros((len(strings), 1 << toxicity.TABLE_BITS), np.float32)
+    basis[row, feature] = value
+    kernel = basis @ basis.T
+    want = np.array([[_kernel(a, b) for b in strings] for a in strings])
+    off = np.abs(kernel - want)
+    assert off.max() < 0.2 and (off > 1e-5).mean() < 0.02  # about 8 pairs of 4000 subsequences share a hash
+    positive, negative = strings[::5], [x for i, x in enumerate(strings) if i % 5]
+    model = toxicity._machine(positive, negative, {})
+    direct = [sum(a * _kernel(m, x) for a, m in zip(model.alpha, model.marks, strict=True)) + model.bias for x in strings]
+    off = np.abs(model.words(strings) - np.array(direct))
+    assert np.median(off) < 1e-3 and off.max() < 0.3
+
+
+def test_margin_holds_for_all_pieces_and_long_words():
+    long_ = "".join(chr(0x4E00 + k) for k in range(100))
+    assert "".join(x[: toxicity.STRIDE] for x in toxicity.windows_of(long_))[:72] == long_[:72] and toxicity.windows_of(long_)[-1] == long_[-24:]
+    p = toxicity.pieces([long_, "abc"])
+    assert len(p.begin) == len(toxicity.windows_of(long_)) + 1
+    texts = [np.array([0, 1, 2]), np.array([2, 3]), np.array([0, 1]), np.array([3, 4])]
+    assert toxicity.witnesses(texts, np.zeros(4)) == [0, 3] and toxicity.witnesses(texts, np.array([2.0, 0, 0, 0])) == [1, 2]
+
+
+def test_toxicity_in_a_script_without_spaces(spark):
+    rng = random.Random(12)
+    chars = [chr(0x4E00 + k) for k in range(1100)]
+    insults = ["".join(rng.choice(chars) for _ in range(4)) for _ in range(12)]
+    texts, toxic = [], []
+    for i in range(400):
+        t = "".join(rng.choice(chars) for _ in range(60))
+        if i % 4 == 0:
+            k = rng.randrange(56)
+            t = t[:k] + insults[i // 4 % 12] + t[k:]
+        texts.append(t)
+        toxic.append(int(i % 4 == 0))
+    docs = made(spark, texts)
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.learnt(docs, labels)
+    assert model is None or {r.predicted for r in toxicity.scored(docs, model).collect()} <= {0, 1}
+    spaced = made(spark, [" ".join(t[k : k + 4] for k in range(0, 60, 4)) + " " + insults[i // 4 % 12] * y for i, (t, y) in enumerate(zip(texts, toxic, strict=True))])
+    rows = {r.doc_id: r.predicted for r in toxicity.scored(spaced, toxicity.learnt(spaced, labels)).collect()}
+    assert sum(rows[i] == y for i, y in enumerate(toxic)) >= 0.97 * len(toxic)
+
+
 def test_edited_texts(spark, corpus, tmp_path):
     made(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in winnowing.op10_fingerprints(spark, str(tmp_path)).collect()}
