@@ -35,9 +35,9 @@ from popweave.llm.common import FileWriter, begin_task, compact, open_fs, shared
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 FILE_BYTES = 64 << 20
-SLICE_BYTES = 2 << 20
-MEMO_WORDS = 250_000
-LEARNT_AT_ONCE = 512
+SLICE_BYTES = 1 << 20
+MEMO_WORDS = 400_000
+LEARNT_AT_ONCE = 256
 
 
 class WordwiseEncoder:
@@ -45,7 +45,8 @@ class WordwiseEncoder:
 
     The tokenizer's own splitting never crosses a space that stands before a character other than white space,
     so the ids of a text are those of its pieces in a row. Texts where a space stands before white space or at the
-    end, and those that hold the literal of a special token, are encoded directly. The memory of pieces is emptied when it holds ``MEMO_WORDS``.
+    end, and those that hold the literal of a special token, are encoded directly. When the memory of pieces would exceed
+    ``MEMO_WORDS`` it keeps those that came up again since the last time.
     """
 
     def __init__(self, path: str):
@@ -64,13 +65,24 @@ class WordwiseEncoder:
         self.at: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def thin_out(self) -> None:
+        """Forget the pieces that came up in one slice only; all of them, where that would leave more than half."""
+        kept = np.flatnonzero(self.again[: len(self.at)])
+        words, flat, begin, size = list(self.at), self.flat, self.begin, self.size
+        self.clear()
+        if len(kept) <= MEMO_WORDS // 2:
+            begin, size = begin[kept], size[kept]
+            ids = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            self._keep([words[k] for k in kept], ids, size)
 
     def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, k = len(self.at), len(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + k > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.again))
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + k] = sizes
@@ -100,6 +112,8 @@ class WordwiseEncoder:
         heads = self.direct(parts.take(pa.array(ends[:-1])).to_pylist()) if len(lists) else []
         coded = parts.dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.at) + len(words) > MEMO_WORDS:
+            self.thin_out()
         if len(self.at) + len(words) > MEMO_WORDS:
             self.clear()
         used = np.ones(len(codes), bool)
@@ -107,6 +121,7 @@ class WordwiseEncoder:
         where = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         needed = np.zeros(len(words), bool)
         needed[codes[used]] = True
+        self.again[where[where >= 0]] = True
         new = np.flatnonzero(needed & (where < 0))
         where[new] = len(self.at) + np.arange(len(new))
         self._learn([words[k] for k in new])
