@@ -22,6 +22,7 @@ rows; very long texts are whole slices of their own; further columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +96,13 @@ class Index:
         h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         self.hash, self.at = h[order], at[order]
-        self.bits = np.zeros(1 << 24, bool)
-        self.bits[(self.hash >> np.uint64(40)).astype(np.int64)] = True
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """Which leading 24 bits of a hash occur; made where it is used, never sent."""
+        bits = np.zeros(1 << 24, bool)
+        bits[(self.hash >> np.uint64(40)).astype(np.int64)] = True
+        return bits
 
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (in the documents, in the items) that share a seed, each diagonal of a document and item once."""

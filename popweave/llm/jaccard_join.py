@@ -242,9 +242,7 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     Keeps texts that a later exact join would drop out of its shuffle. The bitmap has at most MOST_BITS bits (32 MB).
     """
     ids = stored(ids, "ids")
-    bits = 1 << 15
-    while bits < MOST_BITS and bits < 32 * ids.count():
-        bits *= 2
+    bits = min(MOST_BITS, 1 << max(15, (32 * ids.count()).bit_length()))
     place = lambda: F.pmod(F.xxhash64("doc_id", "h"), F.lit(bits))
     parts = ids.select(place().alias("p")).groupBy(F.floor(F.col("p") / (1 << 15)).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("bits"))
     shared = np.zeros(bits // 8, np.uint8)
@@ -294,7 +292,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     found = stored(met.mapInArrow(_comparer(n, threshold, tolerance), "cid long, links long, root long"), "links")
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     roots = roots.select(F.col("id").alias("cid"), "root").unionByName(roots.select(F.col("root").alias("cid"), "root").distinct())
-    named = stored(roots.join(classes.select("cid", F.col("row.doc_id").alias("least")), "cid"), "named")
+    named = roots.join(classes.select("cid", F.col("row.doc_id").alias("least")), "cid")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("cid", "class_id")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     about = classes.select("a", "b", "n", "cid", "copies", F.col("row.doc_id").alias("own")).join(links, "cid", "left").join(named, "cid", "left")

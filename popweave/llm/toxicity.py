@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,13 @@ class Alphabet:
     """The characters of the landmarks; subsequences of three of them are numbered by a hash of their code points."""
 
     def __init__(self, strings: list[str]):
-        self.known = np.zeros(0x110000, bool)
-        self.known[pieces(strings).codes] = True
+        self.characters = np.unique(pieces(strings).codes)
+
+    @cached_property
+    def known(self) -> np.ndarray:
+        known = np.zeros(0x110000, bool)
+        known[self.characters] = True
+        return known
 
     def subsequences(self, p: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
         """Per gap pattern: (places of first characters, numbers of the subsequences, weight)."""
@@ -156,13 +162,21 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps
 @dataclass
 class Model:
     alphabet: Alphabet
-    table: np.ndarray
+    used: np.ndarray  # numbers of the landmarks' subsequences, and their weights
+    weights: np.ndarray
     bias: float
     marks: list[str]
     alpha: np.ndarray  # the decision is the sum of alpha times the kernel with each landmark, plus the bias
     slope: float = 1.0
     shift: float = 0.0
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """All weights by number; made where it is used, never sent."""
+        table = np.zeros(1 << TABLE_BITS, np.float32)
+        table[self.used] = self.weights
+        return table
+
     def words(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), -np.inf, np.float32)
         for k in range(0, len(strings), 1 << 14):  # slices that keep the work arrays small
@@ -272,9 +286,8 @@ def _machine(positive: list[str], negative: list[str], support: dict[str, int])
     weight = np.array([min(5.0, support.get(x, 1)) for x in positive] + [1.0] * len(negative))
     weight[: len(positive)] *= max(1.0, 0.5 * len(negative) / max(1.0, weight[: len(positive)].sum()))
     w, bias = svm(near @ root.astype(np.float32), y, weight)
-    table, alpha = np.zeros(1 << TABLE_BITS, np.float32), root @ w
-    table[used] = alpha @ basis
-    return Model(alphabet, table, bias, marks, alpha)
+    alpha = root @ w
+    return Model(alphabet, used, (alpha @ basis).astype(np.float32), bias, marks, alpha)
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -358,7 +371,7 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score", predicted
     docs = docs.drop(score, predicted)
     if model is None:
         return docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 2**TABLE_BITS weights, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights of the landmarks' subsequences, whatever the input
     at, names = docs.columns.index("text"), [*docs.columns, score, predicted]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
