@@ -39,6 +39,29 @@ def region_subset(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return hit.select(*points.columns, "interval_name")
 
 
+def cut_regions(genome: DataFrame, regions: DataFrame, by: str = "contig_ord", width: int = 10_000) -> DataFrame:
+    """regions (``by``, start, stop; 0-based, half open) with seq: their bases, as many as the genome has.
+
+    genome: ``by``, seq and, where a contig comes in parts, start. It is cut into pieces of ``width`` bases that
+    meet the regions by bins, so no row carries a contig; the pieces of a region are put together again.
+    """
+    at = F.col("start") if "start" in genome.columns else F.lit(0)
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / width)))
+    g = genome.select(by, at.cast("long").alias("_at"), "seq", k.alias("_k"))
+    g = g.select(by, (F.col("_at") + F.col("_k") * width).alias("_at"), F.substring("seq", (F.col("_k") * width + 1).cast("int"), F.lit(width)).alias("_s"))
+    g = g.withColumn("_end", F.col("_at") + F.length("_s"))
+    spread = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width)))
+    g = g.withColumn("_bin", spread(F.col("_at"), F.col("_end")))
+    want = regions.select(by, "start", "stop").distinct().withColumn("_bin", spread(F.col("start"), F.col("stop")))
+    first = F.floor(F.greatest("_at", "start") / width)  # a pair that shares several bins meets in the first
+    hit = want.join(g, [by, "_bin"]).where((F.col("_bin") == first) & (F.col("start") < F.col("_end")) & (F.col("stop") > F.col("_at")))
+    low = F.greatest("_at", "start")
+    text = F.substring("_s", (low - F.col("_at") + 1).cast("int"), (F.least("_end", "stop") - low).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("_at", text.alias("t"))))
+    seqs = hit.groupBy(by, "start", "stop").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("seq"))
+    return regions.join(seqs, [by, "start", "stop"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+
+
 def fixed_bin(column: str, width: int = 500_000) -> Column:
     return F.floor(F.col(column) / width) * width
 

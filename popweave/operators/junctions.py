@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.operators.intervals import cut_regions
 from popweave.operators.reads import reference_end, reverse_complement
 
 KEY = ["c1", "p1", "d1", "c2", "p2", "d2", "ins", "type"]
@@ -60,9 +61,10 @@ def recurrent_short_events(counts: DataFrame, least: int = 5, longest: int = 100
 def long_event_alleles(counts: DataFrame, reference: DataFrame, least: int = 5, shortest: int = 0) -> DataFrame:
     """(contig_ord, pos, type, ref, alt) of deletions, duplications and inversions from reference (contig_ord, seq)."""
     ev = counts.where((F.col("n") >= least) & (F.col("type") != "cf") & (F.col("p2") - F.col("p1") >= shortest) & (F.col("p1") >= 0) & (F.col("p1") <= F.col("p2")))
-    ev = ev.join(reference.select(F.col("contig_ord").alias("c1"), F.col("seq").alias("_seq")), "c1")
-    part = F.substring("_seq", F.col("p1") + 1, F.col("p2") - F.col("p1"))
-    base = F.substring("_seq", F.col("p1") + 1, F.lit(1))
+    ev = ev.withColumns({"contig_ord": F.col("c1"), "start": F.col("p1"), "stop": F.greatest(F.col("p2"), F.col("p1") + 1)})
+    ev = cut_regions(reference, ev).withColumnRenamed("seq", "_seq")
+    part = F.substring("_seq", F.lit(1), (F.col("p2") - F.col("p1")).cast("int"))
+    base = F.substring("_seq", 1, 1)
     ref = F.when(F.col("type") == "dup", base).otherwise(part)
     alt = F.when(F.col("type") == "del", F.concat(base, "ins")).when(F.col("type") == "dup", F.concat(base, part)).otherwise(reverse_complement(part))
     return ev.select(F.col("c1").alias("contig_ord"), F.col("p1").alias("pos"), "type", ref.alias("ref"), alt.alias("alt")).distinct()
@@ -107,15 +109,17 @@ def allele_context(events: DataFrame, reference: DataFrame, flank: int = 50) ->
 
     Long inversions keep twice the flank at either end; the alternative resumes at the base after stop.
     """
-    e = events.join(reference.select("contig_ord", F.col("seq").alias("_s")), "contig_ord")
-    cut = lambda a, b: F.substring("_s", F.greatest(a, F.lit(0)) + 1, F.greatest(b, F.lit(0)) - F.greatest(a, F.lit(0)))
+    e = events.withColumns({"_a": F.greatest(F.col("start") - flank, F.lit(0)), "_b": F.col("stop") + 1 + flank})
+    around = cut_regions(reference, e.select("contig_ord", F.col("_a").alias("start"), F.col("_b").alias("stop")).distinct())
+    e = e.join(around.select("contig_ord", F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col("seq").alias("_s")), ["contig_ord", "_a", "_b"])
+    cut = lambda a, b: F.substring("_s", (F.greatest(a, F.lit(0)) - F.col("_a") + 1).cast("int"), (F.greatest(b, F.lit(0)) - F.greatest(a, F.lit(0))).cast("int"))
     a, b = F.col("start"), F.col("stop")
     left, inner, right = cut(a - flank, a), cut(a, b + 1), cut(b + 1, b + 1 + flank)
     long_ = (F.col("kind") == "inv") & (b - a > 3 * flank)
     ref = F.when(long_, F.concat(cut(a - flank, a + 2 * flank), cut(b + 1 - 2 * flank, b + 1 + flank))).otherwise(F.concat(left, inner, right))
     turned = reverse_complement(inner)
-    alt = F.when(F.col("kind") == "del", F.concat(left, right)).when(F.col("kind") == "dup", F.concat(left, inner, inner, right)).when(long_, F.concat(left, F.substring(turned, 1, 2 * flank), F.expr(f"right(reverse(translate(substring(_s, start + 1, stop - start + 1), 'ACGTN', 'TGCAN')), {2 * flank})"), right)).otherwise(F.concat(left, turned, right))
-    return e.withColumns({"ref_seq": ref, "alt_seq": alt}).drop("_s")
+    alt = F.when(F.col("kind") == "del", F.concat(left, right)).when(F.col("kind") == "dup", F.concat(left, inner, inner, right)).when(long_, F.concat(left, F.substring(turned, 1, 2 * flank), F.expr(f"right(reverse(translate(substring(_s, cast(start - _a + 1 as int), cast(stop - start + 1 as int)), 'ACGTN', 'TGCAN')), {2 * flank})"), right)).otherwise(F.concat(left, turned, right))
+    return e.withColumns({"ref_seq": ref, "alt_seq": alt}).drop("_s", "_a", "_b")
 
 
 def kmers(seq: str, k: int) -> Column:

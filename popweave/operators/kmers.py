@@ -10,15 +10,16 @@ from pyspark.sql import Window as W
 def kmer_edges(seqs: DataFrame, k: int) -> DataFrame:
     """(src, dst, forward, backward): edges between neighbouring k-mers, counted in reads and in their reverse complements.
 
-    An edge is a (k+1)-mer, so each place gives one row.
+    An edge is a (k+1)-mer, so each place gives one row, counted before the shuffle; what a (k+1)-mer counts in the reverse
+    complements is what its own reverse complement counts in the reads.
     """
     from popweave.operators.reads import reverse_complement
 
-    ok = seqs.where(F.length("seq") > k)
-    both = ok.select("seq", F.lit(1).alias("f")).unionByName(ok.select(reverse_complement("seq").alias("seq"), F.lit(0).alias("f")))
     at = F.explode(F.sequence(F.lit(1), F.length("seq") - k))
-    mers = both.select("seq", "f", at.alias("i")).select(F.substring("seq", F.col("i"), F.lit(k + 1)).alias("e"), "f")
-    n = mers.groupBy("e").agg(F.sum("f").alias("forward"), F.sum(1 - F.col("f")).alias("backward"))
+    mers = seqs.where(F.length("seq") > k).select("seq", at.alias("i")).select(F.substring("seq", F.col("i"), F.lit(k + 1)).alias("e"))
+    n = mers.groupBy("e").agg(F.count("*").alias("n"))
+    both = F.explode(F.array(F.struct("e", F.col("n").alias("f"), F.lit(0).cast("long").alias("b")), F.struct(reverse_complement("e").alias("e"), F.lit(0).cast("long").alias("f"), F.col("n").alias("b"))))
+    n = n.select(both.alias("x")).groupBy("x.e").agg(F.sum("x.f").alias("forward"), F.sum("x.b").alias("backward"))
     return n.select(F.substring("e", 1, k).alias("src"), F.substring("e", 2, k).alias("dst"), "forward", "backward")
 
 

@@ -95,18 +95,23 @@ def category_counts(classified: DataFrame, key: str, classes: list[str]) -> Data
     return classified.groupBy(key).pivot("class", classes).count().na.fill(0)
 
 
-def aligned_bases(reads: DataFrame) -> DataFrame:
-    """(all columns of reads, ref_pos, base, after): one row per aligned base; after names an insertion or deletion behind it.
-
-    The walk over the CIGAR is a running sum of the reference and read lengths of its operations.
-    """
+def _walk() -> Column:
+    """The operations of the CIGAR with the reference and read lengths before them: a running sum."""
     step = lambda a, o: F.struct(
         (a["ref"] + F.when(o["op"].isin("M", "D", "N", "=", "X"), o["len"]).otherwise(0)).alias("ref"),
         (a["read"] + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["len"]).otherwise(0)).alias("read"),
         F.concat(a["out"], F.array(F.struct(o["op"].alias("op"), o["len"].alias("len"), a["ref"].alias("ref"), a["read"].alias("read")))).alias("out"),
     )
     start = F.struct(F.lit(0).alias("ref"), F.lit(0).alias("read"), F.array().cast("array<struct<op:string,len:int,ref:int,read:int>>").alias("out"))
-    blocks = reads.withColumn("_ops", F.aggregate(cigar_ops("cigar"), start, step)["out"])
+    return F.aggregate(cigar_ops("cigar"), start, step)["out"]
+
+
+def aligned_bases(reads: DataFrame) -> DataFrame:
+    """(all columns of reads, ref_pos, base, after): one row per aligned base; after names an insertion or deletion behind it.
+
+    The walk over the CIGAR is a running sum of the reference and read lengths of its operations.
+    """
+    blocks = reads.withColumn("_ops", _walk())
     blocks = blocks.select("*", F.posexplode("_ops").alias("_i", "_b")).where("_b.op in ('M', '=', 'X') and _b.len > 0")
     nxt = F.get("_ops", F.col("_i") + 1)
     after = F.when(nxt["op"].isin("D", "N"), F.concat(F.lit("-"), nxt["len"].cast("string"))).when(nxt["op"] == "I", F.substring("seq", nxt["read"] + 1, nxt["len"]))
@@ -116,16 +121,36 @@ def aligned_bases(reads: DataFrame) -> DataFrame:
     return rows.drop("_ops", "_i", "_b", "_after", "_k")
 
 
-def pileup_bases(reads: DataFrame, sites: DataFrame) -> DataFrame:
-    """Bases over the sites (contig_ord, pos): deletions left out, followed by -n or inserted bases; counted per text."""
-    bases = aligned_bases(reads).select("contig_ord", F.col("ref_pos").alias("pos"), F.concat("base", F.coalesce("after", F.lit(""))).alias("shown"))
-    return bases.join(sites.select("contig_ord", "pos").distinct(), ["contig_ord", "pos"], "left_semi").groupBy("contig_ord", "pos", "shown").agg(F.count("*").alias("n"))
+def bases_at(reads: DataFrame, sites: DataFrame, width: int = 1000) -> DataFrame:
+    """(columns of sites, columns of reads but for pos and contig_ord, base, after): reads over the sites (contig_ord, pos).
+
+    Reads and sites meet by bins of ``width``; only the bases at the sites are looked up, never all bases of a read.
+    """
+    keep = [c for c in reads.columns if c not in ("contig_ord", "pos")]
+    r = reads.select("contig_ord", F.col("pos").alias("_pos"), *keep, _walk().alias("_ops"), F.greatest(reference_end(), F.col("pos") + 1).alias("_end"))
+    r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_pos") / width), F.floor((F.col("_end") - 1) / width))))
+    hit = r.join(sites.withColumn("_bin", F.floor(F.col("pos") / width)), ["contig_ord", "_bin"]).where("pos >= _pos and pos < _end")
+    place = F.col("pos") - F.col("_pos")
+    inside = lambda b: b["op"].isin("M", "=", "X") & (b["ref"] <= place) & (place < b["ref"] + b["len"])
+    number = F.transform("_ops", lambda b, i: F.struct(inside(b).alias("in"), b["ref"].alias("ref"), b["read"].alias("read"), b["len"].alias("len"), F.get("_ops", i + 1).alias("next")))
+    hit = hit.withColumn("_b", F.get(F.filter(number, lambda b: b["in"]), F.lit(0))).where("_b is not null")
+    nxt, last = F.col("_b.next"), place == F.col("_b.ref") + F.col("_b.len") - 1
+    after = F.when(nxt["op"].isin("D", "N"), F.concat(F.lit("-"), nxt["len"].cast("string"))).when(nxt["op"] == "I", F.substring("seq", nxt["read"] + 1, nxt["len"]))
+    base = F.substring("seq", F.col("_b.read") + (place - F.col("_b.ref")).cast("int") + 1, F.lit(1))
+    return hit.withColumns({"base": base, "after": F.when(last, after)}).drop("_pos", "_ops", "_end", "_bin", "_b")
+
+
+def pileup_bases(reads: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Bases over the sites (contig_ord, pos), or all covered positions: deletions left out, followed by -n or inserted bases; counted per text."""
+    narrow = reads.select("contig_ord", "pos", "cigar", "seq")
+    bases = aligned_bases(narrow).drop("pos").withColumnRenamed("ref_pos", "pos") if sites is None else bases_at(narrow, sites.select("contig_ord", "pos").distinct())
+    return bases.groupBy("contig_ord", "pos", F.concat("base", F.coalesce("after", F.lit(""))).alias("shown")).agg(F.count("*").alias("n"))
 
 
 def site_allele_depths(reads: DataFrame, sites: DataFrame, key: str) -> DataFrame:
     """Depths of the reference and alternative base per site (contig_ord, pos, ref, alt) and ``key``."""
-    bases = aligned_bases(reads).select(key, "contig_ord", F.col("ref_pos").alias("pos"), "base")
-    return bases.join(sites, ["contig_ord", "pos"]).groupBy("contig_ord", "pos", key).agg(F.count_if(F.col("base") == F.col("ref")).alias("ad_ref"), F.count_if(F.col("base") == F.col("alt")).alias("ad_alt"))
+    bases = bases_at(reads.select(key, "contig_ord", "pos", "cigar", "seq"), sites)
+    return bases.groupBy("contig_ord", "pos", key).agg(F.count_if(F.col("base") == F.col("ref")).alias("ad_ref"), F.count_if(F.col("base") == F.col("alt")).alias("ad_alt"))
 
 
 def reads_in(reads: DataFrame, regions: DataFrame, width: int = 1000) -> DataFrame:

@@ -160,10 +160,17 @@ def iupac_code(ref: str, alt: str) -> Column:
     return F.when(F.col("a1").isNull() | F.col("a2").isNull(), "N").otherwise(F.coalesce(F.try_element_at(codes, pair), F.lit("N")))
 
 
-def iupac_matrix(g: DataFrame, sites: DataFrame, least: int) -> DataFrame:
-    """(sample_idx, contig_ord, sequence): codes of the sites with at least ``least`` called samples, in order, per contig."""
+def iupac_matrix(g: DataFrame, sites: DataFrame, least: int, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_idx, contig_ord, sequence): codes of the sites with at least ``least`` called samples, in order, per contig.
+
+    With ``samples`` (sample_idx) every one of them has every site, N where it has no genotype: a cell each of the result.
+    """
     n = called(g).groupBy("site_id").count().where(F.col("count") >= least).select("site_id")
-    rows = g.join(n, "site_id", "left_semi").join(sites.select("site_id", "contig_ord", "pos", "ref", "alt"), "site_id")
+    rows = g.join(n, "site_id", "left_semi")
+    if samples is not None:
+        panel = F.lit(sorted(r.sample_idx for r in samples.select("sample_idx").distinct().collect()))  # the list of samples
+        rows = n.withColumn("sample_idx", F.explode(panel)).join(rows, ["site_id", "sample_idx"], "left")
+    rows = rows.join(sites.select("site_id", "contig_ord", "pos", "ref", "alt"), "site_id")
     rows = rows.withColumn("code", iupac_code("ref", "alt"))
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "site_id", "code"))), lambda r: r["code"]), "")
     return rows.groupBy("sample_idx", "contig_ord").agg(seq.alias("sequence"))
@@ -186,20 +193,22 @@ def phase_progeny(g: DataFrame, mother: int, father: int) -> DataFrame:
     return kids.select("site_id", "sample_idx", "status", pick("a1", "a2").alias("maternal"), pick("a2", "a1").alias("paternal"))
 
 
-def phase_parents(phased: DataFrame, g: DataFrame, sites: DataFrame, parent: int, side: str, window: int = 25) -> DataFrame:
-    """(site_id, left, right): a parent's alleles in phase along each contig.
+def phase_parents(phased: DataFrame, g: DataFrame, sites: DataFrame, parent: int, side: str) -> DataFrame:
+    """(site_id, block, left, right): a parent's alleles in phase along each contig.
 
     Each heterozygous site keeps the order of the site before it if most progeny that inherit from both took the
-    same side of each; links of at most ``window`` sites are chained by a running parity per contig.
+    same side of each; the links are chained by a running parity. Where no progeny links two neighbours a new block
+    begins, numbered per contig from 1: sides compare within a block only. Ties keep the order.
     """
     from pyspark.sql import Window as W
 
     het = called(g).where((F.col("sample_idx") == parent) & (F.col("a1") != F.col("a2"))).select("site_id")
     s = sites.select("site_id", "contig_ord", "pos").join(het, "site_id", "left_semi")
     by = W.partitionBy("contig_ord").orderBy("pos", "site_id")
-    s = s.withColumns({"_n": F.row_number().over(by), "_prev": F.lag("site_id").over(by)})
+    s = s.withColumn("_prev", F.lag("site_id").over(by))
     took = phased.where(F.col(side).isNotNull()).select("site_id", "sample_idx", F.col(side).alias("_a"))
     both = s.join(took, "site_id").join(took.select(F.col("site_id").alias("_prev"), "sample_idx", F.col("_a").alias("_b")), ["_prev", "sample_idx"])
     turn = both.groupBy("site_id").agg((F.sum(F.when(F.col("_a") == F.col("_b"), 1).otherwise(-1)) < 0).cast("int").alias("_turn"))
-    parity = F.pmod(F.sum(F.coalesce("_turn", F.lit(0))).over(W.partitionBy("contig_ord", F.floor((F.col("_n") - 1) / window)).orderBy("_n")), F.lit(2))
-    return s.join(turn, "site_id", "left").select("site_id", parity.cast("int").alias("left"), (1 - parity).cast("int").alias("right"))
+    s = s.join(turn, "site_id", "left").withColumns({"block": F.count_if(F.col("_turn").isNull()).over(by)})
+    parity = F.pmod(F.sum(F.coalesce("_turn", F.lit(0))).over(W.partitionBy("contig_ord", "block").orderBy("pos", "site_id")), F.lit(2))
+    return s.select("site_id", "block", parity.cast("int").alias("left"), (1 - parity).cast("int").alias("right"))

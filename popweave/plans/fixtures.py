@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+SAMPLES = list(range(125))
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Contigs, their lengths and the intervals are fixed values that results must match. Samples are the groups of
+#: customers by nation and segment (at most 125); a sample is typed at the sites (parts) that its customers ordered.
 #: Accepted by Spark and DuckDB, but for the mark /*G*/ (see ``in_duckdb``).
 SQL = {
     "fx_contigs": r"""
@@ -22,15 +25,15 @@ SELECT * FROM (VALUES
 t(contig_ord, interval_name, out_start, in_start, in_stop, out_stop)
 """,
     "fx_samples": r"""
-SELECT c_custkey AS sample_idx,
- 'S' || lpad(CAST(c_custkey AS STRING), 4, '0') AS sample_id,
- CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'f' END AS sex,
- c_mktsegment AS ecogroup,
- 'Genus species' || CAST(c_nationkey AS STRING) AS organism,
- 'PRJ' || CAST(c_nationkey % 5 AS STRING) AS project_id,
- CASE c_custkey % 4 WHEN 0 THEN 'Inverted' WHEN 2 THEN 'Heterozygous' ELSE 'Normal' END AS karyotype,
- 200 + c_custkey % 100 AS read_length
-FROM customer WHERE c_custkey < 40
+SELECT sample_idx, 'S' || lpad(CAST(sample_idx AS STRING), 4, '0') AS sample_id,
+ CASE WHEN sample_idx % 2 = 0 THEN 'm' ELSE 'f' END AS sex, ecogroup,
+ 'Genus species' || CAST(nation AS STRING) AS organism,
+ 'PRJ' || CAST(nation % 5 AS STRING) AS project_id,
+ CASE sample_idx % 4 WHEN 0 THEN 'Inverted' WHEN 2 THEN 'Heterozygous' ELSE 'Normal' END AS karyotype,
+ 200 + sample_idx % 100 AS read_length
+FROM (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS ecogroup,
+  c_nationkey * 5 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS sample_idx
+ FROM customer) q
 """,
     "fx_sites": r"""
 SELECT p_partkey AS site_id, p_partkey % 22 AS contig_ord,
@@ -49,14 +52,16 @@ SELECT site_id, sample_idx,
  gq, 
  CASE WHEN miss THEN 0 ELSE (2 - (CASE WHEN g < t THEN 1 ELSE 0 END) - (CASE WHEN h < t THEN 1 ELSE 0 END)) * depth END AS ad_ref,
  CASE WHEN miss THEN 0 ELSE ((CASE WHEN g < t THEN 1 ELSE 0 END) + (CASE WHEN h < t THEN 1 ELSE 0 END)) * depth END AS ad_alt
-FROM (SELECT p_partkey AS site_id, c_custkey AS sample_idx,
-  (p_partkey * 131 + c_custkey * 71 + ((p_partkey * c_custkey) % 53) * 13) % 100 AS g,
-  (p_partkey * 57 + c_custkey * 199 + ((p_partkey * c_custkey) % 47) * 29) % 100 AS h,
-  10 + (p_partkey * 37) % 80 + (CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 0 END) AS t,
-  (p_partkey + 3 * c_custkey) % 23 = 0 AS miss,
-  (p_partkey * 7 + c_custkey * 11) % 60 AS gq,
-  1 + (p_partkey * 3 + c_custkey * 5) % 6 AS depth
- FROM part CROSS JOIN customer WHERE c_custkey < 40) q
+FROM (SELECT site AS site_id, sample AS sample_idx,
+  (site * 131 + sample * 71 + ((site * sample) % 53) * 13) % 100 AS g,
+  (site * 57 + sample * 199 + ((site * sample) % 47) * 29) % 100 AS h,
+  10 + (site * 37) % 80 + (CASE WHEN sample % 2 = 0 THEN 8 ELSE 0 END) AS t,
+  (site + 3 * sample) % 23 = 0 AS miss,
+  (site * 7 + sample * 11) % 60 AS gq,
+  1 + (evidence + site * 3 + sample * 5) % 6 AS depth
+ FROM (SELECT l_partkey AS site, sample, CAST(sum(l_quantity) AS BIGINT) AS evidence
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN (SELECT c_custkey AS ck, c_nationkey * 5 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS sample FROM customer) c ON ck = o_custkey
+  GROUP BY l_partkey, sample) e) q
 """,
     "fx_reads": r"""
 SELECT qname, sample_idx, contig_ord, pos, mapq, is_reverse, mate_is_reverse, is_unmapped, mate_is_unmapped, is_duplicate, is_secondary,
@@ -97,13 +102,13 @@ SELECT p_partkey AS gene_id, p_partkey % 22 AS contig_ord, (p_partkey * 7368787)
 FROM part
 """,
     "fx_runs": r"""
-SELECT 'RUN' || CAST(o_orderkey AS STRING) AS Run, o_custkey AS BioSample, 'PRJ' || CAST(o_custkey % 5 AS STRING) AS BioProject,
+SELECT 'RUN' || CAST(o_orderkey AS STRING) AS Run, o_custkey % 130 AS BioSample, 'PRJ' || CAST(o_custkey % 5 AS STRING) AS BioProject,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'SINGLE' WHEN '5-LOW' THEN 'OTHER' ELSE 'PAIRED' END AS LibraryLayout,
  CAST(floor(o_totalprice * 100000) AS BIGINT) AS Bases, o_orderstatus AS Platform, o_orderdate AS ReleaseDate, o_orderkey % 4 = 0 AS already_registered
 FROM orders
 """,
     "fx_seqs": r"""
-SELECT doc_id AS seq_id, substr(translate(regexp_replace(lower(text), '[^a-z]', ''/*G*/), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 400) AS seq FROM documents
+SELECT doc_id AS seq_id, translate(regexp_replace(lower(text), '[^a-z]', ''/*G*/), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents
 """,
 }
 

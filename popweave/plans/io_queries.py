@@ -6,7 +6,7 @@ from popweave.functions.scratch import shared_dir
 from popweave.operators import reads as R
 from popweave.operators import variants as V
 from popweave.operators.registry import anti_join_done
-from popweave.plans.fixtures import Catalog
+from popweave.plans.fixtures import SAMPLES, Catalog
 from popweave.plans.read_queries import CLASSIFIED
 from popweave.sources import readers as S
 from popweave.sources import writers as K
@@ -66,11 +66,11 @@ def _(t):
 
 
 def _vcf(t):
-    samples = ["S3", "S1", "S2"]
+    samples = [f"S{k}" for k in SAMPLES]
     s = t.fx_sites.join(F.broadcast(t.fx_contigs.select("contig_ord", "contig")), "contig_ord")
     size = F.when(F.col("site_id") % 10 == 0, 25_000).otherwise(F.length("ref") - 1)
     events = s.select(F.col("site_id").alias("event"), "contig", F.col("pos"), "ref", "alt", F.col("pos").alias("start"), (F.col("pos") + size).alias("stop"), F.when(F.col("site_id") % 2 == 0, "inv").otherwise("del").alias("svtype"))
-    g = V.called(t.fx_genotypes).where("sample_idx in (1, 2, 3)")
+    g = V.called(t.fx_genotypes)
     calls = g.select(F.col("site_id").alias("event"), F.concat(F.lit("S"), F.col("sample_idx").cast("string")).alias("sample"), F.concat_ws("/", F.col("a1").cast("string"), F.col("a2").cast("string")).alias("gt"), F.col("ad_ref").alias("rr"), F.col("ad_alt").alias("ar"), F.lit(0).alias("br"))
     contigs = [(r.contig, r.contig_len) for r in t.fx_contigs.orderBy("contig_ord").collect()]  # one row per contig
     path = f"{shared_dir(t.spark)}/vcf"
@@ -78,7 +78,7 @@ def _vcf(t):
     return S.scan_vcf(t.spark, f"{path}/*")
 
 
-@C.query("scan_vcf", "SELECT contig, pos - 1 AS pos, ref, alt, sample_idx, coalesce(CASE WHEN a1 IS NOT NULL THEN CAST(a1 AS VARCHAR) || '/' || CAST(a2 AS VARCHAR) END, './.') AS gt, CASE WHEN a1 IS NULL THEN 0 ELSE ad_ref END AS rr FROM fx_sites s JOIN fx_contigs c ON c.contig_ord = s.contig_ord JOIN fx_genotypes g ON g.site_id = s.site_id WHERE sample_idx IN (1, 2, 3) AND s.site_id % 10 <> 0")
+@C.query("scan_vcf", "SELECT contig, pos - 1 AS pos, ref, alt, k AS sample_idx, coalesce(CASE WHEN a1 IS NOT NULL THEN CAST(a1 AS VARCHAR) || '/' || CAST(a2 AS VARCHAR) END, './.') AS gt, CASE WHEN a1 IS NULL THEN 0 ELSE ad_ref END AS rr FROM fx_sites s JOIN fx_contigs c ON c.contig_ord = s.contig_ord CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(0, 125)) r LEFT JOIN fx_genotypes g ON g.site_id = s.site_id AND sample_idx = k WHERE s.site_id % 10 <> 0")
 def _(t):
     _, calls = _vcf(t)
     f = F.col("fields")
@@ -86,7 +86,7 @@ def _(t):
     return calls.select("contig", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), F.substring("sample", 2, 9).cast("int").alias("sample_idx"), f["GT"].alias("gt"), f["RR"].cast("int").alias("rr"))
 
 
-@C.query("write_vcf", "SELECT contig, pos - 1 AS pos, CASE WHEN s.site_id % 10 = 0 THEN left(ref, 1) ELSE ref END AS ref, CASE WHEN s.site_id % 10 <> 0 THEN alt WHEN s.site_id % 2 = 0 THEN '<INV>' ELSE '<DEL>' END AS alt, CASE WHEN s.site_id % 2 = 0 THEN 'INV' ELSE 'DEL' END AS svtype, pos + CASE WHEN s.site_id % 10 = 0 THEN 25000 ELSE length(ref) - 1 END AS stop, CAST(CASE WHEN s.site_id % 10 = 0 THEN 25000 ELSE length(ref) - 1 END + 1 AS BIGINT) AS svlen, coalesce(n, 0) AS ns FROM fx_sites s JOIN fx_contigs c ON c.contig_ord = s.contig_ord LEFT JOIN (SELECT site_id, count(*) AS n FROM fx_genotypes WHERE sample_idx IN (1, 2, 3) AND a1 IS NOT NULL GROUP BY 1) k ON k.site_id = s.site_id")
+@C.query("write_vcf", "SELECT contig, pos - 1 AS pos, CASE WHEN s.site_id % 10 = 0 THEN left(ref, 1) ELSE ref END AS ref, CASE WHEN s.site_id % 10 <> 0 THEN alt WHEN s.site_id % 2 = 0 THEN '<INV>' ELSE '<DEL>' END AS alt, CASE WHEN s.site_id % 2 = 0 THEN 'INV' ELSE 'DEL' END AS svtype, pos + CASE WHEN s.site_id % 10 = 0 THEN 25000 ELSE length(ref) - 1 END AS stop, CAST(CASE WHEN s.site_id % 10 = 0 THEN 25000 ELSE length(ref) - 1 END + 1 AS BIGINT) AS svlen, coalesce(n, 0) AS ns FROM fx_sites s JOIN fx_contigs c ON c.contig_ord = s.contig_ord LEFT JOIN (SELECT site_id, count(*) AS n FROM fx_genotypes WHERE a1 IS NOT NULL GROUP BY 1) k ON k.site_id = s.site_id")
 def _(t):
     sites, _ = _vcf(t)
     return sites.select("contig", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), "svtype", "stop", F.col("info")["SVLEN"].cast("long").alias("svlen"), F.col("info")["NS"].cast("long").alias("ns"))
@@ -119,7 +119,8 @@ def _(t):
 @C.query("scan_fastq", "SELECT qname AS name, CASE WHEN mapq % 7 = 0 THEN '' ELSE seq END AS seq1, seq AS seq2 FROM fx_reads")
 def _(t):
     path = shared_dir(t.spark)
-    r = t.fx_reads.coalesce(1)  # both files of a pair have their records in one order
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    r = t.fx_reads.repartition(n, "qname").sortWithinPartitions("qname")  # both sides of a pair have their records in one order
     for k, seq in ((1, F.when(F.col("mapq") % 7 == 0, "").otherwise(F.col("seq"))), (2, F.col("seq"))):
         r.select(F.concat_ws("\n", F.concat(F.lit("@"), "qname", F.lit(f"/{k} x")), seq, F.lit("+"), "qual")).write.text(f"{path}/{k}")
     pair = S.scan_fastq_pair(t.spark, f"{path}/1", f"{path}/2")
@@ -173,16 +174,18 @@ def _(t):
     return S.scan_samplesheet(t.spark, path, ["sample_id", "ecogroup"])
 
 
-@C.query("scan_freq_bins", "SELECT site_id, CAST(coalesce(a1, 0) AS INTEGER) AS alt, 2 AS total FROM fx_genotypes WHERE sample_idx = 1")
+@C.query("scan_freq_bins", "SELECT site_id, sample_idx, CAST(coalesce(a1, 0) AS INTEGER) AS alt, 2 AS total FROM fx_genotypes")
 def _(t):
-    g = t.fx_genotypes.where("sample_idx = 1").select("site_id", F.concat(F.lit("("), F.coalesce("a1", F.lit(0)).cast("string"), F.lit(", 2)")).alias("cell"))
+    g = t.fx_genotypes.select("site_id", "sample_idx", F.concat(F.lit("("), F.coalesce("a1", F.lit(0)).cast("string"), F.lit(", 2)")).alias("cell"))
     x = S.decode_tuple("cell")
-    return g.select("site_id", x[0].alias("alt"), x[1].alias("total"))
+    return g.select("site_id", "sample_idx", x[0].alias("alt"), x[1].alias("total"))
 
 
-@C.query("html_tables", "SELECT page_id, CAST(0 AS INTEGER) AS table_no, CAST(r AS INTEGER) AS row_no, CASE r WHEN 0 THEN 'id|url' ELSE CAST(page_id AS VARCHAR) || '|b & u' END AS cells FROM pages CROSS JOIN (VALUES (0), (1)) v(r)")
+@C.query("html_tables", r"WITH u AS (SELECT page_id, regexp_extract_all(html, '(?is)<ul\b[^>]*>(.*?)</ul>', 1) AS x FROM pages), v AS (SELECT page_id, unnest(x) AS l, generate_subscripts(x, 1) - 1 AS table_no FROM u), w AS (SELECT page_id, table_no, regexp_extract_all(l, '(?is)<li\b[^>]*>(.*?)</li>', 1) AS y FROM v), z AS (SELECT page_id, table_no, unnest(y) AS c, generate_subscripts(y, 1) - 1 AS row_no FROM w) SELECT page_id, CAST(table_no AS INTEGER) AS table_no, CAST(row_no AS INTEGER) AS row_no, trim(regexp_replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS cells FROM z")
 def _(t):
-    html = F.concat(F.lit("<p>x</p><TABLE class='a'><tr><th>id</th><th> url</th></tr>\n<tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td><b>b</b> & u</td></tr></table>"))
+    html = F.col("html")  # the pages have lists: each is read as a table of one column
+    for mark, to in ((r"(?i)<ul\b[^>]*>", "<table>"), (r"(?i)</ul>", "</table>"), (r"(?i)<li\b[^>]*>", "<tr><td>"), (r"(?i)</li>", "</td></tr>")):
+        html = F.regexp_replace(html, mark, to)
     return S.html_tables(t.pages.select("page_id", html.alias("html"))).withColumn("cells", F.array_join("cells", "|"))
 
 
@@ -214,10 +217,10 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@C.query("write_phylip", "SELECT CAST(sample_idx AS VARCHAR) AS sample, count(*) AS n FROM fx_genotypes WHERE site_id IN (SELECT site_id FROM fx_genotypes WHERE a1 IS NOT NULL GROUP BY site_id HAVING count(*) >= 38) GROUP BY 1")
+@C.query("write_phylip", "SELECT CAST(sample_idx AS VARCHAR) AS sample, (SELECT count(*) FROM (SELECT site_id FROM fx_genotypes WHERE a1 IS NOT NULL GROUP BY site_id HAVING count(*) >= 20)) AS n FROM fx_samples")
 def _(t):
     path = f"{shared_dir(t.spark)}/phylip"
-    K.write_phylip(V.iupac_matrix(t.fx_genotypes, t.fx_sites, 38).withColumn("sample", F.col("sample_idx").cast("string")), path)
+    K.write_phylip(V.iupac_matrix(t.fx_genotypes, t.fx_sites, 20, t.fx_samples).withColumn("sample", F.col("sample_idx").cast("string")), path)
     f = F.split("value", " +")
     return t.spark.read.text(f"{path}/rows").select(f[0].alias("sample"), F.length(f[1]).cast("long").alias("n"))
 

@@ -101,11 +101,25 @@ def _(t):
     return J.reads_at_breakpoint(t.fx_reads, events(t)).select("event", "qname", "pos")
 
 
-@C.query("allele_context", f"""WITH {GENOME}, {EVENTS}, x AS (SELECT *, substr(g, start - 49, 50) AS l, substr(g, start + 1, stop - start + 1) AS m, substr(g, stop + 2, 50) AS r FROM ev JOIN ge ON ge.contig_ord = ev.contig_ord),
+def reference(t):
+    """Contigs made of all documents' sequences in order of their ids, in parts."""
+    from pyspark.sql import Window as W
+
+    s = t.fx_seqs.withColumn("contig_ord", F.col("seq_id") % 22)
+    before = W.partitionBy("contig_ord").orderBy("seq_id").rowsBetween(W.unboundedPreceding, -1)
+    return s.select("contig_ord", F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0)).alias("start"), "seq")
+
+
+@C.query("allele_context", W[:-1] + """, ge AS (SELECT seq_id % 22 AS contig_ord, string_agg(seq, '' ORDER BY seq_id) AS g FROM fx_seqs GROUP BY 1),
+ev AS (SELECT DISTINCT CAST(c1 AS VARCHAR) || ':' || CAST(p1 AS VARCHAR) || '-' || CAST(p2 AS VARCHAR) || type AS event, c1 AS contig_ord, p1 AS start, p2 AS stop, type AS kind FROM j WHERE type <> 'cf' AND p1 >= 50 AND p2 >= p1),
+x AS (SELECT *, substr(g, CAST(start - 49 AS INT), 50) AS l, substr(g, CAST(start + 1 AS INT), CAST(stop - start + 1 AS INT)) AS m, substr(g, CAST(stop + 2 AS INT), 50) AS r FROM ev JOIN ge ON ge.contig_ord = ev.contig_ord),
 y AS (SELECT *, reverse(translate(m, 'ACGTN', 'TGCAN')) AS v, kind = 'inv' AND stop - start > 150 AS long FROM x)
 SELECT event, CASE WHEN long THEN l || left(m, 100) || right(m, 100) || r ELSE l || m || r END AS ref_seq, CASE WHEN kind = 'del' THEN l || r WHEN kind = 'dup' THEN l || m || m || r WHEN long THEN l || left(v, 100) || right(v, 100) || r ELSE l || v || r END AS alt_seq FROM y""")
 def _(t):
-    return J.allele_context(events(t), genome(t)).select("event", "ref_seq", "alt_seq")
+    at = [F.col(c).cast("string") for c in ("c1", "p1", "p2")]
+    e = found(t).where("type <> 'cf' and p1 >= 50 and p2 >= p1")
+    e = e.select(F.concat(at[0], F.lit(":"), at[1], F.lit("-"), at[2], "type").alias("event"), F.col("c1").alias("contig_ord"), F.col("p1").alias("start"), F.col("p2").alias("stop"), F.col("type").alias("kind")).distinct()
+    return J.allele_context(e, reference(t)).select("event", "ref_seq", "alt_seq")
 
 
 _MERS = "list_distinct(list_transform(range(1, length({0}) - 13), lambda i: substr({0}, CAST(i AS INT), 15)))"

@@ -81,18 +81,14 @@ def _(t):
 _PILE = "p AS (SELECT contig_ord, seq, cigar, pos + k AS ref_pos, CASE WHEN cigar = '50M2D50M' THEN CASE WHEN k < 50 THEN substr(seq, k + 1, 1) WHEN k < 52 THEN NULL ELSE substr(seq, k - 1, 1) END ELSE substr(seq, k + 1 + CASE WHEN cigar = '40S60M' THEN 40 WHEN cigar = '4S96M' THEN 4 WHEN cigar = '10S80M10S' THEN 10 WHEN cigar = '30S70M' THEN 30 ELSE 0 END, 1) END AS base, k, sample_idx FROM (SELECT *, unnest(range(0, ref_end - pos)) AS k FROM e))"
 
 
-@C.query("pileup_bases", f"WITH {ENDS}, {_PILE} SELECT contig_ord, ref_pos AS pos, base || CASE WHEN cigar = '50M2D50M' AND k = 49 THEN '-2' ELSE '' END AS shown, count(*) AS n FROM p WHERE base IS NOT NULL AND ref_pos % 1000 = 40 GROUP BY 1, 2, 3")
+@C.query("pileup_bases", f"WITH {ENDS}, {_PILE} SELECT contig_ord, ref_pos AS pos, base || CASE WHEN cigar = '50M2D50M' AND k = 49 THEN '-2' ELSE '' END AS shown, count(*) AS n FROM p WHERE base IS NOT NULL GROUP BY 1, 2, 3")
 def _(t):
-    sites = t.fx_contigs.select("contig_ord", F.explode(F.sequence(F.lit(40), F.lit(60_040), F.lit(1000))).alias("pos"))
-    return R.pileup_bases(t.fx_reads, sites)
+    return R.pileup_bases(t.fx_reads)
 
 
-@C.query("site_allele_depths", f"WITH {ENDS}, {_PILE}, s AS (SELECT contig_ord, 1000 * i + 40 AS pos, substr('ACGT', CAST(1 + i % 4 AS INT), 1) AS ref, substr('ACGT', CAST(1 + (i + 1) % 4 AS INT), 1) AS alt FROM fx_contigs CROSS JOIN range(0, 61) r(i)) SELECT p.contig_ord, s.pos, sample_idx, count(*) FILTER (base = ref) AS ad_ref, count(*) FILTER (base = alt) AS ad_alt FROM p JOIN s ON p.contig_ord = s.contig_ord AND ref_pos = s.pos WHERE base IS NOT NULL GROUP BY 1, 2, 3")
+@C.query("site_allele_depths", f"WITH {ENDS}, {_PILE}, s AS (SELECT contig_ord, (site_id * 7919) % 50000 + 50 AS pos, ref, alt FROM fx_sites) SELECT p.contig_ord, s.pos, sample_idx, count(*) FILTER (base = ref) AS ad_ref, count(*) FILTER (base = alt) AS ad_alt FROM p JOIN s ON p.contig_ord = s.contig_ord AND ref_pos = s.pos WHERE base IS NOT NULL GROUP BY 1, 2, 3")
 def _(t):
-    i = F.explode(F.sequence(F.lit(0), F.lit(60)))
-    s = t.fx_contigs.select("contig_ord", i.alias("i"))
-    letter = lambda x: F.substring(F.lit("ACGT"), (1 + x % 4).cast("int"), F.lit(1))
-    sites = s.select("contig_ord", (F.col("i") * 1000 + 40).alias("pos"), letter(F.col("i")).alias("ref"), letter(F.col("i") + 1).alias("alt"))
+    sites = t.fx_sites.select("contig_ord", ((F.col("site_id") * 7919) % 50_000 + 50).alias("pos"), "ref", "alt")  # where the reads are
     return R.site_allele_depths(t.fx_reads, sites, "sample_idx")
 
 

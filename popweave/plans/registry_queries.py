@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from popweave.operators import registry as R
+from popweave.functions import values
 from popweave.plans.fixtures import Catalog
 
 C = Catalog()
@@ -112,3 +113,15 @@ def _(t):
 @C.query("set_union_members", "SELECT DISTINCT sample_id FROM fx_samples WHERE ecogroup IN ('BUILDING', 'MACHINERY') OR project_id = 'PRJ2'")
 def _(t):
     return R.union_members(t.fx_samples, "sample_id", F.col("ecogroup") == "BUILDING", F.col("ecogroup") == "MACHINERY", F.col("project_id") == "PRJ2")
+
+
+@C.query("date_stamps", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d') AS shipped, CAST(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 60) AS BIGINT) AS minutes FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def _(t):
+    both = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values.stamp("l_shipdate").alias("shipped"), values.minutes_between("o_orderdate", "l_shipdate").alias("minutes"))
+
+
+@C.query("absent_values", "SELECT l_suppkey, count(*) FILTER (d IS NULL OR isnan(d)) AS n_absent, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN l_discount < 0.02 THEN NULL WHEN l_tax < 0.02 THEN CAST('NaN' AS DOUBLE) ELSE l_discount END AS d FROM lineitem) GROUP BY l_suppkey")
+def _(t):
+    d = F.when(F.col("l_discount") < 0.02, F.lit(None).cast("double")).when(F.col("l_tax") < 0.02, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    return t.lineitem.withColumn("d", d).groupBy("l_suppkey").agg(F.count_if(values.absent("d")).alias("n_absent"), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from popweave.operators import intervals as I
 from popweave.operators import kmers as K
 from popweave.operators import popgen as G
 from popweave.operators import variants as V
-from popweave.plans.fixtures import Catalog
+from popweave.plans.fixtures import SAMPLES, Catalog
 from popweave.plans.variant_queries import POPS, ordered_intervals, pops
 
 C = Catalog()
@@ -123,10 +123,10 @@ def _(t):
     return G.kinship_king(t.fx_genotypes).withColumns({"phi": F.round("phi", 6), "relatedness2": F.round("relatedness2", 6)})
 
 
-@C.query("kinship_matrix", f"WITH {KING}, cl AS (SELECT i, j, phi FROM ki UNION ALL SELECT j, i, phi FROM ki UNION ALL SELECT i, i, 0.5 FROM ki UNION ALL SELECT j, j, 0.5 FROM ki) SELECT i, {', '.join(f'round(max(phi) FILTER (j = {s}), 6) AS s{s}' for s in range(5))} FROM cl WHERE i < 5 AND j < 5 GROUP BY i")
+@C.query("kinship_matrix", f"WITH {KING}, cl AS (SELECT i, j, phi FROM ki UNION ALL SELECT j, i, phi FROM ki UNION ALL SELECT i, i, 0.5 FROM ki UNION ALL SELECT j, j, 0.5 FROM ki) SELECT i, {', '.join(f'round(max(phi) FILTER (j = {s}), 6) AS s{s}' for s in SAMPLES)} FROM cl GROUP BY i")
 def _(t):
-    m = G.kinship_matrix(G.kinship_king(t.fx_genotypes.where("sample_idx < 5")), list(range(5)))
-    return m.withColumns({f"s{s}": F.round(f"s{s}", 6) for s in range(5)})
+    king = G.kinship_king(t.fx_genotypes)
+    return G.kinship_matrix(king.withColumn("phi", F.round("phi", 6)), SAMPLES)
 
 
 @C.query("hist_proportion", "WITH b AS (SELECT event_type, least(floor(value / 100.0 * 100) + 1, 100) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1, 2) SELECT event_type, CAST(bin AS BIGINT) AS bin, n, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS proportion FROM b")
@@ -162,15 +162,15 @@ def _(t):
 WIN = "w AS (SELECT site_id, s.contig_ord, unnest(range(CAST(greatest(ceil((pos - 200000) / 20000.0), 0) AS BIGINT), CAST(least(floor(pos / 20000.0), ceil((contig_len - 200000) / 20000.0) - 1) AS BIGINT) + 1)) * 20000 AS win_start FROM fx_sites s JOIN fx_contigs c ON c.contig_ord = s.contig_ord)"
 
 
-@C.query("sliding_het", f"WITH {WIN} SELECT contig_ord, win_start, sample_idx, count(*) FILTER (a1 IS NOT NULL) AS n_sites, round(count(*) FILTER (a1 <> a2) / nullif(CAST(count(*) FILTER (a1 IS NOT NULL) AS DOUBLE), 0), 6) AS het FROM w JOIN fx_genotypes g ON g.site_id = w.site_id WHERE sample_idx < 4 GROUP BY 1, 2, 3")
+@C.query("sliding_het", f"WITH {WIN} SELECT contig_ord, win_start, sample_idx, count(*) FILTER (a1 IS NOT NULL) AS n_sites, round(count(*) FILTER (a1 <> a2) / nullif(CAST(count(*) FILTER (a1 IS NOT NULL) AS DOUBLE), 0), 6) AS het FROM w JOIN fx_genotypes g ON g.site_id = w.site_id GROUP BY 1, 2, 3")
 def _(t):
-    return I.sliding_het(t.fx_genotypes.where("sample_idx < 4"), t.fx_sites, t.fx_contigs).withColumn("het", F.round("het", 6))
+    return I.sliding_het(t.fx_genotypes, t.fx_sites, t.fx_contigs).withColumn("het", F.round("het", 6))
 
 
-@C.query("pivot_individuals", f"WITH {WIN}, h AS (SELECT contig_ord, win_start, sample_idx, count(*) FILTER (a1 <> a2) / nullif(CAST(count(*) FILTER (a1 IS NOT NULL) AS DOUBLE), 0) AS het FROM w JOIN fx_genotypes g ON g.site_id = w.site_id WHERE sample_idx < 4 GROUP BY 1, 2, 3) SELECT contig_ord, win_start, {', '.join(f'round(max(het) FILTER (sample_idx = {s}), 6) AS s{s}' for s in range(4))} FROM h GROUP BY 1, 2")
+@C.query("pivot_individuals", f"WITH {WIN}, h AS (SELECT contig_ord, win_start, sample_idx, count(*) FILTER (a1 <> a2) / nullif(CAST(count(*) FILTER (a1 IS NOT NULL) AS DOUBLE), 0) AS het FROM w JOIN fx_genotypes g ON g.site_id = w.site_id GROUP BY 1, 2, 3) SELECT contig_ord, win_start, {', '.join(f'round(max(het) FILTER (sample_idx = {s}), 6) AS s{s}' for s in SAMPLES)} FROM h GROUP BY 1, 2")
 def _(t):
-    h = I.sliding_het(t.fx_genotypes.where("sample_idx < 4"), t.fx_sites, t.fx_contigs)
-    return I.pivot_individuals(h.withColumn("het", F.round("het", 6)), ["contig_ord", "win_start"], list(range(4)), "het")
+    h = I.sliding_het(t.fx_genotypes, t.fx_sites, t.fx_contigs)
+    return I.pivot_individuals(h.withColumn("het", F.round("het", 6)), ["contig_ord", "win_start"], SAMPLES, "het")
 
 
 PAF = "ps AS (SELECT *, CASE WHEN strand = '-' THEN q_stop ELSE q_start END AS new_start, CASE WHEN strand = '-' THEN q_start ELSE q_stop END AS new_stop, residues_match / nullif(CAST(aln_len AS DOUBLE), 0) AS pm FROM fx_paf), pf AS (SELECT * FROM ps WHERE pm > 0.3 AND aln_type = 'tp:A:P' AND aln_len > 10000)"

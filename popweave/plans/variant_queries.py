@@ -104,12 +104,12 @@ def _(t):
     return polarized(t).select("site_id", "sample_idx", "ad_ref", "ad_alt")
 
 
-_SEG = "se AS (SELECT site_id, sum(r) / nullif(CAST(sum(r + a) AS DOUBLE), 0) AS af, sum(r + a) AS depth, count(*) FILTER (r + a > 0) AS n_called FROM po GROUP BY site_id HAVING sum(r) / nullif(CAST(sum(r + a) AS DOUBLE), 0) BETWEEN 0.1 AND 0.9 AND sum(r + a) >= 100 AND count(*) FILTER (r + a > 0) >= 30)"
+_SEG = "se AS (SELECT site_id, sum(r) / nullif(CAST(sum(r + a) AS DOUBLE), 0) AS af, sum(r + a) AS depth, count(*) FILTER (r + a > 0) AS n_called FROM po GROUP BY site_id HAVING sum(r) / nullif(CAST(sum(r + a) AS DOUBLE), 0) BETWEEN 0.1 AND 0.9 AND sum(r + a) >= 50 AND count(*) FILTER (r + a > 0) >= 10)"
 
 
 @C.query("segregation_filter", f"WITH {_PARENT}, {_SEG} SELECT site_id, round(af, 6) AS af, CAST(depth AS BIGINT) AS depth, n_called FROM se")
 def _(t):
-    return V.segregation_filter(polarized(t), 0.1, 0.9).withColumn("af", F.round("af", 6))
+    return V.segregation_filter(polarized(t), 0.1, 0.9, 50, 10).withColumn("af", F.round("af", 6))
 
 
 def _calls(first, total):
@@ -130,7 +130,7 @@ def _(t):
     from popweave.operators import intervals as I
 
     p = polarized(t)
-    sites = V.segregation_filter(p, 0.1, 0.9).join(t.fx_sites.select("site_id", "contig_ord", "pos"), "site_id")
+    sites = V.segregation_filter(p, 0.1, 0.9, 50, 10).join(t.fx_sites.select("site_id", "contig_ord", "pos"), "site_id")
     kept = I.join_back_group(I.running_bin(sites, 5), ["contig_ord", "bin"], "af", 0.3)
     x = kept.select("site_id", "contig_ord", "pos", "bin").join(p, "site_id").groupBy("contig_ord", "bin", "sample_idx")
     x = x.agg(F.min("pos").alias("first_pos"), F.sum("ad_ref").alias("first_reads"), F.sum(F.col("ad_ref") + F.col("ad_alt")).alias("reads"))
@@ -176,12 +176,12 @@ def _(t):
     return V.hard_filter_variants(s, ["NC_036782.1", "NC_036785.1"]).select("site_id")
 
 
-@C.query("genotypes_to_long", "SELECT site_id, CAST(sample_idx AS INTEGER) AS sample_ord, a1, a2 FROM fx_genotypes")
+@C.query("genotypes_to_long", "SELECT site_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY sample_idx) - 1 AS INTEGER) AS sample_ord, a1, a2 FROM fx_genotypes")
 def _(t):
     return V.to_long(V.to_wide(t.fx_genotypes))
 
 
-@C.query("genotypes_to_wide", "SELECT site_id, count(*) AS n, sum(coalesce(a1, 0) * (sample_idx + 1)) AS mark FROM fx_genotypes GROUP BY site_id")
+@C.query("genotypes_to_wide", "SELECT site_id, count(*) AS n, CAST(sum(coalesce(a1, 0) * k) AS BIGINT) AS mark FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY sample_idx) AS k FROM fx_genotypes) GROUP BY site_id")
 def _(t):
     w = V.to_wide(t.fx_genotypes)
     mark = F.aggregate(F.transform("gt", lambda x, i: F.coalesce(x["a1"], F.lit(0)).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -191,9 +191,9 @@ def _(t):
 _CODE = "CASE WHEN a1 IS NULL OR length(ref) > 1 OR length(alt) > 1 AND a1 + a2 > 0 THEN 'N' WHEN a1 = a2 THEN CASE WHEN a1 = 0 THEN ref ELSE alt END ELSE CASE least(ref, alt) || greatest(ref, alt) WHEN 'AC' THEN 'M' WHEN 'AG' THEN 'R' WHEN 'AT' THEN 'W' WHEN 'CG' THEN 'S' WHEN 'CT' THEN 'Y' WHEN 'GT' THEN 'K' ELSE ref END END"
 
 
-@C.query("iupac_matrix", f"WITH n AS (SELECT site_id FROM fx_genotypes WHERE a1 IS NOT NULL GROUP BY site_id HAVING count(*) >= 38) SELECT sample_idx, contig_ord, string_agg({_CODE}, '' ORDER BY pos, g.site_id) AS sequence FROM fx_genotypes g JOIN n ON n.site_id = g.site_id JOIN fx_sites s ON s.site_id = g.site_id GROUP BY 1, 2")
+@C.query("iupac_matrix", f"WITH n AS (SELECT site_id FROM fx_genotypes WHERE a1 IS NOT NULL GROUP BY site_id HAVING count(*) >= 20) SELECT p.sample_idx, contig_ord, string_agg({_CODE}, '' ORDER BY pos, s.site_id) AS sequence FROM n JOIN fx_sites s ON s.site_id = n.site_id CROSS JOIN fx_samples p LEFT JOIN fx_genotypes g ON g.site_id = n.site_id AND g.sample_idx = p.sample_idx GROUP BY 1, 2")
 def _(t):
-    return V.iupac_matrix(t.fx_genotypes, t.fx_sites, 38)
+    return V.iupac_matrix(t.fx_genotypes, t.fx_sites, 20, t.fx_samples)
 
 
 _TRIO = """k AS (SELECT g.site_id, g.sample_idx, g.a1, g.a2, (g.a1 IN (m.a1, m.a2) AND g.a2 IN (f.a1, f.a2)) AS one, (g.a2 IN (m.a1, m.a2) AND g.a1 IN (f.a1, f.a2)) AS two FROM fx_genotypes g JOIN fx_genotypes m ON m.site_id = g.site_id AND m.sample_idx = 0 JOIN fx_genotypes f ON f.site_id = g.site_id AND f.sample_idx = 1
@@ -211,7 +211,12 @@ def _(t):
     return V.phase_progeny(t.fx_genotypes, 0, 1).groupBy("sample_idx").agg(F.count_if(F.col("status") == "phased").alias("n_phased"))
 
 
-@C.query("phase_parents")
+@C.query("phase_parents", f"""WITH {_TRIO}, h AS (SELECT s.site_id, contig_ord, pos, lag(s.site_id) OVER w AS prev FROM fx_sites s JOIN fx_genotypes g ON g.site_id = s.site_id AND sample_idx = 0 AND a1 <> a2 WINDOW w AS (PARTITION BY contig_ord ORDER BY pos, s.site_id)),
+mt AS (SELECT site_id, sample_idx, CASE WHEN one THEN a1 ELSE a2 END AS a FROM s WHERE status = 'phased'),
+tu AS (SELECT h.site_id, CAST(sum(CASE WHEN x.a = y.a THEN 1 ELSE -1 END) < 0 AS INTEGER) AS turn FROM h JOIN mt x ON x.site_id = h.site_id JOIN mt y ON y.site_id = h.prev AND y.sample_idx = x.sample_idx GROUP BY 1),
+k2 AS (SELECT h.site_id, contig_ord, sum(CASE WHEN turn IS NULL THEN 1 ELSE 0 END) OVER w AS block, sum(coalesce(turn, 0)) OVER w AS total, pos FROM h LEFT JOIN tu ON tu.site_id = h.site_id WINDOW w AS (PARTITION BY contig_ord ORDER BY pos, h.site_id)),
+k3 AS (SELECT *, first_value(total) OVER (PARTITION BY contig_ord, block ORDER BY pos, site_id) AS base FROM k2)
+SELECT site_id, CAST(block AS BIGINT) AS block, CAST((total - base) % 2 AS INTEGER) AS "left", CAST(1 - (total - base) % 2 AS INTEGER) AS "right" FROM k3""")
 def _(t):
     g = t.fx_genotypes
     return V.phase_parents(V.phase_progeny(g, 0, 1), g, t.fx_sites, 0, "maternal")

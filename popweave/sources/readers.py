@@ -112,7 +112,9 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def region_slice(genome: DataFrame, regions: DataFrame) -> DataFrame:
     """regions (contig, start, stop; 0-based, half open) with their sequence."""
-    return regions.join(genome.select("contig", F.col("seq").alias("_s")), "contig").withColumn("seq", F.substring("_s", F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_s")
+    from popweave.operators.intervals import cut_regions
+
+    return cut_regions(genome.select("contig", "seq"), regions, "contig")
 
 
 def scan_gtf(spark: SparkSession, path: str) -> DataFrame:

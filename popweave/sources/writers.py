@@ -38,17 +38,18 @@ def vcf_records(events: DataFrame, calls: DataFrame, samples: list[str]) -> Data
     """(contig, pos, value): lines of events (event, contig, pos, ref, alt, start, stop, svtype) and their calls
     (event, sample, gt, rr, ar, br), sample columns in the order of ``samples``; long events get symbolic alleles."""
     cell = F.concat_ws(":", "gt", F.col("rr").cast("string"), F.col("ar").cast("string"), F.col("br").cast("string"))
-    wide = calls.groupBy("event").pivot("sample", samples).agg(F.first(cell))
-    e = events.join(wide, "event", "left")
-    cells = [F.coalesce(F.col(f"`{s}`"), F.lit("./.:0:0:0")) for s in samples]
+    per = calls.groupBy("event", "sample").agg(F.first(cell).alias("c"))
+    per = per.groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("sample", "c"))).alias("_cells"))  # a cell per sample
+    e = events.join(per, "event", "left")
+    cells = F.transform(F.lit(samples), lambda s: F.coalesce(F.try_element_at("_cells", s), F.lit("./.:0:0:0")))
     size = F.col("stop") - F.col("start")
-    n = sum((~c.startswith("./.")).cast("int") for c in cells) if cells else F.lit(0)
+    n = F.size(F.filter(cells, lambda c: ~c.startswith("./.")))
     long_ = size >= SYMBOLIC
     alt = F.when(long_, F.concat(F.lit("<"), F.upper("svtype"), F.lit(">"))).otherwise(F.col("alt"))
     ref = F.when(long_, F.substring("ref", 1, 1)).otherwise(F.col("ref"))
     info = F.concat(F.lit("NS="), n.cast("string"), F.lit(";END="), F.col("stop").cast("string"), F.lit(";SVTYPE="), F.upper("svtype"), F.lit(";SVLEN="), (size + 1).cast("string"))
     fixed = [F.col("contig"), F.col("pos").cast("string"), F.lit("."), ref, alt, F.lit("."), F.lit("PASS"), info, F.lit("GT:RR:AR:BR")]
-    return e.select("contig", "pos", F.concat_ws("\t", *fixed, *cells).alias("value"))
+    return e.select("contig", "pos", F.concat_ws("\t", *fixed, cells).alias("value"))
 
 
 def write_vcf(events: DataFrame, calls: DataFrame, contigs: list[tuple[str, int]], samples: list[str], date: str, path: str) -> None:
@@ -78,4 +79,5 @@ def write_phylip(matrix: DataFrame, path: str) -> None:
 
 
 def append_registry(rows: DataFrame, path: str) -> None:
+    """Adds rows as they are; a job that may run twice adds what ``anti_join_done`` leaves, as the stream does by batch."""
     rows.write.mode("append").parquet(path)
