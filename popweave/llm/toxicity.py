@@ -287,6 +287,7 @@ def _machine(positive: list[str], negative: list[str], support: dict[str, int])
     weight[: len(positive)] *= max(1.0, 0.5 * len(negative) / max(1.0, weight[: len(positive)].sum()))
     w, bias = svm(near @ root.astype(np.float32), y, weight)
     alpha = root @ w
+    vars(alphabet).pop("known", None)  # not to be sent
     return Model(alphabet, used, (alpha @ basis).astype(np.float32), bias, marks, alpha)
 
 
