@@ -36,7 +36,7 @@ from popweave.llm.common import FileWriter, begin_task, compact, open_fs, shared
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 FILE_BYTES = 64 << 20
 SLICE_BYTES = 1 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 LEARNT_AT_ONCE = 256
 
 
