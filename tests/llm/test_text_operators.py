@@ -131,6 +131,58 @@ def test_near_duplicates_against_all_pairs(spark, corpus):
     assert kept == {c for _, c, _ in want}
 
 
+def test_rows_of_one_id_keep_their_own_links(spark):
+    rng = random.Random(21)
+    text = lambda n=60: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    one, two = text(), text()
+    rows = [(5, one), (5, two), (7, two + " end"), (9, two), (9, one + " more"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(docs).collect())
+    # by text: one ~ one + " more"; two = two ~ two + " end"; the least ids of both groups are 5
+    assert got == Counter([(5, 5, 1), (5, 5, 2), (7, 5, 2), (9, 5, 2), (9, 5, 1), (9, 9, 0)])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(22)
+    long_ = " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(10**5)) for _ in range(300_000))  # some 2 MB
+    docs = made(spark, [long_, long_ + " end", "x" * 3_000_000, "one\n" * 200_000, "short"])
+    bench = spark.createDataFrame([(1, " ".join(long_.split()[1000:1040]))], "item_id long, text string")
+    assert [r.class_id for r in jaccard_join.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 0, 2, 3, 4]
+    assert sorted(r.doc_id for r in decontamination.overlaps(docs, bench).collect()) == [0, 1]
+    assert [r.size for r in mixing.mix(docs).orderBy("doc_id").collect()] == [300_000, 300_001, 1, 200_000, 1]
+    assert [r.n_tokens for r in lm_scoring.scored(docs).orderBy("doc_id").collect()] == [300_001, 300_002, 2, 200_001, 2]
+    lines = {r.doc_id: r.n_lines for r in line_dedup.deduplicated(docs).select("doc_id", "n_lines").collect()}
+    assert lines[3] == 200_001 and lines[0] == 1
+
+
+def test_repeated_words_stay_bounded(spark):
+    bench = spark.createDataFrame([(i, f"w{i} " * 200) for i in range(5)], "item_id long, text string")
+    docs = made(spark, ["w1 " * 16_000, "w9 " * 16_000, "w3 " * 12])
+    got = {(r.doc_id, r.item_id): r.n_matches for r in decontamination.overlaps(docs, bench).collect()}
+    assert got == {(0, 1): 200, (2, 3): 12}
+
+
+def test_rates_are_the_tilt_that_meets_the_targets(spark, corpus):
+    import math
+
+    rows = mixing.mix(made(spark, corpus * 3, source=lambda i: ["b", "a", "c"][0 if i % 3 == 0 else i % 3])).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for rs in by.values():
+        sizes, target = [r.size for r in rs], rs[0].target
+        if target >= 2 * sum(sizes) * (1 - 1e-9):
+            assert all(r.rate == 2 for r in rs)
+            continue
+        mean = sum(sizes) / len(sizes)
+        rate = lambda x, z, m=mean: min(2.0, math.exp(max(-700.0, min(700.0, x * z / m))))
+        low, high = -1e4, 1e4
+        for _ in range(200):  # the dual by bisection
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(rate(mid, z) * z for z in sizes) > target else (mid, high)
+        assert all(abs(r.rate - rate(low, r.size)) < 5e-3 for r in rs)
+
+
 def test_pruning_table():
     need = jaccard_join.needed_matches()
     assert len(need) == 8 and need == sorted(need) and 0 < need[0] and need[-1] < 0.8 * 128
