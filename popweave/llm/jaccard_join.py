@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     place = ["gkey", "band", "lo", "hi"]
     met = rows.join(classes.select("cid", "sig"), "cid").repartition(*place).sortWithinPartitions(*place, "cid")
     alive = stored(met.mapInArrow(_pruner(threshold, tolerance), "cid long, band int, gkey long, side int, lo int, hi int"), "alive")
-    wanted = classes.select("cid", "copies", "sig", "row").join(alive.select("cid").distinct(), "cid")
+    wanted = classes.select("cid", "copies", "sig", "row").join(alive.select("cid").distinct().hint("merge"), "cid")  # the same plan at every size
     wanted = wanted.select("cid", "copies", "sig", "row.doc_id", "row.h")
     texts = likely(d, wanted.select("doc_id", "h")).join(wanted, ["doc_id", "h"]).dropDuplicates(["cid"])
     texts = stored(texts.select("cid", "copies", "sig", "text"), "texts")
