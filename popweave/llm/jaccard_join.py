@@ -100,15 +100,25 @@ def _signer(n: int):
             s, cut = shingle_sets(batch.column("text"), n)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (s, mix64(s ^ np.uint64(0x5851F42D4C957F2D)))]
             a, b = ((x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in sums)
-            sig = minhashes(s, cut)
-            keys = band_keys(sig).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            raw = pa.array([x.tobytes() for x in sig], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(cut)), pa.array(a), pa.array(b), raw, bands], names=["doc_id", "h", "n", "a", "b", "sig", "bands"])
+            raw = pa.array([x.tobytes() for x in minhashes(s, cut)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(cut)), pa.array(a), pa.array(b), raw], names=["doc_id", "h", "n", "a", "b", "sig"])
 
     return sign
 
 
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, n, band, gkey): a row for each band of each signature."""
+    for batch in batches:
+        keys = band_keys(_signatures(batch.column("sig"))).view(np.int64)
+        at = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+        yield pa.RecordBatch.from_arrays([batch.column("cid").take(at), batch.column("n").take(at), pa.array(band), pa.array(keys.ravel())], names=["cid", "n", "band", "gkey"])
+
+
 def intersections(s: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets i[k] and j[k]."""
     used = np.unique(np.concatenate([i, j]))
@@ -152,7 +162,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def unpruned(rows: pa.Table, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of one pair of blocks that pruning leaves, as numbers of rows; a pair seen in an earlier band is left out."""
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(rows.num_rows, -1)
+    sig = _signatures(rows.column("sig"))
     band, lo, hi = (rows.column(c)[0].as_py() for c in ("band", "lo", "hi"))
     side = rows.column("side").to_numpy()
     keys = band_keys(sig)[:, :band]
@@ -175,14 +185,14 @@ def unpruned(rows: pa.Table, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
-_PLACE = ["cid", "band", "gkey", "side", "lo", "hi"]
+_PLACE = ["cid", "band", "gkey", "side", "lo", "hi", "sig"]
 
 
 def _pruner(threshold: float, tolerance: float):
     need = needed_matches(threshold, tolerance)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of classes that have an unpruned pair."""
+        """The rows, with signatures, of classes that have an unpruned pair."""
         begin_task()
         for rows in _grouped(batches):
             used = np.unique(np.concatenate(unpruned(rows, need)))
@@ -236,33 +246,33 @@ def _comparer(n: int, threshold: float, tolerance: float):
 MOST_BITS = 1 << 28
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, h) is in ``ids``, and a few others: what a bitmap of hashed ids lets through.
+def likely(rows: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose ``key`` is in ``ids``, and a few others: what a bitmap of hashed ids lets through.
 
-    Keeps texts that a later exact join would drop out of its shuffle. The bitmap has at most MOST_BITS bits (32 MB).
+    Keeps wide rows that a later exact join would drop out of its shuffle. The bitmap has at most MOST_BITS bits (32 MB).
     """
-    ids = stored(ids, "ids")
+    ids = stored(ids.select(*key), "ids")
     bits = min(MOST_BITS, 1 << max(15, (32 * ids.count()).bit_length()))
-    place = lambda: F.pmod(F.xxhash64("doc_id", "h"), F.lit(bits))
+    place = lambda: F.pmod(F.xxhash64(*key), F.lit(bits))
     parts = ids.select(place().alias("p")).groupBy(F.floor(F.col("p") / (1 << 15)).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("bits"))
     shared = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # at most MOST_BITS / 2**15 rows of 4 KB
         shared[r.k << 12 : (r.k + 1) << 12] = np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(shared)
+    shared = rows.sparkSession.sparkContext.broadcast(shared)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("place").to_numpy()
-            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7)).astype(np.uint8) & 1 == 1)).select(["doc_id", "h", "text"])
+            p = batch.column("_place").to_numpy()
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7)).astype(np.uint8) & 1 == 1)).drop_columns(["_place"])
 
-    return docs.select("doc_id", "h", "text", place().alias("place")).mapInArrow(some, "doc_id long, h long, text string")
+    return rows.withColumn("_place", place()).mapInArrow(some, rows.schema)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(cid, band, gkey, side, lo, hi): the classes of each pair of blocks of each bucket; buckets of equal members are kept once."""
-    banded = classes.select("cid", "n", F.posexplode("bands").alias("band", "gkey"))
-    buckets = banded.groupBy("band", "gkey").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.min("cid").alias("first"), F.max("cid").alias("last"))
-    kept = buckets.where("size > 1").groupBy("size", "weight", "x", "y", "first", "last").agg(F.min(F.struct("band", "gkey")).alias("k")).select("k.band", "k.gkey", "size", "weight")
+    banded = classes.select("cid", "n", "sig").mapInArrow(_banded, "cid long, n long, band int, gkey long")
+    buckets = banded.groupBy("band", "gkey").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.min("cid").alias("first"), F.max("cid").alias("last"))
+    kept = buckets.where("size > 1").groupBy("size", "weight", "x", "first", "last").agg(F.min(F.struct("band", "gkey")).alias("k")).select("k.band", "k.gkey", "size", "weight")
     return stored(banded.drop("n").join(kept.hint("merge"), ["band", "gkey"]), "members")  # the same plan at every size
 
 
@@ -272,9 +282,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     class_id is the least doc_id of the component of links; n_links counts the other rows that reach the threshold.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), F.xxhash64(text_of(docs)).alias("h"))
-    signed = stored(d.where("doc_id is not null").mapInArrow(_signer(n), "doc_id long, h long, n long, a long, b long, sig binary, bands array<long>"), "signed")
+    signed = stored(d.where("doc_id is not null").mapInArrow(_signer(n), "doc_id long, h long, n long, a long, b long, sig binary"), "signed")
     # equal sets are one class, numbered once and for all by the stored table, with one row to fetch a text by
-    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = candidates(classes)
     blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
@@ -282,12 +292,12 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cid", "band", "gkey", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     place = ["gkey", "band", "lo", "hi"]
-    met = rows.join(classes.select("cid", "sig"), "cid").repartition(*place).sortWithinPartitions(*place, "cid")
-    alive = stored(met.mapInArrow(_pruner(threshold, tolerance), "cid long, band int, gkey long, side int, lo int, hi int"), "alive")
-    wanted = classes.select("cid", "copies", "sig", "row").join(alive.select("cid").distinct().hint("merge"), "cid")  # the same plan at every size
-    wanted = wanted.select("cid", "copies", "sig", "row.doc_id", "row.h")
-    texts = likely(d, wanted.select("doc_id", "h")).join(wanted, ["doc_id", "h"]).dropDuplicates(["cid"])
-    texts = stored(texts.select("cid", "copies", "sig", "text"), "texts")
+    signatures = likely(classes.select("cid", "sig"), members.select("cid").distinct(), ["cid"])
+    met = rows.join(signatures.hint("merge"), "cid").repartition(*place).sortWithinPartitions(*place, "cid")
+    alive = stored(met.mapInArrow(_pruner(threshold, tolerance), "cid long, band int, gkey long, side int, lo int, hi int, sig binary"), "alive")
+    wanted = classes.select("cid", "copies", "row.doc_id", "row.h").join(alive.select("cid").distinct().hint("merge"), "cid")  # the same plan at every size
+    texts = likely(d, wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).join(wanted.hint("merge"), ["doc_id", "h"])
+    texts = stored(texts.select("cid", "copies", "text"), "texts")
     met = alive.join(texts, "cid").repartition(*place).sortWithinPartitions(*place, "cid")
     found = stored(met.mapInArrow(_comparer(n, threshold, tolerance), "cid long, links long, root long"), "links")
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
