@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from popweave.functions.sizes import fits, small
+
 
 def interval_label(points: DataFrame, intervals: DataFrame, default: str = "Normal", left: str = "out_start", right: str = "out_stop") -> DataFrame:
     """points (contig_ord, pos) with the label of the last interval that holds them strictly; else ``default``.
@@ -14,7 +16,7 @@ def interval_label(points: DataFrame, intervals: DataFrame, default: str = "Norm
     """
     per = intervals.groupBy("contig_ord").agg(F.array_sort(F.collect_list(F.struct(F.col("interval_ord"), F.col(left).alias("a"), F.col(right).alias("b"), "interval_name"))).alias("_iv"))
     hit = F.filter("_iv", lambda v: (F.col("pos") > v["a"]) & (F.col("pos") < v["b"]))
-    out = points.join(F.broadcast(per), "contig_ord", "left")  # one row per contig
+    out = points.join(F.broadcast(per) if fits(intervals) else per, "contig_ord", "left")  # one row per contig
     return out.withColumn("label", F.coalesce(F.try_element_at(hit, F.lit(-1))["interval_name"], F.lit(default))).drop("_iv")
 
 
@@ -75,7 +77,7 @@ def running_bin(sites: DataFrame, size: int = 20) -> DataFrame:
 
 def sliding_het(g: DataFrame, sites: DataFrame, contigs: DataFrame, width: int = 200_000, step: int = 20_000) -> DataFrame:
     """(contig_ord, win_start, sample_idx, n_sites, het): windows [s, s + width] with s + width below the contig's length."""
-    s = sites.select("site_id", "contig_ord", "pos").join(F.broadcast(contigs.select("contig_ord", "contig_len")), "contig_ord")
+    s = sites.select("site_id", "contig_ord", "pos").join(small(contigs.select("contig_ord", "contig_len")), "contig_ord")
     low = F.greatest(F.ceil((F.col("pos") - width) / step), F.lit(0))
     high = F.least(F.floor(F.col("pos") / step), F.ceil((F.col("contig_len") - width) / step) - 1)
     s = s.withColumns({"_l": low, "_h": high}).where("_l <= _h").select("site_id", "contig_ord", F.explode(F.sequence(F.col("_l") * step, F.col("_h") * step, F.lit(step))).alias("win_start"))

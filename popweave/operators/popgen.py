@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from popweave.functions.sizes import small
+
 
 def hudson_fst(counts: DataFrame, a: str, b: str) -> DataFrame:
     """(site_id, fst) of two populations from (site_id, pop, ref, alt, n); null where between is 0."""
@@ -32,7 +34,7 @@ def block_rows(sites: DataFrame, size: int = 100) -> DataFrame:
 
 def weir_cockerham(g: DataFrame, pops: DataFrame) -> DataFrame:
     """(site_id, a, b, c): variance components of two populations (Weir and Cockerham 1984)."""
-    ok = g.where("a1 is not null and a2 is not null").join(F.broadcast(pops), "sample_idx")
+    ok = g.where("a1 is not null and a2 is not null").join(small(pops), "sample_idx")
     s = ok.groupBy("site_id", "pop").agg(F.count("*").cast("double").alias("n"), (F.sum(F.col("a1") + F.col("a2")) / (2.0 * F.count("*"))).alias("p"), (F.count_if(F.col("a1") != F.col("a2")) / F.count("*")).alias("h"))
     t = s.groupBy("site_id").agg(F.count("*").alias("r"), F.sum("n").alias("nt"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * F.col("p")).alias("np"), F.sum(F.col("n") * F.col("p") * F.col("p")).alias("npp"), F.sum(F.col("n") * F.col("h")).alias("nh")).where("r = 2")
     t = t.select("site_id", (F.col("nt") / 2).alias("nb"), (F.col("nt") - F.col("n2") / F.col("nt")).alias("nc"), (F.col("np") / F.col("nt")).alias("pb"), (F.col("nh") / F.col("nt")).alias("hb"), "nt", "npp")

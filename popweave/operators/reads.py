@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from popweave.functions.sizes import small
+
 _INT = "int"
 
 
@@ -186,7 +188,7 @@ def nearby_regions(breakpoints: DataFrame, delta: int) -> DataFrame:
 
 def overlapping_bins(reads: DataFrame, contigs: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
     """reads with bin: every bin start b (multiple of step, below contig length - size) with b < end and b + size > pos."""
-    r = reads.join(F.broadcast(contigs.select("contig_ord", "contig_len")), "contig_ord")  # one row per contig
+    r = reads.join(small(contigs.select("contig_ord", "contig_len")), "contig_ord")  # one row per contig
     low = F.greatest(F.floor((F.col("pos") - size) / step) + 1, F.lit(0))
     high = F.least(F.floor((reference_end() - 1) / step), F.floor((F.col("contig_len") - size - 1) / step))
     return r.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("bin", F.explode(F.sequence(F.col("_low") * step, F.col("_high") * step, F.lit(step)))).drop("_low", "_high")
@@ -200,7 +202,7 @@ def strand_counts(binned: DataFrame) -> DataFrame:
 
 def insertion_islands(counts: DataFrame, contigs: DataFrame, least: int, size: int = 500, step: int = 250) -> DataFrame:
     """(contig_ord, mid) of runs of hits: forward bins with reverse bins 500 to 1500 bases on; the run ends at the first bin without."""
-    c = counts.join(F.broadcast(contigs.select("contig_ord", "contig_len")), "contig_ord")
+    c = counts.join(small(contigs.select("contig_ord", "contig_len")), "contig_ord")
     forward = (F.col("forward") > least) & (F.col("forward") > 5 * F.col("reverse"))
     reverse = (F.col("reverse") > least) & (F.col("reverse") > 5 * F.col("forward"))
     by = W.partitionBy("contig_ord").orderBy("bin")

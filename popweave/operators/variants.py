@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.functions.sizes import small
+
 IUPAC = {"AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}  # fixed values: two-base codes
 
 
@@ -21,14 +23,14 @@ def called(g: DataFrame) -> DataFrame:
 def allele_counts(g: DataFrame, pops: DataFrame) -> DataFrame:
     """(site_id, pop, ref, alt, n): reference and alternative alleles, missing ones left out."""
     alt = F.sum(F.col("a1") + F.col("a2"))
-    return called(g).join(F.broadcast(pops), "sample_idx").groupBy("site_id", "pop").agg((2 * F.count("*") - alt).alias("ref"), alt.alias("alt"), (2 * F.count("*")).alias("n"))
+    return called(g).join(small(pops), "sample_idx").groupBy("site_id", "pop").agg((2 * F.count("*") - alt).alias("ref"), alt.alias("alt"), (2 * F.count("*")).alias("n"))
 
 
 def allele_frequency(g: DataFrame, pops: DataFrame, min_gq: int = 10) -> DataFrame:
     """(site_id, pop, obs_ct, alt_freq): genotypes under ``min_gq`` count as missing."""
     ok = (F.col("gq") >= min_gq) & F.col("a1").isNotNull() & F.col("a2").isNotNull()
     n = F.count_if(ok) * 2
-    return g.join(F.broadcast(pops), "sample_idx").groupBy("site_id", "pop").agg(n.alias("obs_ct"), F.try_divide(F.sum(F.when(ok, F.col("a1") + F.col("a2"))), n).alias("alt_freq"))
+    return g.join(small(pops), "sample_idx").groupBy("site_id", "pop").agg(n.alias("obs_ct"), F.try_divide(F.sum(F.when(ok, F.col("a1") + F.col("a2"))), n).alias("alt_freq"))
 
 
 def depth_genotype(ref: str = "ad_ref", alt: str = "ad_alt") -> tuple[Column, Column]:
@@ -40,7 +42,7 @@ def depth_genotype(ref: str = "ad_ref", alt: str = "ad_alt") -> tuple[Column, Co
 
 def ad_allele_counts(g: DataFrame, pops: DataFrame) -> DataFrame:
     alt, total = depth_genotype()
-    return g.join(F.broadcast(pops), "sample_idx").groupBy("site_id", "pop").agg(F.sum(alt).alias("alt"), F.sum(total).alias("total"))
+    return g.join(small(pops), "sample_idx").groupBy("site_id", "pop").agg(F.sum(alt).alias("alt"), F.sum(total).alias("total"))
 
 
 def heterozygosity(g: DataFrame, key: list[str]) -> DataFrame:
@@ -59,14 +61,14 @@ def filter_biallelic_snps(sites: DataFrame, g: DataFrame, samples: DataFrame, le
     snps = sites.where("n_alt_alleles = 1 and length(ref) = 1 and length(alt) = 1")
     if least is None:
         return snps
-    sub = called(g).join(F.broadcast(samples.select("sample_idx").distinct()), "sample_idx")
+    sub = called(g).join(small(samples.select("sample_idx").distinct()), "sample_idx")
     n = sub.groupBy("site_id").agg(F.sum(F.col("a1") + F.col("a2")).alias("ac"), (2 * F.count("*")).alias("an"))
     return snps.join(n.where(F.least("ac", F.col("an") - F.col("ac")) >= least).select("site_id"), "site_id", "left_semi")
 
 
 def filter_snp_quality(sites: DataFrame, contigs: DataFrame, least: float = 300) -> DataFrame:
     ok = sites.where((F.col("n_alt_alleles") == 1) & (F.length("ref") == 1) & (F.length("alt") == 1) & (F.col("qual") >= least))
-    return ok.join(F.broadcast(contigs.select("contig_ord")), "contig_ord", "left_semi")
+    return ok.join(small(contigs.select("contig_ord")), "contig_ord", "left_semi")
 
 
 def informative_sites(g: DataFrame, trio: list[int]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from popweave.functions.sizes import small
 from popweave.operators import intervals as I
 from popweave.operators import kmers as K
 from popweave.operators import popgen as G
@@ -63,7 +64,7 @@ SELECT block, CAST(k.pos + o AS BIGINT) AS x, round(fst, 6) AS fst, round(het_di
 def _(t):
     g, sites = t.fx_genotypes, t.fx_sites
     two = pops(t).where("pop in ('m', 'f')")
-    het = V.heterozygosity(g.join(F.broadcast(two), "sample_idx"), ["site_id", "pop"]).groupBy("site_id").agg((F.max(F.when(F.col("pop") == "m", F.col("het"))) - F.max(F.when(F.col("pop") == "f", F.col("het")))).alias("d"))
+    het = V.heterozygosity(g.join(small(two), "sample_idx"), ["site_id", "pop"]).groupBy("site_id").agg((F.max(F.when(F.col("pop") == "m", F.col("het"))) - F.max(F.when(F.col("pop") == "f", F.col("het")))).alias("d"))
     diff = G.block_rows(sites, 20).join(het, "site_id", "left").groupBy("block").agg(F.avg("d").alias("het_diff"))
     out = G.cumulative_offset(G.weir_cockerham_blocks(g, two, sites, 20), G.contig_offsets(sites)).join(diff, "block")
     return out.select("block", F.col("x").cast("long").alias("x"), F.round("fst", 6).alias("fst"), F.round("het_diff", 6).alias("het_diff"))
