@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import sys
 import tempfile
@@ -126,12 +128,31 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def begin_task(keep_encoders: bool = False) -> None:
-    """Give back what earlier tasks of this worker process hold: Arrow's unused pages, and encoders unless they are kept."""
+    """Give back what earlier tasks of this worker process hold: unused pages of Arrow and of the C heap, and encoders unless they are kept."""
     held = sys.modules.get("_popweave_encoders")
     if held is not None and not keep_encoders:
         for name in [n for n in vars(held) if not n.startswith("__")]:
             delattr(held, name)
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(task=None, *, keep_encoders: bool = False):
+    """The generator ``task`` of a Python stage, with ``begin_task`` before it and after it: idle workers hold little."""
+    if task is None:
+        return functools.partial(lean, keep_encoders=keep_encoders)
+
+    @functools.wraps(task)
+    def run(batches):
+        begin_task(keep_encoders)
+        try:
+            yield from task(batches)
+        finally:
+            begin_task(keep_encoders)
+
+    return run
 
 
 def compact(texts: pa.Array | pa.ChunkedArray) -> pa.Array:

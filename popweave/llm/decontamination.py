@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import begin_task, compact, hash_strings, mix64, slices, stored, text_of, words_of
+from popweave.llm.common import compact, hash_strings, lean, mix64, slices, stored, text_of, words_of
 
 #: Masks with 5 places that count; words at the places marked 0 are ignored.
 MASKS = ("11111", "110111", "1010010101")
@@ -194,8 +194,8 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WO
 
 
 def _finder(shared):
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task()
         index = shared.value
         size = np.diff(index.offsets)
         for batch in slices(batches):

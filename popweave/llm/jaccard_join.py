@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import begin_task, free_name, hash_strings, mix64, shingles, slices, stored, text_of, words_of
+from popweave.llm.common import free_name, hash_strings, lean, mix64, shingles, slices, stored, text_of, words_of
 from popweave.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -94,8 +94,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signer(n: int):
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task()
         for batch in slices(batches):
             s, cut = shingle_sets(batch.column("text"), n)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (s, mix64(s ^ np.uint64(0x5851F42D4C957F2D)))]
@@ -110,6 +110,7 @@ def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
 
 
+@lean
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, n, band, gkey): a row for each band of each signature."""
     for batch in batches:
@@ -191,9 +192,9 @@ _PLACE = ["cid", "band", "gkey", "side", "lo", "hi", "sig"]
 def _pruner(threshold: float, tolerance: float):
     need = needed_matches(threshold, tolerance)
 
+    @lean
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows, with signatures, of classes that have an unpruned pair."""
-        begin_task()
         for rows in _grouped(batches):
             used = np.unique(np.concatenate(unpruned(rows, need)))
             if len(used):
@@ -225,8 +226,8 @@ def _comparer(n: int, threshold: float, tolerance: float):
         linked = np.flatnonzero(count)
         return cid[linked].tolist(), count[linked].astype(np.int64).tolist(), root[linked].tolist()
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task()
         out: tuple[list, list, list] = ([], [], [])
 
         def made() -> pa.RecordBatch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.llm.common import FileWriter, begin_task, compact, open_fs, shared_dir, slices, stored, text_of
+from popweave.llm.common import FileWriter, compact, lean, open_fs, shared_dir, slices, stored, text_of
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DOCS, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
@@ -205,11 +205,11 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, lev
     One shuffle deals texts out by ranges of doc_id; each task encodes and writes its range.
     """
 
+    @lean(keep_encoders=True)
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
-        begin_task(keep_encoders=True)
         encoder, pack = encoder_of(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=False)
         shard, part, out, frames, ids = TaskContext.get().partitionId(), 0, None, [], []
 
@@ -244,6 +244,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, lev
 def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, start (ids before it in all files), n_tokens, ids_crc32, and the ids if wanted."""
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.llm.common import begin_task, compact, free_name, slices, stored, text_of, words_of
+from popweave.llm.common import compact, free_name, lean, slices, stored, text_of, words_of
 
 SPAN, DECAY = 6, 0.7
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -224,9 +224,9 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 _MARKS = r"[^\p{L}\p{M}\p{N}]+"
 
 
+@lean
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, unit): the distinct units of each text."""
-    begin_task()
     for batch in slices(batches):
         strings, codes, doc = units(batch.column("text"))
         size = pc.utf8_length(strings).to_numpy(zero_copy_only=False)
@@ -351,6 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
 
 
 def _rate(shared):
+    @lean
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             margins = shared.value.words(batch.column("unit").to_pylist()).astype(float)
@@ -360,6 +361,7 @@ def _rate(shared):
 
 
 def _judge(shared):
+    @lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(shared.value.margins(batch.column("text")))], names=["toxic", "margin"])
@@ -375,8 +377,8 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score", predicted
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights of the landmarks' subsequences, whatever the input
     at, names = docs.columns.index("text"), [*docs.columns, score, predicted]
 
+    @lean
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task()
         for batch in slices(batches, at, 1 << 20):
             s = shared.value.score(shared.value.margins(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
