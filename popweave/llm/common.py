@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space (the characters 9 to 13 and 32).
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
@@ -38,9 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/popweave-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` where the session has Spark's own setting: whole texts make large rows."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
