@@ -219,3 +219,8 @@ def shingles(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
         here = words[np.minimum(begin + k, last)] if len(words) else np.zeros(0, np.uint64)
         out = np.where(k < width, out * _ODD + here + np.uint64(k + 1), out)
     return mix64(out + width.astype(np.uint64) * _STEP), np.concatenate([[0], np.cumsum(made)])
+
+
+def letters_only() -> bytes:
+    """A table for ``bytes.translate``: ASCII letters lower-cased, all other ASCII but digits to spaces; further bytes stay."""
+    return bytes(ord(chr(c).lower()) if chr(c).isalnum() or c > 127 else 32 for c in range(128)) + bytes(range(128, 256))
