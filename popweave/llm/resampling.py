@@ -64,7 +64,7 @@ def runs(words: pa.Array, offsets: np.ndarray, n: int, buckets: int, line: np.nd
         if line is not None:
             at = at[line[at] != line[at + size - 1]]
         parts = [words.take(pa.array(at + k)) for k in range(size)]
-        found.append(bucket_numbers(pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], buckets))
+        found.append(bucket_numbers(pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type)) if size > 1 else parts[0], buckets))
         owners.append(owner[at])
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
