@@ -9,15 +9,41 @@ from pyspark.sql import Window as W
 from popweave.functions.sizes import fits, small
 
 
+#: Bits by which the cells of one level are wider than those of the level below, and levels: places up to 2**36.
+STEP, LEVELS = 4, 9
+
+
+def cells_of(low: Column, high: Column) -> Column:
+    """Array of (level, cell): the fewest aligned cells of 16**level places that make up [low, high); at most 30 per level."""
+    up = 1 << STEP
+    low, high = low.cast("long"), high.cast("long")
+
+    def level(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k * STEP)
+        a, b = F.ceil(low / width), F.floor(high / width)
+        up_a, up_b = F.ceil(low / (width * up)) * up, F.floor(high / (width * up)) * up  # what wider cells take is left out
+        taken = (up_a < up_b) & (k < LEVELS - 1)
+        spans = F.array(F.struct(a.alias("a"), F.when(taken, up_a).otherwise(b).alias("b")), F.struct(F.when(taken, up_b).otherwise(b).alias("a"), b.alias("b")))
+        return F.transform(F.filter(spans, lambda s: s["a"] < s["b"]), lambda s: F.struct(k.alias("level"), s["a"].alias("a"), s["b"].alias("b")))
+
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: level(k)))
+    cells = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["a"], s["b"] - 1), lambda c: F.struct(s["level"].alias("level"), c.alias("cell")))))
+    return F.when(low < high, cells)
+
+
 def interval_label(points: DataFrame, intervals: DataFrame, default: str = "Normal", left: str = "out_start", right: str = "out_stop") -> DataFrame:
-    """points (contig_ord, pos) with the label of the last interval that holds them strictly; else ``default``.
+    """points (contig_ord, pos) with the label of the last interval (by interval_ord) that holds them strictly; else ``default``.
 
-    The intervals of one contig are gathered into one row, so that the join is an equi-join that drops no point.
+    An interval is cut into aligned cells of widths 1, 16, 256 ... of which it is made up; a cell keeps the last of its intervals only. A
+    place looks up the one cell of each width that holds it, so neither many intervals on a contig nor long or nested ones
+    gather in a row. Positions are whole and not negative; a null one has the default.
     """
-    per = intervals.groupBy("contig_ord").agg(F.array_sort(F.collect_list(F.struct(F.col("interval_ord"), F.col(left).alias("a"), F.col(right).alias("b"), "interval_name"))).alias("_iv"))
-    hit = F.filter("_iv", lambda v: (F.col("pos") > v["a"]) & (F.col("pos") < v["b"]))
-    out = points.join(F.broadcast(per) if fits(intervals) else per, "contig_ord", "left")  # one row per contig
-    return out.withColumn("label", F.coalesce(F.try_element_at(hit, F.lit(-1))["interval_name"], F.lit(default))).drop("_iv")
+    iv = intervals.select("contig_ord", "interval_ord", "interval_name", F.explode(cells_of(F.greatest(F.col(left) + 1, F.lit(0)), F.col(right))).alias("c"))
+    cells = iv.groupBy("contig_ord", "c.level", "c.cell").agg(F.max(F.struct("interval_ord", "interval_name")).alias("v"))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("pos") / F.pow(F.lit(1 << STEP), k)).alias("cell"))))
+    places = points.select("contig_ord", "pos").distinct().select("contig_ord", "pos", at.alias("c")).select("contig_ord", "pos", "c.*")
+    last = places.join(cells, ["contig_ord", "level", "cell"]).groupBy("contig_ord", "pos").agg(F.max("v").alias("_v"))
+    return points.join(last, ["contig_ord", "pos"], "left").withColumn("label", F.coalesce("_v.interval_name", F.lit(default))).drop("_v").select(*points.columns, "label")
 
 
 def interval_contains(genes: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -48,9 +74,8 @@ def cut_regions(genome: DataFrame, regions: DataFrame, by: str = "contig_ord", w
     meet the regions by bins, so no row carries a contig; the pieces of a region are put together again.
     """
     at = F.col("start") if "start" in genome.columns else F.lit(0)
-    k = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / width)))
-    g = genome.select(by, at.cast("long").alias("_at"), "seq", k.alias("_k"))
-    g = g.select(by, (F.col("_at") + F.col("_k") * width).alias("_at"), F.substring("seq", (F.col("_k") * width + 1).cast("int"), F.lit(width)).alias("_s"))
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))  # one pass, however long the text
+    g = genome.select(by, at.cast("long").alias("_at"), F.posexplode(cut).alias("_k", "_s")).withColumn("_at", F.col("_at") + F.col("_k") * width)
     g = g.withColumn("_end", F.col("_at") + F.length("_s"))
     spread = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width)))
     g = g.withColumn("_bin", spread(F.col("_at"), F.col("_end")))

@@ -2,25 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from popweave.functions.ordering import numbered, running_sum
+from popweave.functions.scratch import stored
+
+
+#: Letters of a packed k-mer, three bits each, in byte order so that packed and plain windows compare alike; and their partners.
+LETTERS, PARTNERS = b"ACGNT", b"TGCNA"
+#: Places of a sequence that are taken at once, and edges that a task gathers before it passes them on.
+PLACES, MOST_EDGES = 1 << 19, 1 << 21
+
+
+def _windows(seqs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edge, n, turned n): the distinct windows of the sequences, none shorter than a window, each as the lesser of itself and its reverse complement, with how often either stood there.
+
+    Windows of ``ACGTN`` that fit 63 bits are packed into integers letter by letter; others are compared as bytes.
+    """
+    raw = np.frombuffer(b"".join(seqs), np.uint8)
+    n = len(raw) - size + 1
+    inside = np.ones(len(raw), bool)  # starts whose window does not run on into the next sequence
+    ends = np.cumsum([len(x) for x in seqs])
+    inside[(ends[:, None] - np.arange(1, size)).ravel()] = False
+    inside = inside[:n]
+    code = np.full(256, 255, np.uint8)
+    code[np.frombuffer(LETTERS, np.uint8)] = np.arange(5)
+    codes = code[raw]
+    if size * 3 <= 63 and codes.max() < 5:
+        partner = np.array([4, 2, 1, 3, 0], np.int64)
+        here, there = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in range(size):
+            c = codes[i : i + n].astype(np.int64)
+            here |= c << (3 * (size - 1 - i))
+            there |= partner[c] << (3 * i)
+        here, there = here[inside], there[inside]
+        edges, at = np.unique(np.minimum(here, there), return_inverse=True)
+        letters = np.frombuffer(LETTERS, np.uint8)[(edges[:, None] >> (3 * np.arange(size - 1, -1, -1))) & 7]
+        edges = np.ascontiguousarray(letters).view(f"S{size}").ravel()
+        turned = here > there
+    else:
+        table = np.arange(256, dtype=np.uint8)
+        table[np.frombuffer(LETTERS, np.uint8)] = np.frombuffer(PARTNERS, np.uint8)
+        here = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, size)[inside]).view(f"S{size}").ravel()
+        there = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(table[raw], size)[inside, ::-1]).view(f"S{size}").ravel()
+        turned = here > there
+        edges, at = np.unique(np.where(turned, there, here), return_inverse=True)
+    return edges, np.bincount(at[~turned], minlength=len(edges)), np.bincount(at[turned], minlength=len(edges))
+
 
 def kmer_edges(seqs: DataFrame, k: int) -> DataFrame:
     """(src, dst, forward, backward): edges between neighbouring k-mers, counted in reads and in their reverse complements.
 
-    An edge is a (k+1)-mer, so each place gives one row, counted before the shuffle; what a (k+1)-mer counts in the reverse
-    complements is what its own reverse complement counts in the reads.
+    An edge is a (k+1)-mer. A task runs once over the bytes of each sequence, in slices that overlap by k, and gathers the
+    distinct edges with two counters (as read, turned), an edge and its reverse complement as one; they meet by one shuffle
+    of these partial counts. What an edge counts in the reverse complements is what its own reverse complement counts in
+    the reads. Sequences of at most k letters and null ones give nothing; sequences are ASCII.
     """
     from popweave.operators.reads import reverse_complement
 
-    at = F.explode(F.sequence(F.lit(1), F.length("seq") - k))
-    mers = seqs.where(F.length("seq") > k).select("seq", at.alias("i")).select(F.substring("seq", F.col("i"), F.lit(k + 1)).alias("e"))
-    n = mers.groupBy("e").agg(F.count("*").alias("n"))
-    both = F.explode(F.array(F.struct("e", F.col("n").alias("f"), F.lit(0).cast("long").alias("b")), F.struct(reverse_complement("e").alias("e"), F.lit(0).cast("long").alias("f"), F.col("n").alias("b"))))
-    n = n.select(both.alias("x")).groupBy("x.e").agg(F.sum("x.f").alias("forward"), F.sum("x.b").alias("backward"))
-    return n.select(F.substring("e", 1, k).alias("src"), F.substring("e", 2, k).alias("dst"), "forward", "backward")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[tuple] = []
+        held = 0
+
+        def passed_on() -> pa.RecordBatch:
+            edges, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+            n = [np.bincount(at, np.concatenate([c[i] for c in counts]), len(edges)).astype(np.int64) for i in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(edges.astype(f"U{k + 1}"), pa.string()), *map(pa.array, n)], names=["e", "n", "t"])
+
+        waiting, size = [], 0
+        for batch in batches:
+            for seq in batch.column("seq").cast(pa.large_binary()):
+                seq = seq.as_py()
+                for at in range(0, max(0, len(seq) - k), PLACES):
+                    waiting.append(seq[at : at + PLACES + k])
+                    size += len(waiting[-1])
+                    if size >= PLACES:  # short sequences are taken together
+                        counts += [_windows(waiting, k + 1)]
+                        held, waiting, size = held + len(counts[-1][0]), [], 0
+                    if held >= MOST_EDGES:
+                        yield passed_on()
+                        counts, held = [], 0
+        if waiting:
+            counts += [_windows(waiting, k + 1)]
+        if counts:
+            yield passed_on()
+
+    mers = seqs.where(F.length("seq") > k).select("seq").mapInArrow(run, "e string, n long, t long")
+    n = mers.groupBy("e").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    turned = reverse_complement("e")
+    ways = F.array(F.struct("e", F.col("n").alias("f"), F.when(turned == F.col("e"), F.col("n")).otherwise(F.col("t")).alias("b")), F.struct(turned.alias("e"), F.col("t").alias("f"), F.col("n").alias("b")))
+    n = n.select(F.explode(F.when(turned == F.col("e"), F.slice(ways, 1, 1)).otherwise(ways)).alias("x")).select("x.*")
+    return n.select(F.substring("e", 1, k).alias("src"), F.substring("e", 2, k).alias("dst"), F.col("f").alias("forward"), F.col("b").alias("backward"))
 
 
 def kmer_prune(edges: DataFrame, least: int = 2) -> DataFrame:
@@ -60,26 +138,78 @@ def relabel_tokens(text: str, labels: str) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(labels, p), p)), "")
 
 
+def kmer_paths(edges: DataFrame, most: int = 2000) -> DataFrame:
+    """(node, steps, seq): from every node without an incoming edge along the heaviest edges; seq is empty if the walk takes ``most`` steps.
+
+    Walks grow by doubling: a table of successors 1, 2, 4 ... steps ahead extends what is known of every walk by as many
+    steps, so a round is two joins and a walk through a cycle ends at ``most``, as in a step-by-step walk.
+    """
+    edges = stored(edges, "edges")
+    jump = stored(kmer_best_successor(edges).select("src", F.col("dst").alias("to")), "jumps")
+    known, span = kmer_sources(edges).select("node", F.lit(0).alias("step"), F.col("node").alias("at")), 1
+    while span <= most:
+        ahead = known.where(F.col("step") + span <= most).join(jump, F.col("at") == F.col("src")).select("node", (F.col("step") + span).alias("step"), F.col("to").alias("at"))
+        known, before = stored(known.unionByName(ahead), "walks"), known
+        if known.count() == before.count():
+            break
+        span *= 2
+        if span <= most:
+            jump = stored(jump.join(jump.select(F.col("src").alias("to"), F.col("to").alias("_to")), "to").select("src", F.col("_to").alias("to")), "jumps")
+    letters = F.array_sort(F.collect_list(F.struct("step", F.expr("right(at, 1)").alias("c"))))  # at most ``most`` + 1
+    out = known.groupBy("node").agg(F.max("step").alias("steps"), F.array_join(F.transform(F.filter(letters, lambda x: x["step"] > 0), lambda x: x["c"]), "").alias("_tail"))
+    return out.select("node", "steps", F.when(F.col("steps") >= most, "").otherwise(F.concat("node", "_tail")).alias("seq"))
+
+
+def _next_apart(rows: DataFrame, within: int) -> DataFrame:
+    """(rn, next): for numbered events the first later one that does not overlap it; one past the last if there is none.
+
+    Events search in steps that double and then halve over tables of 1, 2, 4 ... neighbouring events (their last contig and start,
+    least and greatest stop, any inversion), which are built only as far as some search goes.
+    """
+    levels = [stored(rows.select("rn", F.col("contig_ord").alias("c"), F.col("start").alias("a"), F.col("stop").alias("low"), F.col("stop").alias("high"), "inv"), "level")]
+    own = rows.select("rn", "contig_ord", "start", "stop", F.col("inv").alias("turned"))
+    state = own.withColumns({"at": F.col("rn") + 1, "t": F.lit(0)})
+    done = own.select("rn", F.col("rn").alias("next")).where("false")
+    while True:
+        top = state.agg(F.max("t")).first()[0]
+        if top is None:
+            return done
+        while len(levels) <= top:
+            half, size = levels[-1], 1 << (len(levels) - 1)
+            ahead = half.select((F.col("rn") - size).alias("rn"), *[F.col(c).alias(f"_{c}") for c in ("c", "a", "low", "high", "inv")])
+            levels.append(stored(half.join(ahead, "rn").select("rn", F.col("_c").alias("c"), F.col("_a").alias("a"), F.least("low", "_low").alias("low"), F.greatest("high", "_high").alias("high"), (F.col("inv") | F.col("_inv")).alias("inv")), "level"))
+        blocks = levels[0].withColumn("t", F.lit(0))
+        for t, level in enumerate(levels[1:], 1):
+            blocks = blocks.unionByName(level.withColumn("t", F.lit(t)))
+        hit = state.join(blocks.withColumnRenamed("rn", "at"), ["at", "t"], "left")
+        near = (F.col("a") - F.col("start") <= within) | ((F.col("low") >= F.col("stop") - within) & (F.col("high") <= F.col("stop") + within))
+        passed = F.coalesce((F.col("c") == F.col("contig_ord")) & (F.col("turned") | ~F.col("inv")) & near, F.lit(False))
+        at = F.when(passed, F.col("at") + F.expr("shiftleft(1L, t)")).otherwise(F.col("at"))
+        hit = stored(hit.select(*own.columns, at.alias("at"), F.when(passed, F.col("t") + 1).otherwise(F.col("t") - 1).alias("t")), "searches")
+        done = done.unionByName(hit.where("t < 0").select("rn", F.col("at").alias("next")))
+        state = hit.where("t >= 0")
+
+
 def suppress_overlaps(events: DataFrame, within: int = 5) -> DataFrame:
     """Events (contig_ord, start, stop, kind) in order, without those near the last kept one of their contig.
 
     An event goes if its start or its stop is within ``within`` of the last kept event's, unless it is an inversion and
-    that is not. What is kept depends on what was kept, so each contig is scanned in order, a batch at a time.
+    that is not. The kept events are a chain: each one's successor is the first later event that does not overlap it. Successors
+    of all events are searched at once; events that no successor leaps over are kept for certain, and the chains between them
+    are followed by pointer doubling, so no task depends on a contig's size. Of events equal in place and in being
+    an inversion only the first (by the other columns) can stay, whatever was kept before.
     """
-    import pandas as pd
-
-    def scan(batches):
-        contig = last = None
-        for pdf in batches:
-            keep = []
-            for c, a, b, inverted in zip(pdf.contig_ord, pdf.start, pdf.stop, pdf.kind == "inv", strict=True):
-                if c != contig:
-                    contig, last = c, None
-                near = last is not None and (abs(a - last[0]) <= within or abs(b - last[1]) <= within) and not (inverted and not last[2])
-                keep.append(not near)
-                if not near:
-                    last = (a, b, inverted)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    ordered = events.repartition("contig_ord").sortWithinPartitions("contig_ord", "start", "stop", *[c for c in events.columns if c not in ("contig_ord", "start", "stop")])
-    return ordered.mapInPandas(scan, events.schema)
+    rest = [c for c in events.columns if c not in ("contig_ord", "start", "stop")]
+    inv = F.coalesce(F.col("kind") == "inv", F.lit(False))
+    first = events.groupBy("contig_ord", "start", "stop", inv.alias("inv")).agg(F.min(F.struct(*rest)).alias("r"))
+    rows = stored(numbered(first, ["contig_ord", "start", "stop", "r"]), "events")
+    links = stored(_next_apart(rows, within), "links")
+    leaps = links.where("next > rn + 1")
+    change = leaps.select((F.col("rn") + 1).alias("rn"), F.lit(1).alias("v")).unionByName(leaps.select(F.col("next").alias("rn"), F.lit(-1).alias("v"))).groupBy("rn").agg(F.sum("v").alias("v"))
+    covers = running_sum(rows.select("rn").join(change, "rn", "left"), ["rn"], F.coalesce("v", F.lit(0)), "over")
+    kept = stored(covers.where("over = 0").select("rn"), "kept")
+    links = stored(links.join(kept.select(F.col("rn").alias("next")), "next", "left_anti").join(rows.select(F.col("rn").alias("next")), "next", "left_semi"), "links")
+    while links.limit(1).count():
+        kept = stored(kept.unionByName(kept.join(links, "rn").select(F.col("next").alias("rn"))), "kept")
+        links = stored(links.join(links.select(F.col("rn").alias("next"), F.col("next").alias("_next")), "next").select("rn", F.col("_next").alias("next")), "links")
+    return rows.join(kept, "rn").select(*[f"r.{c}" if c in rest else c for c in events.columns])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from popweave.functions import ordering
+from popweave.functions.scratch import stored
 from popweave.functions.sizes import small
 
 
@@ -19,17 +25,14 @@ def hudson_fst(counts: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def numbered(sites: DataFrame) -> DataFrame:
-    """sites with rn: numbers along the genome, counted per contig and offset by the contigs before."""
-    by = W.partitionBy("contig_ord").orderBy("pos", "site_id")
-    n = sites.groupBy("contig_ord").agg(F.count("*").alias("_n"))  # one row per contig
-    before = F.coalesce(F.sum("_n").over(W.orderBy("contig_ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sites.withColumn("rn", F.row_number().over(by)).join(F.broadcast(n.select("contig_ord", before.alias("_before"))), "contig_ord").withColumn("rn", F.col("rn") + F.col("_before")).drop("_before")
+    """sites with rn: numbers along the genome from 1 on, by ranges of it."""
+    return ordering.numbered(sites, ["contig_ord", "pos", "site_id"])
 
 
 def block_rows(sites: DataFrame, size: int = 100) -> DataFrame:
     """Numbered sites with block (from 0), without the incomplete last one. Blocks run across contigs."""
     n = numbered(sites)
-    return n.withColumn("block", F.floor((F.col("rn") - 1) / size)).where(F.col("block") < sites.count() // size)
+    return n.withColumn("block", F.floor((F.col("rn") - 1) / size)).where(F.col("block") < n.count() // size)
 
 
 def weir_cockerham(g: DataFrame, pops: DataFrame) -> DataFrame:
@@ -53,34 +56,105 @@ def weir_cockerham_blocks(g: DataFrame, pops: DataFrame, sites: DataFrame, size:
     return out.select("block", "f.contig_ord", "f.pos", "fst")
 
 
-def _nalt(g: DataFrame) -> DataFrame:
-    n = F.coalesce("a1", F.lit(0)) + F.coalesce("a2", F.lit(0))
-    return g.select("site_id", "sample_idx", n.alias("n"))
+#: Samples of a block, and about how many sites are multiplied at once.
+BLOCK, SITES_AT_ONCE = 256, 4096
+_SUMS = ("n", "d", "both", "opposite", "hi", "hj")
+
+
+def _products(x: dict[int, np.ndarray], y: dict[int, np.ndarray]) -> np.ndarray:
+    """The sums of ``pair_counts`` for all pairs of two blocks' samples over some sites; x and y: a value's (sites x samples) places."""
+    pairs = {(v, w): a.T @ b for v, a in x.items() for w, b in y.items()}
+    zero = np.zeros_like(next(iter(pairs.values())))
+    add = lambda weight: sum((weight(v, w) * m for (v, w), m in pairs.items() if weight(v, w)), zero)
+    return np.stack([add(lambda v, w: 1), add(lambda v, w: abs(v - w)), add(lambda v, w: int(v == w == 1)), add(lambda v, w: int(abs(v - w) == 2)), add(lambda v, w: int(v == 1)), add(lambda v, w: int(w == 1))]).astype(np.int64)
 
 
-def pair_sums(g: DataFrame, per_site: Column | None = None) -> DataFrame:
-    """(i, j, d): summed absolute differences of alternative-allele counts, missing as 0, for all i < j.
+def pair_counts(cells: DataFrame, block: int = BLOCK, sites_at_once: int = SITES_AT_ONCE) -> DataFrame:
+    """(i, j, n, d, both, opposite, hi, hj) of samples i < j that share a site, from cells (site_id, sample_idx, n).
 
-    Each site becomes one row of counts in sample order; pairs are formed within the site's array, so the
-    site is the only key that rows are shuffled by, and sums are pre-aggregated.
+    n: shared sites; d: summed absolute differences of the cells' n; both: sites at which both are 1; opposite: at which they differ
+    by 2; hi, hj: at which i (j) is 1. Samples are numbered and cut into blocks, sites into slices; a task takes
+    pairs of blocks slice by slice and multiplies (sites x samples) matrices of zeros and ones, adding up over slices, so it
+    passes on each pair of samples once, however many sites it saw. A cell goes to as many tasks as there are blocks. Of
+    repeated cells of a site and sample one counts; null n's are left out.
     """
-    rows = _nalt(g).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "n"))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda x, k: F.transform(F.slice(F.col("s"), k + 2, F.greatest(F.size("s") - k - 1, F.lit(0))), lambda y: F.struct(x["sample_idx"].alias("i"), y["sample_idx"].alias("j"), F.abs(x["n"] - y["n"]).alias("d")))))
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.d").alias("d"))
+    cells = cells.where("n is not null")
+    samples = stored(ordering.numbered(cells.select("sample_idx").distinct(), ["sample_idx"], "_d"), "samples")
+    blocks = -(-samples.count() // block)
+    slices = -(-(cells.agg(F.approx_count_distinct("site_id")).first()[0]) // sites_at_once)
+    groups = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, blocks * (blocks + 1) // 2))
+    c = cells.join(samples, "sample_idx").withColumns({"_d": F.col("_d") - 1, "slice": F.pmod(F.xxhash64("site_id"), F.lit(max(1, slices)))})
+    own, other = F.floor(F.col("_d") / block), F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
+    c = c.select("site_id", "sample_idx", "n", "slice", "_d", own.alias("_own"), other.alias("_other"))
+    c = c.select(F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "slice", "site_id", F.col("_d").alias("d"), F.col("sample_idx").cast("long").alias("s"), F.col("n").cast("long").alias("n"))
+    c = c.repartition(F.col("lo"), F.col("hi"), F.pmod("slice", F.lit(groups))).sortWithinPartitions("lo", "hi", "slice", "site_id")
+
+    def tile(cols: dict[str, np.ndarray], lo: int, hi: int, ids: np.ndarray) -> np.ndarray:
+        site = np.unique(cols["site_id"], return_inverse=True)[1]
+        sides = []
+        for k, b in enumerate((lo, hi)):
+            mine = cols["d"] // block == b
+            d, n, at = cols["d"][mine] % block, cols["n"][mine], site[mine]
+            ids[k, d] = cols["s"][mine]
+            values = {}
+            for v in np.unique(n).tolist() or [0]:
+                values[v] = np.zeros((site.max() + 1, block), np.float32)
+                values[v][at[n == v], d[n == v]] = 1
+            sides.append(values)
+        return _products(*sides)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lo", "hi", "slice", "site_id", "d", "s", "n"]
+        held: list[dict] = []
+        now = pair = sums = ids = None
+
+        def finish() -> None:
+            nonlocal sums, held
+            if held:
+                cols = {c: np.concatenate([h[c] for h in held]) for c in names}
+                sums += tile(cols, *pair, ids)
+                held = []
+
+        def passed_on() -> pa.RecordBatch:
+            i, j = np.nonzero(sums[0] * ((pair[0] < pair[1]) | (np.arange(block)[:, None] < np.arange(block))))
+            return pa.RecordBatch.from_arrays([pa.array(ids[0, i]), pa.array(ids[1, j]), *[pa.array(m[i, j]) for m in sums]], names=["i", "j", *_SUMS])
+
+        for batch in batches:
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            key = np.stack([cols["lo"], cols["hi"], cols["slice"]])
+            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut, cut[1:], strict=False):
+                if a == b:
+                    continue
+                here = tuple(key[:, a].tolist())
+                if here != now:
+                    finish()
+                    if pair is not None and here[:2] != pair:
+                        yield passed_on()
+                    if here[:2] != pair:
+                        pair, sums, ids = here[:2], np.zeros((len(_SUMS), block, block), np.int64), np.full((2, block), -1, np.int64)
+                    now = here
+                held.append({c: v[a:b] for c, v in cols.items()})
+        finish()
+        if pair is not None:
+            yield passed_on()
+
+    out = c.mapInArrow(run, "i long, j long, " + ", ".join(f"{s} long" for s in _SUMS)).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    kind = cells.schema["sample_idx"].dataType
+    return out.withColumns({"i": F.col("i").cast(kind), "j": F.col("j").cast(kind)})
 
 
 def pairwise_distance(g: DataFrame, size: float) -> DataFrame:
-    """(i, j, distance) for all ordered pairs of different samples."""
-    half = pair_sums(g).select("i", "j", (F.col("d") / size).alias("distance"))
-    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+    """(i, j, distance) for all ordered pairs of different samples: summed absolute differences of alternative-allele counts, missing as 0."""
+    cells = g.select("site_id", "sample_idx", (F.coalesce("a1", F.lit(0)) + F.coalesce("a2", F.lit(0))).alias("n"))
+    half = pair_counts(cells).select("i", "j", (F.col("d") / size).alias("distance"))
+    ways = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return half.select(F.explode(ways).alias("w"), "distance").select("w.i", "w.j", "distance")
 
 
 def kinship_king(g: DataFrame) -> DataFrame:
     """(i, j, n, phi, relatedness2) for i < j over sites at which both are called (KING-robust; Manichaikul 2010)."""
-    rows = g.where("a1 is not null and a2 is not null").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", (F.col("a1") + F.col("a2")).alias("n")))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda x, k: F.transform(F.slice(F.col("s"), k + 2, F.greatest(F.size("s") - k - 1, F.lit(0))), lambda y: F.struct(x["sample_idx"].alias("i"), y["sample_idx"].alias("j"), x["n"].alias("x"), y["n"].alias("y")))))
-    p = rows.select(F.explode(pairs).alias("p")).select("p.*")
-    n = p.groupBy("i", "j").agg(F.count("*").alias("n"), *[F.count_if(F.expr(e)).alias(c) for c, e in (("both", "x = 1 and y = 1"), ("opposite", "abs(x - y) = 2"), ("hi", "x = 1"), ("hj", "y = 1"))])
+    n = pair_counts(g.select("site_id", "sample_idx", (F.col("a1") + F.col("a2")).alias("n")))
     top, m, both = F.col("both") - 2 * F.col("opposite"), F.least("hi", "hj"), F.col("hi") + F.col("hj")
     return n.select("i", "j", "n", (F.try_divide(top, 2 * m) + 0.5 - F.try_divide(both, 4 * m)).alias("phi"), F.try_divide(top, both).alias("relatedness2"))
 
@@ -100,24 +174,25 @@ def hist_proportion(df: DataFrame, value: str, hue: str, high: float, bins: int
     return n.withColumn("proportion", F.col("n") / F.sum("n").over(W.partitionBy(hue)))
 
 
+def _smooth(places: DataFrame, key: list[str], value: str, width: int) -> DataFrame:
+    """places (``key``, _at, value) with the mean over _at - width/2 ... _at + width/2 - 1: blocks of 100 * width places, each with those around it."""
+    half, size = width // 2, 100 * width
+    d = places.withColumn("_block", F.explode(F.array_distinct(F.array(*[F.floor((F.col("_at") + k) / size) for k in (-half, 0, half)]))))
+    w = W.partitionBy(*key, "_block").orderBy("_at").rowsBetween(-half, half - 1)
+    return d.withColumn("smooth", F.avg(value).over(w)).where(F.floor(F.col("_at") / size) == F.col("_block")).drop("_block")
+
+
 def moving_average(df: DataFrame, value: str, width: int = 100) -> DataFrame:
-    """df (contig_ord, rn) with the mean of rows rn - width/2 ... rn + width/2 - 1, per contig, cut at its ends."""
-    w = W.partitionBy("contig_ord").orderBy("rn").rowsBetween(-(width // 2), width // 2 - 1)
-    return df.withColumn("smooth", F.avg(value).over(w))
+    """df (contig_ord, rn) with the mean of rows rn - width/2 ... rn + width/2 - 1, per contig, cut at its ends. Numbers have no gaps."""
+    return _smooth(df.withColumn("_at", F.col("rn")), ["contig_ord"], value, width).drop("_at")
 
 
 def moving_average_reflected(df: DataFrame, value: str, width: int = 100) -> DataFrame:
-    """As ``moving_average``, but along the whole genome with mirrored ends.
-
-    Rows are dealt to blocks of 100 * width numbers; each block also gets the rows within width of it, mirrored at the ends.
-    """
-    half, size = width // 2, 100 * width
+    """As ``moving_average``, but along the whole genome with mirrored ends."""
+    half = width // 2
     top = df.agg(F.max("rn")).first()[0] or 0
     mirrored = F.array(F.col("rn"), F.when(F.col("rn") <= half, 1 - F.col("rn")), F.when(F.col("rn") > top - half, 2 * top + 1 - F.col("rn")))
-    d = df.select(value, F.explode(F.array_compact(mirrored)).alias("_at"))
-    d = d.withColumn("_block", F.explode(F.array_distinct(F.array(*[F.floor((F.col("_at") + k) / size) for k in (-half, 0, half)]))))
-    w = W.partitionBy("_block").orderBy("_at").rowsBetween(-half, half - 1)
-    d = d.withColumn("smooth", F.avg(value).over(w)).where(F.floor(F.col("_at") / size) == F.col("_block"))
+    d = _smooth(df.select(value, F.explode(F.array_compact(mirrored)).alias("_at")), [], value, width)
     return df.join(d.select(F.col("_at").alias("rn"), "smooth"), "rn")
 
 

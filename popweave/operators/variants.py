@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.functions.ordering import numbered, roots
+from popweave.functions.scratch import stored
+
 from popweave.functions.sizes import small
 
 IUPAC = {"AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}  # fixed values: two-base codes
@@ -195,22 +198,59 @@ def phase_progeny(g: DataFrame, mother: int, father: int) -> DataFrame:
     return kids.select("site_id", "sample_idx", "status", pick("a1", "a2").alias("maternal"), pick("a2", "a1").alias("paternal"))
 
 
-def phase_parents(phased: DataFrame, g: DataFrame, sites: DataFrame, parent: int, side: str) -> DataFrame:
+def parent_links(phased: DataFrame, g: DataFrame, sites: DataFrame, parent: int, side: str, window: int = 25, sizes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rn, site_id, contig_ord) of the parent's heterozygous sites, numbered, and each one's votes on the ``window`` such sites of its contig before it.
+
+    Votes: (rn, prev, net_<s> for every s of ``sizes``): progeny that took the same side at both sites less those that did
+    not, among the first s progeny by sample_idx that inherit from both (all, as ``net``, without sizes). A banded self-join: sites meet
+    those of their own and the preceding block of ``window`` numbers.
+    """
+    het = called(g).where((F.col("sample_idx") == parent) & (F.col("a1") != F.col("a2"))).select("site_id").distinct()
+    s = stored(numbered(sites.select("site_id", "contig_ord", "pos").join(het, "site_id", "left_semi"), ["contig_ord", "pos", "site_id"]), "het_sites")
+    took = phased.where(F.col(side).isNotNull()).select("site_id", "sample_idx", F.col(side).alias("a"))
+    if sizes:
+        kids = phased.select("sample_idx").distinct()
+        took = took.join(stored(numbered(kids, ["sample_idx"], "place"), "progeny"), "sample_idx")
+    here = stored(s.join(took, "site_id").select("rn", "contig_ord", "sample_idx", "a", *["place"] * bool(sizes)), "sides")
+    block = F.floor(F.col("rn") / window)
+    back = here.select(F.col("rn").alias("prev"), "contig_ord", "sample_idx", F.col("a").alias("b"), F.explode(F.array(block, block + 1)).alias("_block"))
+    pairs = here.withColumn("_block", block).join(back, ["contig_ord", "sample_idx", "_block"]).where((F.col("prev") < F.col("rn")) & (F.col("prev") >= F.col("rn") - window))
+    vote = F.when(F.col("a") == F.col("b"), 1).otherwise(-1)
+    sums = [F.sum(F.when(F.col("place") <= n, vote).otherwise(0)).alias(f"net_{n}") for n in sizes] if sizes else [F.sum(vote).alias("net")]
+    return s, pairs.groupBy("rn", "prev").agg(*sums)
+
+
+def best_link(net: str) -> Column:
+    """The link of most agreement either way, of equal ones the nearest; null where all votes cancel out."""
+    n = F.col(net)
+    return F.max(F.when(n != 0, F.struct(F.abs(n).alias("weight"), F.col("prev"), F.signum(n).cast("int").alias("sign"))))
+
+
+def phase_parents(phased: DataFrame, g: DataFrame, sites: DataFrame, parent: int, side: str, window: int = 25) -> DataFrame:
     """(site_id, block, left, right): a parent's alleles in phase along each contig.
 
-    Each heterozygous site keeps the order of the site before it if most progeny that inherit from both took the
-    same side of each; the links are chained by a running parity. Where no progeny links two neighbours a new block
-    begins, numbered per contig from 1: sides compare within a block only. Ties keep the order.
+    Every heterozygous site is voted on against the ``window`` such sites before it by the progeny that inherit from both,
+    and takes its order from the one on which the vote is clearest (of equal ones the nearest): the same order if
+    most took the same side of each, else the other. So a site with few calls or with errors is stepped over. Orders are carried along
+    these links by pointer doubling. A site on which no vote is decided begins a new block, numbered per
+    contig from 1; sides compare within a block only, and blocks may interleave.
     """
-    from pyspark.sql import Window as W
-
-    het = called(g).where((F.col("sample_idx") == parent) & (F.col("a1") != F.col("a2"))).select("site_id")
-    s = sites.select("site_id", "contig_ord", "pos").join(het, "site_id", "left_semi")
-    by = W.partitionBy("contig_ord").orderBy("pos", "site_id")
-    s = s.withColumn("_prev", F.lag("site_id").over(by))
-    took = phased.where(F.col(side).isNotNull()).select("site_id", "sample_idx", F.col(side).alias("_a"))
-    both = s.join(took, "site_id").join(took.select(F.col("site_id").alias("_prev"), "sample_idx", F.col("_a").alias("_b")), ["_prev", "sample_idx"])
-    turn = both.groupBy("site_id").agg((F.sum(F.when(F.col("_a") == F.col("_b"), 1).otherwise(-1)) < 0).cast("int").alias("_turn"))
-    s = s.join(turn, "site_id", "left").withColumns({"block": F.count_if(F.col("_turn").isNull()).over(by)})
-    parity = F.pmod(F.sum(F.coalesce("_turn", F.lit(0))).over(W.partitionBy("contig_ord", "block").orderBy("pos", "site_id")), F.lit(2))
-    return s.select("site_id", "block", parity.cast("int").alias("left"), (1 - parity).cast("int").alias("right"))
+    s, votes = parent_links(phased, g, sites, parent, side, window)
+    links = votes.groupBy("rn").agg(best_link("net").alias("l")).where("l is not null").select(F.col("rn").alias("id"), F.col("l.prev").alias("parent"), F.col("l.sign").alias("sign"))
+    led = roots(links)
+    s = s.join(led, s["rn"] == led["id"], "left").withColumns({"root": F.coalesce("root", "rn"), "sign": F.coalesce("sign", F.lit(1))})
+    starts = stored(numbered(s.where("root = rn").select("root", "contig_ord"), ["root"], "block"), "blocks")
+    first = starts.groupBy("contig_ord").agg((F.min("block") - 1).alias("_before"))  # a row per contig
+    starts = starts.join(F.broadcast(first), "contig_ord").select("root", (F.col("block") - F.col("_before")).alias("block"))
+    left = (F.col("sign") < 0).cast("int")
+    return s.join(starts, "root").select("site_id", "block", left.alias("left"), (1 - left).alias("right"))
+
+
+def phase_subsets(phased: DataFrame, g: DataFrame, sites: DataFrame, parent: int, side: str, sizes: list[int], window: int = 25) -> DataFrame:
+    """(size, n_phased): how many of a parent's sites are in a block of two or more if only the first ``size`` progeny are looked at; one pass for all sizes."""
+    _, votes = parent_links(phased, g, sites, parent, side, window, sizes)
+    best = votes.groupBy("rn").agg(*[best_link(f"net_{n}").alias(f"l{n}") for n in sizes])
+    ends = F.explode(F.flatten(F.array(*[F.when(F.col(f"l{n}").isNotNull(), F.array(*[F.struct(F.lit(n).alias("size"), c.alias("rn")) for c in (F.col("rn"), F.col(f"l{n}.prev"))])).otherwise(F.array().cast("array<struct<size:int,rn:bigint>>")) for n in sizes])))
+    found = best.select(ends.alias("e")).select("e.*").distinct().groupBy("size").agg(F.count("*").alias("n_phased"))
+    every = g.sparkSession.createDataFrame([(n,) for n in sizes], "size int")
+    return every.join(found, "size", "left").select("size", F.coalesce("n_phased", F.lit(0).cast("long")).alias("n_phased"))

@@ -131,18 +131,24 @@ def _fasta(t):
     path = f"{shared_dir(t.spark)}/fasta"
     wrapped = F.regexp_replace("seq", "(.{60})", "$1\n")
     t.fx_seqs.select(F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit(" about\n"), wrapped)).write.text(path)
-    return S.scan_fasta(t.spark, path)
+    return path
 
 
 @C.query("scan_fasta", "SELECT 's' || CAST(seq_id AS VARCHAR) AS contig, seq, CAST(length(seq) AS INTEGER) AS contig_len FROM fx_seqs")
 def _(t):
-    return _fasta(t)
+    return S.scan_fasta(t.spark, _fasta(t))
+
+
+@C.query("fasta_pieces", "WITH k AS (SELECT seq_id, seq, unnest(range(CAST(ceil(length(seq) / 60.0) AS BIGINT))) * 60 AS off FROM fx_seqs WHERE length(seq) > 0), b AS (SELECT seq_id, seq, CAST(min(off) AS BIGINT) AS start, max(off) + 60 AS stop FROM k GROUP BY seq_id, seq, off // 1000) SELECT 's' || CAST(seq_id AS VARCHAR) AS contig, start, substr(seq, CAST(start + 1 AS INT), CAST(stop - start AS INT)) AS seq FROM b")
+def _(t):
+    return S.scan_fasta_pieces(t.spark, _fasta(t), 1000).select("contig", "start", "seq")
 
 
 @C.query("region_slice", "SELECT 's' || CAST(seq_id AS VARCHAR) AS contig, substr(seq, 11, 20) AS seq FROM fx_seqs")
 def _(t):
-    g = _fasta(t)
-    return S.region_slice(g, g.select("contig", F.lit(10).alias("start"), F.lit(30).alias("stop"))).select("contig", "seq")
+    path = _fasta(t)
+    regions = t.fx_seqs.select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("contig"), F.lit(10).alias("start"), F.lit(30).alias("stop"))
+    return S.region_slice(S.scan_fasta_pieces(t.spark, path), regions).select("contig", "seq")
 
 
 @C.query("scan_gtf", "SELECT 'c' || CAST(contig_ord AS VARCHAR) AS chrom, start_pos AS start, stop_pos AS stop, strand, 'G' || CAST(gene_id AS VARCHAR) AS name, biotype FROM fx_genes WHERE gene_id % 4 <> 0")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from popweave.functions.ordering import running_sum
 from popweave.operators import junctions as J
 from popweave.operators import reads as R
 from popweave.plans.fixtures import Catalog
@@ -24,14 +25,16 @@ def found(t):
     return J.junctions(R.filter_sv_reads(t.fx_reads))
 
 
-def genome(t):
-    """A reference of 30,000 made-up bases per contig."""
-    i = F.sequence(F.lit(0), F.lit(29_999))
-    letter = lambda x: F.substring(F.lit("ACGT"), (1 + (x * 7 + F.floor(x / 3) + F.col("contig_ord")) % 4).cast("int"), F.lit(1))
-    return t.fx_contigs.select("contig_ord", F.array_join(F.transform(i, letter), "").alias("seq"))
+def reference(t):
+    """Contigs made of all documents' sequences in order of their ids, in pieces: places are summed over narrow rows, texts join afterwards."""
+    s = t.fx_seqs.withColumn("contig_ord", F.col("seq_id") % 22)
+    at = running_sum(s.select("contig_ord", "seq_id", F.length("seq").cast("long").alias("n")), ["contig_ord", "seq_id"], "n", "upto").withColumn("start", F.col("upto") - F.col("n"))
+    first = at.groupBy("contig_ord").agg(F.min("start").alias("_first"))  # a row per contig
+    at = at.join(F.broadcast(first), "contig_ord").select("seq_id", (F.col("start") - F.col("_first")).alias("start"))
+    return s.join(at, "seq_id").select("contig_ord", "start", "seq")
 
 
-GENOME = "ge AS (SELECT contig_ord, string_agg(substr('ACGT', CAST(1 + (x * 7 + CAST(floor(x / 3) AS BIGINT) + contig_ord) % 4 AS INT), 1), '' ORDER BY x) AS g FROM fx_contigs CROSS JOIN range(0, 30000) r(x) GROUP BY contig_ord)"
+GENOME = "ge AS (SELECT seq_id % 22 AS contig_ord, string_agg(seq, '' ORDER BY seq_id) AS g FROM fx_seqs GROUP BY 1)"
 
 
 @C.query("junctions", W + f"SELECT qname, {KEY} FROM j")
@@ -55,10 +58,10 @@ def _(t):
 
 
 @C.query("long_event_alleles", W[:-1] + f""", {GENOME}, n AS (SELECT {KEY} FROM j WHERE type <> 'cf' GROUP BY {KEY} HAVING count(*) >= 3),
-x AS (SELECT c1, p1, type, ins, substr(g, CAST(p1 + 1 AS INT), CAST(p2 - p1 AS INT)) AS part, substr(g, CAST(p1 + 1 AS INT), 1) AS base FROM n JOIN ge ON ge.contig_ord = c1 WHERE p2 - p1 >= 100 AND p1 >= 0)
+x AS (SELECT c1, p1, type, ins, substr(g, CAST(p1 + 1 AS INT), CAST(p2 - p1 AS INT)) AS part, substr(g, CAST(p1 + 1 AS INT), 1) AS base FROM n LEFT JOIN ge ON ge.contig_ord = c1 WHERE p2 - p1 >= 100 AND p1 >= 0)
 SELECT DISTINCT c1 AS contig_ord, p1 AS pos, type, CASE WHEN type = 'dup' THEN base ELSE part END AS ref, CASE type WHEN 'del' THEN base || ins WHEN 'dup' THEN base || part ELSE reverse(translate(part, 'ACGTN', 'TGCAN')) END AS alt FROM x""")
 def _(t):
-    return J.long_event_alleles(J.junction_counts(found(t)), genome(t), 3, 100)
+    return J.long_event_alleles(J.junction_counts(found(t)), reference(t), 3, 100)
 
 
 @C.query("private_junctions", W + f"SELECT {KEY}, count(*) AS n_in, CAST(0 AS BIGINT) AS n_out FROM j GROUP BY {KEY} HAVING count(*) FILTER (sample_idx < 5) > 1 AND count(*) FILTER (sample_idx >= 5) = 0")
@@ -71,6 +74,12 @@ def _(t):
     return J.segregating_deletions(found(t), 1, [1, 3], [0, 2], 80, 400, 1)
 
 
+@C.query("marked_deletions", W[:-1] + f", {GENOME}, n AS (SELECT {KEY}, count(*) AS n_seed FROM j WHERE type = 'del' AND ins = '' AND p2 - p1 > 80 AND p2 - p1 < 400 AND sample_idx = 1 GROUP BY {KEY}) SELECT c1, p1, p2, n_seed, CASE WHEN g IS NULL THEN '[]' ELSE substr(g, CAST(greatest(p1 - 400, 0) + 1 AS INT), CAST(p1 - greatest(p1 - 400, 0) AS INT)) || '[' || substr(g, CAST(p1 + 1 AS INT), CAST(p2 - p1 AS INT)) || ']' || substr(g, CAST(p2 + 1 AS INT), 400) END AS context FROM n LEFT JOIN ge ON ge.contig_ord = c1")
+def _(t):
+    d = J.segregating_deletions(found(t), 1, [1], [], 80, 400, 1)
+    return J.with_marked_segment(d, reference(t)).select("c1", "p1", "p2", "n_seed", "context")
+
+
 @C.query("set_difference", W + f"SELECT {KEY}, count(*) AS n FROM j x WHERE sample_idx < 8 AND NOT EXISTS (SELECT 1 FROM j y WHERE y.sample_idx >= 8 AND y.c1 = x.c1 AND y.p1 = x.p1 AND y.d1 = x.d1 AND y.c2 = x.c2 AND y.p2 = x.p2 AND y.d2 = x.d2 AND y.ins = x.ins AND y.type = x.type) GROUP BY {KEY} HAVING count(*) > 2")
 def _(t):
     j = found(t)
@@ -88,29 +97,21 @@ def _(t):
 
 
 def events(t):
-    e = t.fx_contigs.select("contig_ord", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
-    start = 1000 + F.col("i") * 3000
-    return e.select((F.col("contig_ord") * 6 + F.col("i")).alias("event"), "contig_ord", start.alias("start"), (start + 60 + F.col("i") * 100).alias("stop"), F.get(F.array(F.lit("del"), F.lit("dup"), F.lit("inv")), F.col("i") % 3).alias("kind"))
+    """Junctions within a contig that at least two reads show, of at most 1000 bases."""
+    at = [F.col(c).cast("string") for c in ("c1", "p1", "p2")]
+    e = J.junction_counts(found(t)).where("n >= 2 and type <> 'cf' and p1 >= 50 and p2 >= p1 and p2 - p1 <= 1000")
+    return e.select(F.concat(at[0], F.lit(":"), at[1], F.lit("-"), at[2], "type").alias("event"), F.col("c1").alias("contig_ord"), F.col("p1").alias("start"), F.col("p2").alias("stop"), F.col("type").alias("kind")).distinct()
 
 
-EVENTS = "ev AS (SELECT contig_ord * 6 + i AS event, contig_ord, 1000 + i * 3000 AS start, 1000 + i * 3000 + 60 + i * 100 AS stop, CASE i % 3 WHEN 0 THEN 'del' WHEN 1 THEN 'dup' ELSE 'inv' END AS kind FROM fx_contigs CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(i))"
+EVENTS = f"n2 AS (SELECT {KEY} FROM j WHERE type <> 'cf' AND p1 >= 50 AND p2 >= p1 AND p2 - p1 <= 1000 GROUP BY {KEY} HAVING count(*) >= 2), ev AS (SELECT DISTINCT CAST(c1 AS VARCHAR) || ':' || CAST(p1 AS VARCHAR) || '-' || CAST(p2 AS VARCHAR) || type AS event, c1 AS contig_ord, p1 AS start, p2 AS stop, type AS kind FROM n2)"
 
 
-@C.query("reads_at_breakpoint", f"WITH e AS (SELECT *, pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_end FROM fx_reads), {EVENTS} SELECT event, qname, max(e.pos) AS pos FROM e JOIN ev ON e.contig_ord = ev.contig_ord AND ((pos - 5 < start AND ref_end > start) OR (pos - 5 < stop AND ref_end > stop)) GROUP BY event, qname")
+@C.query("reads_at_breakpoint", W[:-1] + f", e AS (SELECT *, pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_end FROM fx_reads), {EVENTS} SELECT event, qname, max(e.pos) AS pos FROM e JOIN ev ON e.contig_ord = ev.contig_ord AND ((pos - 5 < start AND ref_end > start) OR (pos - 5 < stop AND ref_end > stop)) GROUP BY event, qname")
 def _(t):
     return J.reads_at_breakpoint(t.fx_reads, events(t)).select("event", "qname", "pos")
 
 
-def reference(t):
-    """Contigs made of all documents' sequences in order of their ids, in parts."""
-    from pyspark.sql import Window as W
-
-    s = t.fx_seqs.withColumn("contig_ord", F.col("seq_id") % 22)
-    before = W.partitionBy("contig_ord").orderBy("seq_id").rowsBetween(W.unboundedPreceding, -1)
-    return s.select("contig_ord", F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0)).alias("start"), "seq")
-
-
-@C.query("allele_context", W[:-1] + """, ge AS (SELECT seq_id % 22 AS contig_ord, string_agg(seq, '' ORDER BY seq_id) AS g FROM fx_seqs GROUP BY 1),
+@C.query("allele_context", W[:-1] + f""", {GENOME},
 ev AS (SELECT DISTINCT CAST(c1 AS VARCHAR) || ':' || CAST(p1 AS VARCHAR) || '-' || CAST(p2 AS VARCHAR) || type AS event, c1 AS contig_ord, p1 AS start, p2 AS stop, type AS kind FROM j WHERE type <> 'cf' AND p1 >= 50 AND p2 >= p1),
 x AS (SELECT *, substr(g, CAST(start - 49 AS INT), 50) AS l, substr(g, CAST(start + 1 AS INT), CAST(stop - start + 1 AS INT)) AS m, substr(g, CAST(stop + 2 AS INT), 50) AS r FROM ev JOIN ge ON ge.contig_ord = ev.contig_ord),
 y AS (SELECT *, reverse(translate(m, 'ACGTN', 'TGCAN')) AS v, kind = 'inv' AND stop - start > 150 AS long FROM x)
@@ -125,17 +126,23 @@ def _(t):
 _MERS = "list_distinct(list_transform(range(1, length({0}) - 13), lambda i: substr({0}, CAST(i AS INT), 15)))"
 
 
-@C.query("genotype_by_support", f"""WITH {GENOME}, {EVENTS}, x AS (SELECT *, substr(g, start - 49, 50) AS l, substr(g, start + 1, stop - start + 1) AS m, substr(g, stop + 2, 50) AS r FROM ev JOIN ge ON ge.contig_ord = ev.contig_ord),
-y AS (SELECT *, reverse(translate(m, 'ACGTN', 'TGCAN')) AS v, kind = 'inv' AND stop - start > 150 AS long FROM x),
-al AS (SELECT event, contig_ord, start, stop, CASE WHEN long THEN l || left(m, 100) || right(m, 100) || r ELSE l || m || r END AS ref_seq, CASE WHEN kind = 'del' THEN l || r WHEN kind = 'dup' THEN l || m || m || r WHEN long THEN l || left(v, 100) || right(v, 100) || r ELSE l || v || r END AS alt_seq FROM y),
+@C.query("genotype_by_support", W[:-1] + f""", {GENOME}, {EVENTS}, ex AS (SELECT *, substr(g, CAST(start - 49 AS INT), 50) AS l, substr(g, CAST(start + 1 AS INT), CAST(stop - start + 1 AS INT)) AS m, substr(g, CAST(stop + 2 AS INT), 50) AS r FROM ev JOIN ge ON ge.contig_ord = ev.contig_ord),
+ey AS (SELECT *, reverse(translate(m, 'ACGTN', 'TGCAN')) AS v, kind = 'inv' AND stop - start > 150 AS long FROM ex),
+al AS (SELECT event, contig_ord, start, stop, CASE WHEN long THEN l || left(m, 100) || right(m, 100) || r ELSE l || m || r END AS ref_seq, CASE WHEN kind = 'del' THEN l || r WHEN kind = 'dup' THEN l || m || m || r WHEN long THEN l || left(v, 100) || right(v, 100) || r ELSE l || v || r END AS alt_seq FROM ey),
 ak AS (SELECT *, {_MERS.format('ref_seq')} AS rk, {_MERS.format('alt_seq')} AS bk FROM al),
-e AS (SELECT *, pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_end, {_MERS.format('seq')} AS k FROM fx_reads WHERE NOT is_secondary AND mapq > 10),
-d AS (SELECT event, sample_idx, len(list_intersect(k, rk)) - len(list_intersect(k, bk)) AS d FROM e JOIN ak ON e.contig_ord = ak.contig_ord AND ((pos - 5 < start AND ref_end > start) OR (pos - 5 < stop AND ref_end > stop))),
-n AS (SELECT event, sample_idx, count(*) FILTER (d > 10) AS ref_reads, count(*) FILTER (d < -10) AS alt_reads, count(*) FILTER (abs(d) <= 10) AS ambiguous FROM d GROUP BY 1, 2)
-SELECT *, CASE WHEN ref_reads = 0 AND alt_reads = 0 THEN './.' WHEN ref_reads > 4 * alt_reads THEN '0/0' WHEN ref_reads < alt_reads / 4.0 THEN '1/1' ELSE '0/1' END AS gt FROM n""")
+re AS (SELECT *, pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_end, {_MERS.format('seq')} AS k FROM fx_reads WHERE NOT is_secondary AND mapq > 10),
+df AS (SELECT event, sample_idx, len(list_intersect(k, rk)) - len(list_intersect(k, bk)) AS d FROM re e JOIN ak ON e.contig_ord = ak.contig_ord AND ((pos - 5 < start AND ref_end > start) OR (pos - 5 < stop AND ref_end > stop))),
+gn AS (SELECT event, sample_idx, count(*) FILTER (d > 10) AS ref_reads, count(*) FILTER (d < -10) AS alt_reads, count(*) FILTER (abs(d) <= 10) AS ambiguous FROM df GROUP BY 1, 2)
+SELECT *, CASE WHEN ref_reads = 0 AND alt_reads = 0 THEN './.' WHEN ref_reads > 4 * alt_reads THEN '0/0' WHEN ref_reads < alt_reads / 4.0 THEN '1/1' ELSE '0/1' END AS gt FROM gn""")
+def _(t):
+    e = events(t)
+    return J.genotype_by_support(J.reads_at_breakpoint(t.fx_reads, e), J.allele_context(e, reference(t)))
+
+
+@C.query("genotype_by_alignment")
 def _(t):
     e = events(t)
-    return J.genotype_by_support(J.reads_at_breakpoint(t.fx_reads, e), J.allele_context(e, genome(t)))
+    return J.genotype_by_alignment(J.reads_at_breakpoint(t.fx_reads, e), J.allele_context(e, reference(t)))
 
 
 @C.query("geno_vector", "SELECT site_id, sample_idx, CAST(coalesce(a1, 0) + coalesce(a2, 0) AS INTEGER) AS n FROM fx_genotypes")

@@ -302,6 +302,17 @@ def _(t):
     return K.kmer_best_successor(K.kmer_edges(t.fx_seqs, 9))
 
 
+PATHS = f"{EDGES}, en AS (SELECT src AS node, forward + backward AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, forward + backward FROM ed), wk AS (SELECT node FROM en GROUP BY node HAVING sum(o) <= 2 AND sum(i) <= 2), pr AS (SELECT * FROM ed WHERE src NOT IN (SELECT node FROM wk) AND dst NOT IN (SELECT node FROM wk)), bs AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY forward + backward DESC, dst) AS k FROM pr) q WHERE k = 1)"
+
+
+@C.query("kmer_paths", f"""WITH RECURSIVE {PATHS},
+wa AS (SELECT DISTINCT src AS node, src AS at, 0 AS steps, src AS seq FROM pr WHERE src NOT IN (SELECT dst FROM pr)
+ UNION ALL SELECT node, dst, steps + 1, seq || right(dst, 1) FROM wa JOIN bs ON bs.src = wa.at WHERE steps < 2000)
+SELECT node, steps, CASE WHEN steps >= 2000 THEN '' ELSE seq END AS seq FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY steps DESC) AS k FROM wa) q WHERE k = 1""")
+def _(t):
+    return K.kmer_paths(K.kmer_prune(K.kmer_edges(t.fx_seqs, 9)))
+
+
 @C.query("suffix_dedupe", "SELECT seq_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY right(seq, 6) ORDER BY length(seq) DESC, seq, seq_id) AS k FROM fx_seqs) q WHERE k = 1")
 def _(t):
     return K.suffix_dedupe(t.fx_seqs, 6)
@@ -320,7 +331,14 @@ def _(t):
     return one.select("sample_id", K.relabel_tokens("tree", "labels").alias("tree"))
 
 
-@C.query("suppress_overlaps")
+EVENTS = "ev AS (SELECT contig_ord, start, stop, kind, row_number() OVER (PARTITION BY contig_ord ORDER BY start, stop, kind) AS i FROM (SELECT r_ord AS contig_ord, CAST(floor(r_start / 1000) AS BIGINT) AS start, CAST(floor(r_stop / 1000) AS BIGINT) AS stop, CASE WHEN strand = '-' THEN 'inv' ELSE 'del' END AS kind FROM fx_paf) q)"
+NEAR = "(abs(e.start - k.a) <= 5 OR abs(e.stop - k.b) <= 5) AND NOT (e.kind = 'inv' AND k.d <> 'inv')"
+
+
+@C.query("suppress_overlaps", f"""WITH RECURSIVE {EVENTS},
+kp AS (SELECT contig_ord, i, start AS a, stop AS b, kind AS d, true AS kept FROM ev WHERE i = 1
+ UNION ALL SELECT e.contig_ord, e.i, CASE WHEN {NEAR} THEN k.a ELSE e.start END, CASE WHEN {NEAR} THEN k.b ELSE e.stop END, CASE WHEN {NEAR} THEN k.d ELSE e.kind END, NOT ({NEAR}) FROM kp k JOIN ev e ON e.contig_ord = k.contig_ord AND e.i = k.i + 1)
+SELECT contig_ord, a AS start, b AS stop, d AS kind FROM kp WHERE kept""")
 def _(t):
     e = t.fx_paf.select(F.col("r_ord").alias("contig_ord"), F.floor(F.col("r_start") / 1000).alias("start"), F.floor(F.col("r_stop") / 1000).alias("stop"), F.when(F.col("strand") == "-", "inv").otherwise("del").alias("kind"))
     return K.suppress_overlaps(e)

@@ -211,17 +211,35 @@ def _(t):
     return V.phase_progeny(t.fx_genotypes, 0, 1).groupBy("sample_idx").agg(F.count_if(F.col("status") == "phased").alias("n_phased"))
 
 
-@C.query("phase_parents", f"""WITH {_TRIO}, h AS (SELECT s.site_id, contig_ord, pos, lag(s.site_id) OVER w AS prev FROM fx_sites s JOIN fx_genotypes g ON g.site_id = s.site_id AND sample_idx = 0 AND a1 <> a2 WINDOW w AS (PARTITION BY contig_ord ORDER BY pos, s.site_id)),
-mt AS (SELECT site_id, sample_idx, CASE WHEN one THEN a1 ELSE a2 END AS a FROM s WHERE status = 'phased'),
-tu AS (SELECT h.site_id, CAST(sum(CASE WHEN x.a = y.a THEN 1 ELSE -1 END) < 0 AS INTEGER) AS turn FROM h JOIN mt x ON x.site_id = h.site_id JOIN mt y ON y.site_id = h.prev AND y.sample_idx = x.sample_idx GROUP BY 1),
-k2 AS (SELECT h.site_id, contig_ord, sum(CASE WHEN turn IS NULL THEN 1 ELSE 0 END) OVER w AS block, sum(coalesce(turn, 0)) OVER w AS total, pos FROM h LEFT JOIN tu ON tu.site_id = h.site_id WINDOW w AS (PARTITION BY contig_ord ORDER BY pos, h.site_id)),
-k3 AS (SELECT *, first_value(total) OVER (PARTITION BY contig_ord, block ORDER BY pos, site_id) AS base FROM k2)
-SELECT site_id, CAST(block AS BIGINT) AS block, CAST((total - base) % 2 AS INTEGER) AS "left", CAST(1 - (total - base) % 2 AS INTEGER) AS "right" FROM k3""")
+_HET = f"""{_TRIO}, h AS (SELECT s.site_id, contig_ord, row_number() OVER (ORDER BY contig_ord, pos, s.site_id) AS rn FROM fx_sites s JOIN fx_genotypes g ON g.site_id = s.site_id AND sample_idx = 0 AND a1 <> a2),
+mt AS (SELECT rn, contig_ord, sample_idx, dense_rank() OVER (ORDER BY sample_idx) AS place, CASE WHEN status = 'phased' THEN CASE WHEN one THEN a1 ELSE a2 END END AS a FROM s JOIN h ON h.site_id = s.site_id),
+vt AS (SELECT x.rn, y.rn AS prev, x.place, CASE WHEN x.a = y.a THEN 1 ELSE -1 END AS v FROM mt x JOIN mt y ON y.contig_ord = x.contig_ord AND y.sample_idx = x.sample_idx AND y.rn BETWEEN x.rn - 25 AND x.rn - 1 WHERE x.a IS NOT NULL AND y.a IS NOT NULL)"""
+
+
+@C.query("phase_parents", f"""WITH RECURSIVE {_HET},
+nt AS (SELECT rn, prev, sum(v) AS net FROM vt GROUP BY 1, 2),
+lk AS (SELECT rn, prev, sign(net) AS sg FROM (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY abs(net) DESC, prev DESC) AS k FROM nt WHERE net <> 0) q WHERE k = 1),
+ro AS (SELECT site_id, contig_ord, rn, row_number() OVER (PARTITION BY contig_ord ORDER BY rn) AS block FROM h WHERE rn NOT IN (SELECT rn FROM lk)),
+tr AS (SELECT rn, block, 1 AS sg FROM ro UNION ALL SELECT lk.rn, block, CAST(tr.sg * lk.sg AS INTEGER) FROM tr JOIN lk ON lk.prev = tr.rn)
+SELECT site_id, CAST(block AS BIGINT) AS block, CAST(sg < 0 AS INTEGER) AS "left", CAST(sg > 0 AS INTEGER) AS "right" FROM tr JOIN h ON h.rn = tr.rn""")
 def _(t):
     g = t.fx_genotypes
     return V.phase_parents(V.phase_progeny(g, 0, 1), g, t.fx_sites, 0, "maternal")
 
 
+SUBSETS = list(range(1, 25))
+
+
+@C.query("phase_subsets", f"""WITH {_HET}, sz AS (SELECT CAST(unnest(range(1, 25)) AS INTEGER) AS size),
+nt AS (SELECT size, rn, prev, sum(v) AS net FROM vt JOIN sz ON place <= size GROUP BY 1, 2, 3),
+lk AS (SELECT size, rn, prev FROM (SELECT *, row_number() OVER (PARTITION BY size, rn ORDER BY abs(net) DESC, prev DESC) AS k FROM nt WHERE net <> 0) q WHERE k = 1),
+en AS (SELECT size, rn FROM lk UNION SELECT size, prev FROM lk)
+SELECT sz.size, count(en.rn) AS n_phased FROM sz LEFT JOIN en ON en.size = sz.size GROUP BY sz.size""")
+def _(t):
+    g = t.fx_genotypes
+    return V.phase_subsets(V.phase_progeny(g, 0, 1), g, t.fx_sites, 0, "maternal", SUBSETS)
+
+
 _FST = f"{AC}, fs AS (SELECT site_id, 1 - (r0 * (r0 - 1) + x0 * (x0 - 1)) / nullif(n0 * (n0 - 1), 0) AS d0, 1 - (r1 * (r1 - 1) + x1 * (x1 - 1)) / nullif(n1 * (n1 - 1), 0) AS d1, 1 - (r0 * r1 + x0 * x1) / nullif(n0 * n1, 0) AS b FROM (SELECT site_id, CAST(max(ref) FILTER (pop = '{{0}}') AS DOUBLE) AS r0, CAST(max(alt) FILTER (pop = '{{0}}') AS DOUBLE) AS x0, CAST(max(n) FILTER (pop = '{{0}}') AS DOUBLE) AS n0, CAST(max(ref) FILTER (pop = '{{1}}') AS DOUBLE) AS r1, CAST(max(alt) FILTER (pop = '{{1}}') AS DOUBLE) AS x1, CAST(max(n) FILTER (pop = '{{1}}') AS DOUBLE) AS n1 FROM ac WHERE pop IN ('{{0}}', '{{1}}') GROUP BY site_id)), ft AS (SELECT site_id, (b - (d0 + d1) / 2) / nullif(b, 0) AS fst FROM fs)"
 
 

@@ -103,18 +103,58 @@ def scan_fastq_pair(spark: SparkSession, first: str, second: str) -> DataFrame:
     return a.join(b, "record_no").select("record_no", F.col("name1").alias("name"), "seq1", "qual1", "seq2", "qual2")
 
 
+def _fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head, contig, start, value): sequence lines with the place of their contig's header line and of their first letter in the contig; a header has value null.
+
+    Files are split anywhere. Within a split, lines are numbered and their letters summed; a table of one row per split
+    carries the last header and the letters since then into the splits that follow.
+    """
+    value = F.trim(F.regexp_replace("value", r"\s", " "))
+    head = F.when(F.col("value").startswith(">"), F.struct(F.col("_id").alias("id"), F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("name")))
+    rows = spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    rows = rows.where("value <> ''").withColumn("_head", head).withColumn("value", F.when(F.col("_head").isNull(), F.replace("value", F.lit(" "), F.lit(""))))
+    inside = W.partitionBy("file", "_b").orderBy("_id")
+    rows = rows.withColumns({"_last": F.last("_head", ignorenulls=True).over(inside), "_upto": F.sum(F.coalesce(F.length("value"), F.lit(0)).cast("long")).over(inside)})
+    rows = rows.withColumn("_since", F.col("_upto") - F.coalesce(F.max(F.when(F.col("_head").isNotNull(), F.col("_upto"))).over(inside), F.lit(0)))
+    splits = rows.groupBy("file", "_b").agg(F.max_by("_last", "_id").alias("_l"), F.max_by("_since", "_id").alias("_n"))
+    before = W.partitionBy("file").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row per split of a file
+    splits = splits.withColumns({"_carried": F.last("_l", ignorenulls=True).over(before), "_k": F.count("_l").over(W.partitionBy("file").orderBy("_b"))})
+    # letters since the last header: those of the splits of the same run, which begins with the split that has a header
+    runs = W.partitionBy("file", "_k").orderBy("_b")
+    splits = splits.withColumn("_sum", F.sum("_n").over(runs))
+    splits = splits.select("file", "_b", "_carried", F.coalesce(F.lag("_sum").over(W.partitionBy("file").orderBy("_b")), F.lit(0)).alias("_offset"))
+    rows = rows.join(F.broadcast(splits), ["file", "_b"])  # a row per split
+    own = F.coalesce("_last", "_carried")
+    start = F.col("_since") - F.length("value") + F.when(F.col("_last").isNull(), F.col("_offset")).otherwise(F.lit(0))
+    return rows.where(own.isNotNull()).select("file", own["id"].alias("head"), own["name"].alias("contig"), start.alias("start"), "value")
+
+
+def scan_fasta_pieces(spark: SparkSession, path: str, width: int = 10_000) -> DataFrame:
+    """(file, head, contig, start, seq): contigs in pieces of about ``width`` letters, whatever their length; ``head`` tells contigs of one name apart.
+
+    A piece begins with the first line that begins in a stretch of ``width`` letters; longer lines are cut.
+    """
+    lines = _fasta_lines(spark, path).where("value is not null")
+    cut = lines.select("file", "head", "contig", "start", F.posexplode(F.regexp_extract_all("value", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("_i", "value"))
+    cut = cut.withColumn("start", F.col("start") + F.col("_i") * width)
+    parts = F.array_sort(F.collect_list(F.struct("start", "value")))  # lines of one stretch
+    out = cut.groupBy("file", "head", "contig", F.floor(F.col("start") / width).alias("_k")).agg(F.min("start").alias("start"), F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("seq"))
+    return out.drop("_k")
+
+
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, seq, contig_len) of FASTA text with wrapped lines."""
-    text = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    return text.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), seq.alias("seq")).withColumn("contig_len", F.length("seq"))
+    """(contig, seq, contig_len) of FASTA text with wrapped lines: a row per contig, of at most 2 GB; ``scan_fasta_pieces`` has no such bound."""
+    heads = _fasta_lines(spark, path).where("value is null").select("file", "head", "contig")
+    parts = F.array_sort(F.collect_list(F.struct("start", "seq")))
+    seqs = scan_fasta_pieces(spark, path).groupBy("file", "head").agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
+    return heads.join(seqs, ["file", "head"], "left").select("contig", F.coalesce("seq", F.lit("")).alias("seq")).withColumn("contig_len", F.length("seq"))
 
 
 def region_slice(genome: DataFrame, regions: DataFrame) -> DataFrame:
-    """regions (contig, start, stop; 0-based, half open) with their sequence."""
+    """regions (contig, start, stop; 0-based, half open) with their sequence, from whole contigs or pieces (with start) of them."""
     from popweave.operators.intervals import cut_regions
 
-    return cut_regions(genome.select("contig", "seq"), regions, "contig")
+    return cut_regions(genome.select("contig", "seq", *[c for c in ("start",) if c in genome.columns]), regions, "contig")
 
 
 def scan_gtf(spark: SparkSession, path: str) -> DataFrame:
