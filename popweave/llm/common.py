@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
+import pickle
 import shutil
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +44,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/popweave-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` where the session has Spark's own setting: whole texts make large rows."""
-    if spark.conf.get(BATCH) == "10000":
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_ROWS`` for what runs inside, where the session has Spark's own setting: whole texts make large rows."""
+    before = spark.conf.get(BATCH)
+    if before == "10000":
         spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shipped:
+    """A value of bounded size that tasks share, broadcast as bytes that also hold its class: executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed, self.key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        """The value; a worker process keeps the last one that it unpacked."""
+        kept = vars(sys.modules.setdefault("_popweave_shipped", ModuleType("_popweave_shipped")))
+        if kept.get("of") != self.key:
+            kept["of"], kept["value"] = None, None
+            kept["value"], kept["of"] = pickle.loads(self.packed.value), self.key
+        return kept["value"]
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path in it) of a URI; usable inside tasks."""
     from pyarrow import fs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm.common import compact, hash_strings, lean, mix64, slices, stored, text_of, words_of
+from popweave.llm.common import Shipped, compact, hash_strings, lean, mix64, slices, stored, text_of, words_of
 
 #: Masks with 5 places that count; words at the places marked 0 are ignored.
 MASKS = ("11111", "110111", "1010010101")
@@ -187,7 +187,7 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WO
     out = None
     for k in range(n):
         rows = items.where(part == k).collect()  # about half of slice_words
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows]))
+        index = Shipped(spark, Index([r.item_id for r in rows], [r.text for r in rows]))
         here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), F.xxhash64(text_of(docs)).alias("h")).mapInArrow(_finder(index), schema)
         out = here if out is None else out.unionByName(here)
     return out

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.llm.common import compact, free_name, lean, slices, stored, text_of, words_of
+from popweave.llm.common import Shipped, compact, free_name, lean, slices, stored, text_of, words_of
 
 SPAN, DECAY = 6, 0.7
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -338,13 +338,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     negative = [r.unit for r in pool.orderBy(F.xxhash64("unit"), "unit").limit(FIRST_CLEAN).collect()]  # where the working set begins
     while True:
         model = _machine(positive, negative, support)
-        over = pool.mapInArrow(_rate(docs.sparkSession.sparkContext.broadcast(model)), "unit string, margin double").where(F.col("margin") > SLACK - 1)
+        over = pool.mapInArrow(_rate(Shipped(docs.sparkSession, model)), "unit string, margin double").where(F.col("margin") > SLACK - 1)
         used = set(negative)
         more = [r.unit for r in over.orderBy(F.desc("margin"), "unit").select("unit").collect() if r.unit not in used]
         if not more:
             break
         negative = [*more, *negative]
-    rows = sample.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), "toxic int, margin double").collect()  # two numbers per text of the sample
+    rows = sample.mapInArrow(_judge(Shipped(docs.sparkSession, model)), "toxic int, margin double").collect()  # two numbers per text of the sample
     margin, y = np.array([r.margin for r in rows]), np.array([r.toxic for r in rows], float)
     model.slope, model.shift = _platt(margin, y, np.where(y == 1, total[1] / got[1], total[0] / got[0]))
     return model
@@ -374,7 +374,7 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score", predicted
     docs = docs.drop(score, predicted)
     if model is None:
         return docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights of the landmarks' subsequences, whatever the input
+    shared = Shipped(docs.sparkSession, model)  # the weights of the landmarks' subsequences, whatever the input
     at, names = docs.columns.index("text"), [*docs.columns, score, predicted]
 
     @lean
