@@ -174,6 +174,12 @@ def hist_proportion(df: DataFrame, value: str, hue: str, high: float, bins: int
     return n.withColumn("proportion", F.col("n") / F.sum("n").over(W.partitionBy(hue)))
 
 
+def hist_density(df: DataFrame, value: str, hue: str, width: float = 0.1) -> DataFrame:
+    """(hue, bin, n, density): bins of ``width`` from 0 on (bin k: k * width to (k + 1) * width), shares per hue divided by the width; nulls are left out."""
+    n = df.where(F.col(value).isNotNull()).groupBy(F.col(hue), F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
+    return n.withColumn("density", F.col("n") / (F.sum("n").over(W.partitionBy(hue)) * width))
+
+
 def _smooth(places: DataFrame, key: list[str], value: str, width: int) -> DataFrame:
     """places (``key``, _at, value) with the mean over _at - width/2 ... _at + width/2 - 1: blocks of 100 * width places, each with those around it."""
     half, size = width // 2, 100 * width

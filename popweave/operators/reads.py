@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,10 +20,26 @@ def reverse_complement(seq: str | Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTN", "TGCAN"))
 
 
+def _byte_sums(quals: pa.Array) -> pa.Array:
+    """The sum of character code - 33 of each string, read off running sums over all bytes; null for null."""
+    quals = quals.cast(pa.large_binary())
+    _, offsets, data = quals.buffers()
+    n = len(quals)
+    ends = np.frombuffer(offsets, np.int64)[quals.offset : quals.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and n else np.zeros(0, np.uint8)
+    upto = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
+    sums = upto[ends[1:] - ends[0]] - upto[ends[:-1] - ends[0]] - 33 * np.diff(ends)
+    return pa.array(sums, mask=quals.is_null().to_numpy(zero_copy_only=False))
+
+
+def quality_sum(qual: str | Column) -> Column:
+    """Summed qualities of a text of ASCII characters from 33 on, by Arrow batches; null for null."""
+    return F.arrow_udf(_byte_sums, "bigint")(qual)
+
+
 def mean_phred(qual: str | Column) -> Column:
     """Mean of character code - 33; null for an empty string."""
-    total = F.aggregate(F.regexp_extract_all(qual, F.lit("(?s)."), F.lit(0)), F.lit(0), lambda a, c: a + F.ascii(c) - 33)
-    return F.try_divide(total, F.length(qual))
+    return F.try_divide(quality_sum(qual), F.length(qual))
 
 
 def cigar_ops(cigar: str | Column) -> Column:
@@ -67,12 +88,12 @@ def filter_nonempty_pairs(pairs: DataFrame) -> DataFrame:
     return kept.withColumns({"name1": F.concat("name", F.lit(" 1:N:0:2")), "name2": F.concat("name", F.lit(" 2:N:0:2"))})
 
 
-def _clip_quality() -> Column:
-    """Mean quality of the soft clip at the first, else the last operation, if over 5 bases; else null."""
+def _clip() -> Column:
+    """The qualities of the soft clip at the first, else the last operation, if over 5 bases; else null."""
     front = F.regexp_extract("cigar", r"^([0-9]+)S", 1)
     back = F.regexp_extract("cigar", r"([0-9]+)S$", 1)
     n, m = front.try_cast(_INT), back.try_cast(_INT)
-    return F.when(n > 5, mean_phred(F.substring("qual", F.lit(1), n))).when(n.isNull() & (m > 5), mean_phred(F.expr("right(qual, cast(regexp_extract(cigar, '([0-9]+)S$', 1) as int))")))
+    return F.when(n > 5, F.substring("qual", F.lit(1), n)).when(n.isNull() & (m > 5), F.expr("right(qual, cast(regexp_extract(cigar, '([0-9]+)S$', 1) as int))"))
 
 
 def read_classes() -> Column:
@@ -88,9 +109,10 @@ def read_classes() -> Column:
 
 
 def classify_reads(reads: DataFrame) -> DataFrame:
-    """One row per read and class."""
-    q = reads.withColumns({"phred": F.when(F.col("is_unmapped"), mean_phred("qual")), "clip_quality": F.when(~F.col("is_unmapped"), _clip_quality())})
-    return q.withColumn("class", F.explode(read_classes())).drop("phred", "clip_quality")
+    """One row per read and class. A read's quality is that of the whole where it is unmapped, else that of its clip: one sum each."""
+    q = reads.withColumn("_part", F.when(F.col("is_unmapped"), F.col("qual")).otherwise(_clip()))
+    q = q.withColumn("_mean", mean_phred("_part")).withColumns({"phred": F.when(F.col("is_unmapped"), F.col("_mean")), "clip_quality": F.when(~F.col("is_unmapped"), F.col("_mean"))})
+    return q.withColumn("class", F.explode(read_classes())).drop("phred", "clip_quality", "_part", "_mean")
 
 
 def category_counts(classified: DataFrame, key: str, classes: list[str]) -> DataFrame:
@@ -108,19 +130,43 @@ def _walk() -> Column:
     return F.aggregate(cigar_ops("cigar"), start, step)["out"]
 
 
-def aligned_bases(reads: DataFrame) -> DataFrame:
-    """(all columns of reads, ref_pos, base, after): one row per aligned base; after names an insertion or deletion behind it.
+def aligned_blocks(reads: DataFrame) -> DataFrame:
+    """(contig_ord, start, seq, after): the runs of aligned bases of all reads; after names an insertion or deletion behind the run.
 
     The walk over the CIGAR is a running sum of the reference and read lengths of its operations.
     """
-    blocks = reads.withColumn("_ops", _walk())
-    blocks = blocks.select("*", F.posexplode("_ops").alias("_i", "_b")).where("_b.op in ('M', '=', 'X') and _b.len > 0")
+    blocks = reads.select("contig_ord", "pos", "seq", _walk().alias("_ops")).select("contig_ord", "pos", "seq", F.posexplode("_ops").alias("_i", "_b"), "_ops").where("_b.op in ('M', '=', 'X') and _b.len > 0")
     nxt = F.get("_ops", F.col("_i") + 1)
     after = F.when(nxt["op"].isin("D", "N"), F.concat(F.lit("-"), nxt["len"].cast("string"))).when(nxt["op"] == "I", F.substring("seq", nxt["read"] + 1, nxt["len"]))
-    rows = blocks.withColumn("_after", after).select("*", F.explode(F.sequence(F.lit(0), F.col("_b.len") - 1)).alias("_k"))
-    base = F.substring("seq", F.col("_b.read") + F.col("_k") + 1, F.lit(1))
-    rows = rows.withColumns({"ref_pos": F.col("pos") + F.col("_b.ref") + F.col("_k"), "base": base, "after": F.when(F.col("_k") == F.col("_b.len") - 1, F.col("_after"))})
-    return rows.drop("_ops", "_i", "_b", "_after", "_k")
+    return blocks.select("contig_ord", (F.col("pos") + F.col("_b.ref")).cast("long").alias("start"), F.substring("seq", F.col("_b.read") + 1, F.col("_b.len")).alias("seq"), after.alias("after"))
+
+
+def _counted_bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as (contig_ord, pos, shown, n): what a batch shows at a place, counted."""
+    for batch in batches:
+        raw = batch.column("seq").cast(pa.large_binary())
+        size = pc.binary_length(raw).to_numpy(zero_copy_only=False)
+        some = size > 0
+        if not some.any():
+            continue
+        raw, size = raw.filter(pa.array(some)), size[some].astype(np.int64)
+        start = batch.column("start").to_numpy(zero_copy_only=False)[some]
+        contig = batch.column("contig_ord").to_numpy(zero_copy_only=False)[some]
+        after = batch.column("after").filter(pa.array(some))
+        letters = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+        ends = np.cumsum(size)
+        names, owner = np.unique(contig, return_inverse=True)
+        low = start.min()
+        place = np.repeat(start - low - (ends - size), size) + np.arange(len(letters))
+        key = (np.repeat(owner, size) << 46) | (place << 8) | letters
+        last = ends[after.is_valid().to_numpy(zero_copy_only=False)] - 1  # shown with what follows
+        rows, texts, counts = [key[last]], [f"{chr(letters[k])}{a}" for k, a in zip(last.tolist(), after.drop_null().to_pylist(), strict=True)], np.ones(len(last), np.int64)
+        keep = np.ones(len(key), bool)
+        keep[last] = False
+        plain, n = np.unique(key[keep], return_counts=True)
+        rows, counts = np.concatenate([*rows, plain]), np.concatenate([counts, n])
+        shown = pa.concat_arrays([pa.array(texts, pa.string()), pa.array([chr(c) for c in range(256)], pa.string()).take(pa.array(plain & 255))])
+        yield pa.RecordBatch.from_arrays([pa.array(names[rows >> 46].astype(np.int64)), pa.array(((rows >> 8) & ((1 << 38) - 1)) + low), shown, pa.array(counts)], names=["contig_ord", "pos", "shown", "n"])
 
 
 def bases_at(reads: DataFrame, sites: DataFrame, width: int = 1000) -> DataFrame:
@@ -143,9 +189,17 @@ def bases_at(reads: DataFrame, sites: DataFrame, width: int = 1000) -> DataFrame
 
 
 def pileup_bases(reads: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """Bases over the sites (contig_ord, pos), or all covered positions: deletions left out, followed by -n or inserted bases; counted per text."""
-    narrow = reads.select("contig_ord", "pos", "cigar", "seq")
-    bases = aligned_bases(narrow).drop("pos").withColumnRenamed("ref_pos", "pos") if sites is None else bases_at(narrow, sites.select("contig_ord", "pos").distinct())
+    """Bases over the sites (contig_ord, pos), or all covered positions: deletions left out, followed by -n or inserted bases; counted per text.
+
+    Without sites the runs of aligned bases are counted by place within Arrow batches, and only these counts are
+    shuffled. A read over 2**38 places from another one of its batch is not expected; bases that seq lacks are not shown.
+    """
+    key = ["contig_ord", "pos", "shown"]
+    if sites is None:
+        kind = reads.schema["contig_ord"].dataType
+        n = aligned_blocks(reads).mapInArrow(_counted_bases, "contig_ord long, pos long, shown string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+        return n.withColumn("contig_ord", F.col("contig_ord").cast(kind))
+    bases = bases_at(reads.select("contig_ord", "pos", "cigar", "seq"), sites.select("contig_ord", "pos").distinct())
     return bases.groupBy("contig_ord", "pos", F.concat("base", F.coalesce("after", F.lit(""))).alias("shown")).agg(F.count("*").alias("n"))
 
 
@@ -175,6 +229,13 @@ def mean_coverage_region(reads: DataFrame, regions: DataFrame, read_len: float)
     return out.select("region", F.when(size > 10_000, F.col("n_reads") * read_len / (size + 1)).otherwise(F.col("bases") / (size + 1)).alias("coverage"))
 
 
+def mean_coverage(reads: DataFrame, contigs: DataFrame, read_len: float) -> DataFrame:
+    """(n_reads, coverage) of a whole file: mapped reads * length over all contigs' bases."""
+    total = contigs.agg(F.sum("contig_len").alias("_bases"))  # one row
+    n = reads.where("not is_unmapped").agg(F.count("*").alias("n_reads"))
+    return n.join(F.broadcast(total)).select("n_reads", F.try_divide(F.col("n_reads") * read_len, "_bases").alias("coverage"))
+
+
 def median_read_length(reads: DataFrame, order: str, n: int = 100_001) -> DataFrame:
     """Median length of the first n reads by ``order``."""
     return reads.orderBy(order).limit(n).agg(F.median(F.length("seq")).alias("median_length"))
@@ -252,9 +313,8 @@ def mark_duplicates(reads: DataFrame) -> DataFrame:
     """reads with duplicate: same sample, unclipped 5' end, strand and mate place as a read of higher quality sum."""
     front, back = (F.coalesce(F.regexp_extract("cigar", p, 1).try_cast(_INT), F.lit(0)) for p in ("^([0-9]+)S", "([0-9]+)S$"))
     five = F.when(F.col("is_reverse"), reference_end() + back).otherwise(F.col("pos") - front)
-    quality = F.aggregate(F.split("qual", ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(F.ascii(c) - 33))
     w = W.partitionBy("sample_idx", "contig_ord", "_five", "is_reverse", "next_contig_ord", "next_pos").orderBy(F.desc("_q"), "qname")
-    return reads.withColumns({"_five": five, "_q": quality}).withColumn("duplicate", F.row_number().over(w) > 1).drop("_five", "_q")
+    return reads.withColumns({"_five": five, "_q": quality_sum("qual")}).withColumn("duplicate", F.row_number().over(w) > 1).drop("_five", "_q")
 
 
 def mate_lookup(reads: DataFrame, sites: DataFrame, reach: int = 250) -> DataFrame:

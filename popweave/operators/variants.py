@@ -165,20 +165,38 @@ def iupac_code(ref: str, alt: str) -> Column:
     return F.when(F.col("a1").isNull() | F.col("a2").isNull(), "N").otherwise(F.coalesce(F.try_element_at(codes, pair), F.lit("N")))
 
 
-def iupac_matrix(g: DataFrame, sites: DataFrame, least: int, samples: DataFrame | None = None) -> DataFrame:
-    """(sample_idx, contig_ord, sequence): codes of the sites with at least ``least`` called samples, in order, per contig.
+def iupac_tiles(g: DataFrame, sites: DataFrame, least: int, samples: DataFrame | None = None, width: int = 10_000) -> DataFrame:
+    """(tile, contig_ord, sample_idx, sequence): codes of the sites with at least ``least`` called samples, in order, ``width`` sites of a contig to a tile.
 
-    With ``samples`` (sample_idx) every one of them has every site, N where it has no genotype: a cell each of the result.
+    Tiles are numbered along the genome; the sites of a tile share a range of numbers. With ``samples`` (sample_idx) every
+    one of them has every tile, N where it has no genotype; without, a sample has the sites at which it has one.
     """
     n = called(g).groupBy("site_id").count().where(F.col("count") >= least).select("site_id")
-    rows = g.join(n, "site_id", "left_semi")
-    if samples is not None:
-        panel = F.lit(sorted(r.sample_idx for r in samples.select("sample_idx").distinct().collect()))  # the list of samples
-        rows = n.withColumn("sample_idx", F.explode(panel)).join(rows, ["site_id", "sample_idx"], "left")
-    rows = rows.join(sites.select("site_id", "contig_ord", "pos", "ref", "alt"), "site_id")
-    rows = rows.withColumn("code", iupac_code("ref", "alt"))
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "site_id", "code"))), lambda r: r["code"]), "")
-    return rows.groupBy("sample_idx", "contig_ord").agg(seq.alias("sequence"))
+    kept = sites.select("site_id", "contig_ord", "pos", "ref", "alt").join(n, "site_id", "left_semi")
+    kept = stored(numbered(kept, ["contig_ord", "pos", "site_id"]), "sites")
+    first = kept.groupBy("contig_ord").agg(F.min("rn").alias("_first"))  # a row per contig
+    kept = kept.join(F.broadcast(first), "contig_ord").withColumn("_t", F.floor((F.col("rn") - F.col("_first")) / width))
+    cells = g.join(kept, "site_id").select("contig_ord", "_t", "sample_idx", "rn", iupac_code("ref", "alt").alias("code"))
+    codes = F.array_sort(F.collect_list(F.struct("rn", "code")))  # at most ``width``
+    if samples is None:
+        rows = cells.groupBy("contig_ord", "_t", "sample_idx").agg(F.array_join(F.transform(codes, lambda r: r["code"]), "").alias("sequence"))
+    else:
+        places = kept.groupBy("contig_ord", "_t").agg(F.array_sort(F.collect_list("rn")).alias("_places"))  # at most ``width``
+        have = cells.groupBy("contig_ord", "_t", "sample_idx").agg(F.map_from_entries(F.collect_list(F.struct("rn", "code"))).alias("_codes"))
+        panel = samples.select("sample_idx").distinct()
+        grid = places.join(panel)  # a row per tile and sample: the result's rows
+        rows = grid.join(have, ["contig_ord", "_t", "sample_idx"], "left")
+        code = lambda p: F.coalesce(F.try_element_at("_codes", p), F.lit("N"))
+        rows = rows.select("contig_ord", "_t", "sample_idx", F.array_join(F.transform("_places", code), "").alias("sequence"))
+    tiles = stored(numbered(kept.select("contig_ord", "_t").distinct(), ["contig_ord", "_t"], "tile"), "tiles")
+    return rows.join(tiles, ["contig_ord", "_t"]).select("tile", "contig_ord", "sample_idx", "sequence")
+
+
+def iupac_matrix(g: DataFrame, sites: DataFrame, least: int, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_idx, contig_ord, sequence): the tiles of ``iupac_tiles`` joined, for genomes whose contigs fit a row each."""
+    parts = F.array_sort(F.collect_list(F.struct("tile", "sequence")))
+    tiles = iupac_tiles(g, sites, least, samples)
+    return tiles.groupBy("sample_idx", "contig_ord").agg(F.array_join(F.transform(parts, lambda p: p["sequence"]), "").alias("sequence"))
 
 
 def phase_progeny(g: DataFrame, mother: int, father: int) -> DataFrame:

@@ -7,7 +7,8 @@ from popweave.plans.fixtures import Catalog
 
 C = Catalog()
 ENDS = "e AS (SELECT *, pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_end FROM fx_reads)"
-REGIONS = "g AS (SELECT contig_ord * 10 + i AS region, contig_ord, 1000 + i * 3000 AS start, 1000 + i * 3000 + CASE WHEN i = 4 THEN 20000 ELSE 300 END AS stop FROM fx_contigs CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(i))"
+REGIONS = "g AS (SELECT gene_id AS region, contig_ord, start_pos % 50000 AS start, start_pos % 50000 + CASE WHEN gene_id % 5 = 4 THEN 20000 ELSE stop_pos - start_pos END AS stop FROM fx_genes)"
+SITES = "st AS (SELECT site_id, contig_ord, pos % 50000 AS loc, site_id % 2 AS side FROM fx_sites)"
 CLASSES = ["unmapped", "chimeric", "clipped", "discordant", "inversion", "duplication"]
 PHRED = "list_sum(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT) - 33)) / CAST(length({0}) AS DOUBLE)"
 CLASSIFIED = f"""
@@ -23,10 +24,14 @@ cl AS (SELECT qname, sample_idx, 'unmapped' AS class FROM k WHERE is_unmapped AN
 
 
 def regions(t):
-    i = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    g = t.fx_contigs.select("contig_ord", i.alias("i"))
-    start = 1000 + F.col("i") * 3000
-    return g.select((F.col("contig_ord") * 10 + F.col("i")).alias("region"), "contig_ord", start.alias("start"), (start + F.when(F.col("i") == 4, 20000).otherwise(300)).alias("stop"))
+    """The genes, some of them with 20,000 bases, where the reads are."""
+    start = F.col("start_pos") % 50_000
+    return t.fx_genes.select(F.col("gene_id").alias("region"), "contig_ord", start.alias("start"), (start + F.when(F.col("gene_id") % 5 == 4, 20_000).otherwise(F.col("stop_pos") - F.col("start_pos"))).alias("stop"))
+
+
+def places(t):
+    """The variant sites, where the reads are."""
+    return t.fx_sites.select("site_id", "contig_ord", (F.col("pos") % 50_000).alias("pos"), (F.col("site_id") % 2).alias("side"))
 
 
 @C.query("filter_qtl_reads", "SELECT qname FROM fx_reads WHERE is_paired AND NOT is_unmapped AND NOT mate_is_unmapped AND is_proper_pair AND abs(isize) <= 3000 AND mapq >= 40 AND regexp_full_match(cigar, '[0-9]+M')")
@@ -102,10 +107,14 @@ def _(t):
     return R.median_read_length(t.fx_reads, "qname")
 
 
-@C.query("nearby_coverage", f"WITH {ENDS}, b AS (SELECT contig_ord * 2 + s AS region, contig_ord, CASE WHEN s = 0 THEN 4000 ELSE 3500 END AS start, CASE WHEN s = 0 THEN 4500 ELSE 4000 END AS stop FROM fx_contigs CROSS JOIN (VALUES (0), (1)) v(s)), n AS (SELECT region, sum(least(ref_end, stop + 1) - greatest(pos, start)) AS bases FROM e JOIN b ON e.contig_ord = b.contig_ord AND pos < stop + 1 AND ref_end > start GROUP BY region) SELECT b.region, round(coalesce(bases, 0) / (stop - start + 1.0), 9) AS coverage FROM b LEFT JOIN n ON n.region = b.region")
+@C.query("mean_coverage", "SELECT count(*) AS n_reads, round(count(*) * 100.0 / (SELECT sum(contig_len) FROM fx_contigs), 9) AS coverage FROM fx_reads WHERE NOT is_unmapped")
+def _(t):
+    return R.mean_coverage(t.fx_reads, t.fx_contigs, 100.0).withColumn("coverage", F.round("coverage", 9))
+
+
+@C.query("nearby_coverage", f"WITH {ENDS}, {SITES}, b AS (SELECT site_id AS region, contig_ord, CASE WHEN side = 0 THEN loc ELSE greatest(loc - 500, 0) END AS start, CASE WHEN side = 0 THEN loc + 500 ELSE loc END AS stop FROM st), n AS (SELECT region, sum(least(ref_end, stop + 1) - greatest(pos, start)) AS bases FROM e JOIN b ON e.contig_ord = b.contig_ord AND pos < stop + 1 AND ref_end > start GROUP BY region) SELECT b.region, round(coalesce(bases, 0) / (stop - start + 1.0), 9) AS coverage FROM b LEFT JOIN n ON n.region = b.region")
 def _(t):
-    b = t.fx_contigs.select("contig_ord", F.explode(F.array(F.lit(0), F.lit(1))).alias("s"))
-    b = b.select((F.col("contig_ord") * 2 + F.col("s")).alias("region"), "contig_ord", F.lit(4000).alias("pos"), F.when(F.col("s") == 0, "left").otherwise("right").alias("side"))
+    b = places(t).select(F.col("site_id").alias("region"), "contig_ord", "pos", F.when(F.col("side") == 0, "left").otherwise("right").alias("side"))
     return R.mean_coverage_region(t.fx_reads, R.nearby_regions(b, 500), 100.0).withColumn("coverage", F.round("coverage", 9))
 
 
@@ -132,9 +141,9 @@ def _(t):
     return R.insertion_islands(R.strand_counts(R.overlapping_bins(t.fx_reads, t.fx_contigs)), t.fx_contigs, 1)
 
 
-@C.query("read_end_distance", f"WITH {ENDS}, {REGIONS} SELECT region AS site_id, min(least(start - pos, ref_end - 1 - start)) AS least_distance, count(*) FILTER (regexp_matches(cigar, '[SH]')) AS clipped FROM e JOIN g ON e.contig_ord = g.contig_ord AND pos <= start AND ref_end > start WHERE NOT is_unmapped AND NOT is_secondary AND mapq > 0 GROUP BY region")
+@C.query("read_end_distance", f"WITH {ENDS}, {SITES} SELECT site_id, min(least(loc - pos, ref_end - 1 - loc)) AS least_distance, count(*) FILTER (regexp_matches(cigar, '[SH]')) AS clipped FROM e JOIN st ON e.contig_ord = st.contig_ord AND pos <= loc AND ref_end > loc WHERE NOT is_unmapped AND NOT is_secondary AND mapq > 0 GROUP BY site_id")
 def _(t):
-    return R.read_end_distance(t.fx_reads, regions(t).select(F.col("region").alias("site_id"), "contig_ord", F.col("start").alias("pos")))
+    return R.read_end_distance(t.fx_reads, places(t).drop("side"))
 
 
 _CLIPS = "c AS (SELECT contig_ord, qname, CASE WHEN cigar = '35M65S' THEN ref_end ELSE pos END AS clip_pos, CASE WHEN cigar = '35M65S' THEN 'right' ELSE 'left' END AS side, CASE cigar WHEN '35M65S' THEN right(seq, 65) WHEN '40S60M' THEN reverse(left(seq, 40)) WHEN '4S96M' THEN reverse(left(seq, 4)) ELSE reverse(left(seq, 30)) END AS clip FROM e WHERE cigar IN ('35M65S', '40S60M', '4S96M', '30S70M'))"
@@ -159,9 +168,9 @@ def _(t):
     return R.mark_duplicates(t.fx_reads).select("qname", "duplicate")
 
 
-@C.query("mate_lookup", f"""WITH {ENDS}, s AS (SELECT contig_ord AS site_id, contig_ord, 4000 AS p FROM fx_contigs),
+@C.query("mate_lookup", f"""WITH {ENDS}, s AS (SELECT site_id, contig_ord, pos % 50000 AS p FROM fx_sites),
 a AS (SELECT site_id, qname, next_contig_ord AS c, next_pos AS np, false AS want FROM e JOIN s ON e.contig_ord = s.contig_ord AND pos < p AND ref_end > p - 250 WHERE NOT is_reverse
  UNION ALL SELECT site_id, qname, next_contig_ord, next_pos, true FROM e JOIN s ON e.contig_ord = s.contig_ord AND pos < p + 250 AND ref_end > p WHERE is_reverse)
 SELECT site_id, a.qname, CASE WHEN m.is_reverse <> want THEN seq ELSE reverse(translate(seq, 'ACGTN', 'TGCAN')) END AS mate_seq FROM a JOIN fx_reads m ON m.qname = a.qname AND m.contig_ord = c AND abs(m.pos - np) <= 1""")
 def _(t):
-    return R.mate_lookup(t.fx_reads, t.fx_contigs.select(F.col("contig_ord").alias("site_id"), "contig_ord", F.lit(4000).alias("pos")))
+    return R.mate_lookup(t.fx_reads, places(t).drop("side"))

@@ -135,6 +135,11 @@ def _(t):
     return G.hist_proportion(t.events, "value", "event_type", 100.0).withColumn("proportion", F.round("proportion", 6))
 
 
+@C.query("hist_density", "WITH b AS (SELECT event_type, floor(value / 10.0) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2) SELECT event_type, CAST(bin AS BIGINT) AS bin, n, round(n / (sum(n) OVER (PARTITION BY event_type) * 10.0), 9) AS density FROM b")
+def _(t):
+    return G.hist_density(t.events, "value", "event_type", 10.0).withColumn("density", F.round("density", 9))
+
+
 @C.query("interval_label", "WITH iv AS (SELECT *, row_number() OVER (ORDER BY contig_ord, interval_name) AS o FROM fx_intervals) SELECT site_id, coalesce((SELECT arg_max(interval_name, o) FROM iv WHERE iv.contig_ord = s.contig_ord AND pos > out_start AND pos < out_stop), 'Normal') AS label FROM fx_sites s")
 def _(t):
     return I.interval_label(t.fx_sites, ordered_intervals(t)).select("site_id", "label")
@@ -226,7 +231,7 @@ def _(t):
 @C.query("concat_partitions", "SELECT site_id, contig_ord, pos FROM fx_sites WHERE contig_ord < 11 UNION ALL SELECT site_id, contig_ord, pos FROM fx_sites WHERE contig_ord >= 11")
 def _(t):
     s = t.fx_sites.select("site_id", "contig_ord", "pos")
-    return s.where("contig_ord < 11").unionByName(s.where("contig_ord >= 11")).repartitionByRange("contig_ord").sortWithinPartitions("contig_ord", "pos")
+    return s.where("contig_ord < 11").unionByName(s.where("contig_ord >= 11")).repartitionByRange("contig_ord", "pos").sortWithinPartitions("contig_ord", "pos")
 
 
 @C.query("sort_by", "SELECT r_ord, r_start, aln_len, row_number() OVER (PARTITION BY r_ord ORDER BY r_start, aln_len, q_start) AS place FROM fx_paf")

@@ -196,6 +196,11 @@ def _(t):
     return V.iupac_matrix(t.fx_genotypes, t.fx_sites, 20, t.fx_samples)
 
 
+@C.query("iupac_tiles", f"WITH n AS (SELECT site_id FROM fx_genotypes WHERE a1 IS NOT NULL GROUP BY site_id HAVING count(*) >= 20), o AS (SELECT s.*, row_number() OVER (PARTITION BY contig_ord ORDER BY pos, s.site_id) AS rn FROM fx_sites s JOIN n ON n.site_id = s.site_id), ti AS (SELECT contig_ord, k, row_number() OVER (ORDER BY contig_ord, k) AS tile FROM (SELECT DISTINCT contig_ord, (rn - 1) // 10 AS k FROM o) q) SELECT tile, p.sample_idx, string_agg({_CODE}, '' ORDER BY rn) AS sequence FROM o JOIN ti ON ti.contig_ord = o.contig_ord AND ti.k = (rn - 1) // 10 CROSS JOIN fx_samples p LEFT JOIN fx_genotypes g ON g.site_id = o.site_id AND g.sample_idx = p.sample_idx GROUP BY 1, 2")
+def _(t):
+    return V.iupac_tiles(t.fx_genotypes, t.fx_sites, 20, t.fx_samples, 10).select("tile", "sample_idx", "sequence")
+
+
 _TRIO = """k AS (SELECT g.site_id, g.sample_idx, g.a1, g.a2, (g.a1 IN (m.a1, m.a2) AND g.a2 IN (f.a1, f.a2)) AS one, (g.a2 IN (m.a1, m.a2) AND g.a1 IN (f.a1, f.a2)) AS two FROM fx_genotypes g JOIN fx_genotypes m ON m.site_id = g.site_id AND m.sample_idx = 0 JOIN fx_genotypes f ON f.site_id = g.site_id AND f.sample_idx = 1
  WHERE g.sample_idx > 1 AND g.a1 IS NOT NULL AND m.a1 IS NOT NULL AND f.a1 IS NOT NULL),
 s AS (SELECT *, CASE WHEN NOT one AND NOT two THEN 'mendel_error' WHEN one AND two AND a1 <> a2 THEN 'unphased' ELSE 'phased' END AS status FROM k)"""

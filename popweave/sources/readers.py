@@ -157,6 +157,15 @@ def region_slice(genome: DataFrame, regions: DataFrame) -> DataFrame:
     return cut_regions(genome.select("contig", "seq", *[c for c in ("start",) if c in genome.columns]), regions, "contig")
 
 
+def scan_phylip(spark: SparkSession, path: str) -> DataFrame:
+    """(tile, sample, sequence) of an interleaved alignment in two folders (header, rows)."""
+    n = int((spark.read.text(f"{path}/header").first() or ["0"])[0].split()[0])
+    rows = _numbered_lines(spark, f"{path}/rows").withColumns({"tile": F.floor(F.col("line") / max(n, 1)), "_k": F.col("line") % max(n, 1)})
+    f = F.split("value", " +")
+    names = rows.where("tile = 0").select("_k", f[0].alias("sample"))  # a row per sample
+    return rows.join(names, "_k").select("tile", "sample", F.element_at(f, -1).alias("sequence"))
+
+
 def scan_gtf(spark: SparkSession, path: str) -> DataFrame:
     """Genes of a GTF file: name is the first quoted attribute."""
     rows = spark.read.schema(GTF_SCHEMA).option("sep", "\t").option("comment", "#").option("quote", "").csv(path).where("feature = 'gene'")

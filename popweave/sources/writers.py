@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SYMBOLIC = 20_000
@@ -65,19 +66,42 @@ def write_read_classes(classified: DataFrame, path: str) -> None:
     classified.write.mode("errorifexists").partitionBy("class").parquet(path)
 
 
-def phylip_rows(matrix: DataFrame) -> DataFrame:
-    """name and sequence of each sample, contigs joined in order, from (sample, contig_ord, sequence)."""
-    parts = F.array_sort(F.collect_list(F.struct("contig_ord", "sequence")))  # a row per contig
-    return matrix.groupBy("sample").agg(F.array_join(F.transform(parts, lambda p: p["sequence"]), "").alias("sequence"))
+def write_phylip(tiles: DataFrame, path: str) -> None:
+    """An interleaved alignment from tiles (tile, sample, sequence): ``path``/header has the counts, ``path``/rows a line per tile and sample, in order.
 
-
-def write_phylip(matrix: DataFrame, path: str) -> None:
-    rows = phylip_rows(matrix)
-    head = rows.agg(F.concat_ws(" ", F.count("*").cast("string"), F.max(F.length("sequence")).cast("string")).alias("value"))
+    Lines of the first tile begin with the sample's name. A line holds a tile's sites only, so none grows with the genome.
+    """
+    sizes = tiles.groupBy("tile").agg(F.max(F.length("sequence")).alias("n"), F.count("*").alias("samples"))
+    head = sizes.agg(F.concat_ws(" ", F.coalesce(F.max("samples"), F.lit(0)).cast("string"), F.coalesce(F.sum("n"), F.lit(0)).cast("string")).alias("value"))
     head.write.mode("errorifexists").text(f"{path}/header")
-    rows.orderBy("sample").select(F.concat_ws("  ", "sample", "sequence").alias("value")).write.text(f"{path}/rows")
-
-
-def append_registry(rows: DataFrame, path: str) -> None:
-    """Adds rows as they are; a job that may run twice adds what ``anti_join_done`` leaves, as the stream does by batch."""
-    rows.write.mode("append").parquet(path)
+    first = tiles.agg(F.min("tile")).first()[0]
+    line = F.when(F.col("tile") == first, F.concat_ws("  ", "sample", "sequence")).otherwise(F.col("sequence")) if first is not None else F.col("sequence")
+    tiles.orderBy("tile", "sample").select(line.alias("value")).write.text(f"{path}/rows")
+
+
+def append_registry(rows: DataFrame, path: str, job: str, key: str) -> None:
+    """Adds the rows whose ``key`` no other job has added, as the batch of this ``job``: written first, named in the list of commits last.
+
+    A job that runs again replaces its batch, so its rows come up once; what a job that broke off left behind is in no commit and not
+    read. One row per key (that of the least content hash), none for a null key. Jobs of one registry run one after the other.
+    """
+    spark = rows.sparkSession
+    known = read_registry(spark, path)
+    if known is not None:
+        done = known.where(F.col("job") != job).select(key).distinct()
+        rows = rows.join(done, key, "left_anti")
+    columns = [c for c in rows.columns if c != key]
+    one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.xxhash64(*rows.columns).alias("_h"), *columns)).alias("_r"))
+    one.select(key, *[F.col("_r")[c].alias(c) for c in columns]).write.mode("overwrite").parquet(f"{path}/batches/job={job}")
+    spark.createDataFrame([(job,)], "job string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/name={job}")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all committed jobs, with job; None where nothing is committed yet."""
+    try:
+        commits = [r.job for r in spark.read.parquet(f"{path}/commits").select("job").distinct().collect()]  # a row per job
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return spark.read.option("basePath", f"{path}/batches").parquet(*[f"{path}/batches/job={job}" for job in commits])

@@ -1,6 +1,7 @@
 """Operators that work in ranges, blocks and rounds, against plain loops."""
 
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from popweave.functions.ordering import numbered, roots, running_sum
-from popweave.operators import intervals, junctions, kmers, popgen, variants
-from popweave.sources import readers
+from popweave.operators import intervals, junctions, kmers, popgen, reads, variants
+from popweave.sources import readers, writers
 
 TURN = str.maketrans("ACGTN", "TGCAN")
 
@@ -293,3 +294,96 @@ def test_marked_segment(spark):
     d = spark.createDataFrame([(0, 8, 13)], "c1 int, p1 long, p2 long")
     assert junctions.with_marked_segment(d, genome, 4).first().context == "ACGT[ACGGG]TTTC"
     assert junctions.with_marked_segment(d, genome, 400).select(F.length("context")).first()[0] == 22
+
+
+# ---------------------------------------------------------------- reads, tiles, registries
+
+
+def test_quality_sums(spark):
+    quals = ["", "!", "I" * 50, None, "!~" * 20, "5"]
+    got = spark.createDataFrame([(i, q) for i, q in enumerate(quals)], "i int, q string").select("i", reads.quality_sum("q").alias("s"), reads.mean_phred("q").alias("m")).collect()
+    for x in got:
+        q = quals[x.i]
+        total = None if q is None else sum(ord(c) - 33 for c in q)
+        assert x.s == total and x.m == (None if not q else pytest.approx(total / len(q)))
+
+
+def test_pileup_by_hand(spark):
+    r = random.Random(12)
+    rows = [(0, 5, "3M2D2M1I2M", "ACGTACGT"), (0, 5, "4S4M", "ACGTACGT"), (0, 5, "4S4M", "ACGTACGT"), (1, 1 << 33, "2M", "AC"), (2, 3, None, "AC"), (2, 3, "5M", "AC"), (2, 3, "2S", "AC")]
+    for _ in range(200):
+        ops = [(r.randrange(1, 6), "M")]
+        for _ in range(r.randrange(3)):
+            ops += [(r.randrange(1, 4), r.choice("IDN")), (r.randrange(1, 6), r.choice("M=X"))]
+        size = sum(n for n, o in ops if o in "MI=X")
+        rows.append((r.randrange(2), r.randrange(30), "".join(f"{n}{o}" for n, o in ops), "".join(r.choice("ACGT") for _ in range(size))))
+    want = Counter()
+    for c, pos, cigar, seq in rows:
+        ops, at, k = [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNS=X])", cigar or "")], pos, 0
+        for i, (n, o) in enumerate(ops):
+            if o in "M=X":
+                for j in range(n):
+                    after = ""
+                    if j == n - 1 and i + 1 < len(ops):
+                        m, p = ops[i + 1]
+                        after = f"-{m}" if p in "DN" else seq[k + n : k + n + m] if p == "I" else ""
+                    if k + j < len(seq):
+                        want[c, at + j, seq[k + j] + after] += 1
+            at += n if o in "MDN=X" else 0
+            k += n if o in "MIS=X" else 0
+    df = spark.createDataFrame(rows, "contig_ord int, pos long, cigar string, seq string")
+    got = {(x.contig_ord, x.pos, x.shown): x.n for x in reads.pileup_bases(df.where("seq <> 'AC' or cigar <> '5M' or cigar is null")).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] != 2}
+    assert {(x.pos, x.shown) for x in reads.pileup_bases(df.where("cigar = '5M' and seq = 'AC'")).collect()} == {(3, "A"), (4, "C")}
+    assert reads.pileup_bases(df.where("false")).count() == 0
+
+
+def test_alignment_tiles(spark, tmp_path):
+    r = random.Random(13)
+    sites = [(s, s % 2, r.randrange(1000), "A", r.choice("CGT")) for s in range(40)]
+    cells = {(s, i): r.choice([(0, 0), (0, 1), (1, 1), (None, None)]) for s in range(40) for i in (3, 5, 8) if r.random() < 0.8}
+    g = spark.createDataFrame([(s, i, *a) for (s, i), a in cells.items()], "site_id long, sample_idx int, a1 int, a2 int")
+    st = spark.createDataFrame(sites, "site_id long, contig_ord int, pos long, ref string, alt string")
+    panel = spark.createDataFrame([(3,), (5,), (8,), (9,)], "sample_idx int")
+    kept = {s for s in range(40) if sum(cells.get((s, i), (None,))[0] is not None for i in (3, 5, 8)) >= 2}
+    codes = {"CC": "C", "AA": "A", "GG": "G", "TT": "T", "AC": "M", "AG": "R", "AT": "W"}
+
+    def text(i, c):
+        out = ""
+        for s, _, _, ref, alt in sorted((x for x in sites if x[0] in kept and x[1] == c), key=lambda x: (x[2], x[0])):
+            a = cells.get((s, i), (None, None))
+            out += "N" if a[0] is None else codes["".join(sorted((ref, alt)[x] for x in a))]
+        return out
+
+    tiles = variants.iupac_tiles(g, st, 2, panel, 7).withColumn("sample", F.col("sample_idx").cast("string"))
+    assert max(len(x.sequence) for x in tiles.collect()) <= 7
+    whole = {(x.sample_idx, x.contig_ord): x.sequence for x in variants.iupac_matrix(g, st, 2, panel).collect()}
+    assert whole == {(i, c): text(i, c) for i in (3, 5, 8, 9) for c in (0, 1)}
+    writers.write_phylip(tiles, str(tmp_path / "p"))
+    joined = defaultdict(str)
+    for x in readers.scan_phylip(spark, str(tmp_path / "p")).orderBy("tile").collect():
+        joined[x.sample] += x.sequence
+    assert dict(joined) == {str(i): text(i, 0) + text(i, 1) for i in (3, 5, 8, 9)}
+    assert spark.read.text(str(tmp_path / "p/header")).first()[0] == f"4 {len(kept)}"
+
+
+def test_registry_commits(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    rows = lambda *names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "Run string, n int")
+    runs = lambda: sorted(x.Run for x in writers.read_registry(spark, path).collect())
+    assert writers.read_registry(spark, path) is None
+    writers.append_registry(rows("a", "b", "b", None), path, "one", "Run")
+    writers.append_registry(rows("b", "c"), path, "two", "Run")
+    writers.append_registry(rows("b", "c"), path, "two", "Run")  # the same job again
+    assert runs() == ["a", "b", "c"]
+    rows("x").write.parquet(f"{path}/batches/job=broken")  # a job that broke off before its commit
+    assert runs() == ["a", "b", "c"]
+    writers.append_registry(rows("x", "y"), path, "broken", "Run")
+    assert runs() == ["a", "b", "c", "x", "y"]
+
+
+def test_density_and_coverage(spark):
+    df = spark.createDataFrame([("a", 0.05), ("a", 0.06), ("a", 0.15), ("b", -0.05), ("b", None)], "h string, v double")
+    assert {(x.h, x.bin): round(x.density, 6) for x in popgen.hist_density(df, "v", "h").collect()} == {("a", 0): 6.666667, ("a", 1): 3.333333, ("b", -1): 10.0}
+    r = spark.createDataFrame([(False,), (True,), (False,)], "is_unmapped boolean")
+    assert reads.mean_coverage(r, spark.createDataFrame([(100,), (300,)], "contig_len long"), 50.0).first().coverage == 0.25
