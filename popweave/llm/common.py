@@ -120,6 +120,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", most_b
             k = last
 
 
+#: A key with at least 1 in this many of all rows is frequent; so there are at most as many frequent keys.
+HOT = 10_000
+
+
+def join_frequent_apart(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows inner-joined with table (``key``, unique; ``weight``, how many of the rows have it; more), without the weight.
+
+    Frequent keys, ``HOT`` at most, are broadcast; the other rows are shuffled by keys of which none has a larger share. Both inputs
+    are read twice and should be stored tables.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) * HOT >= total
+    hot, rest = F.broadcast(table.where(often).drop(weight)), table.where(~often).drop(weight)
+    seldom = rows.join(hot.select(key), key, "left_anti").join(rest, key)
+    return rows.join(hot, key).unionByName(seldom)
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The column with null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -13,8 +13,8 @@ The masks leave no gap: of every way to change 2 of 12 words, 3 of 15 or 4 of 20
 The benchmark is handed to the tasks in slices of at most ``SLICE_WORDS`` words, each compared with all
 documents: a slice has a proven bound, however large the benchmark. Documents are never shuffled.
 
-Defined cases: null and empty texts match nothing; items of under ``SHORTEST`` words match nothing, items shorter
-than ``SPAN`` are sought by lighter masks; equal items each match; an item in several places of a document
+Defined cases: null and empty texts match nothing; items of under ``SHORTEST`` words count where they stand word for word
+(masks without ignored places, as long as the item), items shorter than ``SPAN`` are sought by lighter masks; equal items each match; an item in several places of a document
 gives its best overlap (first of equals); repeated words match on every diagonal, each followed once; empty tables give no
 rows; very long texts are whole slices of their own; further columns are ignored.
 """
@@ -86,12 +86,18 @@ class Index:
         self.item = np.repeat(np.arange(len(ids)), size)
         short = size[(size >= SHORTEST) & (size < SPAN)]
         needed = [m for m, most in SHORT_MASKS.items() if len(short) and short.min() <= most]
-        self.masks = [*MASKS, *needed]
+        whole = ["1" * n for n in range(1, SHORTEST) if (size == n).any()]  # such items count where they stand word for word
+        self.masks = [*MASKS, *needed, *whole]
         parts = []
         for k, mask in enumerate(self.masks):
             h, at = seeds(self.words, self.offsets, mask, k + 1)
             n = size[self.item[at]]
-            fit = (n >= SHORTEST) & (n <= SHORT_MASKS[mask]) if k >= len(MASKS) else n >= SPAN
+            if k < len(MASKS):
+                fit = n >= SPAN
+            elif k < len(MASKS) + len(needed):
+                fit = (n >= SHORTEST) & (n <= SHORT_MASKS[mask])
+            else:
+                fit = n == len(mask)
             parts.append((h[fit], at[fit]))
         h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")

@@ -1,7 +1,8 @@
 """WARC archives with revisit resolution.
 
 Headers (page id, digest, size), never payloads, are shuffled by payload digest to find the response of each
-group of equal payloads; payloads then travel once, evenly by page id, to the tasks that write the archives.
+group of equal payloads; payloads then travel once, evenly by page id, to the tasks that write the archives. Payloads of very
+many pages, and responses of very many revisits, are broadcast instead (``common.join_frequent_apart``).
 
 Defined cases: a null html is an empty payload; a null url writes no target header; payloads under
 ``min_bytes`` are always responses; rows that share both page id and payload with the response are responses
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.llm.common import FileWriter, open_fs, shared_dir, slices, stored
+from popweave.llm.common import FileWriter, join_frequent_apart, open_fs, shared_dir, slices, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES, CHUNK = 64 << 20, 1 << 15
@@ -38,9 +39,9 @@ def resolve(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """pages with payload_bytes, payload_digest and refers_to (page id of the response; null for a response)."""
     html = F.coalesce("html", F.lit(""))
     made = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(F.encode(html, "UTF-8"), 256).alias("payload_digest"))
-    heads = made.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
-    first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    revisits = heads.join(first, "payload_digest").where("not page_id <=> refers_to").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to").distinct()
+    heads = stored(made.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"), "heads")
+    first = stored(heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "first")
+    revisits = join_frequent_apart(heads, first, "payload_digest", "n").where("not page_id <=> refers_to").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to").distinct()
     return made.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left").drop("p", "d")
 
 
@@ -142,10 +143,13 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def with_responses(records: DataFrame) -> DataFrame:
-    """records with refers_to: the page id of the response that a revisit's WARC-Refers-To names."""
+    """records with refers_to: the page id of the response that a revisit's WARC-Refers-To names. Responses are not shuffled by what they lack."""
     heads = records.select("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id")
+    revisits = heads.where("record_type = 'revisit'")
     named = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
-    return heads.join(named, "refers_to_id", "left")
+    times = revisits.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    found = join_frequent_apart(revisits, stored(times.join(named, "refers_to_id", "left"), "responses"), "refers_to_id", "n")
+    return heads.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

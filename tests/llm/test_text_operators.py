@@ -244,7 +244,7 @@ def test_leaks_tolerate_substitutions(spark):
         filler(30) + items[2], filler(4) + items[3] + filler(4), items[4] + filler(30), filler(200), items[1][:14] + filler(9), items[1][:6] + filler(60),
     ]
     got = {(r.doc_id, r.item_id): r for r in decontamination.overlaps(made(spark, [" ".join(t) for t in texts]), bench).collect()}
-    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (7, 1)}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (7, 1)}
     assert (got[0, 0].doc_start, got[0, 0].item_start, got[0, 0].n_words, got[0, 0].n_matches) == (50, 0, 40, 40)
     assert (got[1, 0].doc_start, got[1, 0].n_words, got[1, 0].n_matches) == (20, 40, 37)
     sliced = decontamination.overlaps(made(spark, [" ".join(t) for t in texts]), bench, slice_words=30).collect()
@@ -297,6 +297,23 @@ def test_best_segment_against_brute_force():
         assert n == most or n - decontamination.PENALTY * (end - begin - n) > 0
 
 
+def test_short_items_word_for_word(spark):
+    rng = random.Random(21)
+    word = lambda: rng.choice(["red", "green", "blue", "Cyan", "pink"])
+    items = [[word() for _ in range(n)] for n in (1, 2, 2, 3, 3, 4, 4, 4)] + [["..."]]
+    texts = [" ".join(word() + rng.choice(["", ",", "."]) for _ in range(rng.randrange(14))) for _ in range(80)] + [None, "", "... !"]
+    bench = spark.createDataFrame([(n, " ".join(x) + "!") for n, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_matches) for r in decontamination.overlaps(made(spark, texts), bench).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        w = [x for x in (y.strip(".,!") for y in words(text)) if x]
+        for n, x in enumerate(items[:-1]):
+            x = [y.lower() for y in x]
+            if any(w[k : k + len(x)] == x for k in range(len(w) - len(x) + 1)):
+                want[d, n] = (len(x), len(x))
+    assert got == want
+
+
 def test_leaks_against_brute_force(spark, corpus):
     rng = random.Random(11)
     long_ = [t for t in corpus if t and len(t.split()) > 25]
