@@ -307,7 +307,7 @@ def _(t):
     return K.kmer_best_successor(K.kmer_edges(t.fx_seqs, 9))
 
 
-PATHS = f"{EDGES}, en AS (SELECT src AS node, forward + backward AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, forward + backward FROM ed), wk AS (SELECT node FROM en GROUP BY node HAVING sum(o) <= 2 AND sum(i) <= 2), pr AS (SELECT * FROM ed WHERE src NOT IN (SELECT node FROM wk) AND dst NOT IN (SELECT node FROM wk)), bs AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY forward + backward DESC, dst) AS k FROM pr) q WHERE k = 1)"
+PATHS = f"{EDGES}, en AS (SELECT src AS node, forward + backward AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, forward + backward FROM ed), wk AS MATERIALIZED (SELECT node FROM en GROUP BY node HAVING sum(o) <= 2 AND sum(i) <= 2), pr AS MATERIALIZED (SELECT * FROM ed WHERE src NOT IN (SELECT node FROM wk) AND dst NOT IN (SELECT node FROM wk)), bs AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY forward + backward DESC, dst) AS k FROM pr) q WHERE k = 1)"
 
 
 @C.query("kmer_paths", f"""WITH RECURSIVE {PATHS},
