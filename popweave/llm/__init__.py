@@ -1,4 +1,4 @@
-"""Corpus preparation on Spark: ten operators over documents and pages. Nothing else in the library imports it."""
+"""Corpus preparation on Spark: thirteen operators over documents, pages and vectors. Nothing else in the library imports it."""
 
 import sys
 
