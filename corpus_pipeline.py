@@ -30,8 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: one row per document taken."""
-    return token_files.encoded(docs)
+    """Token files of the mix, read back: one row per document taken. A smaller memory of pieces, as the stages before have filled the executors."""
+    return token_files.encoded(docs, memo_words=400_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix_sources), ("token_files", write_tokens)]
