@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,43 +131,105 @@ def _walk() -> Column:
     return F.aggregate(cigar_ops("cigar"), start, step)["out"]
 
 
-def aligned_blocks(reads: DataFrame) -> DataFrame:
-    """(contig_ord, start, seq, after): the runs of aligned bases of all reads; after names an insertion or deletion behind the run.
+#: Places are packed with their contig's number and letter into 63 bits: 17 for contigs of a task, 38 for places, 8 for letters.
+_PLACE_BITS, _MOST_CONTIGS = 38, 1 << 17
+#: Bases that a task takes at once, and distinct (place, letter) cells that it gathers before it passes their counts on.
+_MOST_CELLS = 1 << 22
 
-    The walk over the CIGAR is a running sum of the reference and read lengths of its operations.
-    """
-    blocks = reads.select("contig_ord", "pos", "seq", _walk().alias("_ops")).select("contig_ord", "pos", "seq", F.posexplode("_ops").alias("_i", "_b"), "_ops").where("_b.op in ('M', '=', 'X') and _b.len > 0")
-    nxt = F.get("_ops", F.col("_i") + 1)
-    after = F.when(nxt["op"].isin("D", "N"), F.concat(F.lit("-"), nxt["len"].cast("string"))).when(nxt["op"] == "I", F.substring("seq", nxt["read"] + 1, nxt["len"]))
-    return blocks.select("contig_ord", (F.col("pos") + F.col("_b.ref")).cast("long").alias("start"), F.substring("seq", F.col("_b.read") + 1, F.col("_b.len")).alias("seq"), after.alias("after"))
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys as one, their counts summed."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _runs(cigars: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, runs) of distinct CIGARs: runs first[i] to first[i + 1] are those of aligned bases of the i-th, as
+    (reference length before it, read length before it, length, what follows: bases inserted > 0, deleted < 0)."""
+    first, runs = [0], []
+    for cigar in cigars:
+        ref = read = 0
+        ops = [(int(n), o) for n, o in re.findall("([0-9]+)([MIDNSHP=X])", cigar)]
+        for (n, o), (m, p) in zip(ops, [*ops[1:], (0, "")]):
+            if o in "M=X" and n:
+                runs.append((ref, read, n, m if p == "I" else -m if p and p in "DN" else 0))
+            ref += n if o in "MDN=X" else 0
+            read += n if o in "MIS=X" else 0
+        first.append(len(runs))
+    return np.array(first), np.array(runs, np.int64).reshape(-1, 4)
 
 
-def _counted_bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks as (contig_ord, pos, shown, n): what a batch shows at a place, counted."""
+def _upto(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... size - 1 for each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _by_bases(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bases, so that long reads take no more memory than short ones."""
     for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("seq")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *np.flatnonzero(np.diff(upto // most, prepend=0)).tolist(), len(batch)]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def _counted_bases(batches: Iterator[pa.RecordBatch], most: int = _MOST_CELLS) -> Iterator[pa.RecordBatch]:
+    """Reads (contig_ord, pos, cigar, seq) as (contig_ord, pos, shown, n): what they show at a place, counted over the batches of a task."""
+    letter = pa.array([chr(c) for c in range(256)], pa.string())
+    half = 1 << (_PLACE_BITS - 1)
+    numbers: dict[int, int] = {}
+    keys, counts, held = [], [], 0
+
+    def passed_on() -> pa.RecordBatch:
+        key, n = _merged(keys, counts)
+        contigs = np.fromiter(numbers, np.int64, len(numbers))[key >> (_PLACE_BITS + 8)]
+        places = ((key >> 8) & ((1 << _PLACE_BITS) - 1)) - half
+        return pa.RecordBatch.from_arrays([pa.array(contigs), pa.array(places), letter.take(pa.array(key & 255)), pa.array(n)], names=["contig_ord", "pos", "shown", "n"])
+
+    for batch in _by_bases(batches, most):
+        cigars = batch.column("cigar").dictionary_encode()
+        first, runs = _runs(cigars.dictionary.to_pylist())
+        code = cigars.indices.to_numpy(zero_copy_only=False)
+        many = first[code + 1] - first[code]
+        read = np.repeat(np.arange(len(code)), many)
+        ref, before, size, follows = runs[np.repeat(first[code], many) + _upto(many)].T
         raw = batch.column("seq").cast(pa.large_binary())
-        size = pc.binary_length(raw).to_numpy(zero_copy_only=False)
-        some = size > 0
-        if not some.any():
-            continue
-        raw, size = raw.filter(pa.array(some)), size[some].astype(np.int64)
-        start = batch.column("start").to_numpy(zero_copy_only=False)[some]
-        contig = batch.column("contig_ord").to_numpy(zero_copy_only=False)[some]
-        after = batch.column("after").filter(pa.array(some))
+        length = pc.binary_length(raw).to_numpy(zero_copy_only=False)
         letters = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        ends = np.cumsum(size)
+        there = np.clip(length[read] - before, 0, size)  # seq may lack bases
+        if not there.any():
+            continue
+        contig, start = (batch.column(c).to_numpy(zero_copy_only=False)[read] for c in ("contig_ord", "pos"))
+        start, at = start + ref, (np.cumsum(length) - length)[read] + before
+        if start.min() < -half or (start + size).max() > half:
+            raise ValueError(f"a place is outside of +-{half}")
         names, owner = np.unique(contig, return_inverse=True)
-        low = start.min()
-        place = np.repeat(start - low - (ends - size), size) + np.arange(len(letters))
-        key = (np.repeat(owner, size) << 46) | (place << 8) | letters
-        last = ends[after.is_valid().to_numpy(zero_copy_only=False)] - 1  # shown with what follows
-        rows, texts, counts = [key[last]], [f"{chr(letters[k])}{a}" for k, a in zip(last.tolist(), after.drop_null().to_pylist(), strict=True)], np.ones(len(last), np.int64)
-        keep = np.ones(len(key), bool)
-        keep[last] = False
-        plain, n = np.unique(key[keep], return_counts=True)
-        rows, counts = np.concatenate([*rows, plain]), np.concatenate([counts, n])
-        shown = pa.concat_arrays([pa.array(texts, pa.string()), pa.array([chr(c) for c in range(256)], pa.string()).take(pa.array(plain & 255))])
-        yield pa.RecordBatch.from_arrays([pa.array(names[rows >> 46].astype(np.int64)), pa.array(((rows >> 8) & ((1 << 38) - 1)) + low), shown, pa.array(counts)], names=["contig_ord", "pos", "shown", "n"])
+        if keys and len(numbers) + len(names) > _MOST_CONTIGS:
+            yield passed_on()
+            numbers, keys, counts, held = {}, [], [], 0
+        number = np.array([numbers.setdefault(c, len(numbers)) for c in names.tolist()], np.int64)
+        last = (follows != 0) & (there == size)
+        plain = there - last  # the last base is shown with what follows
+        key = np.repeat((number[owner] << (_PLACE_BITS + 8)) + ((start + half) << 8), plain) + (_upto(plain) << 8) + letters[np.repeat(at, plain) + _upto(plain)]
+        if last.any():
+            text, ends = letters.tobytes(), np.cumsum(length)[read]
+            shown = [text[e - 1 : e if n < 0 else min(e + n, m)].decode("latin-1") + (str(n) if n < 0 else "") for e, n, m in zip((at + size)[last].tolist(), follows[last].tolist(), ends[last].tolist())]
+            marked = pa.table({"contig_ord": contig[last], "pos": (start + size - 1)[last], "shown": shown}).group_by(["contig_ord", "pos", "shown"]).aggregate([([], "count_all")])
+            yield from marked.rename_columns(["contig_ord", "pos", "shown", "n"]).to_batches()
+        key, n = np.unique(key, return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        held += len(key)
+        if held > most:
+            key, n = _merged(keys, counts)
+            keys, counts, held = [key], [n], len(key)
+            if held > most // 2:
+                yield passed_on()
+                keys, counts, held = [], [], 0
+    if keys:
+        yield passed_on()
 
 
 def bases_at(reads: DataFrame, sites: DataFrame, width: int = 1000) -> DataFrame:
@@ -188,16 +251,20 @@ def bases_at(reads: DataFrame, sites: DataFrame, width: int = 1000) -> DataFrame
     return hit.withColumns({"base": base, "after": F.when(last, after)}).drop("_pos", "_ops", "_end", "_bin", "_b")
 
 
-def pileup_bases(reads: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+def pileup_bases(reads: DataFrame, sites: DataFrame | None = None, width: int = 1 << 14) -> DataFrame:
     """Bases over the sites (contig_ord, pos), or all covered positions: deletions left out, followed by -n or inserted bases; counted per text.
 
-    Without sites the runs of aligned bases are counted by place within Arrow batches, and only these counts are
-    shuffled. A read over 2**38 places from another one of its batch is not expected; bases that seq lacks are not shown.
+    Without sites whole reads, not their single bases, are brought together by bins of ``width`` places; tasks count what they
+    show by place, and a last sum over these counts makes the result independent of where a read was counted: a bin too
+    large for a task may be split (the hint ``rebalance``), and a read that leaves its bin needs no cutting. Reads
+    without a contig, place, CIGAR or sequence show nothing, nor do bases that seq lacks.
     """
     key = ["contig_ord", "pos", "shown"]
     if sites is None:
         kind = reads.schema["contig_ord"].dataType
-        n = aligned_blocks(reads).mapInArrow(_counted_bases, "contig_ord long, pos long, shown string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+        r = reads.select(F.col("contig_ord").cast("long").alias("contig_ord"), F.col("pos").cast("long").alias("pos"), "cigar", "seq").dropna()
+        r = r.withColumn("_bin", F.floor(F.col("pos") / width)).hint("rebalance", "contig_ord", "_bin").drop("_bin")
+        n = r.mapInArrow(_counted_bases, "contig_ord long, pos long, shown string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
         return n.withColumn("contig_ord", F.col("contig_ord").cast(kind))
     bases = bases_at(reads.select("contig_ord", "pos", "cigar", "seq"), sites.select("contig_ord", "pos").distinct())
     return bases.groupBy("contig_ord", "pos", F.concat("base", F.coalesce("after", F.lit(""))).alias("shown")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,19 @@ def test_pileup_by_hand(spark):
     assert got == {k: v for k, v in want.items() if k[0] != 2}
     assert {(x.pos, x.shown) for x in reads.pileup_bases(df.where("cigar = '5M' and seq = 'AC'")).collect()} == {(3, "A"), (4, "C")}
     assert reads.pileup_bases(df.where("false")).count() == 0
+    nothing = spark.createDataFrame([(None, 3, "2M", "AC"), (0, None, "2M", "AC"), (0, 3, "2M", None), (0, 3, "*", "AC"), (0, 3, "2M", "")], df.schema)
+    assert reads.pileup_bases(nothing).count() == 0
+    batch = pa.RecordBatch.from_pylist([{"contig_ord": c, "pos": p, "cigar": g, "seq": s} for c, p, g, s in rows if g])
+    for most in (1, 7, 100, 1 << 20):  # slices and counts that are passed on early change nothing
+        counted = Counter()
+        for part in reads._counted_bases(iter([batch, batch.slice(5, 60)]), most):
+            for x in part.to_pylist():
+                counted[x["contig_ord"], x["pos"], x["shown"]] += x["n"]
+        once = Counter()
+        for part in (batch, batch.slice(5, 60)):
+            for x in (y for b in reads._counted_bases(iter([part])) for y in b.to_pylist()):
+                once[x["contig_ord"], x["pos"], x["shown"]] += x["n"]
+        assert counted == once
 
 
 def test_alignment_tiles(spark, tmp_path):
