@@ -73,21 +73,20 @@ def pair_counts(cells: DataFrame, block: int = BLOCK, sites_at_once: int = SITES
     """(i, j, n, d, both, opposite, hi, hj) of samples i < j that share a site, from cells (site_id, sample_idx, n).
 
     n: shared sites; d: summed absolute differences of the cells' n; both: sites at which both are 1; opposite: at which they differ
-    by 2; hi, hj: at which i (j) is 1. Samples are numbered and cut into blocks, sites into slices; a task takes
-    pairs of blocks slice by slice and multiplies (sites x samples) matrices of zeros and ones, adding up over slices, so it
-    passes on each pair of samples once, however many sites it saw. A cell goes to as many tasks as there are blocks. Of
+    by 2; hi, hj: at which i (j) is 1. Samples are numbered and cut into blocks, sites dealt to groups by their hash; a task takes
+    pairs of blocks, ``sites_at_once`` sites after sites, and multiplies (sites x samples) matrices of zeros and ones, adding up, so it
+    passes on each pair of samples once, however many sites it saw. Cells are read twice: for the samples, then for this. A cell goes to as many tasks as there are blocks. Of
     repeated cells of a site and sample one counts; null n's are left out.
     """
     cells = cells.where("n is not null")
     samples = stored(ordering.numbered(cells.select("sample_idx").distinct(), ["sample_idx"], "_d"), "samples")
     blocks = -(-samples.count() // block)
-    slices = -(-(cells.agg(F.approx_count_distinct("site_id")).first()[0]) // sites_at_once)
     groups = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, blocks * (blocks + 1) // 2))
-    c = cells.join(samples, "sample_idx").withColumns({"_d": F.col("_d") - 1, "slice": F.pmod(F.xxhash64("site_id"), F.lit(max(1, slices)))})
+    c = cells.join(samples, "sample_idx").withColumns({"_d": F.col("_d") - 1, "part": F.pmod(F.xxhash64("site_id"), F.lit(groups))})
     own, other = F.floor(F.col("_d") / block), F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
-    c = c.select("site_id", "sample_idx", "n", "slice", "_d", own.alias("_own"), other.alias("_other"))
-    c = c.select(F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "slice", "site_id", F.col("_d").alias("d"), F.col("sample_idx").cast("long").alias("s"), F.col("n").cast("long").alias("n"))
-    c = c.repartition(F.col("lo"), F.col("hi"), F.pmod("slice", F.lit(groups))).sortWithinPartitions("lo", "hi", "slice", "site_id")
+    c = c.select("site_id", "sample_idx", "n", "part", "_d", own.alias("_own"), other.alias("_other"))
+    c = c.select(F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "part", "site_id", F.col("_d").alias("d"), F.col("sample_idx").cast("long").alias("s"), F.col("n").cast("long").alias("n"))
+    c = c.repartition("lo", "hi", "part").sortWithinPartitions("lo", "hi", "site_id").drop("part")
 
     def tile(cols: dict[str, np.ndarray], lo: int, hi: int, ids: np.ndarray) -> np.ndarray:
         site = np.unique(cols["site_id"], return_inverse=True)[1]
@@ -104,9 +103,10 @@ def pair_counts(cells: DataFrame, block: int = BLOCK, sites_at_once: int = SITES
         return _products(*sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lo", "hi", "slice", "site_id", "d", "s", "n"]
+        names = ["lo", "hi", "site_id", "d", "s", "n"]
         held: list[dict] = []
-        now = pair = sums = ids = None
+        now = pair = sums = ids = before = None
+        sites = 0
 
         def finish() -> None:
             nonlocal sums, held
@@ -120,13 +120,19 @@ def pair_counts(cells: DataFrame, block: int = BLOCK, sites_at_once: int = SITES
             return pa.RecordBatch.from_arrays([pa.array(ids[0, i]), pa.array(ids[1, j]), *[pa.array(m[i, j]) for m in sums]], names=["i", "j", *_SUMS])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            key = np.stack([cols["lo"], cols["hi"], cols["slice"]])
-            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            key = np.stack([cols["lo"], cols["hi"], cols["site_id"]], axis=1)
+            new = (np.diff(key, axis=0, prepend=key[:1] - 1 if before is None else before) != 0).any(axis=1)
+            before, upto = key[-1:], sites + np.cumsum(new)
+            sites = int(upto[-1])
+            key = np.column_stack([key[:, :2], upto // sites_at_once])
+            cut = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cut, cut[1:], strict=False):
                 if a == b:
                     continue
-                here = tuple(key[:, a].tolist())
+                here = tuple(key[a].tolist())
                 if here != now:
                     finish()
                     if pair is not None and here[:2] != pair:

@@ -168,8 +168,8 @@ def iupac_code(ref: str, alt: str) -> Column:
 def iupac_tiles(g: DataFrame, sites: DataFrame, least: int, samples: DataFrame | None = None, width: int = 10_000) -> DataFrame:
     """(tile, contig_ord, sample_idx, sequence): codes of the sites with at least ``least`` called samples, in order, ``width`` sites of a contig to a tile.
 
-    Tiles are numbered along the genome; the sites of a tile share a range of numbers. With ``samples`` (sample_idx) every
-    one of them has every tile, N where it has no genotype; without, a sample has the sites at which it has one.
+    Tiles are numbered along the genome; the sites of a tile are a gapless range of numbers, so a gap in a sample's is so many N. With ``samples`` (sample_idx) every
+    one of them has every tile, N where it has no genotype, and of a site's repeated genotypes the least code; without, a sample has the sites at which it has one.
     """
     n = called(g).groupBy("site_id").count().where(F.col("count") >= least).select("site_id")
     kept = sites.select("site_id", "contig_ord", "pos", "ref", "alt").join(n, "site_id", "left_semi")
@@ -181,13 +181,16 @@ def iupac_tiles(g: DataFrame, sites: DataFrame, least: int, samples: DataFrame |
     if samples is None:
         rows = cells.groupBy("contig_ord", "_t", "sample_idx").agg(F.array_join(F.transform(codes, lambda r: r["code"]), "").alias("sequence"))
     else:
-        places = kept.groupBy("contig_ord", "_t").agg(F.array_sort(F.collect_list("rn")).alias("_places"))  # at most ``width``
-        have = cells.groupBy("contig_ord", "_t", "sample_idx").agg(F.map_from_entries(F.collect_list(F.struct("rn", "code"))).alias("_codes"))
+        ends = kept.groupBy("contig_ord", "_t").agg(F.min("rn").alias("_low"), F.max("rn").alias("_high"))
+        have = cells.groupBy("contig_ord", "_t", "sample_idx").agg(codes.alias("_codes"))
         panel = samples.select("sample_idx").distinct()
-        grid = places.join(panel)  # a row per tile and sample: the result's rows
+        grid = ends.join(panel)  # a row per tile and sample: the result's rows
         rows = grid.join(have, ["contig_ord", "_t", "sample_idx"], "left")
-        code = lambda p: F.coalesce(F.try_element_at("_codes", p), F.lit("N"))
-        rows = rows.select("contig_ord", "_t", "sample_idx", F.array_join(F.transform("_places", code), "").alias("sequence"))
+        until = lambda rn, after: F.repeat(F.lit("N"), (rn - F.coalesce(after, F.col("_low") - 1) - 1).cast("int"))
+        at = lambda i: F.when(i >= 0, F.get("_codes", i)["rn"])
+        code = lambda x, i: F.when(at(i - 1).eqNullSafe(x["rn"]), "").otherwise(F.concat(until(x["rn"], at(i - 1)), x["code"]))
+        filled = F.coalesce(F.array_join(F.transform("_codes", code), ""), F.lit(""))
+        rows = rows.select("contig_ord", "_t", "sample_idx", F.concat(filled, until(F.col("_high") + 1, at(F.size("_codes") - 1))).alias("sequence"))
     tiles = stored(numbered(kept.select("contig_ord", "_t").distinct(), ["contig_ord", "_t"], "tile"), "tiles")
     return rows.join(tiles, ["contig_ord", "_t"]).select("tile", "contig_ord", "sample_idx", "sequence")
 
