@@ -89,17 +89,30 @@ def filter_nonempty_pairs(pairs: DataFrame) -> DataFrame:
     return kept.withColumns({"name1": F.concat("name", F.lit(" 1:N:0:2")), "name2": F.concat("name", F.lit(" 2:N:0:2"))})
 
 
+def front_clip(cigar: str = "cigar") -> Column:
+    """Bases of a soft clip that leads the CIGAR; else null."""
+    return F.substring_index(cigar, "S", 1).try_cast(_INT)
+
+
+def back_clip(cigar: str = "cigar") -> Column:
+    """Bases of a soft clip that ends the CIGAR; else null. The pattern is tried on such CIGARs alone."""
+    return F.when(F.endswith(F.col(cigar), F.lit("S")), F.regexp_extract(cigar, "([0-9]+)S$", 1).try_cast(_INT))
+
+
 def _clip() -> Column:
     """The qualities of the soft clip at the first, else the last operation, if over 5 bases; else null."""
-    front = F.regexp_extract("cigar", r"^([0-9]+)S", 1)
-    back = F.regexp_extract("cigar", r"([0-9]+)S$", 1)
-    n, m = front.try_cast(_INT), back.try_cast(_INT)
-    return F.when(n > 5, F.substring("qual", F.lit(1), n)).when(n.isNull() & (m > 5), F.expr("right(qual, cast(regexp_extract(cigar, '([0-9]+)S$', 1) as int))"))
+    n, m = front_clip(), back_clip()
+    return F.when(n > 5, F.substring("qual", F.lit(1), n)).when(n.isNull() & (m > 5), F.right("qual", m))
+
+
+def _clippable() -> Column:
+    """Whether a read is clipped if its clip's quality is high enough."""
+    return (op_count("cigar", "S") == 1) & ~F.col("has_xm") & ~F.col("is_secondary") & (F.col("mapq") != 0)
 
 
 def read_classes() -> Column:
     """The classes of a read: it may have several; none if it is a duplicate."""
-    clipped = (op_count("cigar", "S") == 1) & ~F.col("has_xm") & ~F.col("is_secondary") & (F.col("mapq") != 0) & (F.col("clip_quality") > 25)
+    clipped = _clippable() & (F.col("clip_quality") > 25)
     same = F.col("contig_ord") == F.col("next_contig_ord")
     mated = ~F.col("mate_is_unmapped")
     turned = ((F.col("pos") < F.col("next_pos")) & F.col("is_reverse")) | ((F.col("pos") > F.col("next_pos")) & F.col("mate_is_reverse"))
@@ -110,8 +123,8 @@ def read_classes() -> Column:
 
 
 def classify_reads(reads: DataFrame) -> DataFrame:
-    """One row per read and class. A read's quality is that of the whole where it is unmapped, else that of its clip: one sum each."""
-    q = reads.withColumn("_part", F.when(F.col("is_unmapped"), F.col("qual")).otherwise(_clip()))
+    """One row per read and class. A read's quality is that of the whole where it is unmapped, else that of its clip where this decides: one sum each."""
+    q = reads.withColumn("_part", F.when(F.col("is_duplicate"), None).when(F.col("is_unmapped"), F.col("qual")).when(F.col("sa").isNull() & _clippable(), _clip()))
     q = q.withColumn("_mean", mean_phred("_part")).withColumns({"phred": F.when(F.col("is_unmapped"), F.col("_mean")), "clip_quality": F.when(~F.col("is_unmapped"), F.col("_mean"))})
     return q.withColumn("class", F.explode(read_classes())).drop("phred", "clip_quality", "_part", "_mean")
 
@@ -353,7 +366,7 @@ def read_end_distance(reads: DataFrame, sites: DataFrame) -> DataFrame:
 
 def clips(reads: DataFrame) -> DataFrame:
     """(contig_ord, clip_pos, side, clip, qname): soft clips of reads with one of them; left-hand ones read backward."""
-    front, back = F.regexp_extract("cigar", "^([0-9]+)S", 1).try_cast(_INT), F.regexp_extract("cigar", "([0-9]+)S$", 1).try_cast(_INT)
+    front, back = front_clip(), back_clip()
     one = reads.where(op_count("cigar", "S") == 1).withColumns({"_f": front, "_k": back})
     side = F.when(F.col("_f") > 0, "left").when(F.col("_k") > 0, "right")
     clip = F.when(F.col("_f") > 0, F.reverse(F.substring("seq", F.lit(1), F.col("_f")))).otherwise(F.expr("right(seq, _k)"))
@@ -378,7 +391,7 @@ def longest_clip(clipped: DataFrame) -> DataFrame:
 
 def mark_duplicates(reads: DataFrame) -> DataFrame:
     """reads with duplicate: same sample, unclipped 5' end, strand and mate place as a read of higher quality sum."""
-    front, back = (F.coalesce(F.regexp_extract("cigar", p, 1).try_cast(_INT), F.lit(0)) for p in ("^([0-9]+)S", "([0-9]+)S$"))
+    front, back = F.coalesce(front_clip(), F.lit(0)), F.coalesce(back_clip(), F.lit(0))
     five = F.when(F.col("is_reverse"), reference_end() + back).otherwise(F.col("pos") - front)
     w = W.partitionBy("sample_idx", "contig_ord", "_five", "is_reverse", "next_contig_ord", "next_pos").orderBy(F.desc("_q"), "qname")
     return reads.withColumns({"_five": five, "_q": quality_sum("qual")}).withColumn("duplicate", F.row_number().over(w) > 1).drop("_five", "_q")
