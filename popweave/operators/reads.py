@@ -374,10 +374,14 @@ def clips(reads: DataFrame) -> DataFrame:
 
 
 def clip_consensus(clipped: DataFrame, share: float = 0.74) -> DataFrame:
-    """Per clip position the majority base of each place if its share reaches ``share`` and depth is over 1; '' at depth 1; else N."""
+    """Per clip position the majority base of each place if its share reaches ``share`` and depth is over 1; '' at depth 1; else N.
+
+    Equal clips of a position are counted before they are cut into bases, so a deep position is as many rows as it has different clips.
+    """
     key = ["contig_ord", "clip_pos", "side"]
-    bases = clipped.select(*key, F.posexplode(F.split("clip", "")).alias("i", "base")).where("base <> ''")
-    n = bases.groupBy(*key, "i", "base").agg(F.count("*").alias("n"))
+    same = clipped.groupBy(*key, "clip").agg(F.count("*").alias("_many"))
+    bases = same.select(*key, "_many", F.posexplode(F.split("clip", "")).alias("i", "base")).where("base <> ''")
+    n = bases.groupBy(*key, "i", "base").agg(F.sum("_many").alias("n"))
     best = n.groupBy(*key, "i").agg(F.sum("n").alias("depth"), F.max(F.struct("n", (-F.ascii("base")).alias("o"), "base")).alias("b"))
     letter = F.when(F.col("depth") == 1, "").when(F.col("b.n") / F.col("depth") >= share, F.col("b.base")).otherwise("N")
     return best.groupBy(*key).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", letter.alias("x")))), lambda s: s["x"])).alias("consensus"))
