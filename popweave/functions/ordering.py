@@ -22,16 +22,16 @@ def ranged(df: DataFrame, order: list) -> DataFrame:
     return stored(df.orderBy(*order).withColumns({PART: F.spark_partition_id(), AT: place}), "ranges")
 
 
-def _before(sums: DataFrame, value: str) -> DataFrame:
+def _before(sums: DataFrame, names: dict[str, str]) -> DataFrame:
     w = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)  # a row per range
-    return F.broadcast(sums.select(PART, F.coalesce(F.sum(value).over(w), F.lit(0)).alias("_before")))
+    return F.broadcast(sums.select(PART, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(n) for v, n in names.items()]))
 
 
 def numbered(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
     """``df`` with numbers from 1 on along ``order``."""
     rows = ranged(df, order)
     counts = rows.groupBy(PART).agg(F.count("*").alias("_n"))
-    return rows.join(_before(counts, "_n"), PART).withColumn(name, F.col("_before") + F.col(AT) + 1).drop(PART, AT, "_before")
+    return rows.join(_before(counts, {"_n": "_before"}), PART).withColumn(name, F.col("_before") + F.col(AT) + 1).drop(PART, AT, "_before")
 
 
 def running_sum(df: DataFrame, order: list, value: str | Column, name: str) -> DataFrame:
@@ -39,7 +39,16 @@ def running_sum(df: DataFrame, order: list, value: str | Column, name: str) -> D
     rows = ranged(df.withColumn("_v", F.col(value) if isinstance(value, str) else value), order)
     sums = rows.groupBy(PART).agg(F.sum("_v").alias("_n"))
     inside = F.sum("_v").over(W.partitionBy(PART).orderBy(AT))
-    return rows.withColumn(name, inside).join(_before(sums, "_n"), PART).withColumn(name, F.col("_before") + F.col(name)).drop(PART, AT, "_v", "_before")
+    return rows.withColumn(name, inside).join(_before(sums, {"_n": "_before"}), PART).withColumn(name, F.col("_before") + F.col(name)).drop(PART, AT, "_v", "_before")
+
+
+def running_sums(df: DataFrame, order: list, values: list[str]) -> DataFrame:
+    """``df`` with each of the columns ``values`` (never null) replaced by its sum over all rows up to each, itself included, along ``order``."""
+    rows = ranged(df, order)
+    before = _before(rows.groupBy(PART).agg(*[F.sum(v).alias(v) for v in values]), {v: f"_before_{v}" for v in values})
+    inside = W.partitionBy(PART).orderBy(AT).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rest = [c for c in df.columns if c not in values]
+    return rows.withColumns({v: F.sum(v).over(inside) for v in values}).join(before, PART).select(*rest, *[(F.col(v) + F.col(f"_before_{v}")).alias(v) for v in values])
 
 
 def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from popweave.functions.ordering import running_sums
 from popweave.functions.sizes import small
 
 _INT = "int"
@@ -301,9 +302,33 @@ def reads_in(reads: DataFrame, regions: DataFrame, width: int = 1000) -> DataFra
 
 def mean_coverage_region(reads: DataFrame, regions: DataFrame, read_len: float) -> DataFrame:
     """Coverage per region (region, contig_ord, start, stop): reads * length over 10,000 bases, else aligned bases, per length + 1."""
-    hits = reads_in(reads, regions.withColumns({"stop": F.col("stop") + 1}))
-    inside = F.least(F.col("_end"), F.col("stop")) - F.greatest(F.col("pos"), F.col("start"))
-    n = hits.groupBy("region").agg(F.count("*").alias("n_reads"), F.sum(inside).alias("bases"))
+    n = region_counts(reads, regions.withColumns({"stop": F.col("stop") + 1}), "region")
+def reads_in(reads: DataFrame, regions: DataFrame, width: int = 1000) -> DataFrame:
+    """Reads joined with the regions (contig_ord, start, stop; half open) that they overlap: as many rows as there are such pairs."""
+    return _met(reads.withColumn("_end", F.greatest(reference_end(), F.col("pos") + 1)), regions, width)
+
+
+def region_counts(reads: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    """(``key``, n_reads, bases): reads over the regions (``key``, contig_ord, start, stop; half open) and their places inside, summed per ``key``; none for a region without places.
+
+    Reads and regions never meet. Along the genome run how many reads began before a place and how many ended up to it; a region's reads are those
+    that began before its stop less those that ended up to its start, and its places a difference of sums too. What earlier contigs hold cancels out.
+    """
+    begins = F.struct((F.col("pos") + 1).cast("long").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("e"), F.col("pos").cast("long").alias("m"))
+    end = F.greatest(reference_end(), F.col("pos") + 1).cast("long")
+    ends = F.struct(end.alias("at"), F.lit(0).alias("b"), F.lit(1).alias("e"), (-end).alias("m"))
+    steps = reads.where("contig_ord is not null and pos is not null").select("contig_ord", F.explode(F.array(begins, ends)).alias("x")).select("contig_ord", "x.*")
+    sides = F.explode(F.array(F.struct(F.col("start").cast("long").alias("at"), F.lit(-1).alias("side")), F.struct(F.col("stop").cast("long").alias("at"), F.lit(1).alias("side"))))
+    bounds = regions.where("start < stop").select(key, "contig_ord", sides.alias("x")).select(key, "contig_ord", "x.*")
+    none = F.lit(0)
+    places = steps.unionByName(bounds.select("contig_ord", "at", none.alias("b"), none.alias("e"), none.cast("long").alias("m")))
+    places = places.groupBy("contig_ord", "at").agg(F.sum("b").alias("b"), F.sum("e").alias("e"), F.sum("m").alias("m"))
+    upto = running_sums(places, ["contig_ord", "at"], ["b", "e", "m"])
+    n = F.when(F.col("side") > 0, F.col("b")).otherwise(-F.col("e"))
+    bases = F.col("side") * (F.col("at") * (F.col("b") - F.col("e")) - F.col("m"))
+    return bounds.join(upto, ["contig_ord", "at"]).groupBy(key).agg(F.sum(n).alias("n_reads"), F.sum(bases).alias("bases"))
+
+
     size = F.col("stop") - F.col("start")
     out = regions.join(n, "region", "left").na.fill(0, ["n_reads", "bases"])
     return out.select("region", F.when(size > 10_000, F.col("n_reads") * read_len / (size + 1)).otherwise(F.col("bases") / (size + 1)).alias("coverage"))
