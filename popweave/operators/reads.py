@@ -290,19 +290,16 @@ def site_allele_depths(reads: DataFrame, sites: DataFrame, key: str) -> DataFram
     return bases.groupBy("contig_ord", "pos", key).agg(F.count_if(F.col("base") == F.col("ref")).alias("ad_ref"), F.count_if(F.col("base") == F.col("alt")).alias("ad_alt"))
 
 
-def reads_in(reads: DataFrame, regions: DataFrame, width: int = 1000) -> DataFrame:
-    """Reads joined with the regions (contig_ord, start, stop; half open) that they overlap, by bins of ``width``."""
-    r = reads.withColumn("_end", F.greatest(reference_end(), F.col("pos") + 1))
-    r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("_end") - 1) / width))))
+
+def _met(spans: DataFrame, regions: DataFrame, width: int) -> DataFrame:
+    """Spans (contig_ord, pos, _end) joined with the regions (contig_ord, start, stop; half open) that they overlap, by bins of ``width``."""
+    r = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("_end") - 1) / width))))
     g = regions.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
     both = r.join(g, ["contig_ord", "_bin"]).where("pos < stop and _end > start")
     first = F.greatest(F.floor(F.col("pos") / width), F.floor(F.col("start") / width))
     return both.where(F.col("_bin") == first).drop("_bin")  # a pair that shares several bins counts in the first
 
 
-def mean_coverage_region(reads: DataFrame, regions: DataFrame, read_len: float) -> DataFrame:
-    """Coverage per region (region, contig_ord, start, stop): reads * length over 10,000 bases, else aligned bases, per length + 1."""
-    n = region_counts(reads, regions.withColumns({"stop": F.col("stop") + 1}), "region")
 def reads_in(reads: DataFrame, regions: DataFrame, width: int = 1000) -> DataFrame:
     """Reads joined with the regions (contig_ord, start, stop; half open) that they overlap: as many rows as there are such pairs."""
     return _met(reads.withColumn("_end", F.greatest(reference_end(), F.col("pos") + 1)), regions, width)
@@ -382,11 +379,21 @@ def insertion_islands(counts: DataFrame, contigs: DataFrame, least: int, size: i
 
 
 def read_end_distance(reads: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per site (site_id, contig_ord, pos): least distance to the nearer aligned end of a read over it, and clipped reads."""
-    ok = reads.where("not is_unmapped and not is_secondary and mapq > 0")
+    """Per site (site_id, contig_ord, pos): least distance to the nearer aligned end of a read over it, and clipped reads.
+
+    Clipped reads are counted by ``region_counts``. The nearest end is that of the read that begins last, or ends first, of those over the site: of
+    reads that begin at one place only the longest matters, of those that end at one place that too, and equal sites are one place. So a
+    place meets twice as many reads as the longest read has bases at most, whatever the depth.
+    """
+    ok = reads.where("not is_unmapped and not is_secondary and mapq > 0 and contig_ord is not null and pos is not null")
+    spans = ok.select("contig_ord", "pos", F.greatest(reference_end(), F.col("pos") + 1).alias("_end"))
+    longest = spans.groupBy("contig_ord", "pos").agg(F.max("_end").alias("_end")).unionByName(spans.groupBy("contig_ord", "_end").agg(F.min("pos").alias("pos")))
     g = sites.select("site_id", "contig_ord", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
     near = F.least(F.col("start") - F.col("pos"), F.col("_end") - 1 - F.col("start"))
-    return reads_in(ok, g).groupBy("site_id").agg(F.min(near).alias("least_distance"), F.count_if(F.col("cigar").rlike("[SH]")).alias("clipped"))
+    least = _met(longest, g.select("contig_ord", "start", "stop").distinct(), 1000).groupBy("contig_ord", "start").agg(F.min(near).alias("least_distance"))
+    per_site = g.join(least, ["contig_ord", "start"]).groupBy("site_id").agg(F.min("least_distance").alias("least_distance"))
+    clipped = region_counts(ok.where(F.col("cigar").rlike("[SH]")), g, "site_id").select("site_id", F.col("n_reads").alias("clipped"))
+    return per_site.join(clipped, "site_id", "left").select("site_id", "least_distance", F.coalesce("clipped", F.lit(0).cast("long")).alias("clipped"))
 
 
 def clips(reads: DataFrame) -> DataFrame:
