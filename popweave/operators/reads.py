@@ -434,11 +434,15 @@ def mark_duplicates(reads: DataFrame) -> DataFrame:
 
 
 def mate_lookup(reads: DataFrame, sites: DataFrame, reach: int = 250) -> DataFrame:
-    """(site_id, qname, mate_seq): mates of forward reads left of a site and of reverse reads right of it, oriented."""
+    """(site_id, qname, mate_seq): mates of forward reads left of a site and of reverse reads right of it, oriented.
+
+    Reads meet their mates first, so that a read without one never meets the sites.
+    """
     g = sites.select("site_id", "contig_ord", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), F.col("pos").alias("stop"), F.lit(False).alias("want"))
     g = g.unionByName(sites.select("site_id", "contig_ord", F.col("pos").alias("start"), (F.col("pos") + reach).alias("stop"), F.lit(True).alias("want")))
-    a = reads_in(reads, g).where("is_reverse = want").select("site_id", F.col("qname").alias("_q"), F.col("next_contig_ord").alias("_c"), F.col("next_pos").alias("_p"), "want")
-    b = reads.select("qname", "contig_ord", "pos", "is_reverse", "seq")
-    both = a.join(b, (F.col("_q") == F.col("qname")) & (F.col("_c") == F.col("contig_ord")) & (F.abs(F.col("pos") - F.col("_p")) <= 1))
-    seq = F.when(F.col("is_reverse") != F.col("want"), F.col("seq")).otherwise(reverse_complement("seq"))
-    return both.select("site_id", "qname", seq.alias("mate_seq"))
+    mates = reads.select("qname", F.col("contig_ord").alias("next_contig_ord"), F.col("pos").alias("_at"), F.col("is_reverse").alias("_turned"), F.col("seq").alias("_seq"))
+    a = reads.select("qname", "contig_ord", "pos", "cigar", F.col("is_reverse").alias("want"), "next_contig_ord", "next_pos")
+    both = a.join(mates, ["qname", "next_contig_ord"]).where(F.abs(F.col("_at") - F.col("next_pos")) <= 1)
+    seq = F.when(F.col("_turned") != F.col("want"), F.col("_seq")).otherwise(reverse_complement("_seq"))
+    both = both.select("qname", "contig_ord", "pos", "cigar", F.col("want").alias("_want"), seq.alias("mate_seq"))
+    return reads_in(both, g).where("_want = want").select("site_id", "qname", "mate_seq")
