@@ -134,17 +134,6 @@ def category_counts(classified: DataFrame, key: str, classes: list[str]) -> Data
     return classified.groupBy(key).pivot("class", classes).count().na.fill(0)
 
 
-def _walk() -> Column:
-    """The operations of the CIGAR with the reference and read lengths before them: a running sum."""
-    step = lambda a, o: F.struct(
-        (a["ref"] + F.when(o["op"].isin("M", "D", "N", "=", "X"), o["len"]).otherwise(0)).alias("ref"),
-        (a["read"] + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["len"]).otherwise(0)).alias("read"),
-        F.concat(a["out"], F.array(F.struct(o["op"].alias("op"), o["len"].alias("len"), a["ref"].alias("ref"), a["read"].alias("read")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("ref"), F.lit(0).alias("read"), F.array().cast("array<struct<op:string,len:int,ref:int,read:int>>").alias("out"))
-    return F.aggregate(cigar_ops("cigar"), start, step)["out"]
-
-
 #: Places are packed with their contig's number and letter into 63 bits: 17 for contigs of a task, 38 for places, 8 for letters.
 _PLACE_BITS, _MOST_CONTIGS = 38, 1 << 17
 #: Bases that a task takes at once, and distinct (place, letter) cells that it gathers before it passes their counts on.
@@ -190,19 +179,24 @@ def _by_bases(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 
 
 def _counted_bases(batches: Iterator[pa.RecordBatch], most: int = _MOST_CELLS) -> Iterator[pa.RecordBatch]:
-    """Reads (contig_ord, pos, cigar, seq) as (contig_ord, pos, shown, n): what they show at a place, counted over the batches of a task."""
+    """Reads (keys, pos, cigar, seq) as (keys, pos, shown, n): what they show at a place, counted over the batches of a task; with _low and _high, at places from _low on and before _high."""
     letter = pa.array([chr(c) for c in range(256)], pa.string())
     half = 1 << (_PLACE_BITS - 1)
-    numbers: dict[int, int] = {}
+    numbers: dict[tuple, int] = {}
     keys, counts, held = [], [], 0
+    by: list[pa.Field] = []
+
+    def named(number: np.ndarray, rest: dict[str, pa.Array]) -> pa.Table:
+        known = list(numbers)
+        return pa.table({f.name: pa.array([k[i] for k in known], f.type).take(pa.array(number)) for i, f in enumerate(by)} | rest)
 
-    def passed_on() -> pa.RecordBatch:
+    def passed_on() -> Iterator[pa.RecordBatch]:
         key, n = _merged(keys, counts)
-        contigs = np.fromiter(numbers, np.int64, len(numbers))[key >> (_PLACE_BITS + 8)]
         places = ((key >> 8) & ((1 << _PLACE_BITS) - 1)) - half
-        return pa.RecordBatch.from_arrays([pa.array(contigs), pa.array(places), letter.take(pa.array(key & 255)), pa.array(n)], names=["contig_ord", "pos", "shown", "n"])
+        yield from named(key >> (_PLACE_BITS + 8), {"pos": pa.array(places), "shown": letter.take(pa.array(key & 255)), "n": pa.array(n)}).to_batches()
 
     for batch in _by_bases(batches, most):
+        by = [f for f in batch.schema if f.name not in ("_low", "_high", "pos", "cigar", "seq")]
         cigars = batch.column("cigar").dictionary_encode()
         first, runs = _runs(cigars.dictionary.to_pylist())
         code = cigars.indices.to_numpy(zero_copy_only=False)
@@ -213,25 +207,39 @@ def _counted_bases(batches: Iterator[pa.RecordBatch], most: int = _MOST_CELLS) -
         length = pc.binary_length(raw).to_numpy(zero_copy_only=False)
         letters = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
         there = np.clip(length[read] - before, 0, size)  # seq may lack bases
+        start, at = batch.column("pos").to_numpy(zero_copy_only=False)[read] + ref, (np.cumsum(length) - length)[read] + before
+        whole = there == size
+        if "_low" in batch.schema.names:  # what lies outside of the read's bin is counted in others
+            low, high = (batch.column(c).to_numpy(zero_copy_only=False)[read] for c in ("_low", "_high"))
+            skip = np.clip(low - start, 0, there)
+            whole &= (start + size <= high) & (skip < there)
+            start, at, there = start + skip, at + skip, np.clip(high - start, skip, there) - skip
         if not there.any():
             continue
-        contig, start = (batch.column(c).to_numpy(zero_copy_only=False)[read] for c in ("contig_ord", "pos"))
-        start, at = start + ref, (np.cumsum(length) - length)[read] + before
-        if start.min() < -half or (start + size).max() > half:
+        if start[there > 0].min() < -half or (start + there)[there > 0].max() > half:
             raise ValueError(f"a place is outside of +-{half}")
-        names, owner = np.unique(contig, return_inverse=True)
+        owner = np.zeros(len(batch), np.int64)
+        coded = [batch.column(f.name).dictionary_encode("encode") for f in by]
+        for c in coded:
+            owner = owner * len(c.dictionary) + c.indices.to_numpy(zero_copy_only=False)
+        seen, owner = np.unique(owner, return_inverse=True)
+        names, left = [], seen
+        for c in coded[::-1]:
+            left, i = np.divmod(left, len(c.dictionary))
+            names.append([c.dictionary[k].as_py() for k in i.tolist()])
+        names = list(zip(*names[::-1]))
         if keys and len(numbers) + len(names) > _MOST_CONTIGS:
-            yield passed_on()
+            yield from passed_on()
             numbers, keys, counts, held = {}, [], [], 0
-        number = np.array([numbers.setdefault(c, len(numbers)) for c in names.tolist()], np.int64)
-        last = (follows != 0) & (there == size)
+        number = np.array([numbers.setdefault(c, len(numbers)) for c in names], np.int64)[owner][read]
+        last = (follows != 0) & whole
         plain = there - last  # the last base is shown with what follows
-        key = np.repeat((number[owner] << (_PLACE_BITS + 8)) + ((start + half) << 8), plain) + (_upto(plain) << 8) + letters[np.repeat(at, plain) + _upto(plain)]
+        key = np.repeat((number << (_PLACE_BITS + 8)) + ((start + half) << 8), plain) + (_upto(plain) << 8) + letters[np.repeat(at, plain) + _upto(plain)]
         if last.any():
             text, ends = letters.tobytes(), np.cumsum(length)[read]
-            shown = [text[e - 1 : e if n < 0 else min(e + n, m)].decode("latin-1") + (str(n) if n < 0 else "") for e, n, m in zip((at + size)[last].tolist(), follows[last].tolist(), ends[last].tolist())]
-            marked = pa.table({"contig_ord": contig[last], "pos": (start + size - 1)[last], "shown": shown}).group_by(["contig_ord", "pos", "shown"]).aggregate([([], "count_all")])
-            yield from marked.rename_columns(["contig_ord", "pos", "shown", "n"]).to_batches()
+            shown = [text[e - 1 : e if n < 0 else min(e + n, m)].decode("latin-1") + (str(n) if n < 0 else "") for e, n, m in zip((at + there)[last].tolist(), follows[last].tolist(), ends[last].tolist())]
+            marked = pa.table({"k": number[last], "pos": (start + there - 1)[last], "shown": shown}).group_by(["k", "pos", "shown"]).aggregate([([], "count_all")])
+            yield from named(marked["k"].to_numpy(), {"pos": marked["pos"], "shown": marked["shown"], "n": marked["count_all"]}).to_batches()
         key, n = np.unique(key, return_counts=True)
         keys.append(key)
         counts.append(n)
@@ -240,55 +248,52 @@ def _counted_bases(batches: Iterator[pa.RecordBatch], most: int = _MOST_CELLS) -
             key, n = _merged(keys, counts)
             keys, counts, held = [key], [n], len(key)
             if held > most // 2:
-                yield passed_on()
+                yield from passed_on()
                 keys, counts, held = [], [], 0
     if keys:
-        yield passed_on()
+        yield from passed_on()
 
 
-def bases_at(reads: DataFrame, sites: DataFrame, width: int = 1000) -> DataFrame:
-    """(columns of sites, columns of reads but for pos and contig_ord, base, after): reads over the sites (contig_ord, pos).
+def _shown(reads: DataFrame, by: list[str], sites: DataFrame | None, width: int) -> DataFrame:
+    """(``by``, contig_ord, pos, shown, n) of reads (``by``, contig_ord, pos, cigar, seq): what they show at their places, in partial counts.
 
-    Reads and sites meet by bins of ``width``; only the bases at the sites are looked up, never all bases of a read.
+    Whole reads, not their single bases, are brought together by bins of ``width`` places, which may be split (the hint ``rebalance``). With
+    sites, a read goes to every bin that it meets and that has a site, and shows there the places of that bin only.
     """
-    keep = [c for c in reads.columns if c not in ("contig_ord", "pos")]
-    r = reads.select("contig_ord", F.col("pos").alias("_pos"), *keep, _walk().alias("_ops"), F.greatest(reference_end(), F.col("pos") + 1).alias("_end"))
-    r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_pos") / width), F.floor((F.col("_end") - 1) / width))))
-    hit = r.join(sites.withColumn("_bin", F.floor(F.col("pos") / width)), ["contig_ord", "_bin"]).where("pos >= _pos and pos < _end")
-    place = F.col("pos") - F.col("_pos")
-    inside = lambda b: b["op"].isin("M", "=", "X") & (b["ref"] <= place) & (place < b["ref"] + b["len"])
-    number = F.transform("_ops", lambda b, i: F.struct(inside(b).alias("in"), b["ref"].alias("ref"), b["read"].alias("read"), b["len"].alias("len"), F.get("_ops", i + 1).alias("next")))
-    hit = hit.withColumn("_b", F.get(F.filter(number, lambda b: b["in"]), F.lit(0))).where("_b is not null")
-    nxt, last = F.col("_b.next"), place == F.col("_b.ref") + F.col("_b.len") - 1
-    after = F.when(nxt["op"].isin("D", "N"), F.concat(F.lit("-"), nxt["len"].cast("string"))).when(nxt["op"] == "I", F.substring("seq", nxt["read"] + 1, nxt["len"]))
-    base = F.substring("seq", F.col("_b.read") + (place - F.col("_b.ref")).cast("int") + 1, F.lit(1))
-    return hit.withColumns({"base": base, "after": F.when(last, after)}).drop("_pos", "_ops", "_end", "_bin", "_b")
+    keys = [f for f in reads.schema if f.name in (*by, "contig_ord")]
+    r = reads.withColumn("pos", F.col("pos").cast("long")).dropna(subset=["contig_ord", "pos", "cigar", "seq"])
+    if sites is None:
+        r = r.withColumn("_bin", F.floor(F.col("pos") / width))
+    else:
+        last = F.floor((F.greatest(reference_end(), F.col("pos") + 1) - 1) / width)
+        r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("pos") / width), last)))
+        r = r.join(sites.select("contig_ord", F.floor(F.col("pos") / width).alias("_bin")).distinct(), ["contig_ord", "_bin"], "left_semi")
+        r = r.withColumns({"_low": F.col("_bin") * width, "_high": (F.col("_bin") + 1) * width})
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "pos long, shown string, n long"])
+    return r.hint("rebalance", "contig_ord", "_bin").select(*[f.name for f in keys], *(c for c in ("_low", "_high") if c in r.columns), "pos", "cigar", "seq").mapInArrow(_counted_bases, schema)
 
 
 def pileup_bases(reads: DataFrame, sites: DataFrame | None = None, width: int = 1 << 14) -> DataFrame:
     """Bases over the sites (contig_ord, pos), or all covered positions: deletions left out, followed by -n or inserted bases; counted per text.
 
-    Without sites whole reads, not their single bases, are brought together by bins of ``width`` places; tasks count what they
-    show by place, and a last sum over these counts makes the result independent of where a read was counted: a bin too
-    large for a task may be split (the hint ``rebalance``), and a read that leaves its bin needs no cutting. Reads
-    without a contig, place, CIGAR or sequence show nothing, nor do bases that seq lacks.
+    Tasks count what whole reads show by place, and a last sum over these counts makes the result independent of where a read
+    was counted. Reads without a contig, place, CIGAR or sequence show nothing, nor do bases that seq lacks.
     """
-    key = ["contig_ord", "pos", "shown"]
-    if sites is None:
-        kind = reads.schema["contig_ord"].dataType
-        r = reads.select(F.col("contig_ord").cast("long").alias("contig_ord"), F.col("pos").cast("long").alias("pos"), "cigar", "seq").dropna()
-        r = r.withColumn("_bin", F.floor(F.col("pos") / width)).hint("rebalance", "contig_ord", "_bin").drop("_bin")
-        n = r.mapInArrow(_counted_bases, "contig_ord long, pos long, shown string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
-        return n.withColumn("contig_ord", F.col("contig_ord").cast(kind))
-    bases = bases_at(reads.select("contig_ord", "pos", "cigar", "seq"), sites.select("contig_ord", "pos").distinct())
-    return bases.groupBy("contig_ord", "pos", F.concat("base", F.coalesce("after", F.lit(""))).alias("shown")).agg(F.count("*").alias("n"))
+    r = reads.select("contig_ord", "pos", "cigar", "seq")
+    n = _shown(r, [], sites, width).groupBy("contig_ord", "pos", "shown").agg(F.sum("n").alias("n"))
+    return n if sites is None else n.join(sites.select("contig_ord", "pos").distinct(), ["contig_ord", "pos"], "left_semi")
 
 
-def site_allele_depths(reads: DataFrame, sites: DataFrame, key: str) -> DataFrame:
-    """Depths of the reference and alternative base per site (contig_ord, pos, ref, alt) and ``key``."""
-    bases = bases_at(reads.select(key, "contig_ord", "pos", "cigar", "seq"), sites)
-    return bases.groupBy("contig_ord", "pos", key).agg(F.count_if(F.col("base") == F.col("ref")).alias("ad_ref"), F.count_if(F.col("base") == F.col("alt")).alias("ad_alt"))
+def site_allele_depths(reads: DataFrame, sites: DataFrame, key: str, width: int = 1 << 12) -> DataFrame:
+    """Depths of the reference and alternative base per site (contig_ord, pos, ref, alt) and ``key``; sites of one place are summed.
 
+    Bases are counted by place before they meet the sites, so neither the depth nor equal sites multiply rows. Bases that seq lacks count as neither.
+    """
+    full = F.rpad("seq", F.greatest(F.length("seq"), cigar_length("cigar", "MIS=X")), " ")
+    r = reads.select(key, "contig_ord", "pos", "cigar", full.alias("seq"))
+    s = sites.groupBy("contig_ord", "pos", "ref", "alt").agg(F.count("*").alias("_many"))
+    depth = lambda allele: F.coalesce(F.sum(F.when(F.substring("shown", 1, 1) == F.col(allele), F.col("n") * F.col("_many"))), F.lit(0).cast("long"))
+    return _shown(r, [key], sites, width).join(s, ["contig_ord", "pos"]).groupBy("contig_ord", "pos", key).agg(depth("ref").alias("ad_ref"), depth("alt").alias("ad_alt"))
 
 
 def _met(spans: DataFrame, regions: DataFrame, width: int) -> DataFrame:
@@ -326,6 +331,9 @@ def region_counts(reads: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     return bounds.join(upto, ["contig_ord", "at"]).groupBy(key).agg(F.sum(n).alias("n_reads"), F.sum(bases).alias("bases"))
 
 
+def mean_coverage_region(reads: DataFrame, regions: DataFrame, read_len: float) -> DataFrame:
+    """Coverage per region (region, contig_ord, start, stop): reads * length over 10,000 bases, else aligned bases, per length + 1."""
+    n = region_counts(reads, regions.withColumns({"stop": F.col("stop") + 1}), "region")
     size = F.col("stop") - F.col("start")
     out = regions.join(n, "region", "left").na.fill(0, ["n_reads", "bases"])
     return out.select("region", F.when(size > 10_000, F.col("n_reads") * read_len / (size + 1)).otherwise(F.col("bases") / (size + 1)).alias("coverage"))

@@ -401,3 +401,87 @@ def test_density_and_coverage(spark):
     assert {(x.h, x.bin): round(x.density, 6) for x in popgen.hist_density(df, "v", "h").collect()} == {("a", 0): 6.666667, ("a", 1): 3.333333, ("b", -1): 10.0}
     r = spark.createDataFrame([(False,), (True,), (False,)], "is_unmapped boolean")
     assert reads.mean_coverage(r, spark.createDataFrame([(100,), (300,)], "contig_len long"), 50.0).first().coverage == 0.25
+
+
+def test_depths_where_reads_cross_bins_and_sites_repeat(spark):
+    r = random.Random(11)
+    rows = [(r.choice(["a", "b", None]), 0, r.randrange(60), c, "".join(r.choice("ACGT") for _ in range(r.choice([20, 20, 4]))), 1) for c in ("20M", "3S8M2D9M", "5M3I12M") for _ in range(40)]
+    rows += [("a", 0, 30, "20M", None, 1), ("a", None, 30, "20M", "A" * 20, 1)]
+    sites = [(0, p, x, y) for p in (9, 10, 19, 20, 35) for x, y in (("A", "C"), ("A", "C"), ("G", "AAC"))]
+    want = defaultdict(lambda: [0, 0])
+    for key, contig, pos, cigar, seq, _ in rows:
+        if seq is None or contig is None:
+            continue
+        at, ref = 0, pos
+        for n, op in re.findall("([0-9]+)([MIDS])", cigar):
+            for k in range(int(n)) if op == "M" else ():
+                for _, p, x, y in sites:
+                    if p == ref + k:
+                        d = want[p, key]
+                        d[0] += seq[at + k : at + k + 1] == x
+                        d[1] += seq[at + k : at + k + 1] == y
+            at, ref = at + (int(n) if op in "MIS" else 0), ref + (int(n) if op in "MD" else 0)
+    df = spark.createDataFrame(rows, "s string, contig_ord int, pos long, cigar string, seq string, x int")
+    places = spark.createDataFrame(sites, "contig_ord int, pos long, ref string, alt string")
+    got = reads.site_allele_depths(df, places, "s", 10).collect()
+    assert {(x.pos, x.s): [x.ad_ref, x.ad_alt] for x in got} == dict(want) and len(got) == len(want)
+    full = {(x.pos, x.shown): x.n for x in reads.pileup_bases(df).collect()}
+    some = {(x.pos, x.shown): x.n for x in reads.pileup_bases(df, places, 10).collect()}
+    assert some == {k: n for k, n in full.items() if k[0] in (9, 10, 19, 20, 35)}
+
+
+def test_equal_sites_do_not_multiply_bases(spark):
+    df = spark.createDataFrame([(k % 2, 0, 0, "50M", "A" * 50) for k in range(400)], "s int, contig_ord int, pos long, cigar string, seq string")
+    sites = spark.createDataFrame([(0, 7, "A", "C")] * 300, "contig_ord int, pos long, ref string, alt string")
+    out = reads.site_allele_depths(df, sites, "s")
+    assert sorted(map(tuple, out.collect())) == [(0, 7, 0, 60_000, 0), (0, 7, 1, 60_000, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("MapInArrow")  # counted before the join
+
+
+def test_coverage_and_ends_by_hand(spark):
+    r = random.Random(21)
+    size = {"20M": 20, "5M3D9M2S": 17, "7S1M": 1, "4S": 1}
+    rows = [(f"q{i}", r.choice([0, 1, 1, None]), r.choice([r.randrange(3000), 40, None]), r.choice(list(size)), r.random() < 0.1, False, r.randrange(2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "qname string, contig_ord int, pos long, cigar string, is_unmapped boolean, is_secondary boolean, mapq int")
+    regions = [(f"r{i % 45}", r.choice([0, 1, 2]), a := r.choice([r.randrange(3000), 40]), a + r.choice([0, 1, 60, 2500])) for i in range(50)] + [("none", 1, 60, 20), ("null", 1, None, 5), ("long", 1, 0, 10_001)]
+    spans = [(c, p, p + size[g]) for _, c, p, g, *_ in rows if c is not None and p is not None]
+    n, bases = Counter(), Counter()
+    for x, c, a, b in regions:
+        for d, p, e in spans if a is not None and a <= b else ():
+            if c == d and p < b + 1 and e > a:
+                n[x] += 1
+                bases[x] += min(e, b + 1) - max(p, a)
+    want = sorted((x, None if a is None else n[x] * 9.0 / (b - a + 1) if b - a > 10_000 else bases[x] / (b - a + 1)) for x, _, a, b in regions)
+    out = reads.mean_coverage_region(df, spark.createDataFrame(regions, "region string, contig_ord int, start long, stop long"), 9.0)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert "_bin" not in out._jdf.queryExecution().optimizedPlan().toString()  # reads and regions never meet pair by pair
+    sites = [(i % 25, r.choice([0, 1]), r.choice([r.randrange(3000), 45])) for i in range(30)]
+    near, clipped = {}, Counter()
+    for i, c, at in sites:
+        for _, d, p, g, unmapped, _, q in rows:
+            if c == d and p is not None and p <= at < p + size[g] and not unmapped and q:
+                near[i] = min(near.get(i, 99), at - p, p + size[g] - 1 - at)
+                clipped[i] += "S" in g
+    out = reads.read_end_distance(df, spark.createDataFrame(sites, "site_id int, contig_ord int, pos long"))
+    assert {x.site_id: (x.least_distance, x.clipped) for x in out.collect()} == {i: (d, clipped[i]) for i, d in near.items()}
+    assert "_end" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "max(_end" in plan  # one read per beginning, one per end
+
+
+def test_mates_are_found_before_sites(spark):
+    r = random.Random(22)
+    rows = [(f"q{r.randrange(60)}", r.randrange(2), r.randrange(900), "20M", r.random() < 0.5, r.choice([0, 1, None]), r.randrange(900), r.choice(["ACCN", "GT", None])) for _ in range(250)]
+    rows += [(f"q{i}", 0, 30 + i % 3, "20M", i % 2 == 0, 0, 31, "ACG") for i in range(60)]
+    sites = [(i, r.randrange(2), r.choice([r.randrange(900), 40])) for i in range(20)]
+    want = Counter()
+    for i, c, at in sites:
+        for q, d, p, _, turned, mc, mp, _ in rows:
+            low, high = (at, at + 250) if turned else (max(at - 250, 0), at)
+            if c == d and p < high and p + 20 > low:
+                for q2, d2, p2, _, t2, _, _, s in rows:
+                    if q2 == q and d2 == mc and abs(p2 - mp) <= 1:
+                        want[i, q, None if s is None else s if t2 != turned else s.translate(TURN)[::-1]] += 1
+    df = spark.createDataFrame(rows, "qname string, contig_ord int, pos long, cigar string, is_reverse boolean, next_contig_ord int, next_pos long, seq string")
+    out = reads.mate_lookup(df, spark.createDataFrame(sites, "site_id int, contig_ord int, pos long"))
+    assert Counter(map(tuple, out.collect())) == want
+    assert "_bin" in next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
