@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from popweave.functions.ordering import numbered, running_sum
+from popweave.functions.ordering import numbered
 from popweave.functions.scratch import stored
 
 
@@ -160,15 +161,19 @@ def kmer_paths(edges: DataFrame, most: int = 2000) -> DataFrame:
     return out.select("node", "steps", F.when(F.col("steps") >= most, "").otherwise(F.concat("node", "_tail")).alias("seq"))
 
 
-def _next_apart(rows: DataFrame, within: int) -> DataFrame:
-    """(rn, next): for numbered events the first later one that does not overlap it; one past the last if there is none.
+#: Events of a block, and how many of the events after it a block knows.
+BLOCK, BEYOND = 1 << 16, 1 << 13
+
+
+def _next_apart(rows: DataFrame, unknown: DataFrame, within: int) -> DataFrame:
+    """(rn, next): for the events (rn, at, contig_ord, start, stop, inv) of ``unknown`` the first event from ``at`` on that does not overlap it; one past the last if there is none.
 
     Events search in steps that double and then halve over tables of 1, 2, 4 ... neighbouring events (their last contig and start,
     least and greatest stop, any inversion), which are built only as far as some search goes.
     """
     levels = [stored(rows.select("rn", F.col("contig_ord").alias("c"), F.col("start").alias("a"), F.col("stop").alias("low"), F.col("stop").alias("high"), "inv"), "level")]
-    own = rows.select("rn", "contig_ord", "start", "stop", F.col("inv").alias("turned"))
-    state = own.withColumns({"at": F.col("rn") + 1, "t": F.lit(0)})
+    own = unknown.select("rn", "contig_ord", "start", "stop", F.col("inv").alias("turned"))
+    state = own.join(unknown.select("rn", "at", F.lit(0).alias("t")), "rn")
     done = own.select("rn", F.col("rn").alias("next")).where("false")
     while True:
         top = state.agg(F.max("t")).first()[0]
@@ -190,26 +195,116 @@ def _next_apart(rows: DataFrame, within: int) -> DataFrame:
         state = hit.where("t >= 0")
 
 
+def _nexts(own: np.ndarray, start: np.ndarray, stop: np.ndarray, inv: np.ndarray, within: int) -> np.ndarray:
+    """For each of events in order, ``own`` the number of its contig, the first later one that does not overlap it; their number if there is none.
+
+    Starts within a contig ascend, absent ones (not a number) first. Runs of near events are leapt over by halving steps over the least and greatest stops of 2**t events.
+    """
+    n = len(own)
+    at = np.arange(1, n + 1)
+    ends = np.append(np.flatnonzero(np.diff(own)) + 1, n)
+    end = ends[np.searchsorted(ends, np.arange(n), side="right")]
+    turned = np.minimum.accumulate(np.where(inv, np.arange(n), n)[::-1])[::-1]
+    turned = np.where(inv, n, np.append(turned[1:], n))  # an inversion is not suppressed by another kind
+    low, high = [stop], [stop]
+    while 2 << len(low) - 1 <= n:
+        size = 1 << len(low) - 1
+        low.append(np.minimum(low[-1][:-size], low[-1][size:]))
+        high.append(np.maximum(high[-1][:-size], high[-1][size:]))
+    for t in range(len(low))[::-1]:  # by start
+        last = at + (1 << t) - 1
+        ok = last < end
+        ok[ok] = start[last[ok]] - start[ok] <= within
+        at[ok] += 1 << t
+    for t in range(len(low))[::-1]:  # by stop
+        ok = at + (1 << t) <= end
+        ok[ok] = (low[t][at[ok]] >= stop[ok] - within) & (high[t][at[ok]] <= stop[ok] + within)
+        at[ok] += 1 << t
+    return np.minimum(np.minimum(at, end), turned)
+
+
+def _in_blocks(rows: DataFrame, marks: DataFrame, within: int, last: int, schema: str, tell) -> DataFrame:
+    """What ``tell(rn, size, next, marks)`` makes of each block: the numbers of its events and of those beyond that it knows, how many are its own, and places of their successors
+    (as many as ``rn`` has where they are not known). ``marks`` (b, rn, next) go to the block b; a next that they give takes the place of what is found.
+    """
+    b = F.floor((F.col("rn") - 1) / BLOCK)
+    near = rows.select("rn", "contig_ord", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"), "inv")
+    near = near.withColumn("b", F.explode(F.when((F.pmod(F.col("rn") - 1, F.lit(BLOCK)) < BEYOND) & (b > 0), F.array(b, b - 1)).otherwise(F.array(b))))
+
+    def run(events: pa.Table, marked: pa.Table) -> pa.Table:
+        events = events.sort_by("rn")
+        rn, start, stop, inv = (events[c].to_numpy() for c in ("rn", "start", "stop", "inv"))
+        codes = events["contig_ord"].combine_chunks().dictionary_encode().indices
+        own = np.cumsum(np.append(0, np.diff(codes.fill_null(-1).to_numpy(zero_copy_only=False)) != 0))
+        own = np.where(codes.is_null().to_numpy(zero_copy_only=False), -1 - np.arange(len(rn)), own)  # none suppresses an event without a contig
+        return tell(rn, int(np.searchsorted(rn, (rn[0] - 1) // BLOCK * BLOCK + BLOCK, side="right")), _nexts(own, start, stop, inv.astype(bool), within), marked)
+
+    return near.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(run, schema)
+
+
 def suppress_overlaps(events: DataFrame, within: int = 5) -> DataFrame:
     """Events (contig_ord, start, stop, kind) in order, without those near the last kept one of their contig.
 
     An event goes if its start or its stop is within ``within`` of the last kept event's, unless it is an inversion and
-    that is not. The kept events are a chain: each one's successor is the first later event that does not overlap it. Successors
-    of all events are searched at once; events that no successor leaps over are kept for certain, and the chains between them
-    are followed by pointer doubling, so no task depends on a contig's size. Of events equal in place and in being
-    an inversion only the first (by the other columns) can stay, whatever was kept before.
+    that is not. The kept events are a chain: each one's successor is the first later event that does not overlap it. Numbered events are
+    cut into blocks of ``BLOCK``, which know ``BEYOND`` events more; successors further on are searched by doubling (``_next_apart``). A block tells
+    through which events of later ones chains enter those; chains of these entries alone are followed by pointer doubling from the first
+    event on, and each block then follows its own part. So no task depends on a contig's size. Of events equal in place and in
+    being an inversion only the first (by the other columns) can stay, whatever was kept before.
     """
     rest = [c for c in events.columns if c not in ("contig_ord", "start", "stop")]
     inv = F.coalesce(F.col("kind") == "inv", F.lit(False))
     first = events.groupBy("contig_ord", "start", "stop", inv.alias("inv")).agg(F.min(F.struct(*rest)).alias("r"))
     rows = stored(numbered(first, ["contig_ord", "start", "stop", "r"]), "events")
-    links = stored(_next_apart(rows, within), "links")
-    leaps = links.where("next > rn + 1")
-    change = leaps.select((F.col("rn") + 1).alias("rn"), F.lit(1).alias("v")).unionByName(leaps.select(F.col("next").alias("rn"), F.lit(-1).alias("v"))).groupBy("rn").agg(F.sum("v").alias("v"))
-    covers = running_sum(rows.select("rn").join(change, "rn", "left"), ["rn"], F.coalesce("v", F.lit(0)), "over")
-    kept = stored(covers.where("over = 0").select("rn"), "kept")
-    links = stored(links.join(kept.select(F.col("rn").alias("next")), "next", "left_anti").join(rows.select(F.col("rn").alias("next")), "next", "left_semi"), "links")
+    last = rows.agg(F.max("rn")).first()[0] or 0
+
+    def unknown(rn, size, nxt, marked):
+        far = np.flatnonzero((nxt[:size] == len(rn)) & (rn[-1] < last))
+        return pa.table({"rn": rn[far], "at": np.full(len(far), rn[-1] + 1, np.int64)})
+
+    def numbers(rn, size, nxt, marked):
+        """Numbers of the successors of a block's own events."""
+        out = np.append(rn, rn[-1] + 1)[nxt[:size]]
+        known = marked.filter(pc.is_valid(marked["next"]))
+        out[known["rn"].to_numpy() - rn[0]] = known["next"].to_numpy()
+        return out
+
+    def leaving(rn, size, nxt, marked):
+        """The first event outside of the block on the chain of each of its own, by pointer doubling."""
+        out = numbers(rn, size, nxt, marked)
+        while (inside := out < rn[0] + size).any():
+            out[inside] = out[out[inside] - rn[0]]
+        return out
+
+    def entries(rn, size, nxt, marked):
+        return pa.table({"rn": np.unique(leaving(rn, size, nxt, marked))})
+
+    def onward(rn, size, nxt, marked):
+        at = marked.filter(pc.is_null(marked["next"]))["rn"].to_numpy()
+        return pa.table({"rn": at, "next": leaving(rn, size, nxt, marked)[at - rn[0]]})
+
+    def followed(rn, size, nxt, marked):
+        out, at, kept = numbers(rn, size, nxt, marked), marked.filter(pc.is_null(marked["next"]))["rn"].to_numpy(), []
+        for i in at.tolist():  # one chain enters a block
+            while i < rn[0] + size:
+                kept.append(i)
+                i = int(out[i - rn[0]])
+        return pa.table({"rn": pa.array(kept, pa.int64())})
+
+    none = rows.select(F.lit(0).cast("long").alias("b"), F.col("rn").cast("long").alias("rn"), F.col("rn").cast("long").alias("next")).where("false")
+    block = F.floor((F.col("rn") - 1) / BLOCK).alias("b")
+    far = stored(_in_blocks(rows, none, within, last, "rn long, at long", unknown), "far")
+    if far.limit(1).count():
+        far = stored(_next_apart(rows, rows.join(far, "rn"), within).select(block, "rn", "next"), "far")
+    else:
+        far = none
+    at = lambda df: far.unionByName(df.select(block, "rn", F.lit(None).cast("long").alias("next")))
+    enter = _in_blocks(rows, far, within, last, "rn long", entries).where(F.col("rn") <= last).unionByName(rows.where("rn = 1").select(F.col("rn").cast("long"))).distinct()
+    links = stored(_in_blocks(rows, at(stored(enter, "entries")), within, last, "rn long, next long", onward), "links")
+    kept = stored(links.where("rn = 1").select("rn"), "kept")
+    links = stored(links.where(F.col("next") <= last), "links")
     while links.limit(1).count():
         kept = stored(kept.unionByName(kept.join(links, "rn").select(F.col("next").alias("rn"))), "kept")
         links = stored(links.join(links.select(F.col("rn").alias("next"), F.col("next").alias("_next")), "next").select("rn", F.col("_next").alias("next")), "links")
+    kept = _in_blocks(rows, at(kept), within, last, "rn long", followed)
     return rows.join(kept, "rn").select(*[f"r.{c}" if c in rest else c for c in events.columns])

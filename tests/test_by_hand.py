@@ -485,3 +485,23 @@ def test_mates_are_found_before_sites(spark):
     out = reads.mate_lookup(df, spark.createDataFrame(sites, "site_id int, contig_ord int, pos long"))
     assert Counter(map(tuple, out.collect())) == want
     assert "_bin" in next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+
+
+@pytest.mark.parametrize("block,beyond", [(4, 1), (16, 8), (1 << 16, 1 << 13)])
+def test_suppression_in_blocks(spark, monkeypatch, block, beyond):
+    monkeypatch.setattr(kmers, "BLOCK", block)
+    monkeypatch.setattr(kmers, "BEYOND", beyond)
+    r = random.Random(block)
+    rows = [(c, a := r.choice([r.randrange(200), None]), None if a is None else a + r.randrange(30), r.choice(["inv", "del", None])) for c in (0, 1, 1, 2, None) for _ in range(25)]
+    rows += [(3, a, 900 + a % 3, "del") for a in range(0, 240, 7)] + [(3, 300, None, "del"), (3, 302, 7, "del"), (3, 400, 7, "inv")] + [(4, 3, 9, "del")] * 5
+    key = lambda e: [x for v in e for x in (v is not None, v if v is not None else 0)]
+    want, last = [], {}
+    for e in sorted({(c, a, b, k == "inv"): (c, a, b, k) for c, a, b, k in sorted(rows, key=lambda e: [str(x) for x in (e[3] is not None, e[3])], reverse=True)}.values(), key=lambda e: key(e[:3]) + [e[3] is not None, e[3] or ""]):
+        c, a, b, k = e
+        p = last.get(c) if c is not None else None
+        if p and ((None not in (a, p[1]) and abs(a - p[1]) <= 5) or (None not in (b, p[2]) and abs(b - p[2]) <= 5)) and not (k == "inv" and p[3] != "inv"):
+            continue
+        last[c] = e
+        want.append(e)
+    got = kmers.suppress_overlaps(spark.createDataFrame(rows, "contig_ord long, start long, stop long, kind string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
