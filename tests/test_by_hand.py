@@ -505,3 +505,15 @@ def test_suppression_in_blocks(spark, monkeypatch, block, beyond):
         want.append(e)
     got = kmers.suppress_overlaps(spark.createDataFrame(rows, "contig_ord long, start long, stop long, kind string"))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_genes_of_one_name_are_dealt_to_parts(spark):
+    genes = [(i, "a" if i < 900 else "b" if i < 950 else None if i % 2 else "c") for i in range(1000)]
+    others = [(i, "a" if i < 20 else "b" if i < 30 else "z" if i < 40 else None) for i in range(50)]
+    g = spark.createDataFrame(genes, "gene_id int, gene_name string")
+    o = spark.createDataFrame(others, "ortholog_id int, ortholog_name string")
+    want = Counter((i, n, j, n) for i, n in genes for j, m in others if n is not None and n == m) + Counter((i, n, None, None) for i, n in genes if n not in ("a", "b"))
+    out = intervals.left_join_genes(g, o, 50)
+    assert Counter((x.gene_id, x.gene_name, x.ortholog_id, x.ortholog_name) for x in out.collect()) == want
+    assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(intervals.left_join_genes(g, o).groupBy().count().first()) == sum(want.values())
