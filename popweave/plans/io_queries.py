@@ -13,6 +13,7 @@ from popweave.sources import writers as K
 from popweave.streaming.register import register_runs_stream
 
 C = Catalog()
+ROWS_PER_FILE = 500_000  # of compressed text, whose files are read by one task each
 RUNS = "Run string, BioSample long, Note string, Bases long, Files string"
 
 
@@ -91,6 +92,11 @@ def _(t):
     return sites.select("contig", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), "svtype", "stop", F.col("info")["SVLEN"].cast("long").alias("svlen"), F.col("info")["NS"].cast("long").alias("ns"))
 
 
+def _text(df, path, rows=ROWS_PER_FILE):
+    """Compressed text, in files of at most so many rows."""
+    df.write.option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
+
+
 FLAGS = [("is_paired", 1), ("is_proper_pair", 2), ("is_unmapped", 4), ("mate_is_unmapped", 8), ("is_reverse", 16), ("mate_is_reverse", 32), ("is_secondary", 256), ("is_duplicate", 1024)]
 
 
@@ -118,10 +124,8 @@ def _(t):
 @C.query("scan_fastq", "SELECT qname AS name, CASE WHEN mapq % 7 = 0 THEN '' ELSE seq END AS seq1, seq AS seq2 FROM fx_reads")
 def _(t):
     path = shared_dir(t.spark)
-    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    r = t.fx_reads.repartition(n, "qname").sortWithinPartitions("qname")  # both sides of a pair have their records in one order
-    for k, seq in ((1, F.when(F.col("mapq") % 7 == 0, "").otherwise(F.col("seq"))), (2, F.col("seq"))):
-        r.select(F.concat_ws("\n", F.concat(F.lit("@"), "qname", F.lit(f"/{k} x")), seq, F.lit("+"), "qual")).write.text(f"{path}/{k}")
+    for k, seq in ((1, F.when(F.col("mapq") % 7 == 0, "").otherwise(F.col("seq"))), (2, F.col("seq"))):  # both sides of a pair in the order of one table
+        _text(t.fx_reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "qname", F.lit(f"/{k} x")), seq, F.lit("+"), "qual")), f"{path}/{k}")
     pair = S.scan_fastq_pair(t.spark, f"{path}/1", f"{path}/2")
     return pair.select(F.regexp_replace("name", "/1$", "").alias("name"), "seq1", "seq2")
 

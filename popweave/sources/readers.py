@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,24 +81,50 @@ def fetch(reads: DataFrame, contig: str, start: int | None = None, stop: int | N
     return out
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines numbered by file name and place, however the files are split.
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value, _before, _n): lines numbered by file name and place, however the files are split, with the lines before their split and in it.
 
-    Within a split row ids are consecutive; a table of one row per split holds where its lines begin.
+    Within a split row ids are consecutive; a table of one row per split holds where its lines begin. Rows keep the order of the text.
     """
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
     splits = rows.groupBy("_f", "_b").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("_f", "_b", "_low", before.alias("_before"))
-    return rows.join(F.broadcast(splits), ["_f", "_b"]).select((F.col("_id") - F.col("_low") + F.col("_before")).alias("line"), "value")
+    splits = splits.select("_f", "_b", "_low", "_n", before.alias("_before"))
+    return rows.join(F.broadcast(splits), ["_f", "_b"]).select((F.col("_id") - F.col("_low") + F.col("_before")).alias("line"), "value", "_before", "_n")
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): lines numbered by file name and place."""
+    return _split_lines(spark, path).select("line", "value")
 
 
 def scan_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(record_no, name, seq, qual) of 4-line records."""
-    rows = _numbered_lines(spark, path).select(F.floor(F.col("line") / 4).alias("record_no"), (F.col("line") % 4).alias("k"), "value")
+    """(record_no, name, seq, qual) of 4-line records.
+
+    The records that lie whole in a split of a file are put together where they are read; only lines of those that a split cuts meet in a shuffle.
+    """
+    rows = _split_lines(spark, path).withColumns({"record_no": F.floor(F.col("line") / 4), "k": F.col("line") % 4})
+    first = F.col("record_no") * 4
+    whole = (first >= F.col("_before")) & (first + 4 <= F.col("_before") + F.col("_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            n = len(table) // 4 * 4
+            rest = table.slice(n).combine_chunks().to_batches()[0] if n < len(table) else None
+            if not n:
+                continue
+            lines = table.column("line").slice(0, n).to_numpy().reshape(-1, 4)
+            if ((lines - lines[:, :1] != np.arange(4)) | (lines[:, :1] % 4 != 0)).any():
+                raise RuntimeError("lines of a split are out of order")
+            value = [table.column("value").take(pa.array(np.arange(k, n, 4))).combine_chunks() for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines[:, 0] // 4), *[v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in value]], names=["record_no", "head", "seq", "qual"])
+
+    inside = rows.where(whole).select("line", "value").mapInArrow(run, "record_no long, head string, seq string, qual string")
     part = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    out = rows.groupBy("record_no").agg(F.regexp_extract(part(0), r"^@(\S*)", 1).alias("name"), part(1).alias("seq"), part(3).alias("qual"))
-    return out.where("seq is not null and qual is not null")
+    cut = rows.where(~whole).groupBy("record_no").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual")).where("seq is not null and qual is not null")
+    return inside.unionByName(cut).select("record_no", F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), "seq", "qual")
 
 
 def scan_fastq_pair(spark: SparkSession, first: str, second: str) -> DataFrame:

@@ -59,6 +59,16 @@ def test_fastq_in_many_splits(spark, tmp_path):
     assert [(r.record_no, r.name, r.seq) for r in rows] == [(i, f"r{i}", "ACGT"[i % 4] * 40) for i in range(500)]
 
 
+def test_records_stay_where_they_are_read(spark, tmp_path):
+    (tmp_path / "gz").mkdir()
+    df = spark.range(0, 400, 1, 1).selectExpr("concat('@r', id, '/1\n', repeat('ACGT', 9), '\n+\n', repeat('!', 36)) as value")
+    df.write.option("compression", "gzip").option("maxRecordsPerFile", 90).text(str(tmp_path / "gz/1"))
+    one = S.scan_fastq(spark, put(tmp_path, "o.fq", "".join(f"@r{i}/1\nACGT\n+\n!!!!\n" for i in range(400))))
+    assert [r.name for r in one.collect()] == [f"r{i}/1" for i in range(400)]  # no shuffle has mixed them
+    many = S.scan_fastq(spark, str(tmp_path / "gz/1"))
+    assert sorted((r.record_no, r.name) for r in many.collect()) == [(i, f"r{i}/1") for i in range(400)]
+
+
 def test_fasta_gtf_xml_sheet(spark, tmp_path):
     rows = S.scan_fasta(spark, put(tmp_path, "x.fa", ">c1 first\nACG\nTT\n>c2\nGG\n")).collect()
     assert {(r.contig, r.seq, r.contig_len) for r in rows} == {("c1", "ACGTT", 5), ("c2", "GG", 2)}
