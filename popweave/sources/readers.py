@@ -134,29 +134,103 @@ def scan_fastq_pair(spark: SparkSession, first: str, second: str) -> DataFrame:
 
 
 def _fasta_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, head, contig, start, value): sequence lines with the place of their contig's header line and of their first letter in the contig; a header has value null.
+    """Lines of FASTA text in order, with their split's row of ``_fasta_splits``: value (null for a header), _id, and _head (id, name) of a header.
 
-    Files are split anywhere. Within a split, lines are numbered and their letters summed; a table of one row per split
-    carries the last header and the letters since then into the splits that follow.
+    Files are split anywhere; a table of one row per split carries the last header and the letters since then into the splits that follow.
     """
-    value = F.trim(F.regexp_replace("value", r"\s", " "))
+    value = F.trim(F.translate("value", "\t\r\n\x0b\x0c", " " * 5))
     head = F.when(F.col("value").startswith(">"), F.struct(F.col("_id").alias("id"), F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("name")))
     rows = spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
     rows = rows.where("value <> ''").withColumn("_head", head).withColumn("value", F.when(F.col("_head").isNull(), F.replace("value", F.lit(" "), F.lit(""))))
-    inside = W.partitionBy("file", "_b").orderBy("_id")
-    rows = rows.withColumns({"_last": F.last("_head", ignorenulls=True).over(inside), "_upto": F.sum(F.coalesce(F.length("value"), F.lit(0)).cast("long")).over(inside)})
-    rows = rows.withColumn("_since", F.col("_upto") - F.coalesce(F.max(F.when(F.col("_head").isNotNull(), F.col("_upto"))).over(inside), F.lit(0)))
-    splits = rows.groupBy("file", "_b").agg(F.max_by("_last", "_id").alias("_l"), F.max_by("_since", "_id").alias("_n"))
-    before = W.partitionBy("file").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row per split of a file
-    splits = splits.withColumns({"_carried": F.last("_l", ignorenulls=True).over(before), "_k": F.count("_l").over(W.partitionBy("file").orderBy("_b"))})
+    return rows.join(F.broadcast(_fasta_splits(rows)), ["file", "_b"])
+
+
+def _fasta_splits(rows: DataFrame) -> DataFrame:
+    """A row per split of a file: its first line (_low), its first and last header (_first, _last), the header carried into it and the letters since that one (_carried, _offset)."""
+    heads = rows.where("_head is not null").groupBy("file", "_b").agg(F.min("_head.id").alias("_first"), F.max("_head.id").alias("_end"))
+    after = F.col("_end").isNull() | (F.col("_id") > F.col("_end"))
+    letters = F.sum(F.when(after, F.length("value")).otherwise(0).cast("long"))
+    last = F.collect_list(F.when(F.col("_id") == F.col("_end"), F.col("_head")))  # one: no sort of all lines for it
+    splits = rows.join(F.broadcast(heads), ["file", "_b"], "left").groupBy("file", "_b").agg(F.min("_head.id").alias("_first"), F.get(last, 0).alias("_last"), F.min("_id").alias("_low"), F.coalesce(letters, F.lit(0)).alias("_n"))
+    order = W.partitionBy("file").orderBy("_b")  # a row per split of a file
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumns({"_carried": F.last("_last", ignorenulls=True).over(before), "_k": F.count("_last").over(order)})
     # letters since the last header: those of the splits of the same run, which begins with the split that has a header
-    runs = W.partitionBy("file", "_k").orderBy("_b")
-    splits = splits.withColumn("_sum", F.sum("_n").over(runs))
-    splits = splits.select("file", "_b", "_carried", F.coalesce(F.lag("_sum").over(W.partitionBy("file").orderBy("_b")), F.lit(0)).alias("_offset"))
-    rows = rows.join(F.broadcast(splits), ["file", "_b"])  # a row per split
-    own = F.coalesce("_last", "_carried")
-    start = F.col("_since") - F.length("value") + F.when(F.col("_last").isNull(), F.col("_offset")).otherwise(F.lit(0))
-    return rows.where(own.isNotNull()).select("file", own["id"].alias("head"), own["name"].alias("contig"), start.alias("start"), "value")
+    splits = splits.withColumn("_sum", F.sum("_n").over(W.partitionBy("file", "_k").orderBy("_b")))
+    return splits.select("file", "_b", "_low", "_first", "_last", "_carried", F.coalesce(F.lag("_sum").over(order), F.lit(0)).alias("_offset"))
+
+
+def _fasta_cut(spark: SparkSession, path: str, width: int | None) -> DataFrame:
+    """(file, head, contig, start, seq): pieces of contigs as in ``scan_fasta_pieces``; without ``width`` whole contigs, empty ones too.
+
+    Pieces are put together where their lines are read; only the first and the last of a split, which may go on in the next one, meet in a shuffle.
+    """
+    first = F.col("_id") == F.col("_low")  # the line that brings what is known of its split
+    known = [F.when(first, c).alias(n) for c, n in ((F.col("file"), "file"), (F.coalesce("_carried.id", F.lit(-1)), "old"), (F.col("_carried.name"), "old_name"), (F.col("_offset"), "offset"))]
+    # a split's edges are before its first header and after its last
+    edge_line = F.col("_first").isNull() | (F.col("_id") < F.col("_first")) | (F.col("_id") >= F.col("_last.id")) | first
+    lines = _fasta_lines(spark, path).select("value", F.col("_head.id").alias("id"), F.col("_head.name").alias("name"), *known, edge_line.alias("edge"))
+
+    def cut(edges: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, size = [], 0
+            file = head = name = stretch = None
+            begun, at, parts, edge = 0, 0, [], False
+
+            def close(last: bool) -> None:
+                nonlocal size, parts
+                if stretch is not None and head >= 0 and (edge or last) == edges:
+                    out.append((file, head, name, begun, "".join(parts)))
+                    size += at - begun
+                parts = []
+
+            def passed_on() -> pa.RecordBatch:
+                nonlocal out, size
+                columns, out, size = list(zip(*out, strict=True)), [], 0
+                types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "head", "contig", "start", "seq"])
+
+            for batch in batches:
+                value, ids, names, *known = (batch.column(c) for c in ("value", "id", "name", "file", "old", "old_name", "offset"))
+                texts = value.to_pylist()
+                stops = np.flatnonzero(value.is_null().to_numpy(zero_copy_only=False) | known[0].is_valid().to_numpy(zero_copy_only=False)).tolist()
+                for i, j in zip([-1, *stops], [*stops, len(texts)], strict=True):
+                    if i >= 0 and known[0][i].is_valid:  # the first line of a split
+                        close(True)
+                        file, head, name, at = (c[i].as_py() for c in known)
+                        stretch, edge = None, True
+                    if i >= 0 and texts[i] is None:  # a header
+                        close(False)
+                        head, name, begun, at, stretch, edge = ids[i].as_py(), names[i].as_py(), 0, 0, None if width else 0, False
+                        i += 1
+                    run_of = texts[max(i, 0) : j]
+                    if width and any(len(x) > width for x in run_of):
+                        run_of = [x[c : c + width] for x in run_of for c in range(0, len(x), width)]
+                    if not run_of:
+                        continue
+                    starts = at + np.cumsum([0, *map(len, run_of)])
+                    ks = starts[:-1] // width if width else np.zeros(len(run_of), np.int64)
+                    turns = [0, *(np.flatnonzero(np.diff(ks)) + 1).tolist(), len(run_of)]
+                    for x, y in zip(turns, turns[1:]):
+                        if ks[x] != stretch:
+                            if stretch is not None:
+                                close(False)
+                                edge = False
+                            stretch, begun = int(ks[x]), int(starts[x])
+                        parts.extend(run_of[x:y])
+                        at = int(starts[y])
+                    if size >= 1 << 22:
+                        yield passed_on()
+            close(True)
+            if out:
+                yield passed_on()
+
+        rows = lines.where("edge") if edges else lines
+        return rows.mapInArrow(run, "file string, head long, contig string, start long, seq string")
+
+    parts = F.array_sort(F.collect_list(F.struct("start", "seq")))
+    met = cut(True).groupBy("file", "head", "contig", (F.floor(F.col("start") / width) if width else F.lit(0)).alias("_k")).agg(F.min("start").alias("start"), F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
+    return cut(False).unionByName(met.drop("_k"))
 
 
 def scan_fasta_pieces(spark: SparkSession, path: str, width: int = 10_000) -> DataFrame:
@@ -164,20 +238,12 @@ def scan_fasta_pieces(spark: SparkSession, path: str, width: int = 10_000) -> Da
 
     A piece begins with the first line that begins in a stretch of ``width`` letters; longer lines are cut.
     """
-    lines = _fasta_lines(spark, path).where("value is not null")
-    cut = lines.select("file", "head", "contig", "start", F.posexplode(F.regexp_extract_all("value", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("_i", "value"))
-    cut = cut.withColumn("start", F.col("start") + F.col("_i") * width)
-    parts = F.array_sort(F.collect_list(F.struct("start", "value")))  # lines of one stretch
-    out = cut.groupBy("file", "head", "contig", F.floor(F.col("start") / width).alias("_k")).agg(F.min("start").alias("start"), F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("seq"))
-    return out.drop("_k")
+    return _fasta_cut(spark, path, width)
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(contig, seq, contig_len) of FASTA text with wrapped lines: a row per contig, of at most 2 GB; ``scan_fasta_pieces`` has no such bound."""
-    heads = _fasta_lines(spark, path).where("value is null").select("file", "head", "contig")
-    parts = F.array_sort(F.collect_list(F.struct("start", "seq")))
-    seqs = scan_fasta_pieces(spark, path).groupBy("file", "head").agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
-    return heads.join(seqs, ["file", "head"], "left").select("contig", F.coalesce("seq", F.lit("")).alias("seq")).withColumn("contig_len", F.length("seq"))
+    return _fasta_cut(spark, path, None).select("contig", "seq").withColumn("contig_len", F.length("seq"))
 
 
 def region_slice(genome: DataFrame, regions: DataFrame) -> DataFrame:

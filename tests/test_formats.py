@@ -69,6 +69,14 @@ def test_records_stay_where_they_are_read(spark, tmp_path):
     assert sorted((r.record_no, r.name) for r in many.collect()) == [(i, f"r{i}/1") for i in range(400)]
 
 
+def test_pieces_stay_where_they_are_read(spark, tmp_path):
+    path = put(tmp_path, "o.fa", "".join(f">c{i} x\n{'ACGT' * 15}\nAC\n" for i in range(300)))
+    want = [(f"c{i}", "ACGT" * 15 + "AC") for i in range(300)]
+    got = [(r.contig, r.seq) for r in S.scan_fasta(spark, path).collect()]
+    assert got[:-1] == want[:-1] and got[-1] == want[-1]  # in order: no shuffle has mixed them
+    assert [(r.contig, r.start, r.seq) for r in S.scan_fasta_pieces(spark, path, 60).collect()][:598:2] == [(f"c{i}", 0, "ACGT" * 15) for i in range(299)]
+
+
 def test_fasta_gtf_xml_sheet(spark, tmp_path):
     rows = S.scan_fasta(spark, put(tmp_path, "x.fa", ">c1 first\nACG\nTT\n>c2\nGG\n")).collect()
     assert {(r.contig, r.seq, r.contig_len) for r in rows} == {("c1", "ACGTT", 5), ("c2", "GG", 2)}
