@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.functions.scratch import stored
+from popweave.functions.sizes import small
 from popweave.operators.intervals import cut_regions
 from popweave.operators.reads import reference_end, reverse_complement
 
@@ -120,14 +122,29 @@ def linear_position(contig_ord: str, pos: str) -> Column:
 
 
 def reads_at_breakpoint(reads: DataFrame, events: DataFrame, margin: int = 5) -> DataFrame:
-    """(event, qname, and the read): reads near start or stop of the events, one per name and event."""
-    ends = events.select("event", "contig_ord", F.explode(F.array("start", "stop")).alias("at"))
+    """(event, qname, and the read): reads near start or stop of the events, one per name and event.
+
+    Events that fit are broadcast, so reads stay where they are; only reads whose name another one has (by 64-bit hash), or at an event that has several places,
+    are shuffled to find the last one.
+    """
     width = 1000
-    r = reads.withColumn("_end", reference_end()).withColumn("_bin", F.explode(F.sequence(F.floor((F.col("pos") - margin) / width), F.floor((F.col("_end") + margin) / width))))
-    hit = r.join(ends.withColumn("_bin", F.floor(F.col("at") / width)), ["contig_ord", "_bin"]).where(f"pos - {margin} < at and _end > at")
+    places = stored(events.select("event", "contig_ord", "start", "stop").distinct(), "events")
+    many = places.groupBy(F.col("event").alias("_of")).agg((F.count("*") > 1).alias("_many"))  # an event of several places
+    at = F.col("at")
+    ends = places.join(many, F.col("event").eqNullSafe(F.col("_of"))).select("event", "contig_ord", "_many", "start", F.explode(F.array(F.struct(F.lit(False).alias("_stop"), F.col("start").alias("at")), F.struct(F.lit(True).alias("_stop"), F.col("stop").alias("at")))).alias("e"))
+    ends = small(stored(ends.select("event", "contig_ord", "_many", F.col("start").alias("_start"), "e.*").where(at.isNotNull()).withColumn("_bin", F.floor(at / width)), "ends"))
+    name = F.xxhash64("qname")
+    shared = small(stored(reads.groupBy(name.alias("_name")).agg(F.count("*").alias("_n")).where("_n > 1").select("_name", F.lit(True).alias("_shared")), "names"))
+    near = lambda x: (F.col("pos") - margin < x) & (F.col("_end") > x)
+    r = reads.withColumns({"_end": reference_end(), "_name": name})
+    r = r.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("pos") - margin) / width), F.floor((F.col("_end") + margin) / width))))
+    hit = r.join(ends, ["contig_ord", "_bin"]).where(near(at)).join(shared, "_name", "left")
     keep = [c for c in reads.columns if c not in ("qname", "contig_ord")]
-    last = hit.groupBy("event", "qname").agg(F.max(F.struct("pos", "cigar", *[c for c in keep if c not in ("pos", "cigar")])).alias("r"))
-    return last.select("event", "qname", *[F.col("r")[c].alias(c) for c in keep])
+    lone = F.col("_shared").isNull() & ~F.col("_many")
+    once = ~F.col("_stop") | ~F.coalesce(near(F.col("_start")), F.lit(False))  # a read at both ends of an event counts at its start
+    alone = hit.where(lone & once).select("event", "qname", *keep)
+    last = hit.where(~lone).groupBy("event", "qname").agg(F.max(F.struct("pos", "cigar", *[c for c in keep if c not in ("pos", "cigar")])).alias("r"))
+    return alone.unionByName(last.select("event", "qname", *[F.col("r")[c].alias(c) for c in keep]))
 
 
 def allele_context(events: DataFrame, reference: DataFrame, flank: int = 50) -> DataFrame:
@@ -163,12 +180,14 @@ def kmers(seq: str, k: int) -> Column:
 
 
 def genotype_by_support(reads: DataFrame, alleles: DataFrame, k: int = 15, margin: int = 10) -> DataFrame:
-    """(event, sample_idx, ref_reads, alt_reads, ambiguous, gt): reads at the events (event, ref_seq, alt_seq) by shared k-mers."""
-    r = reads.where("not is_secondary and mapq > 10").withColumn("_k", kmers("seq", k))
-    a = alleles.select("event", kmers("ref_seq", k).alias("_r"), kmers("alt_seq", k).alias("_a"))
+    """(event, sample_idx, ref_reads, alt_reads, ambiguous, gt): reads at the events (event, ref_seq, alt_seq) by shared k-mers. Reads of one sequence at an event are compared once."""
+    n = reads.where("not is_secondary and mapq > 10").groupBy("event", "seq", "sample_idx").agg(F.count("*").alias("n"))
+    pairs = n.groupBy("event", "seq").agg(F.collect_list(F.struct("sample_idx", "n")).alias("_by")).withColumn("_k", kmers("seq", k))
+    a = small(alleles.select("event", kmers("ref_seq", k).alias("_r"), kmers("alt_seq", k).alias("_a")))
     diff = F.size(F.array_intersect("_k", "_r")) - F.size(F.array_intersect("_k", "_a"))
-    s = r.join(a, "event").withColumn("_d", diff)
-    n = s.groupBy("event", "sample_idx").agg(F.count_if(F.col("_d") > margin).alias("ref_reads"), F.count_if(F.col("_d") < -margin).alias("alt_reads"), F.count_if(F.abs("_d") <= margin).alias("ambiguous"))
+    s = pairs.join(a, "event").select("event", diff.alias("_d"), F.explode("_by").alias("x")).select("event", "_d", "x.*")
+    support = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    n = s.groupBy("event", "sample_idx").agg(support(F.col("_d") > margin).alias("ref_reads"), support(F.col("_d") < -margin).alias("alt_reads"), support(F.abs("_d") <= margin).alias("ambiguous"))
     return n.withColumn("gt", genotype_call("ref_reads", "alt_reads"))
 
 
@@ -213,7 +232,7 @@ def genotype_by_alignment(reads: DataFrame, alleles: DataFrame, margin: int = 10
     one sequence at an event are aligned once; the alignments run by ``BATCH`` pairs of about equal length.
     """
     r = reads.where("not is_secondary and mapq > 10 and seq is not null")
-    n = r.groupBy("event", "seq", "sample_idx").agg(F.count("*").alias("n"))
+    n = stored(r.groupBy("event", "seq", "sample_idx").agg(F.count("*").alias("n")), "sequences")  # reads are met once
     pairs = n.select("event", "seq").distinct().join(alleles.select("event", "ref_seq", "alt_seq").distinct(), "event")
     kind = pairs.schema["event"].dataType.simpleString()
 

@@ -517,3 +517,20 @@ def test_genes_of_one_name_are_dealt_to_parts(spark):
     assert Counter((x.gene_id, x.gene_name, x.ortholog_id, x.ortholog_name) for x in out.collect()) == want
     assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
     assert sum(intervals.left_join_genes(g, o).groupBy().count().first()) == sum(want.values())
+
+
+def test_reads_of_lone_and_shared_names_at_events(spark):
+    # lone names are not shuffled; shared ones give their last read; a read at both ends counts once
+    rows = [(q, 0, p, "50M", i) for i, (q, p) in enumerate([("a", 100), ("b", 130), ("b", 140), ("c", 100), ("d", 1990), ("a2", 5000), (None, 120), (None, 125)])]
+    rd = spark.createDataFrame(rows, "qname string, contig_ord int, pos long, cigar string, i int")
+    ev = spark.createDataFrame([("e", 0, 120, 140), ("f", 0, 2000, 2010), ("g", 0, 130, 9000), ("g", 0, 131, 9000), ("h", 0, None, 5010)], "event string, contig_ord int, start long, stop long")
+    want = {}
+    for q, _, p, _, i in rows:
+        for e, _, a, b in ((r.event, 0, r.start, r.stop) for r in ev.collect()):
+            if any(x is not None and p - 5 < x < p + 50 for x in (a, b)):
+                want[e, q] = max(want.get((e, q), (0, 0)), (p, i))
+    got = junctions.reads_at_breakpoint(rd, ev)
+    assert sorted((str(r.qname), r.event, r.pos, r.i) for r in got.collect()) == sorted((str(q), e, *v) for (e, q), v in want.items())
+    lone = rd.where("qname in ('a', 'c', 'd')").coalesce(1)
+    plan = junctions.reads_at_breakpoint(lone, ev.where("event = 'e'"))
+    assert len({r[0] for r in plan.select(F.spark_partition_id(), "qname").collect()}) == 1  # both stay in the one partition of the reads
