@@ -17,8 +17,8 @@ from popweave.functions.scratch import stored
 
 #: Letters of a packed k-mer, three bits each, in byte order so that packed and plain windows compare alike; and their partners.
 LETTERS, PARTNERS = b"ACGNT", b"TGCNA"
-#: Places of a sequence that are taken at once, and edges that a task gathers before it passes them on.
-PLACES, MOST_EDGES = 1 << 19, 1 << 21
+#: Places of a sequence that are taken at once; distinct edges that a task gathers before it passes them on, and those of a batch that it passes on.
+PLACES, MOST_EDGES, EDGE_ROWS = 1 << 17, 1 << 20, 1 << 16
 
 
 def _windows(seqs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,28 +71,35 @@ def kmer_edges(seqs: DataFrame, k: int) -> DataFrame:
         counts: list[tuple] = []
         held = 0
 
-        def passed_on() -> pa.RecordBatch:
+        def merged() -> tuple:
             edges, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-            n = [np.bincount(at, np.concatenate([c[i] for c in counts]), len(edges)).astype(np.int64) for i in (1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(edges.astype(f"U{k + 1}"), pa.string()), *map(pa.array, n)], names=["e", "n", "t"])
+            return edges, *[np.bincount(at, np.concatenate([c[i] for c in counts]), len(edges)).astype(np.int64) for i in (1, 2)]
+
+        def passed_on(edges: np.ndarray, n: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(edges), EDGE_ROWS):
+                j = i + EDGE_ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(edges[i:j].astype(f"U{k + 1}"), pa.string()), pa.array(n[i:j]), pa.array(t[i:j])], names=["e", "n", "t"])
 
         waiting, size = [], 0
         for batch in batches:
-            for seq in batch.column("seq").cast(pa.large_binary()):
-                seq = seq.as_py()
+            for seq in batch.column("seq"):
+                seq = seq.as_py().encode()
                 for at in range(0, max(0, len(seq) - k), PLACES):
                     waiting.append(seq[at : at + PLACES + k])
                     size += len(waiting[-1])
                     if size >= PLACES:  # short sequences are taken together
                         counts += [_windows(waiting, k + 1)]
                         held, waiting, size = held + len(counts[-1][0]), [], 0
-                    if held >= MOST_EDGES:
-                        yield passed_on()
-                        counts, held = [], 0
+                    if held >= MOST_EDGES:  # merged as they come; passed on only where half of them are distinct
+                        counts = [merged()]
+                        held = len(counts[0][0])
+                        if held >= MOST_EDGES // 2:
+                            yield from passed_on(*counts[0])
+                            counts, held = [], 0
         if waiting:
             counts += [_windows(waiting, k + 1)]
         if counts:
-            yield passed_on()
+            yield from passed_on(*merged())
 
     mers = seqs.where(F.length("seq") > k).select("seq").mapInArrow(run, "e string, n long, t long")
     n = mers.groupBy("e").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))

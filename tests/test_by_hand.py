@@ -534,3 +534,36 @@ def test_reads_of_lone_and_shared_names_at_events(spark):
     lone = rd.where("qname in ('a', 'c', 'd')").coalesce(1)
     plan = junctions.reads_at_breakpoint(lone, ev.where("event = 'e'"))
     assert len({r[0] for r in plan.select(F.spark_partition_id(), "qname").collect()}) == 1  # both stay in the one partition of the reads
+
+
+def test_edges_in_small_batches(spark, monkeypatch):
+    # windows merge as they come and are passed on in batches of a few rows: the same counts
+    for name, value in (("PLACES", 64), ("MOST_EDGES", 200), ("EDGE_ROWS", 7)):
+        assert getattr(kmers, name) > value
+        monkeypatch.setattr(kmers, name, value)
+    r = random.Random(12)
+    seqs = ["".join(r.choice("ACGTN") for _ in range(n)) for n in (3, 5, 700, 90)] + ["ACGT" * 200, None]
+    want = Counter(x[i : i + 5] for s in seqs if s for x in (s,) for i in range(len(x) - 4))
+    got = kmers.kmer_edges(spark.createDataFrame([(s,) for s in seqs], "seq string"), 4).where("forward > 0").collect()
+    assert {x.src + x.dst[-1]: x.forward for x in got} == dict(want)
+
+
+def test_writers_work_their_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    ev = spark.createDataFrame([(i, "c1", i, "A", "C", i, i + 1, "del") for i in range(40)], "event int, contig string, pos int, ref string, alt string, start int, stop int, svtype string")
+    calls = spark.createDataFrame([(i, s, "0/1", i, 1, 0) for i in range(0, 40, 2) for s in "ace"] + [(0, "a", "0/0", 9, 9, 9)], "event int, sample string, gt string, rr int, ar int, br int").repartition(3)
+    writers.write_vcf(ev, calls.withColumn("gt", counted("gt")), [("c1", 99)], list("abcde"), "d", str(tmp_path / "v"))
+    assert seen.value == 61
+    _, back = readers.scan_vcf(spark, str(tmp_path / "v/*"))
+    cells = {(x.pos + 1, x["sample"]): x.fields["GT"] + ":" + x.fields["RR"] for x in back.collect()}
+    want = {(i, s): f"0/1:{i}" if i % 2 == 0 and s in "ace" else "./.:0" for i in range(40) for s in "abcde"}
+    assert cells == want | {(0, "a"): "0/0:9"}
+    tiles = spark.createDataFrame([(t, s, "ACGT") for t in range(9) for s in "ab"], "tile long, sample string, sequence string").repartition(3)
+    writers.write_phylip(tiles.withColumn("sequence", counted("sequence")), str(tmp_path / "p"))
+    assert seen.value == 61 + 18
