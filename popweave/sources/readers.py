@@ -57,7 +57,8 @@ def scan_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     sites = rows.drop("format", "calls").withColumns({"svtype": F.try_element_at("info", F.lit("SVTYPE")), "stop": F.coalesce(end, F.col("pos") + F.length("ref"))})
     calls = rows.select("contig", "pos", "ref", "alt", "format", F.posexplode("calls").alias("i", "call"))
     calls = calls.join(F.broadcast(names), "i")  # a row per sample
-    return sites, calls.select("contig", "pos", "ref", "alt", "sample", F.map_from_arrays("format", F.transform(F.sequence(F.lit(0), F.size("format") - 1), lambda k: F.coalesce(F.get(F.split("call", ":"), k), F.lit(".")))).alias("fields"))
+    cells, n = F.split("call", ":"), F.size("format")  # cells that are left out at the end are missing
+    return sites, calls.select("contig", "pos", "ref", "alt", "sample", F.map_from_arrays("format", F.when(F.size(cells) == n, cells).otherwise(F.concat(F.slice(cells, 1, n), F.array_repeat(F.lit("."), F.greatest(n - F.size(cells), F.lit(0)))))).alias("fields"))
 
 
 def scan_sam(spark: SparkSession, path: str) -> DataFrame:

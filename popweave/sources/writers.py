@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from popweave.functions.scratch import stored
+
 SYMBOLIC = 20_000
 VCF_INFO = ("NS", "END", "SVTYPE", "SVLEN")
 
@@ -39,24 +41,28 @@ def vcf_records(events: DataFrame, calls: DataFrame, samples: list[str]) -> Data
     """(contig, pos, value): lines of events (event, contig, pos, ref, alt, start, stop, svtype) and their calls
     (event, sample, gt, rr, ar, br), sample columns in the order of ``samples``; long events get symbolic alleles."""
     cell = F.concat_ws(":", "gt", F.col("rr").cast("string"), F.col("ar").cast("string"), F.col("br").cast("string"))
-    per = calls.groupBy("event", "sample").agg(F.first(cell).alias("c"))
-    per = per.groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("sample", "c"))).alias("_cells"))  # a cell per sample
-    e = events.join(per, "event", "left")
-    cells = F.transform(F.lit(samples), lambda s: F.coalesce(F.try_element_at("_cells", s), F.lit("./.:0:0:0")))
+    place = F.broadcast(events.sparkSession.createDataFrame([(x, i) for i, x in enumerate(samples)], "sample string, _place int"))  # a row per sample
+    per = calls.join(place, "sample").groupBy("event").agg(F.array_sort(F.collect_list(F.struct("_place", cell.alias("c")))).alias("_cells"))  # a cell per sample
+    per = per.withColumn("_cells", F.filter("_cells", lambda x, i: (i == 0) | (F.get("_cells", i - 1)["_place"] != x["_place"])))  # of repeated ones the least
+    e = events.join(per, "event", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<_place:int,c:string>>")))
+    before = lambda i: F.when(i > 0, F.get("_cells", i - 1)["_place"]).otherwise(-1)
+    gap = lambda n: F.repeat(F.lit("\t./.:0:0:0"), n)
+    filled = F.array_join(F.transform("_cells", lambda x, i: F.concat(gap(x["_place"] - before(i) - 1), F.lit("\t"), x["c"])), "")
+    cells = F.concat(filled, gap(F.lit(len(samples)) - 1 - before(F.size("_cells"))))
     size = F.col("stop") - F.col("start")
-    n = F.size(F.filter(cells, lambda c: ~c.startswith("./.")))
+    n = F.size(F.filter("_cells", lambda x: ~x["c"].startswith("./.")))
     long_ = size >= SYMBOLIC
     alt = F.when(long_, F.concat(F.lit("<"), F.upper("svtype"), F.lit(">"))).otherwise(F.col("alt"))
     ref = F.when(long_, F.substring("ref", 1, 1)).otherwise(F.col("ref"))
     info = F.concat(F.lit("NS="), n.cast("string"), F.lit(";END="), F.col("stop").cast("string"), F.lit(";SVTYPE="), F.upper("svtype"), F.lit(";SVLEN="), (size + 1).cast("string"))
     fixed = [F.col("contig"), F.col("pos").cast("string"), F.lit("."), ref, alt, F.lit("."), F.lit("PASS"), info, F.lit("GT:RR:AR:BR")]
-    return e.select("contig", "pos", F.concat_ws("\t", *fixed, cells).alias("value"))
+    return e.select("contig", "pos", F.concat(F.concat_ws("\t", *fixed), cells).alias("value"))
 
 
 def write_vcf(events: DataFrame, calls: DataFrame, contigs: list[tuple[str, int]], samples: list[str], date: str, path: str) -> None:
     """Sorted parts below ``path``: the header is the first."""
     names = sorted(samples)
-    rows = vcf_records(events, calls, names)
+    rows = stored(vcf_records(events, calls, names), "records")  # worked out once: ranges and lines read it
     rows.orderBy("contig", "pos", "value").select("value").write.mode("errorifexists").text(f"{path}/records")
     events.sparkSession.createDataFrame([(vcf_header(contigs, names, date),)], "value string").coalesce(1).write.text(f"{path}/header")
 
@@ -71,6 +77,7 @@ def write_phylip(tiles: DataFrame, path: str) -> None:
 
     Lines of the first tile begin with the sample's name. A line holds a tile's sites only, so none grows with the genome.
     """
+    tiles = stored(tiles, "tiles")  # worked out once: counts, the first tile, ranges and lines read it
     sizes = tiles.groupBy("tile").agg(F.max(F.length("sequence")).alias("n"), F.count("*").alias("samples"))
     head = sizes.agg(F.concat_ws(" ", F.coalesce(F.max("samples"), F.lit(0)).cast("string"), F.coalesce(F.sum("n"), F.lit(0)).cast("string")).alias("value"))
     head.write.mode("errorifexists").text(f"{path}/header")
