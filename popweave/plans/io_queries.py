@@ -106,7 +106,7 @@ def _sam(t):
     text = lambda c: F.col(c).cast("string")
     cells = ["qname", flag.cast("string"), F.concat(F.lit("c"), text("contig_ord")), (F.col("pos") + 1).cast("string"), text("mapq"), "cigar", mate, (F.col("next_pos") + 1).cast("string"), text("isize"), "seq", "qual", F.concat(F.lit("SA:Z:"), "sa"), F.when(F.col("has_xm"), "XM:i:1")]
     path = f"{shared_dir(t.spark)}/sam"
-    t.fx_reads.select(F.concat_ws("\t", *cells).alias("value")).where("not value like '@%'").write.text(path)
+    _text(t.fx_reads.select(F.concat_ws("\t", *cells).alias("value")).where("not value like '@%'"), path)
     return S.scan_sam(t.spark, path)
 
 

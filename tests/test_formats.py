@@ -40,6 +40,19 @@ def test_sam_and_fetch(spark, tmp_path):
     assert [x.qname for x in S.fetch(r, "c1", 129, 140).collect()] == ["q1"] and S.fetch(r, "c1", 130, 140).count() == 0
 
 
+def test_sam_query_writes_compressed_text(spark, monkeypatch):
+    import glob
+
+    from oracle import SF
+    from popweave.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "shared_dir", lambda s, f=io_queries.shared_dir: made.append(f(s)) or made[-1])
+    made: list[str] = []
+    assert io_queries.C.queries["scan_sam"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    files = glob.glob(f"{made[0].removeprefix('file://')}/sam/part-*")
+    assert files and all(f.endswith(".txt.gz") for f in files)
+
+
 def test_fastq_pair_with_an_empty_mate(spark, tmp_path):
     one = put(tmp_path, "a.fq", "@r1 x\nACGT\n+\n!!!!\n@r2\n\n+\n\n@r3\nA\n+\n!\n")
     two = put(tmp_path, "b.fq", "@r1 y\nCC\n+\n!!\n@r2\nGG\n+\n!!\n@r3\nT\n+\n!\n")
