@@ -72,7 +72,9 @@ def test_fastq_in_many_splits(spark, tmp_path):
     assert [(r.record_no, r.name, r.seq) for r in rows] == [(i, f"r{i}", "ACGT"[i % 4] * 40) for i in range(500)]
 
 
-def test_records_stay_where_they_are_read(spark, tmp_path):
+def test_records_stay_where_they_are_read(spark, tmp_path, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # a shuffle leaves its partitions
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     (tmp_path / "gz").mkdir()
     df = spark.range(0, 400, 1, 1).selectExpr("concat('@r', id, '/1\n', repeat('ACGT', 9), '\n+\n', repeat('!', 36)) as value")
     df.write.option("compression", "gzip").option("maxRecordsPerFile", 90).text(str(tmp_path / "gz/1"))
@@ -82,7 +84,9 @@ def test_records_stay_where_they_are_read(spark, tmp_path):
     assert sorted((r.record_no, r.name) for r in many.collect()) == [(i, f"r{i}/1") for i in range(400)]
 
 
-def test_pieces_stay_where_they_are_read(spark, tmp_path):
+def test_pieces_stay_where_they_are_read(spark, tmp_path, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # a shuffle leaves its partitions
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     path = put(tmp_path, "o.fa", "".join(f">c{i} x\n{'ACGT' * 15}\nAC\n" for i in range(300)))
     want = [(f"c{i}", "ACGT" * 15 + "AC") for i in range(300)]
     got = [(r.contig, r.seq) for r in S.scan_fasta(spark, path).collect()]
