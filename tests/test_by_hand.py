@@ -519,6 +519,23 @@ def test_genes_of_one_name_are_dealt_to_parts(spark):
     assert sum(intervals.left_join_genes(g, o).groupBy().count().first()) == sum(want.values())
 
 
+@pytest.mark.parametrize("most", [1, 3, 50, 8000])
+def test_genes_and_orthologs_of_one_name_meet_in_blocks(spark, most):
+    # no hash table of a name's orthologs; blocks of names with identical rows, without orthologs, without genes, and empty blocks
+    genes = [(i, "a" if i < 90 else "b" if i < 95 else "c" if i < 160 else None if i % 2 else "d") for i in range(200)] + [(7, "a")] * 3
+    others = [(i, "a" if i < 4 else "b" if i < 60 else "z" if i < 90 else None) for i in range(100)] + [(5, "b")] * 60 + [(None, "a")]
+    g = spark.createDataFrame(genes, "gene_id int, gene_name string")
+    o = spark.createDataFrame(others, "gene_id int, ortholog_name string")
+    want = Counter((i, n, j, n) for i, n in genes for j, m in others if n is not None and n == m) + Counter((i, n, None, None) for i, n in genes if n not in ("a", "b"))
+    out = intervals.left_join_genes(g, o, most)
+    assert Counter(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "ShuffledHashJoin" not in plan
+    same = g.select(F.col("gene_name").alias("ortholog_name"), F.col("gene_id").alias("ortholog_id"))
+    assert intervals.left_join_genes(g, same, most).count() == sum(k * k for k in Counter(n for _, n in genes if n).values()) + sum(n is None for _, n in genes)
+    assert intervals.left_join_genes(g, o.where("false"), most).count() == len(genes) and intervals.left_join_genes(g.where("false"), o, most).count() == 0
+
+
 def test_reads_of_lone_and_shared_names_at_events(spark, request):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # a shuffle leaves its partitions
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
